@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Lower-cases A-Z and keeps [0-9a-z] and every byte from 0x80 on; the rest becomes a space.
 WORD_BYTES = bytes(
@@ -73,3 +74,11 @@ def utf8(column: pa.Array) -> list[bytes]:
 def documents(df: DataFrame) -> DataFrame:
     """The two columns that most operators read; other columns, whatever their names, stay out."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def with_fields(df: DataFrame, **fields: str) -> StructType:
+    """df's schema with more fields after its own."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in fields.items():
+        out = out.add(name, kind)
+    return out

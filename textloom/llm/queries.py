@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from textloom.llm import license_scan, media
+from textloom.llm import decontaminate, license_scan, line_dedup, media
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op9_media_columns": media.op9_media_columns,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE}
