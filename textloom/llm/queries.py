@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, license_scan, line_dedup, media
+from textloom.llm import decontaminate, license_scan, line_dedup, media, packing
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_packing": packing.op4_packing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op9_media_columns": media.op9_media_columns,
 }
