@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, license_scan, line_dedup, media, packing
+from textloom.llm import decontaminate, license_scan, line_dedup, media, packing, sharding
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_sharding": sharding.op2_sharding,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_packing": packing.op4_packing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
