@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, license_scan, line_dedup, media, packing, sharding
+from textloom.llm import decontaminate, license_scan, line_dedup, media, packing, sharding, simhash
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_packing": packing.op4_packing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_simhash": simhash.op6_simhash,
     "op9_media_columns": media.op9_media_columns,
 }
 
