@@ -1,9 +1,10 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
 Each language has a raw-content dictionary made of training texts. Texts are read in
-lower case, their letters only, words apart. A text is compressed once with each dictionary and gets the language whose result is smallest;
-the first by name of equal ones. The margin is the share by which the smallest result
-is below the second; a prediction under ``MIN_MARGIN`` is marked as not accepted.
+lower case, their letters only, words apart. A text is compressed once with each
+dictionary and gets the language whose result is smallest; of equal ones the language
+with more training rows. The margin is the share by which the smallest result is below
+the second; a prediction under ``MIN_MARGIN`` is marked as not accepted.
 
 Training uses a bounded sample (``SAMPLE_ROWS`` rows a language on average, picked by
 hash of doc_id, of each at most ``SAMPLE_CHARS`` characters) of the rows with a language
@@ -50,7 +51,7 @@ def fold(column: str = "doc_id", folds: int = 4):
 
 
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    """Some texts of each language, in the order of a hash of doc_id; bounded whatever the input."""
+    """Some texts of each language, the most frequent first, in the order of a hash of doc_id."""
     known = docs.filter(F.col("lang").isNotNull() & (fold() != 2))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
@@ -63,9 +64,10 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPL
         .filter(F.col("mark") < F.col("most"))
         .select("lang", "mark", "doc_id", "text")
     )
-    out: dict[str, list[str]] = {}
+    # About rows * MAX_LANGUAGES texts at most, whatever the input.
+    out: dict[str, list[str]] = {k: [] for k in counts}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["mark"], r["doc_id"], r["text"])):
-        out.setdefault(r["lang"], []).append(r["text"])
+        out[r["lang"]].append(r["text"])
     return out
 
 
@@ -74,7 +76,7 @@ def dictionaries(sample: dict[str, list[str]], most: int = DICTIONARY_BYTES) ->
 
     Equal lengths keep a language with more samples from compressing everything better.
     """
-    whole = {k: " ".join(map(letters, v)).strip().encode() for k, v in sorted(sample.items())}
+    whole = {k: " ".join(map(letters, v)).strip().encode() for k, v in sample.items()}
     whole = {k: v for k, v in whole.items() if v}
     if not whole:
         return {}
@@ -84,7 +86,7 @@ def dictionaries(sample: dict[str, list[str]], most: int = DICTIONARY_BYTES) ->
 
 class Compressors:
     def __init__(self, learned: dict[str, bytes], level: int = LEVEL):
-        self.names = sorted(learned)
+        self.names = list(learned)
         self.made = []
         for name in self.names:
             held = zstandard.ZstdCompressionDict(learned[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, language, license_scan, line_dedup, media, packing, sharding, simhash, toxicity
+from textloom.llm import decontaminate, html_text, language, license_scan, line_dedup, media, packing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_simhash": simhash.op6_simhash,
     "op7_language_id": language.op7_language_id,
+    "op8_html_extraction": html_text.op8_html_extraction,
     "op9_media_columns": media.op9_media_columns,
     "op10_toxicity": toxicity.op10_toxicity,
 }

@@ -3,7 +3,7 @@
 A document's words go through overlapping windows (64 words, a new one each 48, so all
 words are scored and each border lies inside a window). A word's input vector joins a
 word part (learned embedding, log-odds of the word among toxic documents) and a
-character part (mean learned embedding of its hashed 3- and 5-grams with word borders,
+character part (mean learned embedding of its hashed 3-, 5- and 7-grams of bytes with word borders,
 largest log-odds among them), so unseen words are read by their letters. Two gated
 recurrent layers run over the window in both directions, attention pools their states,
 and the document's score is that of its most toxic window.
@@ -36,9 +36,9 @@ from textloom.llm.common import WORD_BYTES, read_table, with_fields
 WINDOW, STRIDE = 64, 48
 #: Documents of each label in the training sample at most, and characters of each.
 SAMPLE, SAMPLE_CHARS = 2000, 50_000
-VOCABULARY, BUCKETS = 20_000, 1 << 15
+VOCABULARY, BUCKETS, CHAR_ROWS = 20_000, 1 << 19, 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 12, 12
-EPOCHS, BATCH, RATE, SEED = 5, 128, 0.01, 7
+EPOCHS, BATCH, RATE, SEED = 4, 128, 0.01, 7
 #: Words whose input vectors a task remembers.
 CACHE_WORDS = 150_000
 
@@ -50,12 +50,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, bucket) of every hashed 3- and 5-gram; a space stands at a word's borders."""
+    """(word number, bucket) of every hashed 3-, 5- and 7-gram; a space stands at a word's borders."""
     buf = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8).astype(np.int64)
     space = buf == 32
     number = np.cumsum(space) - 1  # of the word that a position or the space before it belongs to
     where, grams = [], []
-    for n in (3, 5):
+    for n in (3, 5, 7):
         m = len(buf) - n + 1
         if m <= 0:
             continue
@@ -77,7 +77,7 @@ class Statistics:
     words: dict[bytes, float]
     grams: np.ndarray
 
-    PRIOR = 3.0
+    PRIOR = 5.0
 
     @classmethod
     def fit(cls, docs: list[tuple[set[bytes], np.ndarray]], labels: np.ndarray) -> Statistics:
@@ -114,7 +114,7 @@ class Inputs:
         ids, odds, where, grams = parts or self.parts(words)
         starts = np.flatnonzero(np.diff(where, prepend=-1))  # every word has a 3-gram
         best = np.maximum.reduceat(self.stats.grams[grams], starts)
-        mean = np.add.reduceat(self.p["chars"][grams], starts, axis=0) / np.diff(np.append(starts, len(where)))[:, None]
+        mean = np.add.reduceat(self.p["chars"][grams % CHAR_ROWS], starts, axis=0) / np.diff(np.append(starts, len(where)))[:, None]
         return np.concatenate([odds[:, None], best[:, None], self.p["words"][ids], mean], axis=1).astype(np.float32)
 
 
@@ -126,7 +126,7 @@ def fresh(rng: np.random.Generator, words: int) -> dict[str, np.ndarray]:
     x, h = 2 + WORD_DIM + CHAR_DIM, HIDDEN
     made = {
         "words": rng.normal(0, 0.1, (words + 1, WORD_DIM)),
-        "chars": rng.normal(0, 0.1, (BUCKETS, CHAR_DIM)),
+        "chars": rng.normal(0, 0.1, (CHAR_ROWS, CHAR_DIM)),
         "win": rng.normal(0, x**-0.5, (x, 6 * h)),
         "bin": np.zeros(6 * h),
         "u0": rng.normal(0, h**-0.5, (h, 3 * h)),
@@ -349,6 +349,16 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = E
     return made
 
 
+def summed(rows: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """(n, width): the sums of the rows that go to each place."""
+    out = np.zeros((n, rows.shape[1]), dtype=np.float32)
+    if len(to):
+        order = np.argsort(to, kind="stable")
+        starts = np.flatnonzero(np.diff(to[order], prepend=-1))
+        out[to[order[starts]]] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
+
+
 def _step(params: dict, moments: dict, sources: list[Inputs], some: list, step: int, lift: float) -> None:
     steps = max(len(w) for w, _, _ in some)
     index = np.zeros((steps, len(some)), dtype=np.int64)
@@ -369,16 +379,15 @@ def _step(params: dict, moments: dict, sources: list[Inputs], some: list, step:
     mask = (index > 0).astype(np.float32)
     labels = np.array([y for _, y, _ in some], dtype=np.float32)
     _, g, d_pre = gradients(params, (x @ params["win"] + params["bin"])[index], mask, labels)
-    d_rows = np.zeros((len(x), d_pre.shape[2]), dtype=np.float32)
     d_pre *= (1 + (lift - 1) * labels)[None, :, None] * mask[:, :, None]
-    np.add.at(d_rows, index.ravel(), d_pre.reshape(-1, d_pre.shape[2]))
+    d_rows = summed(d_pre.reshape(-1, d_pre.shape[2]), index.ravel(), len(x))
     g["win"], g["bin"] = x.T @ d_rows, d_rows.sum(axis=0)
     d_x = d_rows @ params["win"].T
     d_words, d_chars = np.zeros_like(params["words"]), np.zeros_like(params["chars"])
     for at, (ids, _, where, grams) in parts:
-        np.add.at(d_words, ids, d_x[at : at + len(ids), 2 : 2 + WORD_DIM])
+        d_words += summed(d_x[at : at + len(ids), 2 : 2 + WORD_DIM], ids, len(d_words))
         share = d_x[at : at + len(ids), 2 + WORD_DIM :] / np.bincount(where, minlength=len(ids))[:, None]
-        np.add.at(d_chars, grams, share[where])
+        d_chars += summed(share[where], grams % CHAR_ROWS, CHAR_ROWS)
     g["words"], g["chars"] = d_words, d_chars
     for k, d in g.items():
         m, v = moments[k]
