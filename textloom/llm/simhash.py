@@ -41,6 +41,8 @@ SEED, SHINGLE, RADIUS = 42, 3, 3
 EVEN = 0x5555555555555555
 #: What a segment's count tells about a fingerprint, in bits.
 SEGMENT_BITS = 1.45
+#: Grids of wide_links and the segments whose counts make up a cell.
+WIDE_GRIDS, WIDE_SEGMENTS = 48, 13
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -119,14 +121,43 @@ def links(nodes: DataFrame, groups: int, radius: int = RADIUS) -> DataFrame:
     return a.join(b, near).select("a", "b").distinct()
 
 
-def fingerprint_components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+def wide_links(nodes: DataFrame, radius: int, grids: int = WIDE_GRIDS, segments: int = WIDE_SEGMENTS) -> DataFrame:
+    """(a, b): more links, of fingerprints that differ in at most radius bits, for a radius too large for ``links``.
+
+    Each of so many seeded grids has the cells of a few segments' counts as its key. In
+    a cell every fingerprint meets the cell's first one in an order of the grid's own,
+    so a cell makes fewer links than it has members, however many these are. Not every
+    pair meets in some cell: the recall is a matter of the number of grids.
+    """
+    rng = np.random.default_rng(SEED)
+    keys, salts = [], []
+    for g in range(grids):
+        mask = sum(3 << 2 * int(s) for s in rng.choice(32, segments, replace=False))
+        keys.append(F.xxhash64(F.lit(g), F.col("v").bitwiseAND(F.lit(signed(mask)))))
+        salts.append(F.lit(signed(int(rng.integers(1 << 63)) << 1 | int(rng.integers(2)))))
+    held = (
+        nodes.select("fp", embedded(F.col("fp")).alias("v"))
+        .select("fp", F.posexplode(F.array(*keys)).alias("grid", "cell"))
+        .select("cell", F.col("fp").bitwiseXOR(F.element_at(F.array(*salts), F.col("grid") + 1)).alias("own"), "fp")
+    )
+    first = held.groupBy("cell").agg(F.min(F.struct("own", "fp")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    first = first.select("cell", F.col("first.fp").alias("b"))
+    near = (F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius)
+    return held.select("cell", "fp").join(first, "cell").filter(near).select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
+
+
+def fingerprint_components(rows: DataFrame, radius: int = RADIUS, wide: int = 0) -> DataFrame:
     """(fp, component_id, keep): of rows (doc_id, fp), for each distinct fp.
 
+    wide: a radius beyond the other one up to which ``wide_links`` adds links, or 0.
+
     component_id is the smallest doc_id reachable. keep: the doc_id that stands for the
     component lies under this fp (one fp in each component has it).
     """
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("doc")), "fingerprints")
     found = links(nodes, groups_for(nodes.count(), radius), radius)
+    if wide > radius:
+        found = found.unionByName(wide_links(nodes, wide))
     linked = materialize(components(found), "components")
     named = linked.join(nodes, linked["node"] == nodes["fp"]).select("fp", "doc", "component")
     # Nulls count as larger than any doc_id; of equal ones the smaller fp stands for the component.
@@ -152,11 +183,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return held.join(fingerprint_components(held, radius).drop("keep"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, wide: int = 0) -> DataFrame:
     """The rows of docs, one for each component: the one with the smallest doc_id."""
     marked = materialize(with_fingerprints(docs, "textloom_fp", shingle), "marked")
     rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("textloom_fp").alias("fp"))
-    first = fingerprint_components(rows, radius).filter("keep").select(F.col("fp").alias("textloom_fp"), F.col("component_id").alias("textloom_id"))
+    first = fingerprint_components(rows, radius, wide).filter("keep").select(F.col("fp").alias("textloom_fp"), F.col("component_id").alias("textloom_id"))
     kept = marked.join(first, (marked["textloom_fp"] == first["textloom_fp"]) & marked["doc_id"].eqNullSafe(first["textloom_id"]), "left_semi")
     return kept.dropDuplicates(["doc_id", "textloom_fp"]).drop("textloom_fp")
 
