@@ -292,22 +292,19 @@ class Network:
 
 def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPOCHS) -> Network:
     rng = np.random.default_rng(seed)
-    docs, y = [words_of(t) for t in texts], np.array(labels, dtype=np.int64)
+    # Equal words are one object; a document's n-grams are made one document at a time.
+    own: dict[bytes, bytes] = {}
+    docs = [[own.setdefault(w, w) for w in words_of(t)] for t in texts]
+    y = np.array(labels, dtype=np.int64)
     order = rng.permutation(len(docs))
     tune, fit = order[: len(order) // 5], order[len(order) // 5 :]
     if len(set(y[fit].tolist())) < 2:
         tune, fit = order, order
-    distinct = sorted({w for d in docs for w in d})
-    number = {w: i for i, w in enumerate(distinct)}
-    where, grams = ngrams(distinct) if distinct else (np.zeros(0, np.int64),) * 2
-    by = np.argsort(where, kind="stable")
-    where, grams = where[by], grams[by]
-    bounds = np.searchsorted(where, np.arange(len(distinct) + 1))
     sets = []
     for d in docs:
-        own = set(d)
-        found = [grams[bounds[i] : bounds[i + 1]] for i in map(number.__getitem__, own)]
-        sets.append((own, np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)))
+        words = set(d)
+        found = np.unique(ngrams(sorted(words))[1]) if words else np.zeros(0, np.int64)
+        sets.append((words, found.astype(np.int32)))
 
     def stats_of(some) -> Statistics:
         return Statistics.fit([sets[i] for i in some], y[some])
