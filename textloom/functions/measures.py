@@ -229,9 +229,9 @@ def norm_weight(v: str, mode: int) -> str:
     """SQL for what a vector is divided by: 1, its L1, L2 or largest absolute value."""
     return {
         0: "1.0D",
-        1: f"aggregate({v}, 0.0D, (s, x) -> s + abs(x))",
-        2: f"sqrt(aggregate({v}, 0.0D, (s, x) -> s + x*x))",
-        3: f"aggregate({v}, 0.0D, (s, x) -> greatest(s, abs(x)))",
+        1: f"aggregate({v}, 0.0D, (norm_s, norm_x) -> norm_s + abs(norm_x))",
+        2: f"sqrt(aggregate({v}, 0.0D, (norm_s, norm_x) -> norm_s + norm_x*norm_x))",
+        3: f"aggregate({v}, 0.0D, (norm_s, norm_x) -> greatest(norm_s, abs(norm_x)))",
     }[mode]
 
 
@@ -240,7 +240,8 @@ def normalized(v: str, mode: int) -> str:
     if not mode:
         return v
     w = norm_weight(v, mode)
-    return f"transform({v}, x -> x / (CASE WHEN {w} = 0 THEN 1.0D ELSE {w} END))"
+    # The vector is named inside the lambda, so the lambda's own name must be no column's.
+    return f"transform({v}, norm_e -> norm_e / (CASE WHEN {w} = 0 THEN 1.0D ELSE {w} END))"
 
 
 def quantity(expression: str, how: str, v1: str, v2: str) -> str:
