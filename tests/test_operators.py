@@ -130,3 +130,35 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["word"], r["n"]) for r in spark.table("words").collect()) == [("a", 2), ("b", 1), ("z", 1)]
+
+
+def test_signed_and_replaced_tables(spark, tmp_path):
+    df = spark.range(3)
+    path = str(tmp_path / "signed")
+    io.save_signed(df, path, "vocab", 2)
+    assert io.load_signed(spark, path, "vocab", 2).count() == 3
+    for name, least in (("other", 0), ("vocab", 3)):
+        with pytest.raises(io.WrongSignature):
+            io.load_signed(spark, path, name, least)
+    target = str(tmp_path / "table")
+    io.replace_table(df, target)
+    io.replace_table(spark.range(5), target)
+    assert spark.read.parquet(target).count() == 5 and spark.read.parquet(target + ".bak").count() == 3
+    (tmp_path / "a.ini").write_text("[x]\nk = 1\n")
+    assert io.read_config(spark, str(tmp_path / "a.ini")) == {"x": {"k": "1"}}
+
+
+def test_same_clusters(spark):
+    make = lambda pairs: spark.createDataFrame(pairs, "vec_id long, cluster string")
+    a = make([(1, "p"), (2, "p"), (3, "q")])
+    assert cluster.same_clusters(a, make([(1, "z"), (2, "z"), (3, "y")]))
+    assert not cluster.same_clusters(a, make([(1, "z"), (2, "y"), (3, "y")]))
+    paths = spark.createDataFrame([(1, "B00"), (2, "B01"), (3, "B1")], "vec_id long, path string")
+    assert cluster.same_clusters(cluster.flatten(paths), make([(1, "m"), (2, "m"), (3, "n")]))
+
+
+def test_add_terms(spark):
+    pairs = spark.createDataFrame([("k", "t", 2.0), ("k", "t", 1.0), ("k", "none", 5.0)], "key string, term string, weight double")
+    vecs = spark.createDataFrame([("t", 0, 1.0), ("t", 3, -1.0)], "term string, dim int, val double")
+    weights = spark.createDataFrame([("t", 0.5)], "term string, factor double")
+    assert sorted(map(tuple, corpus.add_terms(pairs, vecs, weights).collect())) == [("k", 0, 1.5), ("k", 3, -1.5)]

@@ -320,3 +320,43 @@ def generated_label(n) -> Column:
 
 def is_generated(label) -> Column:
     return label.rlike(r"^<CL_[0-9]+>$")
+
+
+def representatives(assigned: DataFrame, kind: str = "centroid", measure: str = "cosine") -> DataFrame:
+    """(cluster, v): what stands for a cluster: its centroid, medoid, first member (prototype) or last (newest)."""
+    if kind == "centroid":
+        return centroids(assigned).select("cluster", "v")
+    if kind == "medoid":
+        return medoids(assigned, measure).join(assigned.select("vec_id", "v"), "vec_id").select("cluster", "v")
+    pick = {"prototype": F.min_by, "newest": F.max_by}[kind]
+    return assigned.groupBy("cluster").agg(pick("v", "vec_id").alias("v"))
+
+
+def to_vectors(assigned: DataFrame, vectors: DataFrame, how: str, measure: str = "cosine", kind: str = "similarity", reverse: bool = False) -> DataFrame:
+    """(cluster, vec_id, value): of each cluster with each vector the mean, furthest or nearest similarity or distance.
+
+    reverse gives the measure its vectors in the other order, which matters for asymmetric ones.
+    """
+    far = F.min if kind == "similarity" else F.max
+    near = F.max if kind == "similarity" else F.min
+    agg = {"average": F.avg, "furthest": far, "nearest": near}[how]
+    left = assigned.select("cluster", F.col("v").alias("member"))
+    order = ("v", "member") if reverse else ("member", "v")
+    value = (M.similarity if kind == "similarity" else M.distance)(measure, *order)
+    return left.join(vectors.select("vec_id", "v")).groupBy("cluster", "vec_id").agg(agg(value).alias("value"))
+
+
+def separate_seeds(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labelled vectors and the others."""
+    return vectors.filter("label IS NOT NULL"), vectors.filter("label IS NULL")
+
+
+def flatten(paths: DataFrame, depth: int = 1) -> DataFrame:
+    """(vec_id, cluster) from merge paths: members whose paths agree down to the depth are one cluster."""
+    return paths.select("vec_id", F.substring("path", 1, depth + 1).alias("cluster"))
+
+
+def same_clusters(one: DataFrame, other: DataFrame) -> bool:
+    """Whether two assignments group the same vectors alike, whatever the clusters' names."""
+    met = membership_overlap(one, other)
+    return met.filter(F.col("both") != F.col("either")).isEmpty() and one.select("vec_id").exceptAll(other.select("vec_id")).isEmpty() and other.select("vec_id").exceptAll(one.select("vec_id")).isEmpty()

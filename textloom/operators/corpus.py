@@ -207,3 +207,23 @@ def suffixes(docs: DataFrame, depth: int) -> DataFrame:
     rows = with_words(docs).select("doc_id", "words", F.posexplode("words").alias("pos", "word"))
     cut = F.slice("words", F.col("pos") + 1, F.lit(depth))
     return rows.select("doc_id", "pos", cut.alias("key")).orderBy("key", "doc_id", "pos").select("doc_id", "pos", F.array_join("key", " ").alias("suffix"))
+
+
+def add_terms(pairs: DataFrame, term_vectors: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """Context vectors (key, dim, val) += weight * vector of each context term; terms without a vector add nothing.
+
+    pairs: (key, term, weight); term_vectors: (term, dim, val); weights: (term, factor), 1 where a term is not listed.
+    """
+    rows = pairs
+    if weights is not None:
+        rows = rows.join(weights, "term", "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("factor")
+    # Repeated terms of a key are summed before the vectors' cells are joined on.
+    rows = rows.groupBy("key", "term").agg(F.sum("weight").alias("weight"))
+    return rows.join(term_vectors, "term").groupBy("key", "dim").agg(F.sum(F.col("weight") * F.col("val")).alias("val"))
+
+
+def perplexity(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """(doc_id, bigrams, perplexity) of documents under bigram probabilities (w1, w2, prob); unknown bigrams are left out."""
+    rows = ngram_positions(docs, 2).select("doc_id", F.split_part("ngram", F.lit(" "), F.lit(1)).alias("w1"), F.split_part("ngram", F.lit(" "), F.lit(2)).alias("w2"))
+    known = rows.join(model, ["w1", "w2"])
+    return known.groupBy("doc_id").agg(F.count("*").alias("bigrams"), F.exp(-F.avg(F.log("prob"))).alias("perplexity"))

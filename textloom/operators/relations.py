@@ -56,3 +56,10 @@ def inverse_relation(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.col(a).alias("subject"), F.col(b).alias("object"), F.lit(False).alias("inverse")).unionByName(
         pairs.select(F.col(b).alias("subject"), F.col(a).alias("object"), F.lit(True).alias("inverse"))
     )
+
+
+def change_priority(queue: DataFrame, changes: DataFrame, key: str, priority: str, k: int) -> DataFrame:
+    """A bounded queue after some keys got new priorities: the k highest, ties by key."""
+    new = changes.select(key, F.col(priority).alias("textloom_new"))
+    out = queue.join(new, key, "left").withColumn(priority, F.coalesce("textloom_new", priority)).drop("textloom_new")
+    return top(out, k, [F.desc(priority), F.col(key)])

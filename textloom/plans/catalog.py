@@ -869,3 +869,68 @@ def top_bigrams(spark, sf):
     """The flagship: the twenty most frequent bigrams of the English documents."""
     english = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", "text")
     return relations.top(corpus.ngrams(english, 2), 20, [F.desc("freq"), F.col("ngram")]).select("ngram", "freq")
+
+
+# ---- representatives, seeds, term vectors, literals ----
+
+
+@query(f"WITH c AS ({EMBEDDING_CELLS}), m AS (SELECT label, min(vec_id) AS lo, max(vec_id) AS hi FROM c GROUP BY label) SELECT c.label AS cluster, round(sum(x) FILTER (WHERE vec_id = lo), 5) + 0.0 AS prototype, round(sum(x) FILTER (WHERE vec_id = hi), 5) + 0.0 AS newest FROM c JOIN m ON c.label = m.label GROUP BY c.label")
+def representatives(spark, sf):
+    rows = _labelled(spark, sf)
+    first, final = (cluster.representatives(rows, k).select("cluster", tidy(_sum(F.col("v")), 5).alias(k)) for k in ("prototype", "newest"))
+    return first.join(final, "cluster")
+
+
+@query(
+    f"WITH v AS ({PROFILE_SQL}), n AS (SELECT id, sqrt(sum(val*val)) AS n FROM v GROUP BY id), s AS (SELECT a.id AS i, b.id AS j, sum(a.val*b.val) AS p FROM v a JOIN v b ON a.dim = b.dim GROUP BY 1, 2)"
+    " SELECT CAST(i % 5 AS BIGINT) AS cluster, j AS vec_id, round(avg(p/a.n/b.n), 6) + 0.0 AS mean, round(min(p/a.n/b.n), 6) + 0.0 AS furthest FROM s JOIN n a ON a.id = i JOIN n b ON b.id = j GROUP BY 1, 2"
+)
+def cluster_to_vector(spark, sf):
+    rows = nation_profile(spark, sf).select(F.col("id").alias("vec_id"), "v").withColumn("cluster", F.col("vec_id") % 5)
+    mean, far = (cluster.to_vectors(rows, rows, k).select("cluster", "vec_id", tidy("value").alias(n)) for k, n in (("average", "mean"), ("furthest", "furthest")))
+    return mean.join(far, ["cluster", "vec_id"])
+
+
+@query("SELECT count(*) FILTER (WHERE vec_id % 10 = 0) AS seeds, count(*) FILTER (WHERE vec_id % 10 <> 0) AS others FROM embeddings")
+def separate_seeds(spark, sf):
+    rows = embeddings(spark, sf).withColumn("label", F.when(F.col("vec_id") % 10 == 0, F.col("label")))
+    seeds, others = cluster.separate_seeds(rows)
+    return seeds.agg(F.count("*").alias("seeds")).crossJoin(others.agg(F.count("*").alias("others")))
+
+
+@query("SELECT o_custkey AS key, CAST(p_size AS BIGINT) AS dim, round(sum(l_quantity * p_retailprice), 2) + 0.0 AS val FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
+def term_vector_sum(spark, sf):
+    line, orders, part = (table(spark, sf, t) for t in ("lineitem", "orders", "part"))
+    bought = line.join(orders, line["l_orderkey"] == orders["o_orderkey"]).select(F.col("o_custkey").alias("key"), F.col("l_partkey").alias("term"), F.col("l_quantity").alias("weight"))
+    terms = part.select(F.col("p_partkey").alias("term"), long("p_size").alias("dim"), F.col("p_retailprice").alias("val"))
+    return corpus.add_terms(bought, terms).select("key", "dim", tidy("val", 2).alias("val"))
+
+
+@query("SELECT c_custkey, round(c_acctbal + 1000, 2) + 0.0 AS priority FROM customer WHERE c_custkey % 7 = 0 UNION ALL SELECT c_custkey, round(c_acctbal, 2) + 0.0 FROM customer WHERE c_custkey % 7 <> 0 ORDER BY priority DESC, c_custkey LIMIT 25")
+def requeue(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", tidy("c_acctbal", 2).alias("priority"))
+    changes = rows.filter("c_custkey % 7 = 0").select("c_custkey", tidy(F.col("priority") + 1000, 2).alias("priority"))
+    return relations.change_priority(rows, changes, "c_custkey", "priority", 25)
+
+
+@query("SELECT n_nationkey, CAST(n_regionkey AS BIGINT) AS num, CAST(n_nationkey + 1 AS BIGINT) AS den, '[\"' || n_name || '\", ' || n_nationkey || ', [true, false]]' AS json FROM nation")
+def literals(spark, sf):
+    from textloom.functions import literals as reader
+
+    rows = table(spark, sf, "nation")
+    ratio = T.to_number(F.concat_ws("/", F.col("n_regionkey").cast("string"), (F.col("n_nationkey") + 1).cast("string")))
+    text = F.concat(F.lit('("'), F.col("n_name"), F.lit('" '), F.col("n_nationkey").cast("string"), F.lit(" #*10)"))
+    return rows.select("n_nationkey", ratio["num"].alias("num"), ratio["den"].alias("den"), reader.read_object(text).alias("json"))
+
+
+@query("SELECT l_quantity AS q, CAST(l_quantity AS BIGINT)::VARCHAR AS text, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def number_format(spark, sf):
+    rows = table(spark, sf, "lineitem").select(F.col("l_quantity").alias("q"), T.format_number(F.col("l_quantity")).alias("text"))
+    return rows.groupBy("q", "text").agg(F.count("*").alias("n"))
+
+
+@query()
+def lm_perplexity(spark, sf):
+    d = docs(spark, sf)
+    return corpus.perplexity(d, corpus.kneser_ney(d)).select("doc_id", "bigrams", tidy("perplexity", 4).alias("perplexity"))
+

@@ -135,3 +135,51 @@ def file_facts(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, dir, base, ext) of files."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
     return files.select("path", "size", T.file_parts(F.col("path")).alias("p")).select("path", "size", "p.dir", "p.base", "p.ext")
+
+
+# ---- signed tables, replacement, configuration ----
+
+
+class WrongSignature(ValueError):
+    pass
+
+
+def save_signed(df: DataFrame, path: str, signature: str, version: int) -> None:
+    """A Parquet table whose schema carries a signature and a version."""
+    first = df.columns[0]
+    df.withMetadata(first, {**df.schema[first].metadata, "signature": signature, "version": version}).write.mode("errorifexists").parquet(path)
+
+
+def load_signed(spark: SparkSession, path: str, signature: str, least: int = 0) -> DataFrame:
+    """The table, if its signature is the one wanted and its version is not below the least."""
+    df = spark.read.parquet(path)
+    facts = df.schema.fields[0].metadata
+    if facts.get("signature") != signature or facts.get("version", -1) < least:
+        raise WrongSignature(f"{path}: {facts.get('signature')!r} version {facts.get('version')}")
+    return df
+
+
+def replace_table(df: DataFrame, path: str, backup: bool = True) -> None:
+    """Write beside path, then put the new table in its place; the old one stays as path.bak if wanted."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    new, old, target = (jvm.org.apache.hadoop.fs.Path(path + end) for end in (".new", ".bak", ""))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(path + ".new")
+    if fs.exists(target):
+        fs.delete(old, True)
+        if not fs.rename(target, old):
+            raise OSError(f"cannot move {path}")
+    if not fs.rename(new, target):
+        raise OSError(f"cannot put {path} in its place")
+    if not backup:
+        fs.delete(old, True)
+
+
+def read_config(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
+    """Sections of an INI file, by Spark's own readers, so that any store will do."""
+    import configparser
+
+    parser = configparser.ConfigParser()
+    parser.read_string("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
+    return {s: dict(parser[s]) for s in parser.sections()}
