@@ -48,13 +48,19 @@ def map_batches(
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
+        for part in (p for batch in batches for p in parts_of(batch)):
+            if (out := fn(part)) is not None:
                 yield pa.RecordBatch.from_arrays([as_array(out[f.name], f.type) for f in target], schema=target)
 
     return df.select(*[F.col(c) for c in columns]).mapInArrow(run, schema)
 
 
+def parts_of(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces, so that the Python objects made of one piece stay few."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()

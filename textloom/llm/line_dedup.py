@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import map_batches, materialize, read_table, utf8, with_fields
+from textloom.llm.common import map_batches, materialize, parts_of, read_table, utf8, with_fields
 
 MIN_DOCS = 10
 SPACE = b" \t\n\x0b\x0c\r"
@@ -265,7 +265,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_bytes: int = MAX_
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts_of(whole)):
             texts, starts, digests = [t.split(b"\n") for t in utf8(batch.column(at))], [0], []
             for lines in texts:
                 digests += [digest(line_key(x)) for x in lines]
@@ -315,7 +315,7 @@ def _dedup_by_join(docs: DataFrame, counts: DataFrame, min_docs: int) -> DataFra
     joined = marked.join(gone.withColumnRenamed("body", "textloom_body"), "textloom_body", "left").select(*names, "textloom_gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts_of(whole)):
             out, lines, dropped = [], [], []
             for text, held in zip(utf8(batch.column(at)), batch.column(len(names)).to_pylist(), strict=True):
                 held = set(held or ())

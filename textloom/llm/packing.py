@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from textloom.llm.common import documents, read_table
+from textloom.llm.common import documents, parts_of, read_table
 
 WINDOW, END_ID = 2048, 1
 #: Words whose ids a task remembers; more are encoded anew each time.
@@ -259,9 +259,9 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary
             return made
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for k in range(0, len(texts), 500):
-                for doc_id, raw in zip(ids[k : k + 500], encode(texts[k : k + 500]), strict=True):
+            for part in parts_of(batch, 500):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for doc_id, raw in zip(part.column(0).to_pylist(), encode(texts), strict=True):
                     doc = len(names)
                     names.append(doc_id)
                     tokens[doc] = raw + end
