@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import documents, map_batches, materialize, read_table, utf8, with_fields
+from textloom.llm.common import documents, map_batches, materialize, parts_of, read_table, utf8, with_fields
 from textloom.llm.graph import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -42,7 +42,7 @@ EVEN = 0x5555555555555555
 #: What a segment's count tells about a fingerprint, in bits.
 SEGMENT_BITS = 1.45
 #: Grids of wide_links and the segments whose counts make up a cell.
-WIDE_GRIDS, WIDE_SEGMENTS = 48, 13
+WIDE_GRIDS, WIDE_SEGMENTS = 96, 13
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -72,7 +72,7 @@ def with_fingerprints(docs: DataFrame, name: str = "fp", shingle: int = SHINGLE)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts_of(whole)):
             made = pa.array([signed(fingerprint(t, shingle)) for t in utf8(batch.column(at))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
 
@@ -130,20 +130,18 @@ def wide_links(nodes: DataFrame, radius: int, grids: int = WIDE_GRIDS, segments:
     pair meets in some cell: the recall is a matter of the number of grids.
     """
     rng = np.random.default_rng(SEED)
-    keys, salts = [], []
+    keys = []
     for g in range(grids):
         mask = sum(3 << 2 * int(s) for s in rng.choice(32, segments, replace=False))
         keys.append(F.xxhash64(F.lit(g), F.col("v").bitwiseAND(F.lit(signed(mask)))))
-        salts.append(F.lit(signed(int(rng.integers(1 << 63)) << 1 | int(rng.integers(2)))))
-    held = (
-        nodes.select("fp", embedded(F.col("fp")).alias("v"))
-        .select("fp", F.posexplode(F.array(*keys)).alias("grid", "cell"))
-        .select("cell", F.col("fp").bitwiseXOR(F.element_at(F.array(*salts), F.col("grid") + 1)).alias("own"), "fp")
-    )
-    first = held.groupBy("cell").agg(F.min(F.struct("own", "fp")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = first.select("cell", F.col("first.fp").alias("b"))
+    # The filter keeps both uses of the exchange alike, so that it is made once.
+    cells = nodes.filter("fp IS NOT NULL").select("fp", embedded(F.col("fp")).alias("v")).select(F.explode(F.array(*keys)).alias("cell"), "fp")
+    # One exchange of 16-byte rows serves both the aggregate and the join.
+    held = cells.repartition("cell")
+    first = held.groupBy("cell").agg(F.min_by("fp", F.xxhash64("fp", "cell")).alias("b"), F.count("*").alias("n")).filter("n > 1")
     near = (F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius)
-    return held.select("cell", "fp").join(first, "cell").filter(near).select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
+    found = held.join(first.hint("shuffle_hash"), "cell").filter(near)
+    return found.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
 
 
 def fingerprint_components(rows: DataFrame, radius: int = RADIUS, wide: int = 0) -> DataFrame:
