@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD_BYTES, documents, map_batches, read_table
+from textloom.llm.common import WORD_BYTES, documents, map_batches, parts_of, read_table
 
-ERROR_RATE = 0.05
+ERROR_RATE = 0.08
 #: Characters of items whose pieces one automaton holds.
 BLOCK_CHARS = 4_000_000
 
@@ -172,7 +172,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RAT
     def clean(block: list[tuple[int, str]], docs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = PieceIndex(block, rate)
-            for batch in batches:
+            for batch in (p for whole in batches for p in parts_of(whole)):
                 texts = batch.column(at).to_pylist()
                 yield batch.filter(pa.array([not (block and t and index.matches(normal(t))) for t in texts], pa.bool_()))
 
