@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD_BYTES, read_table, with_fields
+from textloom.llm.common import WORD_BYTES, parts_of, read_table, with_fields
 
 WINDOW, STRIDE = 64, 48
 #: Documents of each label in the training sample at most, and characters of each.
-SAMPLE, SAMPLE_CHARS = 2000, 50_000
+SAMPLE, SAMPLE_CHARS = 2000, 20_000
 VOCABULARY, BUCKETS, CHAR_ROWS = 20_000, 1 << 19, 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 12, 12
-EPOCHS, BATCH, RATE, SEED = 4, 128, 0.01, 7
+EPOCHS, MIN_STEPS, BATCH, RATE, SEED = 4, 200, 128, 0.01, 7
 #: Words whose input vectors a task remembers.
 CACHE_WORDS = 150_000
 
@@ -80,13 +80,8 @@ class Statistics:
     PRIOR = 5.0
 
     @classmethod
-    def fit(cls, docs: list[tuple[set[bytes], np.ndarray]], labels: np.ndarray) -> Statistics:
-        n1, n0 = labels.sum(), (1 - labels).sum()
-        counts: list[Counter] = [Counter(), Counter()]
-        grams = np.zeros((2, BUCKETS))
-        for (words, found), label in zip(docs, labels.tolist(), strict=True):
-            counts[label].update(words)
-            grams[label, found] += 1
+    def of(cls, counts: Counts) -> Statistics:
+        n0, n1 = counts.docs
         base = n1 / max(1, n1 + n0)
 
         def odds(a, b):
@@ -94,7 +89,30 @@ class Statistics:
             share1, share0 = (a + cls.PRIOR * base) / (n1 + cls.PRIOR), (b + cls.PRIOR * (1 - base)) / (n0 + cls.PRIOR)
             return np.clip(np.log(share1 / share0), -2, 6)
 
-        return cls({w: float(odds(a, counts[0][w])) for w, a in counts[1].items() if a >= 2}, odds(grams[1], grams[0]))
+        other, toxic = counts.words
+        return cls({w: float(odds(a, other[w])) for w, a in toxic.items() if a >= 2}, odds(*counts.grams[::-1].astype(np.float32)))
+
+
+class Counts:
+    """In how many documents of either label each word and n-gram stands; holds no documents."""
+
+    def __init__(self):
+        self.docs = [0, 0]
+        self.words: tuple[Counter, Counter] = (Counter(), Counter())
+        self.grams = np.zeros((2, BUCKETS), dtype=np.int32)
+
+    def add(self, words: set[bytes], label: int) -> None:
+        self.docs[label] += 1
+        self.words[label].update(words)
+        if words:
+            self.grams[label, np.unique(ngrams(sorted(words))[1])] += 1
+
+    def merged(self, other: Counts) -> Counts:
+        out = Counts()
+        out.docs = [a + b for a, b in zip(self.docs, other.docs, strict=True)]
+        out.words = tuple(a + b for a, b in zip(self.words, other.words, strict=True))
+        out.grams = self.grams + other.grams
+        return out
 
 
 class Inputs:
@@ -290,9 +308,10 @@ class Network:
         return sigmoid((np.concatenate(out) - self.shift).astype(np.float64)) if out else np.zeros(0)
 
 
-def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPOCHS) -> Network:
+def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network:
+    """EPOCHS passes over the sample, or as many as give MIN_STEPS steps."""
     rng = np.random.default_rng(seed)
-    # Equal words are one object; a document's n-grams are made one document at a time.
+    # Equal words are one object.
     own: dict[bytes, bytes] = {}
     docs = [[own.setdefault(w, w) for w in words_of(t)] for t in texts]
     y = np.array(labels, dtype=np.int64)
@@ -300,24 +319,21 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = E
     tune, fit = order[: len(order) // 5], order[len(order) // 5 :]
     if len(set(y[fit].tolist())) < 2:
         tune, fit = order, order
-    sets = []
-    for d in docs:
-        words = set(d)
-        found = np.unique(ngrams(sorted(words))[1]) if words else np.zeros(0, np.int64)
-        sets.append((words, found.astype(np.int32)))
-
-    def stats_of(some) -> Statistics:
-        return Statistics.fit([sets[i] for i in some], y[some])
-
-    counts = Counter(w for i in fit for w in sets[i][0])
-    vocabulary = {w: k + 1 for k, (w, _) in enumerate(sorted(((w, c) for w, c in counts.items() if c >= 3), key=lambda x: (-x[1], x[0]))[:VOCABULARY])}
+    # Two halves of the training documents; each is described by what the other one counts.
+    halves, counted = [fit[0::2], fit[1::2]], [Counts(), Counts()]
+    for half, counts in zip(halves, counted, strict=True):
+        for i in half:
+            counts.add(set(docs[i]), int(y[i]))
+    both = counted[0].merged(counted[1])
+    total = both.words[0] + both.words[1]
+    vocabulary = {w: k + 1 for k, (w, _) in enumerate(sorted(((w, c) for w, c in total.items() if c >= 3), key=lambda x: (-x[1], x[0]))[:VOCABULARY])}
     params = fresh(rng, len(vocabulary))
-    whole = stats_of(fit)
+    whole = Statistics.of(both)
+    sources = [Inputs(params, vocabulary, Statistics.of(counted[1 - k])) for k in (0, 1)]
+    del counted, both, total
 
     # Of each training document the window with the most log-odds, and another.
     windows: list[tuple[list[bytes], int, int]] = []
-    halves = [fit[0::2], fit[1::2]]
-    sources = [Inputs(params, vocabulary, stats_of(halves[1 - k])) for k in (0, 1)]
     for k, half in enumerate(halves):
         for i in half:
             if not docs[i]:
@@ -335,7 +351,7 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = E
     step = 0
     pos = max(1, sum(w[1] for w in windows))
     lift = min(4.0, max(1.0, len(windows) / pos / 2))
-    for _ in range(epochs):
+    for _ in range(max(EPOCHS, -(-MIN_STEPS * BATCH // max(1, len(windows))))):
         turn = rng.permutation(len(windows))
         for a in range(0, len(turn), BATCH):
             some = [windows[i] for i in turn[a : a + BATCH]]
@@ -445,8 +461,7 @@ def score_documents(docs: DataFrame, model: Network | float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for part in parts_of(batch, 512):
                 texts = part.column(at).to_pylist()
                 got = np.full(len(texts), held.value) if isinstance(held.value, float) else held.value.scores(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*part.schema.names, "tox_score"])
