@@ -142,24 +142,23 @@ def embeddings(spark: SparkSession, sf: str) -> DataFrame:
 EMBEDDING_CELLS = "SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(label AS BIGINT) AS label, generate_subscripts(embedding, 1) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"
 
 
-def _vector_query(name: str, value: Callable[[], Column], sql: str) -> None:
+def _vector_query(name: str, value: Callable[[Column], Column], sql: str) -> None:
     @query(f"WITH c AS ({EMBEDDING_CELLS}) SELECT vec_id, round({sql}, 5) + 0.0 AS value FROM c GROUP BY vec_id", name)
     def run(spark, sf):
-        return embeddings(spark, sf).select("vec_id", tidy(value(), 5).alias("value"))
+        return embeddings(spark, sf).select("vec_id", tidy(value(F.col("v")), 5).alias("value"))
 
 
-V = F.col("v")
 _sum = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-_vector_query("vec_norm", lambda: vectors.length(V), "sqrt(sum(x*x))")
-_vector_query("vec_weight_sum", lambda: vectors.weight_sum(V), "sum(abs(x))")
-_vector_query("vec_max_weight", lambda: vectors.largest_weight(V), "max(abs(x))")
-_vector_query("vec_scale", lambda: _sum(vectors.scale(V, 2.5)), "sum(x*2.5)")
-_vector_query("vec_normalize", lambda: F.aggregate(vectors.normalize(V), F.lit(0.0), lambda s, x: s + F.abs(x)), "sum(abs(x))/sqrt(sum(x*x))")
-_vector_query("vec_slice", lambda: _sum(collections.subsequence(V, 8, 24)), "coalesce(sum(x) FILTER (WHERE dim > 8 AND dim <= 24), 0)")
-_vector_query("vec_text_round_trip", lambda: _sum(vectors.parse_dense(F.array_join(F.transform("v", lambda x: x.cast("string")), " "))), "sum(x)")
+_vector_query("vec_norm", lambda v: vectors.length(v), "sqrt(sum(x*x))")
+_vector_query("vec_weight_sum", lambda v: vectors.weight_sum(v), "sum(abs(x))")
+_vector_query("vec_max_weight", lambda v: vectors.largest_weight(v), "max(abs(x))")
+_vector_query("vec_scale", lambda v: _sum(vectors.scale(v, 2.5)), "sum(x*2.5)")
+_vector_query("vec_normalize", lambda v: F.aggregate(vectors.normalize(v), F.lit(0.0), lambda s, x: s + F.abs(x)), "sum(abs(x))/sqrt(sum(x*x))")
+_vector_query("vec_slice", lambda v: _sum(collections.subsequence(v, 8, 24)), "coalesce(sum(x) FILTER (WHERE dim > 8 AND dim <= 24), 0)")
+_vector_query("vec_text_round_trip", lambda v: _sum(vectors.parse_dense(F.array_join(F.transform("v", lambda x: x.cast("string")), " "))), "sum(x)")
 _vector_query(
     "sparse_text_round_trip",
-    lambda: _sum(F.map_values(vectors.parse_sparse(F.array_join(F.transform("v", lambda x, i: F.concat_ws(":", i.cast("string"), x.cast("string"))), " ")))),
+    lambda v: _sum(F.map_values(vectors.parse_sparse(F.array_join(F.transform("v", lambda x, i: F.concat_ws(":", i.cast("string"), x.cast("string"))), " ")))),
     "sum(x)",
 )
 
