@@ -197,6 +197,16 @@ def test_wide_links_recall(spark):
     assert np.mean([tuple(sorted(p)) in got for p in near.items()]) >= 0.9
 
 
+def test_wide_links_in_crowded_cells(spark):
+    rng = np.random.default_rng(5)
+    base = [int(x) for x in rng.integers(0, 2**63, 300)]
+    near = {simhash.signed((b ^ sum(1 << int(k) for k in rng.choice(64, 6, replace=False))) % 2**64): b for b in base}
+    fps = spark.createDataFrame([(f,) for f in [*base, *near]], "fp long")
+    # Cells of one segment hold a quarter of all fingerprints or more.
+    got = {tuple(r) for r in simhash.wide_links(fps, 8, grids=8, segments=1).collect()}
+    assert all(tuple(sorted(p)) in got for p in near.items())
+
+
 # ---- decontamination ----
 
 

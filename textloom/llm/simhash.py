@@ -124,10 +124,9 @@ def links(nodes: DataFrame, groups: int, radius: int = RADIUS) -> DataFrame:
 def wide_links(nodes: DataFrame, radius: int, grids: int = WIDE_GRIDS, segments: int = WIDE_SEGMENTS) -> DataFrame:
     """(a, b): more links, of fingerprints that differ in at most radius bits, for a radius too large for ``links``.
 
-    Each of so many seeded grids has the cells of a few segments' counts as its key. In
-    a cell every fingerprint meets the cell's first one in an order of the grid's own,
-    so a cell makes fewer links than it has members, however many these are. Not every
-    pair meets in some cell: the recall is a matter of the number of grids.
+    Each of so many seeded grids has the cells of a few segments' counts as its key, and
+    all members of a cell are compared, however many these are. Not every pair meets in
+    some cell: the recall is a matter of the number of grids, not of that of fingerprints.
     """
     rng = np.random.default_rng(SEED)
     keys = []
@@ -136,12 +135,11 @@ def wide_links(nodes: DataFrame, radius: int, grids: int = WIDE_GRIDS, segments:
         keys.append(F.xxhash64(F.lit(g), F.col("v").bitwiseAND(F.lit(signed(mask)))))
     # The filter keeps both uses of the exchange alike, so that it is made once.
     cells = nodes.filter("fp IS NOT NULL").select("fp", embedded(F.col("fp")).alias("v")).select(F.explode(F.array(*keys)).alias("cell"), "fp")
-    # One exchange of 16-byte rows serves both the aggregate and the join.
+    # One exchange of 16-byte rows serves both sides of the join.
     held = cells.repartition("cell")
-    first = held.groupBy("cell").agg(F.min_by("fp", F.xxhash64("fp", "cell")).alias("b"), F.count("*").alias("n")).filter("n > 1")
-    near = (F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= radius)
-    found = held.join(first.hint("shuffle_hash"), "cell").filter(near)
-    return found.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
+    a, b = held.select("cell", F.col("fp").alias("a")), held.select(F.col("cell").alias("cell_b"), F.col("fp").alias("b"))
+    near = (F.col("cell") == F.col("cell_b")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    return a.join(b, near).select("a", "b").distinct()
 
 
 def fingerprint_components(rows: DataFrame, radius: int = RADIUS, wide: int = 0) -> DataFrame:
