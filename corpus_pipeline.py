@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from textloom.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from textloom.llm.common import materialize, read_table
 
-#: Words in a shingle and bits that near copies may differ in: 56 of 64 bits agree.
-SHINGLE, BITS = 5, 8
+#: Words in a shingle and the least Jaccard similarity of near copies, as a fraction.
+SHINGLE, SHARE = 5, (4, 5)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id."""
-    return simhash.drop_near_copies(docs, shingle=SHINGLE, wide=BITS).select(*docs.columns)
+    return simhash.drop_near_copies(docs, shingle=SHINGLE, share=SHARE).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -207,6 +207,46 @@ def test_wide_links_in_crowded_cells(spark):
     assert all(tuple(sorted(p)) in got for p in near.items())
 
 
+def test_stage_drops_all_similar_copies(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(150):
+        text = [words[k] for k in rng.integers(0, 3000, int(rng.integers(60, 300)))]
+        rows.append((i, " ".join(text)))
+        for c in range(int(rng.integers(0, 4))):
+            copy = list(text)
+            for k in rng.integers(0, len(copy), int(rng.integers(1, 9))):
+                copy[k] = "changed"
+            rows.append((1000 + 10 * i + c, " ".join(copy)))
+    rows += [(5000 + i, "all of these words are common to many texts " + " ".join(words[k] for k in rng.integers(0, 3000, 6))) for i in range(60)]
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = {d: grams(t) for d, t in rows}
+    pairs = [(a, b) for i, (a, _) in enumerate(rows) for b, _ in rows[:i] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    bits = {d: simhash.fingerprint(t.encode(), 5) for d, t in rows}
+    assert sum((bits[a] ^ bits[b]).bit_count() > 8 for a, b in pairs) > 5
+    pairs += [(a, b) for i, (a, _) in enumerate(rows) for b, _ in rows[:i] if (bits[a] ^ bits[b]).bit_count() <= 3]
+    parent = {d: d for d, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs, "").collect())
+    assert got == sorted(d for d in parent if find(d) == d)
+
+
 # ---- decontamination ----
 
 

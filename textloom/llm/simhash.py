@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm import similar
 from textloom.llm.common import documents, map_batches, materialize, parts_of, read_table, utf8, with_fields
 from textloom.llm.graph import components
 
@@ -142,10 +143,25 @@ def wide_links(nodes: DataFrame, radius: int, grids: int = WIDE_GRIDS, segments:
     return a.join(b, near).select("a", "b").distinct()
 
 
-def fingerprint_components(rows: DataFrame, radius: int = RADIUS, wide: int = 0) -> DataFrame:
+def with_similar(found: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
+    """(node, component) of the links found and those of texts (id, fp, text) with so large a share of equal shingles."""
+    cells = materialize(similar.shared_cells(texts, shingle, share), "cells")
+    found = materialize(found.unionByName(similar.first_links(cells, texts, shingle, share)), "links")
+    linked = materialize(components(found), "components")
+    more = materialize(similar.other_links(cells, linked, texts, shingle, share), "links")
+    if more.isEmpty():
+        return linked
+    return materialize(components(more.unionByName(linked.select(F.col("component").alias("a"), F.col("node").alias("b")))), "components")
+
+
+def fingerprint_components(
+    rows: DataFrame, radius: int = RADIUS, wide: int = 0, shingle: int = SHINGLE, share: tuple[int, int] | None = None
+) -> DataFrame:
     """(fp, component_id, keep): of rows (doc_id, fp), for each distinct fp.
 
     wide: a radius beyond the other one up to which ``wide_links`` adds links, or 0.
+    share: a fraction; all texts whose shingles have that Jaccard similarity are linked
+    too, for which rows has the columns id (unique) and text as well.
 
     component_id is the smallest doc_id reachable. keep: the doc_id that stands for the
     component lies under this fp (one fp in each component has it).
@@ -154,7 +170,7 @@ def fingerprint_components(rows: DataFrame, radius: int = RADIUS, wide: int = 0)
     found = links(nodes, groups_for(nodes.count(), radius), radius)
     if wide > radius:
         found = found.unionByName(wide_links(nodes, wide))
-    linked = materialize(components(found), "components")
+    linked = materialize(components(found), "components") if share is None else with_similar(found, rows.drop("doc_id"), shingle, share)
     named = linked.join(nodes, linked["node"] == nodes["fp"]).select("fp", "doc", "component")
     # Nulls count as larger than any doc_id; of equal ones the smaller fp stands for the component.
     order = F.struct(F.col("doc").isNull(), F.col("doc"), F.col("fp"))
@@ -179,13 +195,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return held.join(fingerprint_components(held, radius).drop("keep"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, wide: int = 0) -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, wide: int = 0, share: tuple[int, int] | None = None
+) -> DataFrame:
     """The rows of docs, one for each component: the one with the smallest doc_id."""
-    marked = materialize(with_fingerprints(docs, "textloom_fp", shingle), "marked")
-    rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("textloom_fp").alias("fp"))
-    first = fingerprint_components(rows, radius, wide).filter("keep").select(F.col("fp").alias("textloom_fp"), F.col("component_id").alias("textloom_id"))
+    marked = with_fingerprints(docs, "textloom_fp", shingle).withColumn("textloom_row", F.monotonically_increasing_id())
+    marked = materialize(marked, "marked")
+    rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("textloom_fp").alias("fp"), F.col("textloom_row").alias("id"), "text")
+    first = fingerprint_components(rows, radius, wide, shingle, share).filter("keep")
+    first = first.select(F.col("fp").alias("textloom_fp"), F.col("component_id").alias("textloom_id"))
     kept = marked.join(first, (marked["textloom_fp"] == first["textloom_fp"]) & marked["doc_id"].eqNullSafe(first["textloom_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "textloom_fp"]).drop("textloom_fp")
+    return kept.dropDuplicates(["doc_id", "textloom_fp"]).drop("textloom_fp", "textloom_row")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
