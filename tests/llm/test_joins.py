@@ -360,6 +360,17 @@ def test_extraction(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def test_runs_across_shards(spark):
+    # 1,000 pages are four shards; each passage stands on two pages only.
+    rows = []
+    for i in range(1000):
+        passage = " ".join(f"p{i % 500}x{k}" for k in range(6))
+        menu = "".join(f"<li>m{i % 500}y{k}</li>" for k in range(6))
+        rows.append((i, "http://a.example/x", f"<ul>{menu}</ul><p>own{i} a{i} {passage} b{i}</p>"))
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own{i} a{i} b{i}" for i in range(1000)}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

@@ -14,7 +14,11 @@ unique runs when the page has no article; the other marked places never stay.
 
 A host is dealt by a hash of page_id into shards of a bounded number of pages and
 characters, each with a suffix array of its own, so a host with a third of all pages is
-many small arrays. Each page moves once, as extracted blocks.
+many small arrays. Runs that repeat across shards are found over the whole host: hashes
+of all windows of the least run length are aggregated to the least and the greatest
+page, and the repeated ones go to the shards whose pages ask for them. Only hosts of more
+than one shard that have open blocks on pages without an article do so, since nothing else depends on
+runs. Each page moves once, as extracted blocks.
 
 Defined results: a null or empty html gives the empty text; a null url counts as one
 host, and its shards are bounded too; repeated rows give repeated results and do not make each other's
@@ -29,6 +33,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -194,8 +199,33 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray, least: int = MIN_RUN)
     return np.cumsum(cover[:n]) > 0
 
 
-def shard_texts(pages: list[list[tuple[int, str]]], ids: list, least: int = MIN_RUN) -> list[str]:
-    """The main text of each page of one shard of a host, from the pages' blocks."""
+def windows_of(blocks: list[tuple[int, str]], host: str, least: int) -> tuple[list[list[int]], list[int]]:
+    """Signed hashes of all runs of so many tokens outside the article: those inside each such block, and those of the blocks run together."""
+
+    def runs(kind: bytes, words: list[bytes]) -> list[int]:
+        head = kind + host.encode() + b"\0"
+        return [xxhash.xxh64_intdigest(head + b" ".join(words[i : i + least])) - (1 << 63) for i in range(len(words) - least + 1)]
+
+    cut = [text.encode().split(b" ") for place, text in blocks if place != ARTICLE]
+    return [runs(b"w", x) for x in cut], runs(b"a", [w for x in cut for w in x])
+
+
+def asks(blocks: list[tuple[int, str]]) -> bool:
+    """Whether repeated runs bear on the page's text."""
+    places = {place for place, _ in blocks}
+    return OPEN in places and ARTICLE not in places
+
+
+def covered(starts: list[bool], n: int, least: int) -> np.ndarray:
+    """Which of n tokens lie in a run that begins at one of the starts."""
+    out = np.zeros(n, dtype=bool)
+    for i in np.flatnonzero(starts):
+        out[i : i + least] = True
+    return out
+
+
+def shard_texts(pages: list[list[tuple[int, str]]], ids: list, least: int = MIN_RUN, known: frozenset[int] = frozenset(), host: str = "") -> list[str]:
+    """The main text of each page of one shard of a host, from the pages' blocks; known: hashes of runs that repeat on the host."""
     number: dict[str, int] = {}
     tokens: list[int] = []
     owner: list[int] = []
@@ -222,6 +252,20 @@ def shard_texts(pages: list[list[tuple[int, str]]], ids: list, least: int = MIN_
     held[[last for *_, last in spans]] = False
     across = np.zeros(len(stream), dtype=bool)
     across[held] = repeated_tokens(stream[held], page[held], least)
+    if known:
+        at = 0
+        for p, blocks in enumerate(pages):
+            own = []
+            while at < len(spans) and spans[at][0] == p:
+                own.append(spans[at])
+                at += 1
+            if not asks(blocks):
+                continue
+            inside, together = windows_of(blocks, host, least)
+            for (*_, first, last), hashes in zip(own, inside, strict=True):
+                within[first:last] |= covered([h in known for h in hashes], last - first, least)
+            whole = np.concatenate([np.arange(first, last) for *_, first, last in own])
+            across[whole] |= covered([h in known for h in together], len(whole), least)
     unique: dict[tuple[int, int], str] = {}
     for p, b, first, last in spans:
         text = pages[p][b][1]
@@ -272,12 +316,49 @@ def extract_text(pages: DataFrame, least: int = MIN_RUN) -> DataFrame:
     shape = "page_id long, url string, host string, shard int, places binary, blocks array<string>"
     streams = map_batches(dealt, dealt.columns, cut, shape)
 
-    def texts(table: pa.Table) -> pa.Table:
+    def texts(table: pa.Table, runs: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "text": pa.array([], pa.string()), "n_chars": pa.array([], pa.int64())})
         blocks = [list(zip(p, b, strict=True)) for p, b in zip(table.column("places").to_pylist(), table.column("blocks").to_pylist(), strict=True)]
-        got = shard_texts(blocks, table.column("page_id").to_pylist(), least)
+        known = frozenset(runs.column("run").to_pylist())
+        got = shard_texts(blocks, table.column("page_id").to_pylist(), least, known, table.column("host")[0].as_py())
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(got, pa.string()), "n_chars": pa.array(map(len, got), pa.int64())})
 
-    return streams.groupBy("host", "shard").applyInArrow(texts, SCHEMA)
+    known = host_runs(dealt.join(held.select("host"), "host", "left_semi"), least)
+    return streams.groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInArrow(texts, SCHEMA)
+
+
+def host_runs(dealt: DataFrame, least: int) -> DataFrame:
+    """(host, shard, run): the hashes of runs on two pages of a host or more, for each shard that asks for them."""
+
+    def asking(batch: pa.RecordBatch) -> dict:
+        return {"host": batch.column(0).filter(pa.array([asks(blocks_of(x or "")) for x in batch.column(1).to_pylist()], pa.bool_()))}
+
+    hosts = map_batches(dealt, ["host", "html"], asking, "host string").distinct()
+    some = hosts.limit(MOST_HOSTS + 1).collect()
+    few = len(some) <= MOST_HOSTS
+    spark = dealt.sparkSession
+    if not some:
+        return spark.createDataFrame([], "host string, shard int, run long")
+    hosts = F.broadcast(spark.createDataFrame([tuple(r) for r in some], "host string")) if few else hosts
+
+    def cut(batch: pa.RecordBatch) -> dict:
+        out = {x: [] for x in ("host", "shard", "page", "ask", "run")}
+        for host, shard, page, html in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+            blocks = blocks_of(html or "")
+            inside, together = windows_of(blocks, host, least)
+            found = {*together, *(h for x in inside for h in x)}
+            out["run"] += found
+            for name, x in (("host", host), ("shard", shard), ("page", page), ("ask", asks(blocks))):
+                out[name] += [x] * len(found)
+        return out
+
+    # A null page_id is one page, as in a shard.
+    source = dealt.join(hosts, "host", "left_semi").select("host", "shard", F.xxhash64("page_id").alias("page"), "html")
+    runs = map_batches(source, source.columns, cut, "host string, shard int, page long, ask boolean, run long")
+    twice = runs.groupBy("run").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.max("ask").alias("ask"))
+    twice = twice.filter("low <> high AND ask").select("run")
+    return runs.filter("ask").select("host", "shard", "run").distinct().join(twice, "run").select("host", "shard", "run")
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
