@@ -371,6 +371,17 @@ def test_runs_across_shards(spark):
     assert got == {i: f"own{i} a{i} b{i}" for i in range(1000)}
 
 
+def test_copies_of_open_pages(spark):
+    boiler = "all rights reserved by the owner of this site"
+    # The copies lie in one shard on the first host, in several on the second.
+    for n in (40, 700):
+        rows = [(i, "http://a.example/x", f"<p>one story told twice or more with no article element</p><footer>{boiler}</footer>") for i in range(n)]
+        rows += [(n + i, "http://a.example/x", f"<p>{boiler}</p><p>only{i} here{i}</p>") for i in range(3)]
+        got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert all(got[i] == "one story told twice or more with no article element" for i in range(n))
+        assert [got[n + i] for i in range(3)] == [f"only{i} here{i}" for i in range(3)]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

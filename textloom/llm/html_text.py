@@ -22,7 +22,7 @@ runs. Each page moves once, as extracted blocks.
 
 Defined results: a null or empty html gives the empty text; a null url counts as one
 host, and its shards are bounded too; repeated rows give repeated results and do not make each other's
-text boilerplate (pages are distinct by page_id); a page cut off inside a tag or a
+text boilerplate (pages are distinct by page_id), nor do copies, pages without an article that have equal open blocks; a page cut off inside a tag or a
 comment ends there; other columns are ignored.
 """
 
@@ -176,11 +176,12 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
-def repeated_tokens(tokens: np.ndarray, page: np.ndarray, least: int = MIN_RUN) -> np.ndarray:
+def repeated_tokens(tokens: np.ndarray, page: np.ndarray, least: int = MIN_RUN, content: np.ndarray | None = None) -> np.ndarray:
     """Which tokens lie in a run of at least so many tokens that stands on two distinct pages.
 
     tokens holds a separator, equal to no other token, after each stream; page is
-    the page of each position.
+    the page of each position. content: a number of each position's page that equal
+    pages share, if pages with one content count as one.
     """
     n = len(tokens)
     out = np.zeros(n, dtype=bool)
@@ -192,7 +193,10 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray, least: int = MIN_RUN)
     low = np.minimum.reduceat(page[order], starts)
     high = np.maximum.reduceat(page[order], starts)
     group = np.cumsum(np.diff(sorted_rank, prepend=-1) != 0) - 1
-    hits = order[(low != high)[group]]
+    apart = low != high
+    if content is not None:
+        apart &= np.minimum.reduceat(content[order], starts) != np.maximum.reduceat(content[order], starts)
+    hits = order[apart[group]]
     cover = np.zeros(n + 1, dtype=np.int64)
     np.add.at(cover, hits, 1)
     np.add.at(cover, np.minimum(hits + least, n), -1)
@@ -216,6 +220,12 @@ def asks(blocks: list[tuple[int, str]]) -> bool:
     return OPEN in places and ARTICLE not in places
 
 
+def content_of(blocks: list[tuple[int, str]], page: int | None) -> int:
+    """A signed number that copies of a page without an article share; another page has its own."""
+    text = "o" + "\n".join(t for place, t in blocks if place == OPEN) if asks(blocks) else f"p{page}"
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
 def covered(starts: list[bool], n: int, least: int) -> np.ndarray:
     """Which of n tokens lie in a run that begins at one of the starts."""
     out = np.zeros(n, dtype=bool)
@@ -229,6 +239,7 @@ def shard_texts(pages: list[list[tuple[int, str]]], ids: list, least: int = MIN_
     number: dict[str, int] = {}
     tokens: list[int] = []
     owner: list[int] = []
+    sizes: list[int] = []
     spans: list[tuple[int, int, int, int]] = []  # page, block, first token, one past the last
     distinct = {x: i for i, x in enumerate(dict.fromkeys(ids))}
 
@@ -237,6 +248,7 @@ def shard_texts(pages: list[list[tuple[int, str]]], ids: list, least: int = MIN_
         owner.append(distinct[ids[p]])
 
     for p, blocks in enumerate(pages):
+        before = len(tokens)
         for b, (place, text) in enumerate(blocks):
             if place != ARTICLE:
                 first = len(tokens)
@@ -245,13 +257,15 @@ def shard_texts(pages: list[list[tuple[int, str]]], ids: list, least: int = MIN_
                 spans.append((p, b, first, len(tokens)))
                 separate()
         separate()
+        sizes.append(len(tokens) - before)
+    content = np.repeat(np.array([content_of(x, i) for x, i in zip(pages, ids, strict=True)], dtype=np.int64), sizes)
     stream, page = np.array(tokens, dtype=np.int64), np.array(owner, dtype=np.int64)
-    within = repeated_tokens(stream, page, least)
+    within = repeated_tokens(stream, page, least, content)
     # Once more with the blocks of a page run together: short blocks that repeat in a row go as wholes.
     held = np.ones(len(stream), dtype=bool)
     held[[last for *_, last in spans]] = False
     across = np.zeros(len(stream), dtype=bool)
-    across[held] = repeated_tokens(stream[held], page[held], least)
+    across[held] = repeated_tokens(stream[held], page[held], least, content[held])
     if known:
         at = 0
         for p, blocks in enumerate(pages):
@@ -343,21 +357,23 @@ def host_runs(dealt: DataFrame, least: int) -> DataFrame:
     hosts = F.broadcast(spark.createDataFrame([tuple(r) for r in some], "host string")) if few else hosts
 
     def cut(batch: pa.RecordBatch) -> dict:
-        out = {x: [] for x in ("host", "shard", "page", "ask", "run")}
-        for host, shard, page, html in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
+        out = {x: [] for x in ("host", "shard", "page", "content", "ask", "run")}
+        for host, shard, page, html, own in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
             blocks = blocks_of(html or "")
             inside, together = windows_of(blocks, host, least)
             found = {*together, *(h for x in inside for h in x)}
             out["run"] += found
-            for name, x in (("host", host), ("shard", shard), ("page", page), ("ask", asks(blocks))):
+            for name, x in (("host", host), ("shard", shard), ("page", page), ("content", content_of(blocks, own)), ("ask", asks(blocks))):
                 out[name] += [x] * len(found)
         return out
 
     # A null page_id is one page, as in a shard.
-    source = dealt.join(hosts, "host", "left_semi").select("host", "shard", F.xxhash64("page_id").alias("page"), "html")
-    runs = map_batches(source, source.columns, cut, "host string, shard int, page long, ask boolean, run long")
-    twice = runs.groupBy("run").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.max("ask").alias("ask"))
-    twice = twice.filter("low <> high AND ask").select("run")
+    source = dealt.join(hosts, "host", "left_semi").select("host", "shard", F.xxhash64("page_id").alias("page"), "html", "page_id")
+    runs = map_batches(source, source.columns, cut, "host string, shard int, page long, content long, ask boolean, run long")
+    twice = runs.groupBy("run").agg(
+        (F.min("page") != F.max("page")).alias("pages"), (F.min("content") != F.max("content")).alias("contents"), F.max("ask").alias("ask")
+    )
+    twice = twice.filter("pages AND contents AND ask").select("run")
     return runs.filter("ask").select("host", "shard", "run").distinct().join(twice, "run").select("host", "shard", "run")
 
 
