@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
+
+from textloom.operators.tables import materialize, shared_dir
+
+__all__ = ["documents", "map_batches", "map_whole", "materialize", "named", "parts_of", "read_table", "shared_dir", "unused", "utf8", "with_fields"]
 
 #: Lower-cases A-Z and keeps [0-9a-z] and every byte from 0x80 on; the rest becomes a space.
 WORD_BYTES = bytes(
@@ -21,23 +23,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_batches(
     df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], dict | None], schema: str
 ) -> DataFrame:
@@ -55,6 +40,18 @@ def map_batches(
     return df.select(*[F.col(c) for c in columns]).mapInArrow(run, schema)
 
 
+def map_whole(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """Apply run to batches of all columns, by position, whatever their names; its batches are columns of the schema in order."""
+    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    target = StructType([StructField(f"_{i}", f.dataType, True) for i, f in enumerate(schema)])
+
+    def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield pa.RecordBatch.from_arrays(out.columns, names=target.names)
+
+    return plain.mapInArrow(shaped, target).toDF(*schema.names)
+
+
 def parts_of(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batch in pieces, so that the Python objects made of one piece stay few."""
     for k in range(0, batch.num_rows, rows):
@@ -82,6 +79,22 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def named(names: list[str]) -> list:
+    """Columns by their whole names, dots included."""
+    return [F.col(f"`{n}`") for n in names]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores after it that df has no such column; case does not tell columns apart."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def with_fields(df: DataFrame, **fields: str) -> StructType:
     """df's schema with more fields after its own."""
     out = StructType(list(df.schema.fields))
