@@ -1,48 +1,57 @@
 """Line dedup with sharded cuckoo filters over exact reference-count tables.
 
-State: a reference-count table (key, docs) with one row per distinct line key and
-the number of documents that hold it. It is exact, so documents can be inserted
-and deleted: their keys are counted and added or subtracted (``insert_documents``,
-``delete_documents``), and a deletion undoes an insertion.
-
-Lookup: the keys with at least ``min_docs`` documents go into one cuckoo filter per
-shard of the key space (16-bit fingerprints, buckets of four, two buckets a key; a
-shard holds a bounded number of keys). The filters are run once over the whole
-reference-count table; the keys that pass although they have fewer documents are the
-filters' false positives and are kept as an exception list. A line of the same
-corpus is then dropped exactly when its key passes the filter and is no exception,
-without a join. The filters and the list go to the executors only while their size,
-which is checked, is under ``max_bytes``; beyond it the same decision is made by a
-join of the line keys with the table.
-
-A line's key is the line without ``[\\x20\\x09-\\x0D]`` at its ends, A-Z lower-cased.
-Keys are held as 128-bit XXH3 digests.
+State (``LineIndex``): a reference-count table (key, docs) with one row per distinct line
+key and the number of documents that hold it, and for each shard of the key space one row
+with a cuckoo filter (16-bit fingerprints, buckets of four, two buckets a key) of the
+shard's common keys, those in at least ``min_docs`` documents, beside the exact list of
+these keys. Documents come in and go out again (``insert_documents``,
+``delete_documents``): their keys' counts change, and the keys that thereby become common
+or stop being so are put into or taken out of their shard's filter. A deletion undoes an
+insertion in both.
+
+Lookup: the documents' keys, each with the digest of its document's text, are dealt by
+shard together with the shards' rows and sorted so that a shard's row comes first. A task
+reads them as a stream and holds one shard at a time: a key that its filter rejects is
+not common, one that passes is checked against the exact list. So neither filters nor
+lists are ever gathered, whatever their number, and a key that the index lacks is not
+common. Keys that make up more than 1/256 of all those of the documents, at most 256,
+would crowd one shard; they are looked up in a list of their own. The common keys of each
+text then meet the documents by the text's digest; texts that make up more than 1/256 of
+all rows are salted.
+
+A line's key is the line without ``[\\x20\\x09-\\x0D]`` at its ends, A-Z lower-cased. Keys
+and texts are told apart by 128-bit digests (MD5).
 
 Defined results: a null or empty text is one empty line; an empty key is never
 dropped; a document that loses all its lines keeps the empty text. A key counts once
 for each row of the table, whatever its doc_id, so repeated rows count apart. Other
-columns are ignored by the query and carried along by ``dedup_lines``.
+columns are ignored by the query and carried along by ``dedup_lines``, whose own columns
+get other names where docs has theirs. Deleting documents that were never inserted takes
+counts to nothing at most.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import map_batches, materialize, parts_of, read_table, utf8, with_fields
+from textloom.llm.common import map_batches, map_whole, materialize, named, parts_of, read_table, unused, utf8, with_fields
 
 MIN_DOCS = 10
 SPACE = b" \t\n\x0b\x0c\r"
-#: Keys that one shard's filter holds at most, on average.
-SHARD_KEYS = 50_000
-#: Filters and exceptions beyond this many bytes are not sent to the executors.
-MAX_BYTES = 64 << 20
+#: Common keys in one shard on average, and shards at least.
+SHARD_KEYS, MIN_SHARDS = 2_048, 512
+#: A key or text with more than 1/HOT of all is not left to one task.
+HOT, SALTS = 256, 64
+
+KEY = np.dtype("S16")
 
 
 def line_key(line: bytes) -> bytes:
@@ -51,7 +60,7 @@ def line_key(line: bytes) -> bytes:
 
 def digest(key: bytes) -> bytes:
     """16 bytes, or none for the empty key."""
-    return xxhash.xxh3_128_digest(key) if key else b""
+    return hashlib.md5(key, usedforsecurity=False).digest() if key else b""
 
 
 # ---- cuckoo filters ----
@@ -77,8 +86,8 @@ def _step(prints: np.ndarray, buckets: int) -> np.ndarray:
     return (_mix(prints) & np.uint64(buckets - 1)).astype(np.int64)
 
 
-def as_words(digests: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
+def as_words(digests: list[bytes] | bytes) -> np.ndarray:
+    return np.frombuffer(digests if isinstance(digests, bytes) else b"".join(digests), dtype="<u8").reshape(-1, 2)
 
 
 class CuckooFilter:
@@ -91,29 +100,36 @@ class CuckooFilter:
         self.table = np.zeros((1 << (need - 1).bit_length(), self.SLOTS), dtype=np.uint16)
         self.turn = 0
 
+    @classmethod
+    def of_bytes(cls, raw: bytes) -> CuckooFilter:
+        held = cls(1)
+        held.table = np.frombuffer(raw, dtype=np.uint16).reshape(-1, cls.SLOTS).copy()
+        return held
+
     def insert(self, keys: np.ndarray) -> None:
-        """Add digests (n, 2); the table doubles as a whole only through ``build``."""
+        """Add digests (n, 2): all that find a free slot at once, the others by moving what is there."""
         prints, first, second = _split(keys, len(self.table))
-        table, steps = self.table, _step(np.arange(65537), len(self.table))
-        for p, a, b in zip(prints.tolist(), first.tolist(), second.tolist(), strict=True):
-            for at in (a, b):
+        table, left = self.table, np.arange(len(keys))
+        for where in (first, second):
+            for slot in range(self.SLOTS):
+                free = np.flatnonzero(table[where[left], slot] == 0)
+                # One key for each bucket.
+                _, lead = np.unique(where[left[free]], return_index=True)
+                chosen = free[lead]
+                table[where[left[chosen]], slot] = prints[left[chosen]]
+                left = np.delete(left, chosen)
+        for p, at in zip(prints[left].tolist(), second[left].tolist(), strict=True):
+            for _ in range(self.KICKS):
                 free = np.flatnonzero(table[at] == 0)
                 if len(free):
                     table[at, free[0]] = p
                     break
+                self.turn += 1
+                slot = self.turn % self.SLOTS
+                p, table[at, slot] = int(table[at, slot]), p
+                at ^= int(_step(np.array([p]), len(table))[0])
             else:
-                at = b
-                for _ in range(self.KICKS):
-                    self.turn += 1
-                    slot = self.turn % self.SLOTS
-                    p, table[at, slot] = int(table[at, slot]), p
-                    at ^= int(steps[p])
-                    free = np.flatnonzero(table[at] == 0)
-                    if len(free):
-                        table[at, free[0]] = p
-                        break
-                else:
-                    raise OverflowError("the filter is full")
+                raise OverflowError("the filter is full")
 
     def delete(self, keys: np.ndarray) -> None:
         """Take digests out that were put in before."""
@@ -142,191 +158,224 @@ class CuckooFilter:
                 capacity = 4 * len(made.table)
 
 
-class ShardedFilter:
-    """One filter per shard of the key space, and the exact list of keys that pass in error."""
-
-    def __init__(self, tables: dict[int, bytes], shards: int, exceptions: list[bytes] = ()):
-        self.shards, self.filters = shards, {}
-        for shard, raw in tables.items():
-            held = CuckooFilter(1)
-            held.table = np.frombuffer(raw, dtype=np.uint16).reshape(-1, CuckooFilter.SLOTS)
-            self.filters[shard] = held
-        self.exceptions = frozenset(exceptions)
-
-    def contains(self, digests: list[bytes]) -> np.ndarray:
-        if not digests:
-            return np.zeros(0, dtype=bool)
-        keys = as_words(digests)
-        shard = shard_of(keys, self.shards)
-        out = np.zeros(len(keys), dtype=bool)
-        order = np.argsort(shard, kind="stable")
-        bounds = np.flatnonzero(np.diff(shard[order], prepend=-1))
-        for a, b in zip(bounds, np.append(bounds[1:], len(order)), strict=True):
-            if (held := self.filters.get(int(shard[order[a]]))) is not None:
-                out[order[a:b]] = held.contains(keys[order[a:b]])
-        if self.exceptions:
-            for i in np.flatnonzero(out):
-                if digests[i] in self.exceptions:
-                    out[i] = False
+class Shard:
+    """A shard's filter with the exact list of its keys, sorted and joined."""
+
+    def __init__(self, filter_: bytes, keys: bytes):
+        self.filter, self.keys = CuckooFilter.of_bytes(filter_), np.frombuffer(keys, dtype=KEY)
+
+    def holds(self, digests: list[bytes]) -> np.ndarray:
+        """Which digests are in: those that pass the filter and stand in the list."""
+        out = self.filter.contains(as_words(digests))
+        passed = np.flatnonzero(out)
+        if len(passed):
+            out[passed] = np.isin(np.array([digests[i] for i in passed], dtype=KEY), self.keys)
         return out
 
+    def changed(self, come: list[bytes], go: list[bytes]) -> tuple[bytes, bytes]:
+        """(filter, keys) after some digests came in and others went out; a filter that overflows is made anew, larger."""
+        raw = self.keys.tobytes()
+        keys = sorted({raw[i : i + 16] for i in range(0, len(raw), 16)} - set(go) | set(come))
+        try:
+            if go:
+                self.filter.delete(as_words(go))
+            if come:
+                self.filter.insert(as_words(come))
+        except OverflowError:
+            self.filter = CuckooFilter.build(as_words(keys))
+        return self.filter.table.tobytes(), b"".join(keys)
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return (_mix(keys[:, 0]) % np.uint64(shards)).astype(np.int64)
 
+# ---- documents' keys ----
 
-# ---- the reference-count table ----
 
+def line_pairs(docs: DataFrame) -> DataFrame:
+    """(body, key, n, lead): for each text's digest the distinct keys of its lines, the empty key included.
 
-def line_counts(docs: DataFrame) -> DataFrame:
-    """(key, docs): every distinct non-empty line key and the number of rows of docs that hold it."""
+    n: the number of rows with that text in a batch, which are one here; lead marks one of
+    the keys, so that rows can be counted.
+    """
 
     def rows(batch: pa.RecordBatch) -> dict:
-        keys: list[bytes] = []
-        for text in utf8(batch.column(0)):
-            keys += {digest(k) for k in map(line_key, text.split(b"\n")) if k}
-        return {"key": keys}
+        out: dict[str, list] = {"body": [], "key": [], "n": [], "lead": []}
+        for text, n in Counter(utf8(batch.column(0))).items():
+            keys = {digest(k) for k in {line_key(x) for x in text.split(b"\n")}}
+            out["key"] += keys
+            out["body"] += [hashlib.md5(text, usedforsecurity=False).digest()] * len(keys)
+            out["n"] += [n] * len(keys)
+            out["lead"] += [True] + [False] * (len(keys) - 1)
+        return out
 
-    return map_batches(docs.select(F.col("text").cast("string").alias("text")), ["text"], rows, "key binary").groupBy("key").agg(F.count("*").alias("docs"))
+    return map_batches(docs.select(F.col("text").cast("string").alias("text")), ["text"], rows, "body binary, key binary, n int, lead boolean")
 
 
-def insert_documents(counts: DataFrame, docs: DataFrame) -> DataFrame:
-    """The reference counts after docs came in."""
-    return _changed(counts, line_counts(docs), 1)
+def _counted(pairs: DataFrame) -> DataFrame:
+    return pairs.filter(F.octet_length("key") > 0).groupBy("key").agg(F.sum("n").alias("docs"))
 
 
-def delete_documents(counts: DataFrame, docs: DataFrame) -> DataFrame:
-    """The reference counts after docs, inserted before, went out; keys that nobody holds go too."""
-    return _changed(counts, line_counts(docs), -1)
+def line_counts(docs: DataFrame) -> DataFrame:
+    """(key, docs): every distinct non-empty line key and the number of rows of docs that hold it."""
+    return _counted(line_pairs(docs))
 
 
-def _changed(counts: DataFrame, more: DataFrame, sign: int) -> DataFrame:
-    both = counts.select("key", "docs").unionByName(more.select("key", (F.col("docs") * sign).alias("docs")))
-    return both.groupBy("key").agg(F.sum("docs").alias("docs")).filter("docs > 0")
+# ---- the index ----
 
 
-def build_filters(counts: DataFrame, min_docs: int = MIN_DOCS, shards: int | None = None) -> tuple[DataFrame, int]:
-    """(shard, filter bytes) of the keys with at least min_docs documents, and the number of shards."""
-    common = counts.filter(F.col("docs") >= min_docs).select("key")
-    if shards is None:
-        shards = max(16, -(-common.count() // SHARD_KEYS))
-    n = shards
+@dataclass(frozen=True)
+class LineIndex:
+    """counts (key, docs) and filters (shard, filter, keys), both written tables."""
+
+    counts: DataFrame
+    filters: DataFrame
+    shards: int
+    min_docs: int = MIN_DOCS
 
-    def of(batch: pa.RecordBatch) -> dict:
-        keys = batch.column(0).to_pylist()
-        return {"shard": shard_of(as_words(keys), n), "key": keys}
+
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
+
+
+def build_filters(common: DataFrame, shards: int) -> DataFrame:
+    """(shard, filter, keys) of a table of common keys; shards without such a key have no row."""
 
     def build(table: pa.Table) -> pa.Table:
-        keys = as_words(sorted(table.column("key").to_pylist()))
-        made = CuckooFilter.build(keys)
-        return pa.table({"shard": [table.column("shard")[0].as_py()], "filter": [made.table.tobytes()]}, schema=pa.schema([("shard", pa.int64()), ("filter", pa.binary())]))
+        keys = sorted(table.column("key").to_pylist())
+        made = CuckooFilter.build(as_words(keys))
+        return pa.table({"shard": table.column("shard")[:1], "filter": [made.table.tobytes()], "keys": [b"".join(keys)]}, schema=pa.schema([("shard", pa.int32()), ("filter", pa.binary()), ("keys", pa.binary())]))
 
-    dealt = map_batches(common, ["key"], of, "shard long, key binary")
-    return dealt.groupBy("shard").applyInArrow(build, "shard long, filter binary"), shards
+    return common.select("key", shard_of(F.col("key"), shards).alias("shard")).groupBy("shard").applyInArrow(build, "shard int, filter binary, keys binary")
 
 
-def sharded_filter(counts: DataFrame, min_docs: int = MIN_DOCS, max_bytes: int = MAX_BYTES) -> ShardedFilter | None:
-    """The filters with their exceptions over a materialised table of counts, or none if they pass max_bytes."""
-    built, shards = build_filters(counts, min_docs)
-    built = materialize(built, "cuckoo")
-    size = built.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
-    if size > max_bytes:
-        return None
-    held = ShardedFilter({r["shard"]: bytes(r["filter"]) for r in built.toLocalIterator()}, shards)
+def index_of(counts: DataFrame, min_docs: int = MIN_DOCS) -> LineIndex:
+    """The index over a written table of counts."""
+    common = counts.filter(F.col("docs") >= min_docs).select("key")
+    shards = max(MIN_SHARDS, -(-common.count() // SHARD_KEYS))
+    return LineIndex(counts, materialize(build_filters(common, shards), "cuckoo"), shards, min_docs)
 
-    def passing(batch: pa.RecordBatch) -> dict:
-        keys = batch.column(0).to_pylist()
-        return {"key": [k for k, hit in zip(keys, held.contains(keys).tolist(), strict=True) if hit]}
 
-    wrong = materialize(map_batches(counts.filter(F.col("docs") < min_docs), ["key"], passing, "key binary"), "exceptions")
-    # A digest takes about 80 bytes in a Python set.
-    if size + 80 * wrong.count() > max_bytes:
-        return None
-    held.exceptions = frozenset(bytes(r["key"]) for r in wrong.toLocalIterator())
-    return held
+def build_index(docs: DataFrame, min_docs: int = MIN_DOCS) -> LineIndex:
+    return index_of(materialize(line_counts(docs), "line-counts"), min_docs)
 
 
-# ---- dropping lines ----
+def insert_documents(index: LineIndex, docs: DataFrame) -> LineIndex:
+    """The index after docs came in."""
+    return _changed(index, docs, 1)
 
 
-def _kept(text: bytes, drop) -> tuple[bytes, int, int]:
-    lines = text.split(b"\n")
-    kept = [x for x, gone in zip(lines, drop(lines), strict=True) if not gone]
-    return b"\n".join(kept), len(lines), len(lines) - len(kept)
+def delete_documents(index: LineIndex, docs: DataFrame) -> LineIndex:
+    """The index after docs, inserted before, went out; keys that nobody holds go too."""
+    return _changed(index, docs, -1)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_bytes: int = MAX_BYTES, counts: DataFrame | None = None) -> DataFrame:
-    """docs with its text replaced by the kept lines, and the columns n_lines and n_dropped after the others."""
-    docs = docs.withColumn("text", F.col("text").cast("string")).drop("n_lines", "n_dropped")
-    counts = materialize(counts if counts is not None else line_counts(docs), "line-counts")
-    held = sharded_filter(counts, min_docs, max_bytes)
-    if held is None:
-        return _dedup_by_join(docs, counts, min_docs)
-    names, at = docs.columns, docs.columns.index("text")
+def _changed(index: LineIndex, docs: DataFrame, sign: int) -> LineIndex:
+    more = line_counts(docs).select("key", (F.col("docs") * sign).alias("more"))
+    both = index.counts.join(more, "key", "full_outer").select(
+        "key", F.coalesce("docs", F.lit(0)).alias("old"), (F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("docs")
+    )
+    both = materialize(both, "line-changes")
+    counts = both.filter("docs > 0").select("key", "docs")
+    was, now = F.col("old") >= index.min_docs, F.col("docs") >= index.min_docs
+    if both.filter(now).count() > 4 * SHARD_KEYS * index.shards:
+        return index_of(materialize(counts, "line-counts"), index.min_docs)
+    moves = both.filter(was != now).select(shard_of(F.col("key"), index.shards).alias("shard"), "key", now.alias("come"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (p for whole in batches for p in parts_of(whole)):
-            texts, starts, digests = [t.split(b"\n") for t in utf8(batch.column(at))], [0], []
-            for lines in texts:
-                digests += [digest(line_key(x)) for x in lines]
-                starts.append(len(digests))
-            solid = [i for i, d in enumerate(digests) if d]
-            gone = np.zeros(len(digests), dtype=bool)
-            gone[solid] = held.contains([digests[i] for i in solid])
-            out, dropped = [], []
-            for lines, a, b in zip(texts, starts, starts[1:], strict=False):
-                drop = gone[a:b]
-                n = int(drop.sum())
-                dropped.append(n)
-                out.append(b"\n".join([x for x, g in zip(lines, drop.tolist(), strict=True) if not g] if n else lines))
-            arrays = [pa.array(out, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            arrays += [pa.array(np.diff(starts)), pa.array(dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_lines", "n_dropped"])
+    def update(held: pa.Table, moves: pa.Table) -> pa.Table:
+        shard = (held if held.num_rows else moves).column("shard")[:1]
+        state = (held.column("filter")[0].as_py(), held.column("keys")[0].as_py()) if held.num_rows else (CuckooFilter(1).table.tobytes(), b"")
+        come, go = ([k for k, c in zip(moves.column("key").to_pylist(), moves.column("come").to_pylist(), strict=True) if c == want] for want in (True, False))
+        raw, keys = Shard(*state).changed(come, go)
+        made = pa.table({"shard": shard, "filter": [raw], "keys": [keys]}, schema=pa.schema([("shard", pa.int32()), ("filter", pa.binary()), ("keys", pa.binary())]))
+        return made if keys else made.slice(0, 0)
 
-    return docs.mapInArrow(run, with_fields(docs, n_lines="long", n_dropped="long"))
+    filters = index.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInArrow(update, "shard int, filter binary, keys binary")
+    return LineIndex(materialize(counts, "line-counts"), materialize(filters, "cuckoo"), index.shards, index.min_docs)
 
 
-def _dedup_by_join(docs: DataFrame, counts: DataFrame, min_docs: int) -> DataFrame:
-    """The same rows by joins: line keys meet the table, the dropped lines' numbers meet their documents.
+# ---- lookup ----
 
-    Rows are told apart by their digest and a number within equal rows' content, so
-    repeated rows are not multiplied: equal texts lose the same lines.
-    """
 
-    def keys(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"body": [], "key": []}
-        for text in utf8(batch.column(0)):
-            body = xxhash.xxh3_128_digest(text)
-            for k in {digest(k) for k in map(line_key, text.split(b"\n")) if k}:
-                out["body"].append(body)
-                out["key"].append(k)
-        return out
+def _streamed(filters: DataFrame, pairs: DataFrame, shards: int) -> DataFrame:
+    """(body, key) of the pairs whose key is common, by shard."""
+    held = filters.select("shard", F.lit(0).alias("kind"), "filter", "keys", F.lit(None).cast("binary").alias("body"), F.lit(None).cast("binary").alias("key"))
+    asked = pairs.select(shard_of(F.col("key"), shards).alias("shard"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("filter"), F.lit(None).cast("binary").alias("keys"), "body", "key")
+    dealt = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind")
 
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard = -1, None
         for batch in batches:
-            made = pa.array([xxhash.xxh3_128_digest(t) for t in utf8(batch.column(at))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*names, "textloom_body"])
-
+            numbers, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(numbers, prepend=number) != 0) | (kinds == 0)).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(numbers)], strict=True):
+                if a == b:
+                    continue
+                if numbers[a] != number:
+                    number, shard = numbers[a], None
+                if kinds[a] == 0:
+                    shard = Shard(batch.column(2)[a].as_py(), batch.column(3)[a].as_py())
+                    a += 1
+                if shard is None or a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                hits = pa.array(shard.holds(part.column(5).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(4).filter(hits), part.column(5).filter(hits)], names=["body", "key"])
+
+    return dealt.mapInArrow(run, "body binary, key binary")
+
+
+def common_lines(index: LineIndex, pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(body, key), repeated rows included, of the pairs whose key is common; counts: those of the pairs."""
+    total = counts.agg(F.sum("docs")).first()[0] or 0
+    hot = [bytes(r["key"]) for r in counts.filter(F.col("docs") * HOT > total).select("key").collect()]  # at most HOT
+    solid = pairs.filter(F.octet_length("key") > 0).select("body", "key")
+    if not hot:
+        return _streamed(index.filters, solid, index.shards)
+    listed = [F.lit(k) for k in sorted(hot)]
+    common = [F.lit(bytes(r["key"])) for r in index.counts.filter(F.col("key").isin(listed) & (F.col("docs") >= index.min_docs)).select("key").collect()]
+    found = _streamed(index.filters, solid.filter(~F.col("key").isin(listed)), index.shards)
+    return found.unionByName(solid.filter(F.col("key").isin(common))) if common else found
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, index: LineIndex | None = None) -> DataFrame:
+    """docs with its text replaced by the kept lines, and the columns n_lines and n_dropped after the others.
+
+    index: the reference counts and filters to go by; docs' own if there are none.
+    """
     names, at = docs.columns, docs.columns.index("text")
-    common = counts.filter(F.col("docs") >= min_docs).select("key")
-    pairs = map_batches(docs, ["text"], keys, "body binary, key binary")
-    gone = pairs.join(common, "key", "left_semi").distinct().groupBy("body").agg(F.collect_list("key").alias("textloom_gone"))
-    marked = docs.mapInArrow(bodies, with_fields(docs, textloom_body="binary"))
-    joined = marked.join(gone.withColumnRenamed("body", "textloom_body"), "textloom_body", "left").select(*names, "textloom_gone")
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    pairs = materialize(line_pairs(docs), "line-pairs")
+    counts = materialize(_counted(pairs), "line-counts")
+    index = index or index_of(counts, min_docs)
+
+    led = pairs.filter("lead")
+    rows = led.agg(F.sum("n")).first()[0] or 0
+    hot = [F.lit(bytes(r["body"])) for r in led.groupBy("body").agg(F.sum("n").alias("n")).filter(F.col("n") * HOT > rows).collect()]  # at most HOT
+    body, salt, gone, lines, dropped = unused(docs, "body", "salt", "gone", "n_lines", "n_dropped")
+    found = common_lines(index, pairs, counts).groupBy("body").agg(F.collect_set("key").alias(gone)).withColumnRenamed("body", body)
+    marked = docs.withColumn(body, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    on = [body]
+    if hot:
+        spread = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+        marked = marked.withColumn(salt, F.when(F.col(body).isin(hot), spread).otherwise(0))
+        found = found.withColumn(salt, F.explode(F.when(F.col(body).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+        on = [body, salt]
+    joined = marked.join(found, on, "left").select(*named(names), gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for whole in batches for p in parts_of(whole)):
-            out, lines, dropped = [], [], []
+            out, total, less = [], [], []
             for text, held in zip(utf8(batch.column(at)), batch.column(len(names)).to_pylist(), strict=True):
-                held = set(held or ())
-                kept, n, d = _kept(text, lambda xs, held=held: [bool(k := line_key(x)) and digest(k) in held for x in xs])
-                out.append(kept)
-                lines.append(n)
-                dropped.append(d)
+                kept = all_ = text.split(b"\n")
+                if held:
+                    held = set(held)
+                    kept = [x for x in all_ if digest(line_key(x)) not in held]
+                    text = b"\n".join(kept)
+                out.append(text)
+                total.append(len(all_))
+                less.append(len(all_) - len(kept))
             arrays = [pa.array(out, pa.binary()).cast(pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(total, pa.int64()), pa.array(less, pa.int64())], names=[*batch.schema.names[:-1], lines, dropped])
 
-    return joined.mapInArrow(run, with_fields(docs, n_lines="long", n_dropped="long"))
+    return map_whole(joined, run, with_fields(docs, **{lines: "long", dropped: "long"}))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
