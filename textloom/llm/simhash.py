@@ -33,17 +33,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from textloom.llm import similar
-from textloom.llm.common import documents, map_batches, materialize, parts_of, read_table, utf8, with_fields
+from textloom.llm.common import documents, map_batches, map_whole, materialize, named, parts_of, read_table, unused, utf8, with_fields
 from textloom.llm.graph import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 EVEN = 0x5555555555555555
 #: What a segment's count tells about a fingerprint, in bits.
 SEGMENT_BITS = 1.45
-#: Grids of wide_links and the segments whose counts make up a cell.
-WIDE_GRIDS, WIDE_SEGMENTS = 96, 13
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -77,7 +76,7 @@ def with_fingerprints(docs: DataFrame, name: str = "fp", shingle: int = SHINGLE)
             made = pa.array([signed(fingerprint(t, shingle)) for t in utf8(batch.column(at))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, with_fields(docs, **{name: "long"}))
+    return map_whole(docs, run, with_fields(docs, **{name: "long"}))
 
 
 def embedded(fp: Column) -> Column:
@@ -122,27 +121,6 @@ def links(nodes: DataFrame, groups: int, radius: int = RADIUS) -> DataFrame:
     return a.join(b, near).select("a", "b").distinct()
 
 
-def wide_links(nodes: DataFrame, radius: int, grids: int = WIDE_GRIDS, segments: int = WIDE_SEGMENTS) -> DataFrame:
-    """(a, b): more links, of fingerprints that differ in at most radius bits, for a radius too large for ``links``.
-
-    Each of so many seeded grids has the cells of a few segments' counts as its key, and
-    all members of a cell are compared, however many these are. Not every pair meets in
-    some cell: the recall is a matter of the number of grids, not of that of fingerprints.
-    """
-    rng = np.random.default_rng(SEED)
-    keys = []
-    for g in range(grids):
-        mask = sum(3 << 2 * int(s) for s in rng.choice(32, segments, replace=False))
-        keys.append(F.xxhash64(F.lit(g), F.col("v").bitwiseAND(F.lit(signed(mask)))))
-    # The filter keeps both uses of the exchange alike, so that it is made once.
-    cells = nodes.filter("fp IS NOT NULL").select("fp", embedded(F.col("fp")).alias("v")).select(F.explode(F.array(*keys)).alias("cell"), "fp")
-    # One exchange of 16-byte rows serves both sides of the join.
-    held = cells.repartition("cell")
-    a, b = held.select("cell", F.col("fp").alias("a")), held.select(F.col("cell").alias("cell_b"), F.col("fp").alias("b"))
-    near = (F.col("cell") == F.col("cell_b")) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return a.join(b, near).select("a", "b").distinct()
-
-
 def with_similar(found: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
     """(node, component) of the links found and those of texts (id, fp, text) with so large a share of equal shingles."""
     cells = materialize(similar.shared_cells(texts, shingle, share), "cells")
@@ -155,11 +133,10 @@ def with_similar(found: DataFrame, texts: DataFrame, shingle: int, share: tuple[
 
 
 def fingerprint_components(
-    rows: DataFrame, radius: int = RADIUS, wide: int = 0, shingle: int = SHINGLE, share: tuple[int, int] | None = None
+    rows: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, share: tuple[int, int] | None = None
 ) -> DataFrame:
     """(fp, component_id, keep): of rows (doc_id, fp), for each distinct fp.
 
-    wide: a radius beyond the other one up to which ``wide_links`` adds links, or 0.
     share: a fraction; all texts whose shingles have that Jaccard similarity are linked
     too, for which rows has the columns id (unique) and text as well.
 
@@ -168,8 +145,6 @@ def fingerprint_components(
     """
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("doc")), "fingerprints")
     found = links(nodes, groups_for(nodes.count(), radius), radius)
-    if wide > radius:
-        found = found.unionByName(wide_links(nodes, wide))
     linked = materialize(components(found), "components") if share is None else with_similar(found, rows.drop("doc_id"), shingle, share)
     named = linked.join(nodes, linked["node"] == nodes["fp"]).select("fp", "doc", "component")
     # Nulls count as larger than any doc_id; of equal ones the smaller fp stands for the component.
@@ -196,16 +171,31 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_copies(
-    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, wide: int = 0, share: tuple[int, int] | None = None
+    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, share: tuple[int, int] | None = None
 ) -> DataFrame:
-    """The rows of docs, one for each component: the one with the smallest doc_id."""
-    marked = with_fingerprints(docs, "textloom_fp", shingle).withColumn("textloom_row", F.monotonically_increasing_id())
-    marked = materialize(marked, "marked")
-    rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("textloom_fp").alias("fp"), F.col("textloom_row").alias("id"), "text")
-    first = fingerprint_components(rows, radius, wide, shingle, share).filter("keep")
-    first = first.select(F.col("fp").alias("textloom_fp"), F.col("component_id").alias("textloom_id"))
-    kept = marked.join(first, (marked["textloom_fp"] == first["textloom_fp"]) & marked["doc_id"].eqNullSafe(first["textloom_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "textloom_fp"]).drop("textloom_fp", "textloom_row")
+    """The rows of docs, one for each component: the one with the smallest doc_id.
+
+    Of rows with that doc_id and the component's first fingerprint the one with the least
+    digest of its text stays, and of equal texts the one whose other columns (maps apart)
+    have the least hash. Columns of docs keep their names and values.
+    """
+    names = docs.columns
+    fp, row = unused(docs, "fp", "row")
+    marked = materialize(with_fingerprints(docs, fp, shingle).withColumn(row, F.monotonically_increasing_id()), "marked")
+    others = [f"`{f.name}`" for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    rows = marked.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col(fp).alias("fp"),
+        F.col(row).alias("id"),
+        F.col("text").cast("string").alias("text"),
+        F.struct(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.xxhash64(*others), F.col(row)).alias("order"),
+    )
+    first = fingerprint_components(rows.drop("order"), radius, shingle, share).filter("keep").select("fp", F.col("component_id").alias("first"))
+    # Narrow columns only: of all rows with the right fingerprint and doc_id the first in order.
+    narrow = rows.select("doc_id", "fp", "id", "order")
+    kept = narrow.join(first, (narrow["fp"] == first["fp"]) & narrow["doc_id"].eqNullSafe(first["first"])).groupBy(first["fp"]).agg(F.min_by("id", "order").alias("kept"))
+    kept = materialize(kept.select("kept"), "kept")
+    return marked.join(kept, marked[row] == kept["kept"], "left_semi").select(*named(names))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
