@@ -1,8 +1,9 @@
 """Vector bin packing of documents into shards: bytes, tokens and rows jointly.
 
 Equal texts form a group, and a group goes to one shard whole unless it is hot: a
-group with more than 1/512 of all bytes or rows is dealt, by a hash of doc_id, into
-chunks below that. A unit (group or chunk) has a demand vector (bytes, tokens, rows)
+group with more than 1/512 of all bytes or rows is dealt, by a hash of a number of each
+row's own, into chunks below that; doc_id has no part in it, so rows without one or with
+one in common are dealt as well. A unit (group or chunk) has a demand vector (bytes, tokens, rows)
 in shares of the totals, and goes to the shard where the dot product of the demand
 with the residual capacity is highest, largest units first.
 
@@ -10,9 +11,9 @@ The greedy runs three times. Large units (over 1/4096 of any total; there are at
 12,288 of them) come first, on the driver. The rest is dealt into buckets of a bounded
 number of units, each a small instance of the same problem with its share of what the
 large units left; a bucket's shards end about a small unit apart, and turning the order
-of the shards by bucket keeps these remainders from adding up. About 2,000 units,
-picked by hash, wait for the end and are placed on the driver into the capacity that
-is really left then, which evens the shards out.
+of the shards by bucket keeps these remainders from adding up. An eighth of the units,
+and about 2,000 at most, picked by hash, wait for the end and are placed on the driver
+into the capacity that is really left then, which evens the shards out.
 
 slot: rows of a shard are numbered within 32 or more hash parts of it, and the parts
 start where the one before ends, so no shard is sorted in one task.
@@ -35,10 +36,10 @@ from textloom.llm.common import documents, materialize, read_table
 SHARDS = 8
 #: A group over 1/HOT of all bytes or rows is dealt into chunks; a unit over 1/LARGE of a total is large.
 HOT, LARGE = 512, 4096
-#: Units in one bucket, on average.
-BUCKET_UNITS = 20_000
-#: Units that are placed last, on the driver, on average.
-LAST_UNITS = 2_000
+#: Units in one bucket: on average no more than the one, and no fewer than the other where there are more buckets than one.
+BUCKET_UNITS, LEAST_UNITS = 20_000, 500
+#: Units that are placed last, on the driver: one in so many, and on average no more than so many.
+LAST_SHARE, LAST_UNITS = 8, 2_000
 PART_ROWS = 1_000_000
 
 SCHEMA = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
@@ -83,9 +84,9 @@ def sums_of_units() -> list:
 
 
 def assign(docs: DataFrame, shards: int = SHARDS, bucket_units: int = BUCKET_UNITS) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, part, slot) of every row of docs."""
+    """(doc_id, size, text_crc32, shard, slot) of every row of docs."""
     spark = docs.sparkSession
-    rows = materialize(rows_of(docs), "shard-rows")
+    rows = materialize(rows_of(docs).withColumn("row", F.monotonically_increasing_id()), "shard-rows")
     sums = [*sums_of_units()[:2], F.count("*").alias("rows")]
     groups = rows.groupBy("body").agg(*sums)
     total = rows.agg(*sums).first()
@@ -99,7 +100,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, bucket_units: int = BUCKET_UNI
     if chunks:
         held = spark.createDataFrame([(bytearray(b), n) for b, n in sorted(chunks.items())], "body binary, chunks int")
         rows = rows.join(F.broadcast(held), "body", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        chunk = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("doc_id"), F.col("chunks"))).otherwise(0)
+        chunk = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("row"), F.col("chunks"))).otherwise(0)
     rows = rows.withColumn("chunk", chunk.cast("int"))
     units = materialize(rows.groupBy("body", "chunk").agg(*sums), "shard-units")
 
@@ -116,8 +117,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, bucket_units: int = BUCKET_UNI
 
     rest = units.filter(~large)
     n_rest = rest.count()
-    late = F.pmod(F.xxhash64("chunk", "body"), F.lit(max(1, n_rest // LAST_UNITS))) == 0
-    buckets = max(64, -(-n_rest // bucket_units))
+    late = F.pmod(F.xxhash64("chunk", "body"), F.lit(max(LAST_SHARE, n_rest // LAST_UNITS))) == 0
+    buckets = max(1, min(64, n_rest // LEAST_UNITS), -(-n_rest // bucket_units))
     share = np.maximum(left, 0)
     share = share / np.maximum(share.sum(axis=0), 1e-300)  # of each dimension's rest, by shard
 
@@ -139,9 +140,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, bucket_units: int = BUCKET_UNI
     small = materialize(small, "shard-plan")
     for r in small.groupBy("shard").agg(*sums_of_units()).collect():
         left[r["shard"]] -= np.array([r["size"], r["tokens"], r["rows"]]) / whole
-    made += on_driver(rest.filter(late).collect())  # about LAST_UNITS
+    made += on_driver(rest.filter(late).collect())  # about LAST_UNITS at most
     plan = spark.createDataFrame(made, "body binary, chunk int, shard int").unionByName(small.select("body", "chunk", "shard"))
-    assigned = rows.join(plan, ["body", "chunk"]).select("doc_id", "size", "text_crc32", "shard", "chunk")
+    assigned = rows.join(plan, ["body", "chunk"]).select("doc_id", "size", "text_crc32", "shard", "row")
     return with_slots(assigned, total["rows"])
 
 
@@ -149,7 +150,7 @@ def with_slots(assigned: DataFrame, n_rows: int) -> DataFrame:
     """Number each shard's rows from 0 without gaps, part by part."""
     parts = max(32, -(-n_rows // PART_ROWS))
     held = materialize(
-        assigned.withColumn("part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(parts)).cast("int")), "shard-assigned"
+        assigned.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")), "shard-assigned"
     )
     counts = sorted((r["shard"], r["part"], r["count"]) for r in held.groupBy("shard", "part").count().collect())
     starts, at, last = [], 0, None
@@ -159,7 +160,7 @@ def with_slots(assigned: DataFrame, n_rows: int) -> DataFrame:
         at, last = at + n, shard
     # shards * parts rows, one for each million rows of input.
     begun = held.sparkSession.createDataFrame(starts, "shard int, part int, begin long")
-    order = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size", "chunk")
+    order = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size", "row")
     ranked = held.withColumn("rank", F.row_number().over(order))
     return ranked.join(F.broadcast(begun), ["shard", "part"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("begin") + F.col("rank") - 1).alias("slot")
