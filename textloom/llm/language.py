@@ -2,36 +2,43 @@
 
 Each language has a raw-content dictionary made of training texts. Texts are read in
 lower case, their letters only, words apart. A text is compressed once with each
-dictionary and gets the language whose result is smallest; of equal ones the language
-with more training rows. The margin is the share by which the smallest result is below
-the second; a prediction under ``MIN_MARGIN`` is marked as not accepted.
-
-Training uses a bounded sample (``SAMPLE_ROWS`` rows a language on average, picked by
-hash of doc_id, of each at most ``SAMPLE_CHARS`` characters) of the rows with a language
-whose fold is not held out. At most ``MAX_LANGUAGES`` languages are learned, the most
-frequent first. Predictions read the whole text and nothing else.
+dictionary, and each size is divided by the dictionary's baseline: how far it shrinks
+calibration texts of the other languages. So a long dictionary, which compresses
+everything better, gains nothing by its length, and no dictionary is cut for another's
+sake. The text gets the language with the smallest quotient; of equal ones the language
+with more training rows. The margin is the share by which the smallest is below the
+second; a prediction under ``MIN_MARGIN`` is marked as not accepted.
+
+Training uses a bounded sample of the rows with a language whose fold is not held out:
+``SAMPLE_ROWS`` rows a language on average and ``SAMPLE_TOTAL`` rows in all, picked by a
+hash of doc_id, of each at most ``SAMPLE_CHARS`` characters. All languages in the sample
+are learned, and their dictionaries share ``DICTIONARY_TOTAL`` bytes. Predictions read the
+whole text and nothing else.
 
 Defined results: a text that is null, empty or without a letter is "und" with score 0
 and not accepted; so is every text when no language could be learned. With one language
 the score is 1. A null doc_id is neither held out nor learned from. Other columns are
-ignored.
+ignored by the query and carried along by ``predict_languages``, whose own columns get
+other names where docs has theirs.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import read_table, with_fields
+from textloom.llm.common import map_whole, parts_of, read_table, unused, with_fields
 
-SAMPLE_ROWS, SAMPLE_CHARS = 200, 2_000
-DICTIONARY_BYTES, LEVEL = 112 << 10, 9
-MAX_LANGUAGES = 500
+SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_CHARS = 200, 100_000, 2_000
+DICTIONARY_BYTES, DICTIONARY_TOTAL, LEVEL = 112 << 10, 56 << 20, 9
+#: Texts that the baselines are measured on, from all languages together.
+CALIBRATION = 64
 MIN_MARGIN = 0.01
 #: A margin that gives a score of one half.
 HALF_MARGIN = 0.02
@@ -50,83 +57,104 @@ def fold(column: str = "doc_id", folds: int = 4):
     return F.crc32(F.col(column).cast("long").cast("string").cast("binary")) % folds
 
 
-def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
+def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
     """Some texts of each language, the most frequent first, in the order of a hash of doc_id."""
     known = docs.filter(F.col("lang").isNotNull() & (fold() != 2))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(total + 1).collect()}
     if not counts:
         return {}
-    limits = docs.sparkSession.createDataFrame([(k, min(1 << 30, int((1 << 30) * rows / n) + 1)) for k, n in sorted(counts.items())], "lang string, most int")
-    picked = (
-        known.filter("text IS NOT NULL")
-        .select(F.col("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("mark"), F.col("doc_id"), F.substring("text", 1, chars).alias("text"))
-        .join(F.broadcast(limits), "lang")
-        .filter(F.col("mark") < F.col("most"))
-        .select("lang", "mark", "doc_id", "text")
+    scale = 1 << 30
+    picked = known.filter("text IS NOT NULL").select(
+        F.col("lang"), F.pmod(F.xxhash64("doc_id"), F.lit(scale)).alias("mark"), F.col("doc_id"), F.substring("text", 1, chars).alias("text")
     )
-    # About rows * MAX_LANGUAGES texts at most, whatever the input.
+    if len(counts) > total:  # as many values as rows to learn from: all rows alike
+        picked = picked.filter(F.col("mark") <= int(scale * total / known.count()))
+    else:
+        each = min(rows, total / len(counts))
+        limits = docs.sparkSession.createDataFrame([(k, min(scale, int(scale * each / n) + 1)) for k, n in sorted(counts.items())], "lang string, most int")
+        picked = picked.join(F.broadcast(limits), "lang").filter(F.col("mark") < F.col("most"))
+    # About so many texts as total says at most, whatever the input.
     out: dict[str, list[str]] = {k: [] for k in counts}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["mark"], r["doc_id"], r["text"])):
-        out[r["lang"]].append(r["text"])
-    return out
+    for r in sorted(picked.select("lang", "mark", "doc_id", "text").collect(), key=lambda r: (r["lang"], r["mark"], r["doc_id"], r["text"])):
+        out.setdefault(r["lang"], []).append(r["text"])
+    return {k: v for k, v in out.items() if v}
+
+
+@dataclass(frozen=True)
+class Language:
+    """What is learned of a language: its dictionary and the baseline that sizes are divided by."""
 
+    dictionary: bytes
+    baseline: float = 1.0
 
-def dictionaries(sample: dict[str, list[str]], most: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """Each language's texts up to so many bytes, as long for every language as the shortest allows.
 
-    Equal lengths keep a language with more samples from compressing everything better.
+def compressor(dictionary: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
+    held = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def learn(sample: dict[str, list[str]], most: int = DICTIONARY_BYTES, total: int = DICTIONARY_TOTAL) -> dict[str, Language]:
+    """Dictionaries and baselines of the sample's languages.
+
+    Of each language a quarter of the texts at most, and CALIBRATION texts of all languages
+    together, stay out of its dictionary and are calibration texts of the others.
     """
-    whole = {k: " ".join(map(letters, v)).strip().encode() for k, v in sample.items()}
-    whole = {k: v for k, v in whole.items() if v}
-    if not whole:
+    texts = {k: [x for x in (letters(t).encode() for t in v) if x] for k, v in sample.items()}
+    texts = {k: v for k, v in texts.items() if v}
+    if not texts:
         return {}
-    size = min(most, max(4 << 10, min(map(len, whole.values()))))
-    return {k: v[:size] for k, v in whole.items()}
+    apart = {k: v[len(v) - min(len(v) // 4, max(1, CALIBRATION // len(texts))) :] for k, v in texts.items()}
+    apart = {k: v for k, v in list(apart.items())[:CALIBRATION] if v}
+    plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
+    known = [(k, x, len(plain.compress(x))) for k, v in apart.items() for x in v]
+    size, out = min(most, total // len(texts)), {}
+    for k, v in texts.items():
+        own = b" ".join(v[: len(v) - len(apart.get(k, ()))])[:size]
+        held = compressor(own)
+        ratios = [len(held.compress(x)) / n for other, x, n in known if other != k]
+        out[k] = Language(own, sum(ratios) / len(ratios) if ratios else 1.0)
+    return out
 
 
 class Compressors:
-    def __init__(self, learned: dict[str, bytes], level: int = LEVEL):
+    def __init__(self, learned: dict[str, Language]):
         self.names = list(learned)
-        self.made = []
-        for name in self.names:
-            held = zstandard.ZstdCompressionDict(learned[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=level)
-            self.made.append(zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.made = [(compressor(x.dictionary), x.baseline) for x in learned.values()]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, accepted)."""
         raw = letters(text or "").encode()
         if not raw or not self.made:
             return UNDETERMINED, 0.0, False
-        sizes = [len(c.compress(raw)) for c in self.made]
-        if len(sizes) == 1:
+        if len(self.made) == 1:
             return self.names[0], 1.0, True
+        sizes = [len(c.compress(raw)) / base for c, base in self.made]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         second = min(s for i, s in enumerate(sizes) if i != best)
         margin = (second - sizes[best]) / second
         return self.names[best], round(margin / (margin + HALF_MARGIN), 6), margin >= MIN_MARGIN
 
 
-def predict_languages(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
+def predict_languages(docs: DataFrame, learned: dict[str, Language]) -> DataFrame:
     """docs with all its columns and lang_pred, lang_score, accepted after them; moves no rows."""
     at = docs.columns.index("text")
-    held = docs.sparkSession.sparkContext.broadcast(learned)  # at most MAX_LANGUAGES * DICTIONARY_BYTES
+    held = docs.sparkSession.sparkContext.broadcast(learned)  # DICTIONARY_TOTAL bytes at most
+    own = unused(docs, "lang_pred", "lang_score", "accepted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = Compressors(held.value)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                name, score, sure = zip(*map(compressors.predict, part.column(at).to_pylist()), strict=True)
-                made = [pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, "lang_pred", "lang_score", "accepted"])
+        for part in (p for whole in batches for p in parts_of(whole)):
+            name, score, sure = zip(*map(compressors.predict, part.column(at).to_pylist()), strict=True)
+            made = [pa.array(name, pa.string()), pa.array(score, pa.float64()), pa.array(sure, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *own])
 
-    return docs.mapInArrow(run, with_fields(docs, lang_pred="string", lang_score="double", accepted="boolean"))
+    return map_whole(docs, run, with_fields(docs, **dict(zip(own, ("string", "double", "boolean"), strict=True))))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    found = predict_languages(docs.select("doc_id", "text"), dictionaries(training_sample(docs)))
+    found = predict_languages(docs.select("doc_id", "text"), learn(training_sample(docs)))
     held_out = F.coalesce(fold() == 2, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "accepted")
