@@ -9,21 +9,23 @@ recurrent layers run over the window in both directions, attention pools their s
 and the document's score is that of its most toxic window.
 
 Training uses a bounded sample of labelled rows (``SAMPLE``: so many toxic and other
-documents at most, of each at most ``SAMPLE_CHARS`` characters), picked by hash of
-doc_id from the labels outside the held-out fold. Log-odds are cross-fitted: a training
-document is described by those of the other half of the sample. A fifth of the sample
-sets the decision threshold. All randomness is seeded.
+documents on average at most), picked by hash of doc_id from the labels outside the
+held-out fold, with their whole texts, which the driver holds as word numbers. Log-odds
+are cross-fitted: a training document is described by those of the other half of the
+sample. A fifth of the sample sets the decision threshold, by the scores of whole texts
+and with either label weighted to its share among all labels. All randomness is seeded.
 
 Defined results: null and empty texts have no words and score the network's answer to an
 empty window; with no labels of both kinds the score is the share of toxic labels (0
-without labels); repeated rows repeat; a null doc_id is not held out; other columns are
-ignored.
+without labels); repeated rows repeat; a null doc_id is not held out; a doc_id with both
+labels counts as toxic, and of several texts with one doc_id the least is learned from;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD_BYTES, parts_of, read_table, with_fields
+from textloom.llm.common import WORD_BYTES, map_whole, parts_of, read_table, with_fields
 
 WINDOW, STRIDE = 64, 48
-#: Documents of each label in the training sample at most, and characters of each.
-SAMPLE, SAMPLE_CHARS = 2000, 20_000
+#: Documents of each label in the training sample, on average at most.
+SAMPLE = 2000
 VOCABULARY, BUCKETS, CHAR_ROWS = 20_000, 1 << 19, 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 12, 12
 EPOCHS, MIN_STEPS, BATCH, RATE, SEED = 4, 200, 128, 0.01, 7
@@ -308,12 +310,18 @@ class Network:
         return sigmoid((np.concatenate(out) - self.shift).astype(np.float64)) if out else np.zeros(0)
 
 
-def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network:
-    """EPOCHS passes over the sample, or as many as give MIN_STEPS steps."""
+def train(texts: Iterable[str], labels: list[int], seed: int = SEED, natural: tuple[int, int] | None = None) -> Network:
+    """EPOCHS passes over the sample, or as many as give MIN_STEPS steps.
+
+    natural: how many of all labelled documents have label 0 and 1, for the threshold; as
+    in the sample if none.
+    """
     rng = np.random.default_rng(seed)
-    # Equal words are one object.
-    own: dict[bytes, bytes] = {}
-    docs = [[own.setdefault(w, w) for w in words_of(t)] for t in texts]
+    # A document is an array of word numbers.
+    number: dict[bytes, int] = {}
+    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], dtype=np.int32) for t in texts]
+    names = list(number)
+    del number
     y = np.array(labels, dtype=np.int64)
     order = rng.permutation(len(docs))
     tune, fit = order[: len(order) // 5], order[len(order) // 5 :]
@@ -323,7 +331,7 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network:
     halves, counted = [fit[0::2], fit[1::2]], [Counts(), Counts()]
     for half, counts in zip(halves, counted, strict=True):
         for i in half:
-            counts.add(set(docs[i]), int(y[i]))
+            counts.add({names[w] for w in np.unique(docs[i])}, int(y[i]))
     both = counted[0].merged(counted[1])
     total = both.words[0] + both.words[1]
     vocabulary = {w: k + 1 for k, (w, _) in enumerate(sorted(((w, c) for w, c in total.items() if c >= 3), key=lambda x: (-x[1], x[0]))[:VOCABULARY])}
@@ -336,17 +344,15 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network:
     windows: list[tuple[list[bytes], int, int]] = []
     for k, half in enumerate(halves):
         for i in half:
-            if not docs[i]:
+            if not len(docs[i]):
                 continue
-            own = sorted(set(docs[i]))
-            vector = sources[k].vectors(own)
-            weight = dict(zip(own, np.maximum(0, vector[:, 0] + vector[:, 1] - 1).tolist(), strict=True))
+            own, where = np.unique(docs[i], return_inverse=True)
+            vector = sources[k].vectors([names[w] for w in own])
+            weight = np.maximum(0, vector[:, 0] + vector[:, 1] - 1)[where]
             spans = windows_of(len(docs[i]))
-            sums = [sum(weight[w] for w in docs[i][a:b]) for a, b in spans]
-            best = int(np.argmax(sums))
-            windows.append((docs[i][slice(*spans[best])], int(y[i]), k))
-            if not y[i] and len(spans) > 1:
-                windows.append((docs[i][slice(*spans[int(rng.integers(len(spans)))])], 0, k))
+            best = int(np.argmax([weight[a:b].sum(dtype=np.float64) for a, b in spans]))
+            chosen = [best] if y[i] or len(spans) == 1 else [best, int(rng.integers(len(spans)))]
+            windows += [([names[w] for w in docs[i][slice(*spans[s])]], int(y[i]), k) for s in chosen]
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in params.items()}
     step = 0
     pos = max(1, sum(w[1] for w in windows))
@@ -358,7 +364,11 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Network:
             step += 1
             _step(params, moments, sources, some, step, lift)
     made = Network(params, vocabulary, whole)
-    made.shift = np.float32(_threshold(made.logits([docs[i] for i in tune]), y[tune]))
+    share = np.bincount(y[tune], minlength=2) / len(tune)
+    mix = np.array(natural or share, dtype=float)
+    weights = (mix / mix.sum() / np.maximum(share, 1e-9))[y[tune]]
+    found = [made.logits([[names[w] for w in docs[i]] for i in tune[k : k + 50]]) for k in range(0, len(tune), 50)]
+    made.shift = np.float32(_threshold(np.concatenate(found), y[tune], weights))
     return made
 
 
@@ -409,13 +419,14 @@ def _step(params: dict, moments: dict, sources: list[Inputs], some: list, step:
         params[k] -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
-def _threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the widest gap among the cuts with the best F1; 0 where the labels have one kind."""
+def _threshold(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """The middle of the widest gap among the cuts with the best weighted F1; 0 where the labels have one kind."""
     if len(set(labels.tolist())) < 2:
         return 0.0
     order = np.argsort(-logits, kind="stable")
-    hit = np.cumsum(labels[order])
-    f1 = 2 * hit / (np.arange(1, len(order) + 1) + labels.sum())
+    weights = np.ones(len(labels)) if weights is None else weights
+    hit = np.cumsum((labels * weights)[order])
+    f1 = 2 * hit / (np.cumsum(weights[order]) + hit[-1])
     value = logits[order]
     gap = np.append(-np.diff(value), 0)
     f1[gap <= 0] = -1
@@ -429,33 +440,36 @@ def fold(column: str = "doc_id", folds: int = 5):
     return F.crc32(F.col(column).cast("long").cast("string").cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list:
-    """At most about most rows of either label outside fold 0, by hash of doc_id."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(
-        F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold() != 0)
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[list, tuple[int, int]]:
+    """(doc_id, label, text) of about most documents of either label outside fold 0 at most, by hash of doc_id, and how many there are of each label."""
+    known = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+        .filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold() != 0))
+        .groupBy("doc_id")
+        .agg(F.max("toxic").alias("toxic"))
     )
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     want = [F.when(F.col("toxic") == k, mark < int(min(1.0, most / n) * (1 << 30))) for k, n in sorted(counts.items())]
     if not want:
-        return []
-    picked = known.filter(F.coalesce(*want)).dropDuplicates(["doc_id"])
-    # About 2 * most rows, whatever the input.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, chars).alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").filter("text IS NOT NULL").collect()
-    return sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows)
+        return [], (0, 0)
+    picked = known.filter(F.coalesce(*want))
+    # About 2 * most documents, whatever the input.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    return sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows), (counts.get(0, 0), counts.get(1, 0))
 
 
 def model_for(docs: DataFrame, labels: DataFrame) -> Network | float:
-    rows = labelled_sample(docs, labels)
+    rows, natural = labelled_sample(docs, labels)
     y = [r[1] for r in rows]
     if len(set(y)) < 2:
         return float(np.mean(y)) if y else 0.0
-    return train([r[2] for r in rows], y)
+    return train((r[2] for r in rows), y, natural=natural)
 
 
-def score_documents(docs: DataFrame, model: Network | float) -> DataFrame:
-    """docs with all its columns and tox_score (double) after them; moves no rows."""
+def score_documents(docs: DataFrame, model: Network | float, name: str = "tox_score") -> DataFrame:
+    """docs with all its columns and the score (double), under a name that docs does not have, after them; moves no rows."""
     at = docs.columns.index("text")
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few MB, whatever the input
 
@@ -464,9 +478,9 @@ def score_documents(docs: DataFrame, model: Network | float) -> DataFrame:
             for part in parts_of(batch, 512):
                 texts = part.column(at).to_pylist()
                 got = np.full(len(texts), held.value) if isinstance(held.value, float) else held.value.scores(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*part.schema.names, "tox_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(run, with_fields(docs, tox_score="double"))
+    return map_whole(docs, run, with_fields(docs, **{name: "double"}))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
