@@ -3,10 +3,12 @@
 The reader walks nested boxes (32- and 64-bit sizes, boxes that reach to the end of
 the file) and decodes the sample tables stsd, mdhd, stts, stss, stsc, stsz/stz2 and
 stco/co64 of each track: codec, duration, sample sizes, and the byte range of every
-keyframe. It never decodes a payload.
+keyframe, which ``describe_media`` stores as (offset, length). It never decodes a payload.
 
 Defined results: a null text is an empty one, so its payload is 192 spaces. Equal
-texts give equal stored bytes. A file that ends inside a box raises ValueError.
+texts give equal stored bytes. A file that ends inside a box or table, lacks a table, or has
+tables that disagree raises ValueError, and so does one with movie fragments (moof), whose
+samples stand outside the sample tables and are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ CONTAINERS = frozenset((b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long,"
     " media_bytes long, media_sha256 string, feature string, codec string, duration double,"
-    " n_samples long, n_keyframes long"
+    " n_samples long, n_keyframes long, keyframes array<struct<offset:long,length:long>>"
 )
 
 
@@ -150,6 +152,8 @@ def read_tracks(data: bytes) -> list[Track]:
 
     def walk(at: int, end: int) -> None:
         for kind, body, stop in boxes(data, at, end):
+            if kind == b"moof":
+                raise ValueError("movie fragments are not read")
             if kind == b"trak":
                 tracks.append({})
             if kind in CONTAINERS:
@@ -158,15 +162,24 @@ def read_tracks(data: bytes) -> list[Track]:
                 tracks[-1][kind] = (body, stop)
 
     walk(0, len(data))
-    return [_track(data, found) for found in tracks if b"stsd" in found]
+    try:
+        return [_track(data, found) for found in tracks if b"stsd" in found]
+    except KeyError as missing:
+        raise ValueError(f"a track has no box {missing}") from missing
+    except (struct.error, StopIteration) as broken:
+        raise ValueError("a sample table ends too early") from broken
 
 
 def _track(data: bytes, found: dict[bytes, tuple[int, int]]) -> Track:
     kind, _, _ = next(boxes(data, found[b"stsd"][0] + 8, found[b"stsd"][1]))
     mdhd = found[b"mdhd"][0]
     scale, length = struct.unpack_from(">20xIQ" if data[mdhd] else ">12xII", data, mdhd)
+    if not scale:
+        raise ValueError("a track has no time scale")
     if b"stsz" in found:
         size, count = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
+        if size * count > len(data):
+            raise ValueError("a sample lies outside the file")
         sizes = (
             np.full(count, size, dtype=np.int64)
             if size
@@ -182,6 +195,8 @@ def _track(data: bytes, found: dict[bytes, tuple[int, int]]) -> Track:
             sizes = np.frombuffer(data, ">u1" if bits == 8 else ">u2", count, at).astype(np.int64)
     chunks = (table(data, found[b"co64"][0], ">u8") if b"co64" in found else table(data, found[b"stco"][0], ">u4"))[:, 0]
     runs = table(data, found[b"stsc"][0], ">u4", 3)
+    if len(chunks) and (not len(runs) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any() or runs[-1, 0] > len(chunks)):
+        raise ValueError("the runs of chunks are out of order")
     # A run holds from its first chunk up to the next run's.
     per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
     if per_chunk.sum() != len(sizes):
@@ -190,9 +205,13 @@ def _track(data: bytes, found: dict[bytes, tuple[int, int]]) -> Track:
     first = np.cumsum(per_chunk) - per_chunk
     offsets = np.repeat(chunks - ahead[first] if len(sizes) else chunks[:0], per_chunk) + ahead
     times = table(data, found[b"stts"][0], ">u4", 2)
+    if times[:, 0].sum() != len(sizes):
+        raise ValueError("the sample tables disagree on the number of samples")
     keys = table(data, found[b"stss"][0], ">u4")[:, 0] - 1 if b"stss" in found else np.arange(len(sizes))
-    if len(sizes) and (offsets + sizes).max() > len(data):
+    if len(sizes) and ((offsets + sizes).max() > len(data) or offsets.min() < 0):
         raise ValueError("a sample lies outside the file")
+    if len(keys) and (keys.min() < 0 or keys.max() >= len(sizes)):
+        raise ValueError("a keyframe is no sample")
     return Track(kind.decode("latin-1"), scale, length, sizes, offsets, np.repeat(times[:, 1], times[:, 0]), keys)
 
 
@@ -224,6 +243,7 @@ def media_row(text: bytes) -> tuple:
         seconds,
         len(track.sizes),
         len(track.keys),
+        (track.offsets[track.keys], track.sizes[track.keys]),
     )
 
 
@@ -232,8 +252,11 @@ def describe_media(docs: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
 
     def rows(batch: pa.RecordBatch) -> dict:
-        got = list(zip(*[media_row(t) for t in utf8(batch.column(1))], strict=True))
-        return {"doc_id": batch.column(0), **dict(zip(names, map(list, got), strict=True))}
+        *got, keys = zip(*[media_row(t) for t in utf8(batch.column(1))], strict=True)
+        ends = np.cumsum([0, *(len(offsets) for offsets, _ in keys)])
+        ranges = pa.StructArray.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*keys, strict=True)], ["offset", "length"])
+        keyframes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ranges)
+        return {"doc_id": batch.column(0), **dict(zip(names, [*map(list, got), keyframes], strict=True))}
 
     return map_batches(documents(docs), ["doc_id", "text"], rows, SCHEMA)
 
