@@ -2,34 +2,47 @@
 
 A page is cut into blocks of text with their place in the page: inside an article (or
 main) element, inside something that is never article text by its element or class
-(navigation, header, footer, sidebar, form, advert, comments), or open. The blocks
-outside the article go, as token streams, into one suffix array per host: streams are
-concatenated with separators of their own, suffixes are sorted by prefix doubling up to
-the least run length, and equal neighbours that come from two distinct pages or more
-make repeated runs. Tokens under such runs inside a block are boilerplate and are
-removed, and so are blocks that repeated runs across blocks cover as a whole (menus of
-short entries); of a block's rest the unique runs stay. Text in the article stays whole, also
-where it repeats (copies of an article are no boilerplate); open blocks stay with their
-unique runs when the page has no article; the other marked places never stay.
+(navigation, header, footer, sidebar, form, advert, comments), or open. A form around the
+whole page marks nothing.
+
+The blocks outside the article go, as token streams, into one suffix array per host:
+streams are concatenated with separators of their own, suffixes are sorted by prefix
+doubling up to the least run length, and equal neighbours that come from two distinct
+pages or more make repeated runs. Tokens under such runs inside a block are boilerplate and
+are removed, and so are blocks that repeated runs across blocks cover as a whole (menus of
+short entries); of an open block the unique runs stay.
+
+What is left decides where the main text is. A page without an article has its open unique
+runs. A page with one has the article alone, unless the open unique runs have more words
+than the article: then it is a teaser, and both stay in page order.
+
+Articles repeat too: as copies, and by passages that many of them share, or that stand in
+an advert or footer elsewhere. So a run inside an article is no boilerplate for being
+repeated. Only whole blocks go that stand in the articles of nine in ten distinct pages of
+the host, ten pages at least, and only where most of the article is other text (a menu
+or notice inside the main element).
 
 A host is dealt by a hash of page_id into shards of a bounded number of pages and
 characters, each with a suffix array of its own, so a host with a third of all pages is
 many small arrays. Runs that repeat across shards are found over the whole host: hashes
 of all windows of the least run length are aggregated to the least and the greatest
 page, and the repeated ones go to the shards whose pages ask for them. Only hosts of more
-than one shard that have open blocks on pages without an article do so, since nothing else depends on
-runs. Each page moves once, as extracted blocks.
+than one shard that have open blocks do so, since nothing else depends on runs. Article
+blocks are counted by their hashes over the whole host. Each page moves once, as extracted
+blocks, so its text depends on the host's pages and not on how they are dealt.
 
 Defined results: a null or empty html gives the empty text; a null url counts as one
 host, and its shards are bounded too; repeated rows give repeated results and do not make each other's
-text boilerplate (pages are distinct by page_id), nor do copies, pages without an article that have equal open blocks; a page cut off inside a tag or a
-comment ends there; other columns are ignored.
+text boilerplate (pages are distinct by page_id), nor do copies, pages whose open blocks and article
+are equal; a page cut off inside a tag or a comment ends there, and a quote that
+is never closed ends with its tag; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import map_batches, read_table
+from textloom.llm.common import map_batches, materialize, read_table
 
 #: Tokens that a repeated run has at least.
 MIN_RUN = 5
@@ -47,7 +60,10 @@ MOST_HOSTS = 200_000
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
-OPEN, ARTICLE, MARKED = 0, 1, 2
+OPEN, ARTICLE, MARKED, FORM = 0, 1, 2, 3
+
+#: A block in the articles of this share of a host's distinct pages is boilerplate, and the fewest such pages.
+COMMON_SHARE, COMMON_PAGES = 0.9, 10
 
 # HTML elements by how they bear on text.
 RAW = frozenset("script style noscript template iframe object svg math textarea select title head".split())
@@ -56,7 +72,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp small"
     " span strike strong sub sup time tt u var wbr".split()
 )
-NEVER = frozenset("nav header footer aside form dialog menu button".split())
+NEVER = frozenset("nav header footer aside dialog menu button".split())
 MAIN = frozenset("article main".split())
 # Words in class or id that mark what is no article text.
 HINTS = frozenset(
@@ -71,12 +87,12 @@ CLOSES_P = frozenset(
     " hgroup hr main menu nav ol p pre section table ul".split()
 )
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(?=/?[a-zA-Z])[^>]*(?:>|\Z)",
-    re.DOTALL,
-)
+TAG = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
 MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+")
+#: What marks an article element as a reader's comment.
+COMMENT = re.compile(r"(?:^|\s)(?:(?:comment|reply)(?:[-_]\S*)?|comments|replies|disqus)(?=\s|$)", re.IGNORECASE)
+QUOTE = re.compile(r"[\"'>]")
 
 
 def marked(attributes: str) -> bool:
@@ -84,13 +100,41 @@ def marked(attributes: str) -> bool:
     return any(w in HINTS for m in MARKS.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower()))
 
 
+def a_comment(attributes: str) -> bool:
+    """Whether class or id names a reader's comment."""
+    return any(COMMENT.search(m[1] or m[2] or m[3] or "") for m in MARKS.finditer(attributes))
+
+
+class TagEnds:
+    """Where tags end in one page: at the first ">" outside quotes, or the first of all after a quote that is never closed."""
+
+    def __init__(self, page: str):
+        self.page, self.open = page, {}
+
+    def after(self, at: int) -> int:
+        """The position of the tag's ">" from at on; -1 if there is none."""
+        page, start = self.page, at
+        while m := QUOTE.search(page, at):
+            if m[0] == ">":
+                return m.start()
+            if m.start() >= self.open.get(m[0], len(page)):
+                break  # such a quote is never closed from here on
+            close = page.find(m[0], m.end())
+            if close < 0:
+                self.open[m[0]] = m.start()
+                break
+            at = close + 1
+        return page.find(">", start)
+
+
 def blocks_of(page: str) -> list[tuple[int, str]]:
     """(place, text) of each block with text, in page order; white space inside is one space."""
     out: list[tuple[int, str]] = []
     parts: list[str] = []
-    # Open elements with the place of their content.
+    # Open elements with the place of their content, and how many there are of each name.
     stack: list[tuple[str, int]] = []
-    place = OPEN
+    held: Counter = Counter()
+    place, ends = OPEN, TagEnds(page)
 
     def flush() -> None:
         if parts:
@@ -98,6 +142,12 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
                 out.append((place, text))
             parts.clear()
 
+    def close(k: int) -> int:
+        for name, _ in stack[k:]:
+            held[name] -= 1
+        del stack[k:]
+        return stack[-1][1] if stack else OPEN
+
     at, end = 0, len(page)
     while at < end:
         m = TAG.search(page, at)
@@ -106,31 +156,33 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             break
         if m.start() > at:
             parts.append(page[at : m.start()])
-        at = m.end()
         name = m[2]
         if not name:
+            stop = page.find("-->" if m[0] == "<!--" else ">", m.end())
+            if stop < 0:
+                break
+            at = stop + (3 if m[0] == "<!--" else 1)
             continue
-        if not m[4]:  # the page ends inside a tag
+        stop = ends.after(m.end())
+        if stop < 0:  # the page ends inside a tag
             break
-        name = name.lower()
+        at, name, attributes = stop + 1, name.lower(), page[m.end() : stop]
         if m[1]:
             if name not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    place = stack[-1][1] if stack else OPEN
-                    break
+            if held[name]:
+                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
+                place = close(k)
             continue
         if name in RAW:
             if name == "head":
                 # Its elements are raw or void; what is left of it has no text.
                 continue
             flush()
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-            if m[3].rstrip().endswith("/") and name in ("svg", "math"):
+            if attributes.rstrip().endswith("/") and name in ("svg", "math"):
                 continue
-            at = close.end() if close else end
+            found = RAW_ENDS[name].search(page, at)
+            at = found.end() if found else end
             continue
         if name not in INLINE:
             flush()
@@ -140,24 +192,31 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             own = "p" if name in CLOSES_P else name
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == own:
-                    del stack[k:]
-                    place = stack[-1][1] if stack else OPEN
+                    place = close(k)
                     break
                 if stack[k][0] not in INLINE:
                     break
         inner = place
         if place != MARKED:
-            if name in NEVER or (m[3] and name not in ("html", "body") and name not in MAIN and marked(m[3])):
+            if name in MAIN:
+                inner = MARKED if attributes and a_comment(attributes) else ARTICLE
+            elif name in NEVER or (attributes and name not in ("html", "body", "form") and marked(attributes)):
                 inner = MARKED
-            elif name in MAIN:
-                inner = ARTICLE
+            elif name == "form":
+                inner = FORM if place in (OPEN, FORM) else MARKED
         if name not in INLINE or inner != place:
             if inner != place:
                 flush()
             stack.append((name, inner))
+            held[name] += 1
             place = inner
     flush()
-    return out
+    # A page whose text is all inside a form is open; other forms are marked.
+    form = OPEN if all(p in (MARKED, FORM) for p, _ in out) else MARKED
+    return [(form if p == FORM else p, t) for p, t in out]
+
+
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE) for name in RAW}
 
 
 # ---- suffix array ----
@@ -216,16 +275,30 @@ def windows_of(blocks: list[tuple[int, str]], host: str, least: int) -> tuple[li
 
 def asks(blocks: list[tuple[int, str]]) -> bool:
     """Whether repeated runs bear on the page's text."""
-    places = {place for place, _ in blocks}
-    return OPEN in places and ARTICLE not in places
+    return any(place == OPEN for place, _ in blocks)
+
+
+def content_of(blocks: list[tuple[int, str]]) -> int:
+    """A signed number that pages with equal open blocks and article share."""
+    text = "\n".join(f"{place}{t}" for place, t in blocks if place != MARKED)
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def content_of(blocks: list[tuple[int, str]], page: int | None) -> int:
-    """A signed number that copies of a page without an article share; another page has its own."""
-    text = "o" + "\n".join(t for place, t in blocks if place == OPEN) if asks(blocks) else f"p{page}"
+def block_hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
+def article_of(blocks: list[tuple[int, str]], common: frozenset[int]) -> set[int]:
+    """The article's blocks that stay: all but the host's common ones, or all where those are half of it or more."""
+    own = [(b, t) for b, (place, t) in enumerate(blocks) if place == ARTICLE]
+    rest = [(b, t) for b, t in own if block_hash(t) not in common] if common else own
+    return {b for b, _ in (rest if 2 * sum(map(n_words, rest)) > sum(map(n_words, own)) else own)}
+
+
+def n_words(block: tuple[int, str]) -> int:
+    return block[1].count(" ") + 1 if block[1] else 0
+
+
 def covered(starts: list[bool], n: int, least: int) -> np.ndarray:
     """Which of n tokens lie in a run that begins at one of the starts."""
     out = np.zeros(n, dtype=bool)
@@ -234,8 +307,8 @@ def covered(starts: list[bool], n: int, least: int) -> np.ndarray:
     return out
 
 
-def shard_texts(pages: list[list[tuple[int, str]]], ids: list, least: int = MIN_RUN, known: frozenset[int] = frozenset(), host: str = "") -> list[str]:
-    """The main text of each page of one shard of a host, from the pages' blocks; known: hashes of runs that repeat on the host."""
+def shard_texts(pages: list[list[tuple[int, str]]], ids: list, least: int = MIN_RUN, known: frozenset[int] = frozenset(), host: str = "", common: frozenset[int] = frozenset()) -> list[str]:
+    """The main text of each page of one shard of a host, from the pages' blocks; known: hashes of runs that repeat on the host, common: of article blocks that most of its pages have."""
     number: dict[str, int] = {}
     tokens: list[int] = []
     owner: list[int] = []
@@ -258,7 +331,7 @@ def shard_texts(pages: list[list[tuple[int, str]]], ids: list, least: int = MIN_
                 separate()
         separate()
         sizes.append(len(tokens) - before)
-    content = np.repeat(np.array([content_of(x, i) for x, i in zip(pages, ids, strict=True)], dtype=np.int64), sizes)
+    content = np.repeat(np.array([content_of(x) for x in pages], dtype=np.int64), sizes)
     stream, page = np.array(tokens, dtype=np.int64), np.array(owner, dtype=np.int64)
     within = repeated_tokens(stream, page, least, content)
     # Once more with the blocks of a page run together: short blocks that repeat in a row go as wholes.
@@ -290,13 +363,12 @@ def shard_texts(pages: list[list[tuple[int, str]]], ids: list, least: int = MIN_
         unique[p, b] = text
     out = []
     for p, blocks in enumerate(pages):
-        has_article = any(place == ARTICLE for place, _ in blocks)
-        kept = []
-        for b, (place, text) in enumerate(blocks):
-            if place == ARTICLE:
-                kept.append(text)
-            elif place == OPEN and not has_article and unique[p, b]:
-                kept.append(unique[p, b])
+        article = article_of(blocks, common)
+        open_ = {b: unique[p, b] for b, (place, _) in enumerate(blocks) if place == OPEN and unique[p, b]}
+        # The open part is the main text where it outweighs the article.
+        if article and sum(map(n_words, open_.items())) <= sum(n_words(blocks[b]) for b in article):
+            open_ = {}
+        kept = [text if b in article else open_[b] for b, (_, text) in enumerate(blocks) if b in article or b in open_]
         out.append(" ".join(kept))
     return out
 
@@ -313,7 +385,7 @@ def extract_text(pages: DataFrame, least: int = MIN_RUN) -> DataFrame:
     few = len(some) <= MOST_HOSTS
     held = F.broadcast(spark.createDataFrame([tuple(r) for r in some], "host string, shards int")) if few else large
     dealt = pages.join(held, "host", "left").select(
-        "page_id", "url", "html", "host", F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard")
+        "page_id", "url", "html", "host", F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"), F.coalesce("shards", F.lit(1)).alias("shards")
     )
 
     def cut(batch: pa.RecordBatch) -> dict:
@@ -328,17 +400,21 @@ def extract_text(pages: DataFrame, least: int = MIN_RUN) -> DataFrame:
         }
 
     shape = "page_id long, url string, host string, shard int, places binary, blocks array<string>"
-    streams = map_batches(dealt, dealt.columns, cut, shape)
+    streams = map_batches(dealt, ["page_id", "url", "html", "host", "shard"], cut, shape)
 
     def texts(table: pa.Table, runs: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "text": pa.array([], pa.string()), "n_chars": pa.array([], pa.int64())})
         blocks = [list(zip(p, b, strict=True)) for p, b in zip(table.column("places").to_pylist(), table.column("blocks").to_pylist(), strict=True)]
-        known = frozenset(runs.column("run").to_pylist())
-        got = shard_texts(blocks, table.column("page_id").to_pylist(), least, known, table.column("host")[0].as_py())
+        kinds = {False: [], True: []}
+        for run, is_block in zip(runs.column("run").to_pylist(), runs.column("block").to_pylist(), strict=True):
+            kinds[is_block].append(run)
+        got = shard_texts(blocks, table.column("page_id").to_pylist(), least, frozenset(kinds[False]), table.column("host")[0].as_py(), frozenset(kinds[True]))
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(got, pa.string()), "n_chars": pa.array(map(len, got), pa.int64())})
 
-    known = host_runs(dealt.join(held.select("host"), "host", "left_semi"), least)
+    # Hosts of one shard need no runs from elsewhere.
+    known = host_runs(dealt.join(held.select("host"), "host", "left_semi"), least).withColumn("block", F.lit(False))
+    known = known.unionByName(common_blocks(dealt).withColumn("block", F.lit(True)))
     return streams.groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInArrow(texts, SCHEMA)
 
 
@@ -358,17 +434,17 @@ def host_runs(dealt: DataFrame, least: int) -> DataFrame:
 
     def cut(batch: pa.RecordBatch) -> dict:
         out = {x: [] for x in ("host", "shard", "page", "content", "ask", "run")}
-        for host, shard, page, html, own in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+        for host, shard, page, html in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
             blocks = blocks_of(html or "")
             inside, together = windows_of(blocks, host, least)
             found = {*together, *(h for x in inside for h in x)}
             out["run"] += found
-            for name, x in (("host", host), ("shard", shard), ("page", page), ("content", content_of(blocks, own)), ("ask", asks(blocks))):
+            for name, x in (("host", host), ("shard", shard), ("page", page), ("content", content_of(blocks)), ("ask", asks(blocks))):
                 out[name] += [x] * len(found)
         return out
 
     # A null page_id is one page, as in a shard.
-    source = dealt.join(hosts, "host", "left_semi").select("host", "shard", F.xxhash64("page_id").alias("page"), "html", "page_id")
+    source = dealt.join(hosts, "host", "left_semi").select("host", "shard", F.xxhash64("page_id").alias("page"), "html")
     runs = map_batches(source, source.columns, cut, "host string, shard int, page long, content long, ask boolean, run long")
     twice = runs.groupBy("run").agg(
         (F.min("page") != F.max("page")).alias("pages"), (F.min("content") != F.max("content")).alias("contents"), F.max("ask").alias("ask")
@@ -377,5 +453,29 @@ def host_runs(dealt: DataFrame, least: int) -> DataFrame:
     return runs.filter("ask").select("host", "shard", "run").distinct().join(twice, "run").select("host", "shard", "run")
 
 
+def common_blocks(dealt: DataFrame) -> DataFrame:
+    """(host, shard, run): the hashes of blocks in the articles of most distinct pages of a host, for each of its shards."""
+
+    def cut(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"host": [], "content": [], "run": []}
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            blocks = blocks_of(html or "")
+            # A null stands for the page itself.
+            found = {None, *(block_hash(t) for place, t in blocks if place == ARTICLE)}
+            out["host"] += [host] * len(found)
+            out["content"] += [content_of(blocks)] * len(found)
+            out["run"] += found
+        return out
+
+    # Small hosts have no common blocks; large ones are told by their pages alone.
+    pages = dealt.groupBy("host").agg(F.count("*").alias("pages"), F.max("shards").alias("shards")).filter(F.col("pages") >= COMMON_PAGES)
+    held = map_batches(dealt, ["host", "html"], cut, "host string, content long, run long").distinct()
+    counts = held.groupBy("host", "run").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_PAGES)
+    counts = materialize(counts, "article-blocks")
+    total = counts.filter("run IS NULL").select("host", F.col("n").alias("contents"))
+    common = counts.filter("run IS NOT NULL").join(total, "host").filter(F.col("n") >= F.col("contents") * COMMON_SHARE)
+    return common.join(pages, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "run")
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages"))
