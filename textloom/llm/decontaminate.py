@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD_BYTES, documents, map_batches, parts_of, read_table
+from textloom.llm.common import WORD_BYTES, documents, map_batches, map_whole, parts_of, read_table
 
 ERROR_RATE = 0.08
 #: Characters of items whose pieces one automaton holds.
@@ -176,7 +176,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RAT
                 texts = batch.column(at).to_pylist()
                 yield batch.filter(pa.array([not (block and t and index.matches(normal(t))) for t in texts], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return map_whole(docs, run, docs.schema)
 
     return reduce(lambda left, block: clean(block, left), blocks(items, block_chars), docs)
 
