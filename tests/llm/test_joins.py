@@ -39,6 +39,35 @@ def test_sharding_groups_stay_together(spark):
     assert all(len(s) == 1 for s in held.values())
 
 
+def shard_sums(docs):
+    sizes, rows = Counter(), Counter()
+    for r in sharding.assign(docs).collect():
+        sizes[r["shard"]] += r["size"]
+        rows[r["shard"]] += 1
+    return [sizes[s] for s in range(8)], [rows[s] for s in range(8)]
+
+
+def test_sharding_without_ids(spark):
+    """Copies without a doc_id, or with one in common, are dealt like others."""
+    for own in (None, 7):
+        rows = [(own, "fourteen bytes") for _ in range(6000)] + [(i, f"{i:03d}") for i in range(2000)]
+        for got in shard_sums(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)):
+            assert max(got) - min(got) <= 0.01 * sum(got) / 8
+
+
+def test_sharding_in_buckets(spark):
+    """5,000 groups go through the buckets and come out as even as by one greedy over all."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "x" * int(rng.integers(1, 400)) + f" {i}") for i in range(5000)]
+    sizes, counts = shard_sums(spark.createDataFrame(rows, "doc_id long, text string"))
+    demand = np.array([[len(t) + 1, 2, 1] for _, t in rows], dtype=float)
+    whole = demand.sum(axis=0)
+    placed = sharding.place(demand / whole, np.full((8, 3), 1 / 8), sharding.largest_first(demand / whole, list(range(5000))))
+    greedy = [np.bincount(placed, weights=demand[:, k], minlength=8) for k in (0, 2)]
+    for got, best in ((sizes, greedy[0]), (counts, greedy[1])):
+        assert max(got) - min(got) <= max(best) - min(best) + 0.01 * sum(got) / 8
+
+
 def brute_place(demand, capacity, order):
     out = {}
     for i in order:
@@ -70,44 +99,70 @@ def brute_lines(rows, least):
     return Counter(out)
 
 
-@pytest.mark.parametrize("most", [line_dedup.MAX_BYTES, 0])
-def test_lines(corpus, corpus_rows, odd, none, odd_rows, most):
+@pytest.mark.parametrize("hot", [1, 256])
+def test_lines(corpus, corpus_rows, odd, none, odd_rows, hot, monkeypatch):
+    # With 1 no key or text is hot; with 256 most of these small tables' keys are.
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     for docs, source, least in ((corpus, corpus_rows, 10), (corpus, corpus_rows, 2), (odd, odd_rows, 2)):
-        got = line_dedup.dedup_lines(docs, least, most).collect()
-        assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got) == brute_lines(source, least)
-    assert line_dedup.dedup_lines(none, 10, most).count() == 0
-
-
-def test_counts_are_reversible(corpus):
-    table = lambda df: sorted((bytes(r["key"]), r["docs"]) for r in df.collect())
+        got = line_dedup.dedup_lines(docs, least)
+        lines, dropped = got.columns[-2:]
+        assert Counter((r["doc_id"], r["text"], r[lines], r[dropped]) for r in got.collect()) == brute_lines(source, least)
+    assert set(odd.columns) < set(line_dedup.dedup_lines(odd).columns) and lines == "n_lines_"
+    assert {r["n_lines"] for r in line_dedup.dedup_lines(odd).collect()} == {"clash"}
+    assert line_dedup.dedup_lines(none, 10).count() == 0
+
+
+def test_many_lines(spark):
+    """Keys on both sides of the limit in many shards, one line and one text in a third of all rows."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "\n".join(f"Line {int(rng.integers(2000))} " for _ in range(8)) + ("\neverywhere" if i % 3 == 0 else "")) for i in range(2000)]
+    rows += [(2000 + i, "a hot text\nof two lines") for i in range(1000)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got) == brute_lines(rows, 10)
+
+
+def index_rows(index):
+    counts = {bytes(r["key"]): r["docs"] for r in index.counts.collect()}
+    keys, found = set(), {}
+    for r in index.filters.collect():
+        raw = bytes(r["keys"])
+        own = [raw[i : i + 16] for i in range(0, len(raw), 16)]
+        keys |= set(own)
+        found[r["shard"]] = line_dedup.Shard(bytes(r["filter"]), raw)
+        assert found[r["shard"]].filter.contains(line_dedup.as_words(own)).all() and found[r["shard"]].holds(own).all()
+        assert (found[r["shard"]].filter.table > 0).sum() == len(own)
+    assert keys == {k for k, n in counts.items() if n >= index.min_docs}
+    return counts, keys
+
+
+def test_index_is_reversible(spark, corpus):
+    """Insertions and deletions change counts and filters alike, and a deletion undoes an insertion."""
     a, b = corpus.filter("doc_id % 3 = 0"), corpus.filter("doc_id % 3 <> 0")
-    counts = line_dedup.line_counts(b)
-    both = line_dedup.insert_documents(counts, a)
-    assert table(both) == table(line_dedup.line_counts(corpus))
-    assert table(line_dedup.delete_documents(both, a)) == table(counts)
+    first = line_dedup.build_index(b, 3)
+    both = line_dedup.insert_documents(first, a)
+    assert index_rows(both) == index_rows(line_dedup.build_index(corpus, 3))
+    assert index_rows(line_dedup.delete_documents(both, a)) == index_rows(first)
+    assert index_rows(line_dedup.delete_documents(first, corpus)) == ({}, set())
+    # Documents that the index has not seen lose what is common in it, and nothing else.
+    new = spark.createDataFrame([(1, "never seen\nshared line\nSHARED LINE")], "doc_id long, text string")
+    assert line_dedup.dedup_lines(new, index=both).first()["text"] == "never seen"
 
 
 def test_cuckoo_filter():
     keys = line_dedup.as_words([xxhash.xxh3_128_digest(str(i)) for i in range(5000)])
     held = line_dedup.CuckooFilter.build(keys)
-    assert held.contains(keys).all()
+    assert held.contains(keys).all() and (held.table > 0).sum() == 5000
     others = line_dedup.as_words([xxhash.xxh3_128_digest(f"x{i}") for i in range(20000)])
     assert held.contains(others).mean() < 0.002
     held.delete(keys[:2500])
     assert held.contains(keys[2500:]).all() and held.contains(keys[:2500]).mean() < 0.01
+    full = line_dedup.CuckooFilter(600)
+    full.insert(keys[: full.table.size * 9 // 10])
+    assert full.contains(keys[: full.table.size * 9 // 10]).all()
     with pytest.raises(OverflowError):
         line_dedup.CuckooFilter(1).insert(keys[:100])
 
 
-def test_exceptions_make_filters_exact(corpus):
-    from textloom.llm.common import materialize
-
-    counts = materialize(line_dedup.line_counts(corpus), "test")
-    held = line_dedup.sharded_filter(counts, 3)
-    for r in counts.collect():
-        assert held.contains([bytes(r["key"])])[0] == (r["docs"] >= 3)
-
-
 # ---- simhash ----
 
 
@@ -179,7 +234,7 @@ def test_components(spark):
 
 def test_drop_near_copies(spark, odd, none, odd_rows):
     rows = [(i, "one two three four five six seven eight nine ten") for i in range(5)] + [(9, "something else entirely to be kept here today")]
-    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5, wide=8).collect()
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
     assert sorted(r["doc_id"] for r in got) == [0, 9]
     kept = simhash.drop_near_copies(odd).collect()
     assert sum(r["text"] == "same same" for r in kept) == 1 and sum(not r["text"] for r in kept) == 1
@@ -187,26 +242,6 @@ def test_drop_near_copies(spark, odd, none, odd_rows):
     assert simhash.drop_near_copies(none).count() == 0
 
 
-def test_wide_links_recall(spark):
-    rng = np.random.default_rng(4)
-    base = [int(x) for x in rng.integers(0, 2**63, 200)]
-    near = {simhash.signed((b ^ sum(1 << int(k) for k in rng.choice(64, 6, replace=False))) % 2**64): simhash.signed(b) for b in base}
-    fps = [simhash.signed(b) for b in base] + list(near)
-    got = {tuple(r) for r in simhash.wide_links(spark.createDataFrame([(f,) for f in fps], "fp long"), 8).collect()}
-    assert all(((a ^ b) % 2**64).bit_count() <= 8 for a, b in got)
-    assert np.mean([tuple(sorted(p)) in got for p in near.items()]) >= 0.9
-
-
-def test_wide_links_in_crowded_cells(spark):
-    rng = np.random.default_rng(5)
-    base = [int(x) for x in rng.integers(0, 2**63, 300)]
-    near = {simhash.signed((b ^ sum(1 << int(k) for k in rng.choice(64, 6, replace=False))) % 2**64): b for b in base}
-    fps = spark.createDataFrame([(f,) for f in [*base, *near]], "fp long")
-    # Cells of one segment hold a quarter of all fingerprints or more.
-    got = {tuple(r) for r in simhash.wide_links(fps, 8, grids=8, segments=1).collect()}
-    assert all(tuple(sorted(p)) in got for p in near.items())
-
-
 def test_stage_drops_all_similar_copies(spark):
     import corpus_pipeline
 
@@ -321,6 +356,10 @@ def test_blocks():
         (2, "menu"), (2, "buy & go"), (1, "Head line"), (1, "Bold <x>"), (1, "next"), (1, "two"), (2, "side"), (2, "c1"), (0, "open"), (2, "f"),
     ]
     assert html_text.blocks_of("a <!-- x <p> --> b<p") == [(0, "a b")]
+    assert html_text.blocks_of('<form class="x"><div>all</div><nav>m</nav><form>of it</form></form>') == [(0, "all"), (2, "m"), (0, "of it")]
+    assert html_text.blocks_of("<form>search</form><p>text</p>") == [(2, "search"), (0, "text")]
+    assert html_text.blocks_of('<article>a<article class="comment-body x">c</article></article><article class="has-comments">b</article>') == [(1, "a"), (2, "c"), (1, "b")]
+    assert html_text.blocks_of('<p title="a>b">c</p><p title="never closed>d</p><p>e</p>') == [(0, "c"), (0, "d"), (0, "e")]
     assert html_text.blocks_of("") == [] and html_text.blocks_of("1 < 2 and 3 > 2") == [(0, "1 < 2 and 3 > 2")]
 
 
@@ -346,6 +385,85 @@ def test_suffix_array(streams, least):
     assert got == brute_repeated(tokens, page, least)
 
 
+def test_long_broken_page():
+    import time
+
+    began = time.time()
+    for page in ("<a b='" * 40_000, "<p title=\"x>y" * 40_000, "<div>" * 40_000 + "</span>" * 40_000, "<script>" * 20_000, "<!--" * 40_000):
+        html_text.blocks_of(page)
+    assert time.time() - began < 20
+
+
+def brute_host(pages, least=5):
+    """The texts of one host's pages (id, blocks), from the definitions, whatever their number."""
+    def runs(words):
+        return [tuple(words[i : i + least]) for i in range(len(words) - least + 1)]
+
+    place_text = {i: tuple((p, t) for p, t in blocks if p != 2) for i, blocks in pages}
+    inside, together, articles = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, blocks in pages:
+        words = []
+        for p, t in blocks:
+            if p != 1:
+                words += t.split()
+                for r in runs(t.split()):
+                    inside[r].add((i, place_text[i]))
+            else:
+                articles[t].add(place_text[i])
+        for r in runs(words):
+            together[r].add((i, place_text[i]))
+    twice = lambda held: {r for r, x in held.items() if len({i for i, _ in x}) > 1 and len({c for _, c in x}) > 1}
+    inside, together = twice(inside), twice(together)
+    many = len(set(place_text.values()))
+    common = {t for t, x in articles.items() if len(x) >= 10 and len(x) >= 0.9 * many}
+    out = {}
+    for i, blocks in pages:
+        words, spans = [], []
+        for p, t in blocks:
+            spans.append((len(words), len(words) + (len(t.split()) if p != 1 else 0)))
+            words += t.split() if p != 1 else []
+        whole = [any(tuple(words[k : k + least]) in together for k in range(max(0, j - least + 1), j + 1)) for j in range(len(words))]
+        kept = []
+        for (p, t), (a, b) in zip(blocks, spans, strict=True):
+            w = t.split()
+            if p == 0 and not all(whole[a:b]):
+                w = [x for j, x in enumerate(w) if not any(tuple(w[k : k + least]) in inside for k in range(max(0, j - least + 1), j + 1))]
+            elif p == 0:
+                w = []
+            kept.append(w)
+        own = [len(t.split()) for p, t in blocks if p == 1]
+        rest = sum(len(t.split()) for p, t in blocks if p == 1 and t not in common)
+        article = {k for k, (p, t) in enumerate(blocks) if p == 1 and (t not in common or 2 * rest <= sum(own))}
+        open_ = {k for k, (p, _) in enumerate(blocks) if p == 0 and kept[k]}
+        if article and sum(len(kept[k]) for k in open_) <= sum(len(blocks[k][1].split()) for k in article):
+            open_ = set()
+        out[i] = " ".join(" ".join(kept[k]) for k in range(len(blocks)) if k in article | open_)
+    return out
+
+
+@pytest.mark.parametrize("n", [60, 700])
+def test_whole_host(spark, n):
+    """Hosts of one and of several shards give what the definitions give over the whole host; runs bear on pages with an article."""
+    rng = np.random.default_rng(n)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
+    text = lambda k: " ".join(word() for _ in range(k))
+    shared = [text(8) for _ in range(n // 3)]
+    rows = []
+    for i in range(n):
+        pick = lambda: shared[int(rng.integers(len(shared)))]
+        article = f"<article><h2>menu of the site</h2><p>teaser {text(int(rng.integers(2, 60)))}</p><p>{pick()}</p></article>" if i % 12 else ""
+        body = f"<div>{text(int(rng.integers(1, 50)))} {pick()} {word()}</div><div>{pick()}</div><ul><li>one</li><li>two</li><li>three</li><li>four</li><li>five</li></ul>"
+        rows.append((i, "http://a.example/x", f"<nav>{pick()}</nav>{article}{body}"))
+    rows += [(n + k, "http://a.example/x", rows[k][2]) for k in range(10)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    wanted = brute_host([(i, html_text.blocks_of(h)) for i, _, h in rows])
+    assert got == wanted
+    both = [i for i in range(n) if i % 12 and got[i].count(" ") > 0]
+    # Pages with an article whose text the runs or the common blocks changed.
+    assert sum("menu of the site" not in got[i] for i in both) > n // 3
+    assert any(set(got[i].split()) - set(rows[i][2].split("</article>")[0].replace("<", " ").replace(">", " ").split()) for i in both)
+
+
 def test_extraction(spark):
     boiler = "all rights reserved by the owner of this site"
     rows = [(i, "http://a.example/x", f"<body><p>{boiler}</p><p>unique words {i} of page number {i * 7}</p></body>") for i in range(600)]
@@ -397,12 +515,33 @@ def test_pipeline(spark, sf):
 
 
 def test_pipeline_odd(spark, sf, odd, none):
+    """Nulls, repeated rows and columns that clash with those that the stages make: names and other values stay."""
     import corpus_pipeline
 
-    for docs in (odd.select("doc_id", "text", "lang", "source", "n_chars"), none.select("doc_id", "text", "lang", "source", "n_chars")):
-        for _, stage in corpus_pipeline.STAGES[1:]:
+    clashes = [f.lower() for f in ("tox_score", "N_LINES", "n_dropped", "body", "salt", "gone", "fp", "row", "textloom_fp", "a.b", "id", "component_id")]
+    wide = odd
+    for name in clashes:
+        wide = wide.withColumn(name, F.lit("clash")) if name not in odd.columns else wide
+    for docs in (wide, wide.limit(0)):
+        columns = docs.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, sf)
-        docs.count()
+            assert docs.columns == columns
+            docs = corpus_pipeline.materialize(docs, "test-odd")
+        rows = docs.collect()
+        assert all(r[c] == "clash" for r in rows for c in clashes)
+        corpus_pipeline.STAGES[-1][1](spark, docs, sf).count()
+    assert none.count() == 0
+
+
+def test_drop_near_copies_ties(spark):
+    rows = [(1, "b c d", "x"), (1, "b c d", "y"), (None, "q r s", "x"), (None, "q r s", "z"), (7, None, "x"), (7, "", "y")]
+    kept = set()
+    for n in (1, 3, 6):
+        got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(n)).collect()
+        assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 7]
+        kept.add(tuple(sorted((str(r["doc_id"]), r["fp"]) for r in got)))
+    assert len(kept) == 1
 
 
 def test_kept_digest(spark, sf):
