@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import measures as M
 from textloom.operators import cluster, corpus, graph, relations, tables, trie
 from textloom.sources import io
 from textloom.streaming import counts
@@ -41,11 +43,23 @@ def test_fold_and_contexts(spark, docs):
     assert [got[1, i] for i in range(5)] == ["A", "b", "A", "<rare>", "<number>"]
     near = corpus.contexts(corpus.tokens(docs), 1, 1).filter("doc_id = 3 AND pos = 0").collect()
     assert [(r["offset"], r["context"]) for r in near] == [(1, "a")]
+    around = {(r["word"], r["offset"], r["context"]): r["n"] for r in corpus.neighbour_words(docs, 2, 1).groupBy("word", "offset", "context").agg(F.count("*").alias("n")).collect()}
+    wanted = Counter()
+    for _, t in DOCS:
+        w = (t or "").split()
+        for i, x in enumerate(w):
+            for o in (-2, -1, 1):
+                wanted[x, o, w[i + o] if 0 <= i + o < len(w) else None] += 1
+    assert around == dict(wanted)
     probs = corpus.kneser_ney(docs).groupBy("w1").agg(F.sum("prob").alias("p")).collect()
     assert all(0 < r["p"] <= 1 + 1e-9 for r in probs)
 
 
 def test_phrases(spark, docs):
+    assert corpus.find_phrases(docs, ["", " "]).count() == 0
+    many = [f"none {i}" for i in range(80)]
+    found = [sorted(map(tuple, corpus.find_phrases(docs, ["a b", "12", "b a b", *more]).collect())) for more in ([], many)]
+    assert found[0] == found[1] and ("b a b", 3, 2) in found[0]
     rows = corpus.find_phrases(docs, ["a b", "12", "zzz z"]).collect()
     assert sorted((r["phrase"], r["doc_id"], r["pos"]) for r in rows) == [("12", 1, 4), ("a b", 1, 0), ("a b", 3, 1), ("a b", 3, 3)]
 
@@ -104,6 +118,92 @@ def test_clusters(spark):
         cluster.parse_options("nothing=1")
 
 
+def test_merging_in_rounds(spark):
+    """Mutual nearest clusters at once give what one merge after the other gives."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(40)] + [(40, [0.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    unit = np.array([v for _, v in rows])
+    unit[:40] /= np.linalg.norm(unit[:40], axis=1, keepdims=True)
+    groups = [[i] for i in range(41)]
+    for k, least in ((6, -2.0), (1, 0.2)):
+        while len(groups) > k:
+            sims = {(a, b): float(unit[x].sum(axis=0) @ unit[y].sum(axis=0) / len(x) / len(y)) for a, x in enumerate(groups) for b, y in enumerate(groups) if a < b}
+            a, b = max(sims, key=sims.get)
+            if sims[a, b] < least:
+                break
+            groups[a] += groups.pop(b)
+        got = {}
+        for r in cluster.agglomerate(df, cluster.Options(k=k, threshold=least)).collect():
+            got.setdefault(r["cluster"], []).append(r["vec_id"])
+            assert r["path"].startswith("B") and set(r["path"][1:]) <= {"0", "1"}
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups))
+        groups = [[i] for i in range(41)]
+
+
+@pytest.mark.parametrize("measure, epsilon", [("cosine", 0.1), ("cosine", 1.0), ("euclidean", 0.4), ("squared_euclidean", 0.2), ("manhattan", 0.5), ("canberra", 0.8)])
+def test_within(spark, measure, epsilon):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(120)] + [(200, [0.0, 0.0, 0.0]), (201, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    every = df.join(df.select(F.col("vec_id").alias("other"), F.col("v").alias("w")), F.col("vec_id") != F.col("other"))
+    wanted = {tuple(r) for r in every.filter(M.distance(measure, "v", "w") <= epsilon).select("vec_id", "other").collect()}
+    got = [tuple(r) for r in cluster.within(df, epsilon, measure).collect()]
+    assert set(got) == wanted and len(got) == len(wanted) and wanted
+
+
+def test_searches_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 5, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, cluster long, v array<double>").repartition(3)
+    centres = df.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("centre"), F.col("v").alias("cv"))
+
+    def results():
+        return [
+            sorted((r["vec_id"], r["centre"], round(r["sim"], 9)) for r in cluster.nearest(df, centres).collect()),
+            sorted((r["vec_id"], r["centre"], round(r["sim"], 9)) for r in cluster.nearest(df, centres, "euclidean").collect()),
+            sorted((r["query"], r["rank"], r["vec_id"]) for r in cluster.neighbours(df, df, 4).collect()),
+            sorted((r["c1"], r["c2"], round(r["sim"], 9)) for how in ("nearest", "furthest") for r in cluster.linkage(df, how).collect()),
+            sorted((r["c1"], r["c2"], round(r["dist"], 9)) for how in ("nearest", "furthest", "average") for r in cluster.linkage(df, how, "euclidean", "distance").collect()),
+            sorted((r["cluster"], r["vec_id"], round(r["value"], 9)) for how in ("nearest", "furthest", "average") for r in cluster.to_vectors(df, df, how).collect()),
+        ]
+
+    whole = results()
+    monkeypatch.setattr(cluster, "MAX_CENTRE_CELLS", 50)
+    assert results() == whole
+
+
+def test_backoff(spark, docs):
+    model = corpus.bigram_model(docs)
+    unseen = spark.createDataFrame([("b", "c"), ("zz", "a"), ("a", "zz"), ("a", "b")], "w1 string, w2 string")
+    got = {(r["w1"], r["w2"]): r["prob"] for r in corpus.bigram_probability(unseen, model).collect()}
+    known = {(r["w1"], r["w2"]): r["prob"] for r in corpus.kneser_ney(docs).collect()}
+    assert got["a", "b"] == pytest.approx(known["a", "b"]) and all(0 < p < 1 for p in got.values())
+    counts = corpus.ngrams(docs, 1, 3)
+    text = spark.createDataFrame([(1, "a b a zz b")], "doc_id long, text string")
+    assert [r["length"] for r in corpus.longest_match(text, counts, 3).orderBy("pos").collect()] == [1, 2, 3, 0, 1]
+
+
+def test_representatives_grow(spark):
+    assert cluster.all_sparse_or_dense(spark.createDataFrame([([1.0], None), ([2.0], None)], "dense array<double>, sparse map<int,double>"))
+    assert not cluster.all_sparse_or_dense(spark.createDataFrame([([1.0], None), (None, {1: 2.0})], "dense array<double>, sparse map<int,double>"))
+
+
+def test_fold_callback(spark):
+    rows = spark.createDataFrame([("x", i, i) for i in range(5)], "k string, i int, v int")
+    got = relations.fold(rows, ["k"], ["i"], F.lit(""), lambda state, r: F.concat(state, r["v"].cast("string")))
+    assert [tuple(r) for r in got.collect()] == [("x", "01234")]
+
+
+def test_xz_lines(spark, tmp_path):
+    import lzma
+
+    text = "".join(f"line {i} é\n" for i in range(5000)) + "the last"
+    (tmp_path / "a.txt.xz").write_bytes(lzma.compress(text.encode()))
+    got = [r["value"] for r in io.read_xz_lines(spark, str(tmp_path / "a.txt.xz")).collect()]
+    assert got == text.split("\n")
+
+
 def test_io(spark, docs, tmp_path):
     lines = spark.createDataFrame([(" a ",), ("",), ("#c",), ("d;e",)], "value string").coalesce(1)
     path = str(tmp_path / "lines")

@@ -47,6 +47,40 @@ def resize(a: Column, n: int, fill) -> Column:
     return F.slice(F.concat(a, F.array_repeat(F.lit(fill), n)), 1, n)
 
 
+def without_nulls(a: Column) -> Column:
+    return F.array_compact(a)
+
+
+def pushed(a: Column, x: Column) -> Column:
+    return F.array_append(a, x)
+
+
+def prepended(a: Column, x: Column) -> Column:
+    return F.array_prepend(a, x)
+
+
+def popped(a: Column) -> Column:
+    """Struct (rest, item): without the last element, and that element; an empty list gives itself and null."""
+    rest = F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+    return F.struct(rest.alias("rest"), last(a).alias("item"))
+
+
+def extended(a: Column, x: Column, times: int = 1) -> Column:
+    """With a value at the end so many times."""
+    return F.concat(a, F.array_repeat(x, times))
+
+
+def compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: lists or bit vectors by their first difference, then by length; null if either is null."""
+    n = F.size(a)
+    m = F.size(b)
+    short = F.least(n, m)
+    signs = F.zip_with(F.slice(a, F.lit(1), short), F.slice(b, F.lit(1), short), lambda x, y: F.when(x < y, -1).when(x > y, 1).otherwise(0))
+    inside = F.filter(signs, lambda d: d != 0)
+    by_length = F.when(n < m, -1).when(n > m, 1).otherwise(0)
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).otherwise(F.coalesce(F.get(inside, F.lit(0)), by_length))
+
+
 def assoc(pairs: Column, key) -> Column:
     """The value of the first pair (key, value) with the key; null without one."""
     return F.get(F.filter(pairs, lambda p: p["key"] == key), F.lit(0))["value"]

@@ -70,6 +70,37 @@ def to_number(s: Column) -> Column:
     return F.when(num.isNotNull() & den.isNotNull() & (den != 0), F.struct(num.alias("num"), den.alias("den")))
 
 
+def same_number(a: Column, b: Column) -> Column:
+    """Whether two number texts, integers, floats or ratios, have one value; null if either is no number."""
+    x, y = to_number(a), to_number(b)
+    whole = (x["num"].cast("decimal(38,0)") * y["den"].cast("decimal(38,0)")) == (y["num"].cast("decimal(38,0)") * x["den"].cast("decimal(38,0)"))
+    value = lambda n, s: F.coalesce(n["num"].cast("double") / n["den"], to_double(s))
+    return F.when(x.isNotNull() & y.isNotNull(), whole).otherwise(value(x, a) == value(y, b))
+
+
+def compare_numbers(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by value, for number texts of any kind; null if either is no number."""
+    value = lambda s: F.coalesce(to_number(s)["num"].cast("double") / to_number(s)["den"], to_double(s))
+    x, y = value(a), value(b)
+    return F.when(same_number(a, b), 0).when(x < y, -1).when(x > y, 1)
+
+
+def compare_bytes(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by the texts' UTF-8 bytes; null if either is null."""
+    return F.when(a.cast("binary") < b.cast("binary"), -1).when(a.cast("binary") > b.cast("binary"), 1).when(a.isNotNull() & b.isNotNull(), 0)
+
+
+def random_int(key: Column, low: int, high: int, seed: int = 0) -> Column:
+    """An integer from low to high - 1 that follows from the key and the seed alone."""
+    return (F.lit(low) + F.floor(random_float(key, 0.0, 1.0, seed) * (high - low))).cast("bigint")
+
+
+def random_float(key: Column, low: float = 0.0, high: float = 1.0, seed: int = 0) -> Column:
+    """A number from low up to below high that follows from the key and the seed alone."""
+    draw = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return F.lit(float(low)) + draw * (high - low)
+
+
 def radix(s: Column, base: int) -> Column:
     return F.conv(s, base, 10).try_cast("bigint")
 

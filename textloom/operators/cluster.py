@@ -1,23 +1,30 @@
 """Clustering of vector tables (vec_id, v array<double>[, label]).
 
-Assignments maximise a similarity; ties go to the smallest centre. Centres are a bounded
-table (k rows), and a join with them is broadcast only while k vectors stay below
-``MAX_CENTRE_CELLS`` numbers; beyond it Spark picks the join.
+Assignments maximise a similarity; ties go to the smallest centre. Searches of all vectors
+against a table of others (centres, queries, members of clusters) take the others in
+blocks of at most ``MAX_CENTRE_CELLS`` numbers: each block goes to all tasks, the vectors
+are read once a block and never move, and only each block's best results are merged. For
+cosine a block is a matrix product in numpy; other measures are Spark expressions over the
+block as one array. Searches within a distance meet in a grid of distances to pivots.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import measures as M
-from textloom.operators.tables import materialize
+from textloom.functions.vectors import normalize
+from textloom.operators.tables import dense_ids, materialize
 
 MAX_CENTRE_CELLS = 4_000_000
 
@@ -68,26 +75,148 @@ def parse_options(text: str, base: Options = Options()) -> Options:
     return out
 
 
-def _small(centres: DataFrame) -> DataFrame:
-    size = centres.agg(F.sum(F.size("cv"))).first()[0] or 0
-    return F.broadcast(centres) if size <= MAX_CENTRE_CELLS else centres
+def blocks(rows: DataFrame, key: str, cells: int | None = None):
+    """The rows (key, v, ...) in blocks of about so many numbers each, one after the other, as written tables' parts."""
+    rows = materialize(rows, "blocks")
+    size = rows.agg(F.sum(F.size("v"))).first()[0] or 0
+    n = max(1, -(-size // (cells or MAX_CENTRE_CELLS)))
+    for b in range(n):
+        yield rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) == b) if n > 1 else rows
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column of doubles of one length."""
+    n = len(column)
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+
+
+def _block(rows: DataFrame, *names: str) -> tuple:
+    """A block's columns on the driver, in the order of the first: lists, and the vectors as a matrix."""
+    got = rows.select(*names, "v").toArrow().sort_by(names[0])
+    return *[got.column(c).to_pylist() for c in names], _matrix(got.column("v").combine_chunks())
+
+
+def _best_in_block(vectors: DataFrame, block: DataFrame, measure: str) -> DataFrame:
+    """(vec_id, centre, sim): the most similar of the block for each vector; block (centre, v)."""
+    if measure == "cosine":
+        names, m = _block(block, "centre")
+        m, ids = _unit(m), np.array(names)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows and len(ids):
+                    sims = _unit(_matrix(batch.column(1))) @ m.T
+                    at = np.argmax(np.round(sims, 12), axis=1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[at]), pa.array(sims[np.arange(len(at)), at])], names=["vec_id", "centre", "sim"])
+
+        kinds = {f.name: f.dataType.simpleString() for f in (*vectors.schema, *block.schema)}
+        return vectors.select("vec_id", "v").mapInArrow(run, f"vec_id {kinds['vec_id']}, centre {kinds['centre']}, sim double")
+    # One row that holds the whole block, whose size is bounded.
+    whole = block.agg(F.collect_list(F.struct("centre", F.col("v").alias("cv"))).alias("all"))
+    scored = vectors.select("vec_id", "v").crossJoin(F.broadcast(whole)).select("vec_id", "v", F.explode("all").alias("c")).select("vec_id", "v", "c.centre", "c.cv")
+    scored = scored.select("vec_id", "centre", M.similarity(measure, "v", "cv").alias("sim"))
+    return scored.groupBy("vec_id").agg(F.max(F.struct("sim", (-F.col("centre")).alias("turn"))).alias("best")).select("vec_id", (-F.col("best.turn")).alias("centre"), F.col("best.sim").alias("sim"))
 
 
 def nearest(vectors: DataFrame, centres: DataFrame, measure: str = "cosine", threshold: float | None = None) -> DataFrame:
     """(vec_id, centre, sim): each vector's best centre of centres (centre, cv), if it reaches the threshold."""
-    pairs = vectors.select("vec_id", "v").join(_small(centres.select("centre", "cv")))
-    scored = pairs.select("vec_id", "centre", M.similarity(measure, "v", "cv").alias("sim"))
-    best = scored.groupBy("vec_id").agg(F.max(F.struct("sim", (-F.col("centre")).alias("turn"))).alias("best"))
-    out = best.select("vec_id", (-F.col("best.turn")).alias("centre"), F.col("best.sim").alias("sim"))
+    found = [_best_in_block(vectors, b, measure) for b in blocks(centres.select("centre", F.col("cv").alias("v")), "centre")]
+    out = found[0]
+    if len(found) > 1:
+        both = reduce(DataFrame.unionByName, found)
+        best = both.groupBy("vec_id").agg(F.max(F.struct(F.round("sim", 12).alias("near"), (-F.col("centre")).alias("turn"), "sim")).alias("best"))
+        out = best.select("vec_id", (-F.col("best.turn")).alias("centre"), F.col("best.sim").alias("sim"))
     return out if threshold is None else out.filter(F.col("sim") >= threshold)
 
 
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "cosine") -> DataFrame:
-    """(query, vec_id, sim, rank): of each query the k most similar other vectors."""
-    q = queries.select(F.col("vec_id").alias("query"), F.col("v").alias("qv"))
-    scored = vectors.select("vec_id", "v").join(q, F.col("vec_id") != F.col("query")).select("query", "vec_id", M.similarity(measure, "qv", "v").alias("sim"))
+    """(query, vec_id, sim, rank): of each query the k most similar other vectors; "product" is the inner product."""
+    q = queries.select(F.col("vec_id").alias("query"), "v")
+    out = reduce(DataFrame.unionByName, [_ranked_in_block(b, vectors, k, measure) for b in blocks(q, "query")])
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "vec_id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _ranked_in_block(block: DataFrame, vectors: DataFrame, k: int, measure: str) -> DataFrame:
+    """(query, vec_id, sim) with the k best of each task, at least, for the block's queries (query, v)."""
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    if measure not in ("cosine", "product"):
+        whole = block.agg(F.collect_list(F.struct("query", F.col("v").alias("qv"))).alias("all"))
+        pairs = vectors.select("vec_id", "v").crossJoin(F.broadcast(whole)).select("vec_id", "v", F.explode("all").alias("q")).select("vec_id", "v", "q.query", "q.qv")
+        return pairs.filter(F.col("vec_id") != F.col("query")).select("query", "vec_id", M.similarity(measure, "qv", "v").alias("sim"))
+    names, m = _block(block, "query")
+    scaled = _unit if measure == "cosine" else lambda x: x
+    ids, m = np.array(names), scaled(m)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_sim, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            sims = np.round(m @ scaled(_matrix(batch.column(1))).T, 12)
+            sims[ids[:, None] == own[None, :]] = -np.inf
+            best_sim, best_id = np.concatenate([best_sim, sims], axis=1), np.concatenate([best_id, np.broadcast_to(own, sims.shape)], axis=1)
+            # By similarity, then by id: a stable sort by the second and then by the first.
+            by_id = np.argsort(best_id, axis=1, kind="stable")
+            by_sim = np.argsort(-np.take_along_axis(best_sim, by_id, 1), axis=1, kind="stable")[:, :k]
+            take = np.take_along_axis(by_id, by_sim, 1)
+            best_sim, best_id = np.take_along_axis(best_sim, take, 1), np.take_along_axis(best_id, take, 1)
+        row, at = np.nonzero(np.isfinite(best_sim))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(best_id[row, at]), pa.array(best_sim[row, at])], names=["query", "vec_id", "sim"])
+
+    return vectors.select("vec_id", "v").mapInArrow(run, f"query {kind}, vec_id {kind}, sim double")
+
+
+#: Pivots of the grid in which vectors within a distance meet.
+PIVOTS = 2
+
+
+def within(vectors: DataFrame, epsilon: float, measure: str = "cosine") -> DataFrame:
+    """(vec_id, other) of every two vectors at a distance of at most epsilon, in both orders.
+
+    Cosine (as an angle), Euclidean and Manhattan distance obey the triangle inequality: the
+    distances of two near vectors to a pivot differ by no more than their own distance. So
+    vectors are put into a grid of their distances to pivots, in steps of that length, and
+    each meets the cells around its own. For squared Euclidean the step is the root; other
+    measures have one cell for all pairs and are meant for bounded tables.
+    """
+    metric = {"cosine": "cosine", "euclidean": "euclidean", "squared_euclidean": "euclidean", "manhattan": "manhattan"}.get(measure)
+    step = float(np.arccos(max(-1.0, 1 - epsilon))) if measure == "cosine" else epsilon**0.5 if measure == "squared_euclidean" else epsilon
+    rows = vectors.select("vec_id", "v")
+    cells = []
+    if metric:
+        step = max(step * (1 + 1e-9), 1e-6)
+        for k, r in enumerate(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()):
+            rows = rows.withColumn(f"pivot{k}", F.array(*[F.lit(float(x)) for x in r["v"]]))
+            gap = M.similarity("cosine", "v", f"pivot{k}") if measure == "cosine" else M.distance(metric, "v", f"pivot{k}")
+            gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), gap))) if measure == "cosine" else gap
+            rows = rows.withColumn(f"cell{k}", F.floor(gap / step)).drop(f"pivot{k}")
+            cells.append(f"cell{k}")
+        if measure == "cosine":
+            # Zero vectors have no angle; their similarity to all others is 0 and to one another stated by the measure.
+            zero = ~F.exists("v", lambda x: x != 0)
+            rows = rows.withColumn("zero", zero)
+    if not cells:
+        rows, cells = rows.withColumn("cell0", F.lit(0).cast("bigint")), ["cell0"]
+    around = rows.select(F.col("vec_id").alias("other"), F.col("v").alias("w"), *cells)
+    for c in cells if metric else []:
+        around = around.withColumn(c, F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
+    met = rows.join(around, cells).filter("vec_id <> other")
+    near = met.filter(M.distance(measure, "v", "w") <= epsilon).select("vec_id", "other")
+    if "zero" in rows.columns and epsilon >= 1:
+        # At a distance of 1 zero vectors are near all others.
+        zeros = rows.filter("zero").select("vec_id", "v")
+        whole = zeros.agg(F.collect_list(F.struct("vec_id", "v")).alias("all"))
+        far = rows.filter("NOT zero").select("vec_id", "v").crossJoin(F.broadcast(whole)).select("vec_id", F.explode("all").alias("z"))
+        far = far.select("vec_id", F.col("z.vec_id").alias("other"))
+        near = near.unionByName(far).unionByName(far.select(F.col("other").alias("vec_id"), F.col("vec_id").alias("other"))).distinct()
+    return near
 
 
 def centroids(assigned: DataFrame, how: str = "sum", cluster: str = "cluster") -> DataFrame:
@@ -110,12 +239,60 @@ def medoids(assigned: DataFrame, measure: str = "cosine", how: str = "sum") -> D
     return best.select("cluster", (-F.col("best.turn")).alias("vec_id"))
 
 
-def linkage(assigned: DataFrame, how: str, measure: str = "cosine") -> DataFrame:
-    """(c1, c2, sim), c1 < c2: mean, least (furthest) or largest (nearest) similarity of the members of two clusters."""
-    agg = {"average": F.avg, "furthest": F.min, "nearest": F.max}[how]
-    left = assigned.select(F.col("cluster").alias("c1"), F.col("v").alias("v1"))
-    right = assigned.select(F.col("cluster").alias("c2"), F.col("v").alias("v2"))
-    return left.join(right, F.col("c1") < F.col("c2")).groupBy("c1", "c2").agg(agg(M.similarity(measure, "v1", "v2")).alias("sim"))
+def linkage(assigned: DataFrame, how: str, measure: str = "cosine", kind: str = "similarity") -> DataFrame:
+    """(c1, c2, sim), c1 < c2: average, furthest or nearest similarity of the members of two clusters, or distance.
+
+    The furthest similarity is the least, the furthest distance the largest. The mean cosine
+    of two clusters is the product of their sums of unit vectors over their sizes: two
+    aggregates. Nearest and furthest need all pairs and take the members in blocks.
+    """
+    agg = {"average": "avg", "furthest": "min" if kind == "similarity" else "max", "nearest": "max" if kind == "similarity" else "min"}[how]
+    name = "sim" if kind == "similarity" else "dist"
+    if measure == "cosine" and how == "average":
+        unit = assigned.select("cluster", normalize(F.col("v")).alias("v"))
+        sums = materialize(centroids(unit), "sums")
+        one, two = (sums.select(F.col("cluster").alias(f"c{k}"), F.col("size").alias(f"n{k}"), F.col("v").alias(f"v{k}")) for k in (1, 2))
+        dot = F.aggregate(F.zip_with("v1", "v2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        pairs = one.join(two, F.col("c1") < F.col("c2"))  # as many as there are results
+        value = dot / (F.col("n1") * F.col("n2"))
+        return pairs.select("c1", "c2", (value if kind == "similarity" else 1 - value).alias(name))
+    if measure == "cosine":
+        found = [_linked_in_block(assigned, b, "max" if how == "nearest" else "min") for b in blocks(assigned.select("vec_id", "cluster", "v"), "vec_id")]
+        merge = F.max if how == "nearest" else F.min
+        out = reduce(DataFrame.unionByName, found).groupBy("c1", "c2").agg(merge("sim").alias("sim"))
+        return out if kind == "similarity" else out.select("c1", "c2", (1 - F.col("sim")).alias(name))
+    value = (M.similarity if kind == "similarity" else M.distance)(measure, "v1", "v2")
+    parts = []
+    for b in blocks(assigned.select("vec_id", "cluster", "v"), "vec_id"):
+        whole = b.agg(F.collect_list(F.struct(F.col("cluster").alias("c2"), F.col("v").alias("v2"))).alias("all"))
+        met = assigned.select(F.col("cluster").alias("c1"), F.col("v").alias("v1")).crossJoin(F.broadcast(whole)).select("c1", "v1", F.inline("all")).filter("c1 < c2")
+        parts.append(met.select("c1", "c2", value.alias("value")).groupBy("c1", "c2").agg(F.sum("value").alias("total"), F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most")))
+    both = reduce(DataFrame.unionByName, parts).groupBy("c1", "c2")
+    return both.agg({"avg": F.sum("total") / F.sum("n"), "min": F.min("least"), "max": F.max("most")}[agg].alias(name))
+
+
+def _linked_in_block(assigned: DataFrame, block: DataFrame, how: str) -> DataFrame:
+    """(c1, c2, sim), c1 < c2: the largest or least cosine of each cluster's members with those of the block, one row a task."""
+    _, labels, m = _block(block, "vec_id", "cluster")
+    names, column = np.unique(np.array(labels), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    starts, m = np.flatnonzero(np.diff(column[order], prepend=-1)), _unit(m)[order]
+    ufunc, worst = (np.maximum, -np.inf) if how == "max" else (np.minimum, np.inf)
+    kind = assigned.schema["cluster"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            if not batch.num_rows or not len(names):
+                continue
+            sims = ufunc.reduceat(_unit(_matrix(batch.column(1))) @ m.T, starts, axis=1)
+            for c, row in zip(batch.column(0).to_pylist(), sims, strict=True):
+                held[c] = ufunc(held[c], row) if c in held else row
+        out = [(c, d, float(x)) for c, row in held.items() for d, x in zip(names.tolist(), row, strict=True) if c < d and x != worst]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["c1", "c2", "sim"])
+
+    return assigned.select("cluster", "v").mapInArrow(run, f"c1 {kind}, c2 {kind}, sim double")
 
 
 def grow_seeds(vectors: DataFrame, measure: str = "cosine", threshold: float = 0.2) -> DataFrame:
@@ -213,13 +390,54 @@ def leader(vectors: DataFrame, o: Options = Options(), group: str | None = None)
     return vectors.select("vec_id", "v", group).groupBy(group).applyInPandas(one, f"vec_id long, cluster long, {group} {kind}")
 
 
+def merge_rounds(vectors: DataFrame, o: Options = Options()) -> DataFrame:
+    """(vec_id, cluster, path): average-linkage merging by cosine, all mutual nearest clusters at once.
+
+    A cluster is its size and the sum of its unit vectors, so the mean cosine of two
+    clusters is the inner product of their means, and what the neighbours of a merged
+    cluster are follows from the next search. A merge never brings two clusters nearer to a third
+    than the nearer one was, so merging every pair that are each other's nearest gives the
+    tree that merging one pair after the other gives. The tree is then cut: the n - k
+    merges of the highest similarity hold, ties by round and ids.
+    """
+    live = materialize(vectors.select(F.col("vec_id").alias("cluster"), F.lit(1).cast("bigint").alias("size"), normalize(F.col("v")).alias("v")), "live")
+    n, rounds = live.count(), []
+    while True:
+        means = materialize(live.select(F.col("cluster").alias("vec_id"), F.transform("v", lambda x: x / F.col("size")).alias("v")), "means")
+        best = materialize(neighbours(means, means, 1, "product").select("query", "vec_id", "sim"), "best")
+        back = best.select(F.col("vec_id").alias("query"), F.col("query").alias("vec_id"))
+        mutual = best.filter((F.col("query") < F.col("vec_id")) & (F.col("sim") >= o.threshold)).join(back, ["query", "vec_id"])
+        mutual = materialize(mutual.select(F.col("query").alias("a"), F.col("vec_id").alias("b"), "sim", F.lit(len(rounds)).alias("round")), "merges")
+        if mutual.isEmpty():
+            break
+        rounds.append(mutual)
+        named = live.join(mutual.select(F.col("b").alias("cluster"), "a"), "cluster", "left").select(F.coalesce("a", "cluster").alias("cluster"), "size", "v")
+        cells = named.select("cluster", F.posexplode("v").alias("dim", "x")).groupBy("cluster", "dim").agg(F.sum("x").alias("x"))
+        sums = cells.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda c: c["x"]).alias("v"))
+        live = materialize(named.groupBy("cluster").agg(F.sum("size").alias("size")).join(sums, "cluster"), "live")
+    assigned = vectors.select("vec_id", F.col("vec_id").alias("top"), F.lit("").alias("path"))
+    if rounds:
+        merges = reduce(DataFrame.unionByName, rounds)
+        held = materialize(dense_ids(merges.withColumn("far", -F.col("sim")), ["far", "round", "a"], "rank").filter(F.col("rank") < n - max(1, o.k)), "held")
+        for r in range(len(rounds)):
+            now = held.filter(F.col("round") == r)
+            both = now.select(F.col("a").alias("top"), "a", F.lit("0").alias("bit")).unionByName(now.select(F.col("b").alias("top"), "a", F.lit("1").alias("bit")))
+            joined = assigned.join(both, "top", "left")
+            assigned = materialize(joined.select("vec_id", F.coalesce("a", "top").alias("top"), F.concat(F.coalesce("bit", F.lit("")), "path").alias("path")), "assigned")
+    tops = dense_ids(assigned.groupBy("top").agg(F.min("vec_id").alias("first")), ["first"], "cluster").select("top", "cluster")
+    return assigned.join(tops, "top").select("vec_id", "cluster", F.concat(F.lit("B"), "path").alias("path"))
+
+
 def agglomerate(vectors: DataFrame, o: Options = Options(), most: int = 5000) -> DataFrame:
     """(vec_id, cluster, path) by Brown-style merging of the two most similar clusters (average linkage).
 
     Stops at k clusters or below the threshold. path tells the merges from the top down
-    ("B01": second child of the first). The merge needs all pairs, so the input is a
-    bounded table: more than so many vectors raise ValueError (cluster their centres).
+    ("B01": second child of the first). Cosine works for tables of any size
+    (``merge_rounds``). The mean of other measures needs all pairs of members, so their input
+    is a bounded table: more than so many vectors raise ValueError (cluster their centres).
     """
+    if o.measure == "cosine":
+        return merge_rounds(vectors, o)
     n = vectors.limit(most + 1).count()
     if n > most:
         raise ValueError(f"more than {most} vectors")
@@ -263,9 +481,7 @@ def agglomerate(vectors: DataFrame, o: Options = Options(), most: int = 5000) ->
 
 def dbscan(vectors: DataFrame, o: Options = Options()) -> DataFrame:
     """(vec_id, cluster): density clusters by distance <= epsilon; noise has a null cluster, named by their least core."""
-    d = M.distance(o.measure, "v", "w")
-    pairs = vectors.select("vec_id", "v").join(vectors.select(F.col("vec_id").alias("other"), F.col("v").alias("w")), F.col("vec_id") != F.col("other"))
-    near = materialize(pairs.filter(d <= o.epsilon).select("vec_id", "other"), "near")
+    near = materialize(within(vectors, o.epsilon, o.measure), "near")
     core = materialize(near.groupBy("vec_id").agg(F.count("*").alias("n")).filter(F.col("n") + 1 >= o.min_points).select("vec_id"), "core")
     links = near.join(core, "vec_id").join(core.select(F.col("vec_id").alias("other")), "other")
     label = materialize(core.withColumn("cluster", F.col("vec_id")), "labels")
@@ -337,13 +553,16 @@ def to_vectors(assigned: DataFrame, vectors: DataFrame, how: str, measure: str =
 
     reverse gives the measure its vectors in the other order, which matters for asymmetric ones.
     """
-    far = F.min if kind == "similarity" else F.max
-    near = F.max if kind == "similarity" else F.min
-    agg = {"average": F.avg, "furthest": far, "nearest": near}[how]
-    left = assigned.select("cluster", F.col("v").alias("member"))
     order = ("v", "member") if reverse else ("member", "v")
     value = (M.similarity if kind == "similarity" else M.distance)(measure, *order)
-    return left.join(vectors.select("vec_id", "v")).groupBy("cluster", "vec_id").agg(agg(value).alias("value"))
+    parts = []
+    for b in blocks(assigned.select("vec_id", "cluster", "v"), "vec_id"):
+        whole = b.agg(F.collect_list(F.struct("cluster", F.col("v").alias("member"))).alias("all"))
+        met = vectors.select("vec_id", "v").crossJoin(F.broadcast(whole)).select("vec_id", "v", F.inline("all")).select("cluster", "vec_id", value.alias("value"))
+        parts.append(met.groupBy("cluster", "vec_id").agg(F.sum("value").alias("total"), F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most")))
+    both = reduce(DataFrame.unionByName, parts).groupBy("cluster", "vec_id")
+    low = (how == "furthest") == (kind == "similarity")
+    return both.agg((F.sum("total") / F.sum("n") if how == "average" else F.min("least") if low else F.max("most")).alias("value"))
 
 
 def separate_seeds(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -351,6 +570,38 @@ def separate_seeds(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return vectors.filter("label IS NOT NULL"), vectors.filter("label IS NULL")
 
 
+def merged(assigned: DataFrame, into, *others) -> DataFrame:
+    """The assignment after other clusters' members went into one."""
+    return assigned.withColumn("cluster", F.when(F.col("cluster").isin(*others), F.lit(into)).otherwise(F.col("cluster")))
+
+
+def extract_clusters(labelled: DataFrame) -> DataFrame:
+    """(cluster, label, size, members): vectors (vec_id, label) by label, numbered in the order in which labels are first seen by vec_id; unlabelled ones are left out."""
+    groups = labelled.filter("label IS NOT NULL").groupBy("label").agg(F.min("vec_id").alias("first"), F.count("*").alias("size"), F.array_sort(F.collect_list("vec_id")).alias("members"))
+    return dense_ids(groups, ["first"], "cluster").select("cluster", "label", "size", "members")
+
+
+def all_sparse_or_dense(vectors: DataFrame) -> bool:
+    """Whether the vectors of a table are all of one kind: all with a sparse map or all with a dense array; columns dense and sparse, of which a row has one."""
+    n = vectors.agg(F.count("*").alias("all"), F.count("dense").alias("dense"), F.count("sparse").alias("sparse")).first()
+    return (n["dense"], n["sparse"]) in ((n["all"], 0), (0, n["all"]))
+
+
+def updated_representative(clusters: DataFrame, newcomers: DataFrame) -> DataFrame:
+    """(cluster, size, v): sums after newcomers (cluster, v) joined clusters (cluster, size, v), without a look at old members."""
+    more = centroids(newcomers).select("cluster", F.col("size").alias("more"), F.col("v").alias("w"))
+    both = clusters.join(more, "cluster", "full_outer")
+    total = F.when(F.col("v").isNull(), F.col("w")).when(F.col("w").isNull(), F.col("v")).otherwise(F.zip_with("v", "w", lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
+    return both.select("cluster", (F.coalesce("size", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("size"), total.alias("v"))
+
+
+def representative_similarity(assigned: DataFrame, kind: str = "centroid", measure: str = "cosine") -> DataFrame:
+    """(c1, c2, sim), c1 < c2: similarity of what stands for two clusters."""
+    held = materialize(representatives(assigned, kind, measure), "representatives")
+    one, two = (held.select(F.col("cluster").alias(f"c{k}"), F.col("v").alias(f"v{k}")) for k in (1, 2))
+    return one.join(two, F.col("c1") < F.col("c2")).select("c1", "c2", M.similarity(measure, "v1", "v2").alias("sim"))
+
+
 def flatten(paths: DataFrame, depth: int = 1) -> DataFrame:
     """(vec_id, cluster) from merge paths: members whose paths agree down to the depth are one cluster."""
     return paths.select("vec_id", F.substring("path", 1, depth + 1).alias("cluster"))

@@ -7,13 +7,17 @@ where lines matter, within a line.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions import text as T
 from textloom.functions import tokenize
-from textloom.operators.tables import dense_ids
+from textloom.operators.tables import dense_ids, materialize
 
 EOL, NUMBER, RARE = "<eol>", "<number>", "<rare>"
 
@@ -87,11 +91,35 @@ def ngrams(docs: DataFrame, low: int, high: int | None = None, least: int = 1, r
     return out
 
 
+#: Phrases that are sought place by place inside the documents' word arrays; longer lists meet all n-grams in a join.
+FEW_PHRASES = 64
+
+
 def find_phrases(docs: DataFrame, phrases: list[str]) -> DataFrame:
-    """(phrase, doc_id, pos) of each place where a phrase's words stand together; one scan for each length."""
+    """(phrase, doc_id, pos) of each place where a phrase's words stand together; a phrase without words has no place.
+
+    A few phrases: only documents that hold all letters of a phrase's words are cut into words, and
+    only hits leave a document. Many phrases: the n-grams of each length are joined with them.
+    """
     spark = docs.sparkSession
+    wanted = sorted({" ".join(p.split()) for p in phrases} - {""})
+    if not wanted:
+        return spark.createDataFrame([], "phrase string, doc_id long, pos int")
+    if len(wanted) <= FEW_PHRASES:
+
+        def hits_of(phrase: str) -> tuple[Column, Column]:
+            words, parts = F.col("words"), phrase.split()
+            every = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
+            places = F.filter(every, lambda i: reduce(Column.__and__, [F.get(words, i + k) == w for k, w in enumerate(parts)]))
+            maybe = reduce(Column.__and__, [F.contains(F.col("text"), F.lit(w)) for w in parts])
+            found = F.transform(places, lambda i: F.struct(F.lit(phrase).alias("phrase"), i.alias("pos")))
+            return maybe, F.when(maybe, found).otherwise(F.array().cast("array<struct<phrase:string,pos:int>>"))
+
+        hits = [hits_of(p) for p in wanted]
+        near = docs.filter(reduce(Column.__or__, [m for m, _ in hits])).withColumn("words", tokenize.whitespace(F.col("text")))
+        return near.select("doc_id", F.inline(F.concat(*[h for _, h in hits]))).select("phrase", "doc_id", "pos")
     by: dict[int, list[str]] = {}
-    for p in sorted(set(" ".join(p.split()) for p in phrases)):
+    for p in wanted:
         by.setdefault(len(p.split()), []).append(p)
     out = None
     for n, some in sorted(by.items()):
@@ -142,6 +170,25 @@ def contexts(toks: DataFrame, left: int, right: int, column: str = "word") -> Da
     )
 
 
+def neighbour_words(docs: DataFrame, left: int, right: int) -> DataFrame:
+    """(word, offset, context) of every token and offset from -left to right but 0; context is null beyond the document.
+
+    Neighbours come from shifted copies of the document's word array, so no row moves.
+    """
+    words, n = F.col("words"), F.size("words")
+    nulls = lambda k: F.array_repeat(F.lit(None).cast("string"), k)
+    shifted = []
+    for o in [o for o in range(-left, right + 1) if o]:
+        rest = F.greatest(n - abs(o), F.lit(0))
+        part = F.concat(F.slice(words, F.lit(1 + max(o, 0)), rest), nulls(n - rest)) if o > 0 else F.concat(nulls(n - rest), F.slice(words, F.lit(1), rest))
+        shifted.append((o, part))
+    zipped = F.arrays_zip(words.alias("word"), *[part.alias(f"at{k}") for k, (_, part) in enumerate(shifted)])
+    held = with_words(docs).filter(n > 0).select(zipped.alias("cells")).select(F.inline("cells"))
+    names = held.columns
+    around = F.array(*[F.struct(F.lit(o).alias("offset"), F.col(name).alias("context")) for (o, _), name in zip(shifted, names[1:], strict=True)])
+    return held.select(F.col(names[0]).alias("word"), F.inline(around))
+
+
 def positional_id(word: Column, offset: Column, left: int, right: int) -> Column:
     """One number for a word id and an offset; offsets run from -left to right without 0."""
     return word * (left + right) + offset + left - (offset > 0).cast("bigint")
@@ -156,15 +203,15 @@ def positional_word(pid: Column, left: int, right: int) -> Column:
     return F.floor(pid / (left + right))
 
 
-def context_vectors(toks: DataFrame, left: int, right: int, positional: bool = False) -> DataFrame:
-    """Sparse one-hot context vectors: (word, context[, offset], weight)."""
+def context_vectors(docs: DataFrame, left: int, right: int, positional: bool = False) -> DataFrame:
+    """Sparse one-hot context vectors of the documents' words: (word, context[, offset], weight)."""
     keys = ["word", "context", *(["offset"] if positional else [])]
-    return contexts(toks, left, right).groupBy(*keys).agg(F.count("*").cast("double").alias("weight"))
+    return neighbour_words(docs, left, right).filter("context IS NOT NULL").groupBy(*keys).agg(F.count("*").cast("double").alias("weight"))
 
 
-def indexed_vectors(toks: DataFrame, left: int, right: int, dims: int, nonzero: int = 8, seed: int = 0) -> DataFrame:
+def indexed_vectors(docs: DataFrame, left: int, right: int, dims: int, nonzero: int = 8, seed: int = 0) -> DataFrame:
     """Random-indexing context vectors: (word, dim, weight); a term adds +-1 to a few dimensions of its own."""
-    pairs = context_vectors(toks, left, right)
+    pairs = context_vectors(docs, left, right)
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(nonzero - 1)),
         lambda k: F.struct(
@@ -184,16 +231,75 @@ def counts_of_counts(docs: DataFrame, n: int) -> DataFrame:
     return ngrams(docs, n).groupBy("freq").agg(F.count("*").alias("ngrams"))
 
 
-def kneser_ney(docs: DataFrame, discount: float = 0.75) -> DataFrame:
-    """(w1, w2, prob): interpolated Kneser-Ney probability of each bigram of the corpus."""
-    pairs = ngrams(docs, 2).select(F.split_part("ngram", F.lit(" "), F.lit(1)).alias("w1"), F.split_part("ngram", F.lit(" "), F.lit(2)).alias("w2"), "freq")
+@dataclass(frozen=True)
+class BigramModel:
+    """Written tables of a bigram model: pairs (w1, w2, freq), after (w1, after, total), before (w2, before), and the number of pairs."""
+
+    pairs: DataFrame
+    after: DataFrame
+    before: DataFrame
+    types: int
+    discount: float = 0.75
+
+
+def bigram_model(docs: DataFrame, discount: float = 0.75) -> BigramModel:
+    """The corpus is cut into bigrams and counted once; the rest comes from the counts."""
+    made = ngrams(docs, 2).select(F.split_part("ngram", F.lit(" "), F.lit(1)).alias("w1"), F.split_part("ngram", F.lit(" "), F.lit(2)).alias("w2"), "freq")
+    pairs = materialize(made, "bigrams")
     before = pairs.groupBy("w2").agg(F.count("*").alias("before"))
     after = pairs.groupBy("w1").agg(F.count("*").alias("after"), F.sum("freq").alias("total"))
-    types = pairs.agg(F.count("*").alias("types"))
-    joined = pairs.join(after, "w1").join(before, "w2").crossJoin(F.broadcast(types))  # types has one row
-    d = F.lit(discount)
-    prob = F.greatest(F.col("freq") - d, F.lit(0.0)) / F.col("total") + d * F.col("after") / F.col("total") * F.col("before") / F.col("types")
-    return joined.select("w1", "w2", prob.alias("prob"))
+    return BigramModel(pairs, after, before, pairs.count(), discount)
+
+
+def _interpolated(model: BigramModel) -> Column:
+    """From freq, after, total and before, which are null where the model lacks the pair or a word."""
+    d = F.lit(model.discount)
+    # A word that follows nothing in the corpus counts as one that follows once among one pair more.
+    low = F.coalesce(F.col("before") / F.lit(float(max(1, model.types))), F.lit(1.0 / (model.types + 1)))
+    seen = F.greatest(F.coalesce("freq", F.lit(0)) - d, F.lit(0.0)) / F.col("total") + d * F.col("after") / F.col("total") * low
+    return F.coalesce(seen, low)
+
+
+def kneser_ney(docs: DataFrame, discount: float = 0.75) -> DataFrame:
+    """(w1, w2, prob): interpolated Kneser-Ney probability of each bigram of the corpus."""
+    model = bigram_model(docs, discount)
+    return model.pairs.join(model.after, "w1").join(model.before, "w2").select("w1", "w2", _interpolated(model).alias("prob"))
+
+
+def bigram_probability(pairs: DataFrame, model: BigramModel) -> DataFrame:
+    """pairs (w1, w2, ...) with prob; unseen pairs back off to how many words w2 follows, unseen words to the least of all."""
+    known = pairs.join(model.pairs, ["w1", "w2"], "left").join(model.after, "w1", "left").join(model.before, "w2", "left")
+    return known.select(*pairs.columns, _interpolated(model).alias("prob"))
+
+
+def longest_match(docs: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """(doc_id, pos, length, freq): at each token the longest n-gram of at most so many words that ends there and is in counts (n, ngram, freq).
+
+    length is 0 and freq null where not even the word is known.
+    """
+    held, out = counts.select("n", "ngram", "freq"), None
+    for n in range(1, most + 1):
+        ends = ngram_positions(docs, n).select("doc_id", (F.col("pos") + (n - 1)).alias("pos"), F.lit(n).alias("n"), "ngram")
+        out = ends if out is None else out.unionByName(ends)
+    found = out.join(held, ["n", "ngram"], "left")
+    best = F.max(F.struct(F.when(F.col("freq").isNull(), 0).otherwise(F.col("n")).alias("length"), F.col("freq"))).alias("best")
+    return found.groupBy("doc_id", "pos").agg(best).select("doc_id", "pos", "best.length", "best.freq")
+
+
+def backoff_probability(docs: DataFrame, counts: DataFrame, order: int, factor: float = 0.4) -> DataFrame:
+    """(doc_id, pos, length, prob) by "stupid" back-off over orders: freq(ngram) / freq(its start) of the longest known n-gram, times factor for each order less.
+
+    counts: (n, ngram, freq) of all orders up to order. A token without its whole context
+    starts from the longest one there is; an unknown word has prob 0.
+    """
+    total = counts.filter("n = 1").agg(F.sum("freq").alias("total"))
+    head = F.when(F.col("n") > 1, F.regexp_replace("ngram", r" [^ ]*$", ""))
+    starts = counts.select((F.col("n") + 1).alias("n"), F.col("ngram").alias("head"), F.col("freq").alias("base"))
+    share = counts.withColumn("head", head).join(starts, ["n", "head"], "left").crossJoin(F.broadcast(total))  # total has one row
+    share = share.select("n", "ngram", F.struct((F.col("freq") / F.coalesce("base", "total")).alias("share"), "freq").alias("freq"))
+    found = longest_match(docs, share, order)
+    missing = F.least(F.col("pos") + 1, F.lit(order)) - F.col("length")
+    return found.select("doc_id", "pos", "length", F.when(F.col("length") > 0, F.col("freq.share") * F.pow(F.lit(factor), missing)).otherwise(0.0).alias("prob"))
 
 
 def running_text(docs: DataFrame, most: int | None = None) -> DataFrame:
@@ -222,8 +328,24 @@ def add_terms(pairs: DataFrame, term_vectors: DataFrame, weights: DataFrame | No
     return rows.join(term_vectors, "term").groupBy("key", "dim").agg(F.sum(F.col("weight") * F.col("val")).alias("val"))
 
 
-def perplexity(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc_id, bigrams, perplexity) of documents under bigram probabilities (w1, w2, prob); unknown bigrams are left out."""
+def perplexity(docs: DataFrame, model: BigramModel) -> DataFrame:
+    """(doc_id, bigrams, perplexity) of documents under a bigram model, unseen bigrams included; documents of fewer than two words are left out."""
     rows = ngram_positions(docs, 2).select("doc_id", F.split_part("ngram", F.lit(" "), F.lit(1)).alias("w1"), F.split_part("ngram", F.lit(" "), F.lit(2)).alias("w2"))
-    known = rows.join(model, ["w1", "w2"])
-    return known.groupBy("doc_id").agg(F.count("*").alias("bigrams"), F.exp(-F.avg(F.log("prob"))).alias("perplexity"))
+    # Repeated bigrams of a document meet the model once.
+    counted = rows.groupBy("doc_id", "w1", "w2").agg(F.count("*").alias("times"))
+    scored = bigram_probability(counted, model)
+    mean = F.sum(F.col("times") * F.log("prob")) / F.sum("times")
+    return scored.groupBy("doc_id").agg(F.sum("times").alias("bigrams"), F.exp(-mean).alias("perplexity"))
+
+
+def filtered_ngrams(docs: DataFrame, low: int, high: int, keep: Callable[[Column], Column], words: Callable[[Column], Column] = tokenize.whitespace) -> DataFrame:
+    """(n, ngram, freq) of the n-grams that pass a test of the caller's on their array of words, under a tokenizer of the caller's."""
+    held = docs.select(words(F.col("text")).alias("words"))
+
+    def of_length(n: int) -> DataFrame:
+        size = F.size("words")
+        runs = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.slice("words", i, n)))
+        rows = held.select(F.explode(F.filter(runs, keep)).alias("gram"))
+        return rows.groupBy(F.array_join("gram", " ").alias("ngram")).agg(F.count("*").alias("freq")).select(F.lit(n).alias("n"), "ngram", "freq")
+
+    return reduce(DataFrame.unionByName, map(of_length, range(low, high + 1)))

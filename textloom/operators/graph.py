@@ -68,5 +68,15 @@ def matrix_cells(cells: DataFrame, kind: str = "full", width: int = 0) -> DataFr
         "banded": F.abs(F.col("row") - F.col("col")) <= width,
     }
     if kind == "symmetric":
-        return cells.select(F.least("row", "col").alias("row"), F.greatest("row", "col").alias("col"), "val").dropDuplicates(["row", "col"])
+        # Where both halves are stored the upper one counts.
+        ends = cells.groupBy(F.least("row", "col").alias("r"), F.greatest("row", "col").alias("c")).agg(F.min_by("val", F.col("row") > F.col("col")).alias("val"))
+        return ends.select(F.col("r").alias("row"), F.col("c").alias("col"), "val")
     return cells.filter(tests[kind])
+
+
+def matrix_elements(cells: DataFrame, wanted: DataFrame, kind: str = "full", width: int = 0) -> DataFrame:
+    """(row, col, val) of the wanted elements (row, col) of a matrix; what it does not store is 0, a symmetric one has both halves."""
+    held = matrix_cells(cells, kind, width).select(F.col("row").alias("r"), F.col("col").alias("c"), "val")
+    row, col = (F.least("row", "col"), F.greatest("row", "col")) if kind == "symmetric" else (F.col("row"), F.col("col"))
+    keyed = wanted.select("row", "col", row.alias("r"), col.alias("c"))
+    return keyed.join(held, ["r", "c"], "left").select("row", "col", F.coalesce("val", F.lit(0.0)).alias("val"))

@@ -35,7 +35,7 @@ def top(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:
 
 
 def top_by_group(rows: DataFrame, group: list[str], k: int, order: list[Column]) -> DataFrame:
-    """The first k rows of each group, with rank; ranks are limited before the groups' shuffle ends."""
+    """The first k rows of each group, with rank. Spark limits each task's groups to k rows before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -63,3 +63,10 @@ def change_priority(queue: DataFrame, changes: DataFrame, key: str, priority: st
     new = changes.select(key, F.col(priority).alias("textloom_new"))
     out = queue.join(new, key, "left").withColumn(priority, F.coalesce("textloom_new", priority)).drop("textloom_new")
     return top(out, k, [F.desc(priority), F.col(key)])
+
+
+def fold(rows: DataFrame, key: list[str], order: list[str], start: Column, merge, name: str = "folded") -> DataFrame:
+    """(key, folded): a merge of the caller's, (state, row) -> state, over each group's rows in an order; for groups that fit into a row."""
+    rest = [c for c in rows.columns if c not in key]
+    held = F.array_sort(F.collect_list(F.struct(*order, *[c for c in rest if c not in order])))
+    return rows.groupBy(*key).agg(held.alias("rows")).select(*key, F.aggregate("rows", start, merge).alias(name))

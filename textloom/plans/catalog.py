@@ -11,6 +11,7 @@ A query takes (spark, folder of tables) and runs over whole tables. Fixtures:
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from textloom.functions import cognate, collections, measures, romanize, strings, tokenize, vectors
 from textloom.functions import text as T
 from textloom.operators import cluster, corpus, graph, relations, trie
+from textloom.operators.tables import materialize, shared_dir
 from textloom.sources import io
 from textloom.streaming import counts
 
@@ -54,12 +56,16 @@ def tidy(c, digits: int = 6) -> Column:
 # ---- vector fixtures ----
 
 
+#: Dimensions of a dense table at most.
+MAX_DIMS = 100_000
+
+
 def dense(cells: DataFrame) -> DataFrame:
-    """(id, v): arrays in the order of dim; a cell that is missing is 0. dims is a small table."""
-    dims = cells.select("dim").distinct()
-    ids = cells.select("id").distinct()
-    every = ids.join(F.broadcast(dims)).join(cells, ["id", "dim"], "left").select("id", "dim", F.coalesce("val", F.lit(0.0)).alias("val"))
-    return every.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "val"))), lambda c: c["val"]).alias("v"))
+    """(id, v): arrays in the order of dim; a cell that is missing is 0. The dimensions are one list, whose length is checked."""
+    dims = cells.select("dim").distinct().agg(F.array_sort(F.collect_list("dim")).alias("dims"))
+    few = dims.select(F.when(F.size("dims") <= MAX_DIMS, F.col("dims")).otherwise(F.raise_error(F.lit(f"more than {MAX_DIMS} dimensions"))).alias("dims"))
+    rows = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "val"))).alias("cells")).crossJoin(F.broadcast(few))
+    return rows.select("id", F.transform("dims", lambda d: F.coalesce(F.try_element_at("cells", d), F.lit(0.0))).alias("v"))
 
 
 def nation_cells(spark: SparkSession, sf: str, dim: Column) -> DataFrame:
@@ -306,18 +312,31 @@ def leader_clusters(spark, sf):
 
 @query()
 def brown_clusters(spark, sf):
-    return cluster.agglomerate(dense(nation_cells(spark, sf, F.col("o_orderpriority"))).select(F.col("id").alias("vec_id"), "v"), cluster.Options(k=4, threshold=-1.0))
+    return cluster.agglomerate(embeddings(spark, sf).select("vec_id", "v"), cluster.Options(k=10, threshold=-1.0)).select("vec_id", "cluster", "path")
 
 
-@query()
+_UNIT = "u AS MATERIALIZED (SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
+
+
+@query(
+    f"WITH RECURSIVE {_UNIT}, near AS MATERIALIZED (SELECT a.vec_id AS vec_id, b.vec_id AS other FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE 1 - list_cosine_similarity(a.v, b.v) <= 0.65),"
+    " core AS MATERIALIZED (SELECT vec_id FROM near GROUP BY vec_id HAVING count(*) + 1 >= 3),"
+    " link AS MATERIALIZED (SELECT vec_id, other FROM near WHERE vec_id IN (FROM core) AND other IN (FROM core)),"
+    " reach AS (SELECT vec_id AS a, vec_id AS b FROM core UNION SELECT a, other FROM reach JOIN link ON b = vec_id),"
+    " label AS (SELECT a AS vec_id, min(b) AS cluster FROM reach GROUP BY a), border AS (SELECT n.vec_id AS vec_id, min(cluster) AS reach FROM near n JOIN label l ON l.vec_id = n.other GROUP BY n.vec_id)"
+    " SELECT u.vec_id AS vec_id, coalesce(cluster, reach) AS cluster FROM u LEFT JOIN label USING (vec_id) LEFT JOIN border USING (vec_id)"
+)
 def dbscan_clusters(spark, sf):
-    return cluster.run(dense(nation_cells(spark, sf, F.col("o_orderpriority"))).select(F.col("id").alias("vec_id"), "v"), "method=dbscan:epsilon=0.005:min_points=3")
+    return cluster.run(embeddings(spark, sf), "method=dbscan:epsilon=0.65:min_points=3")
 
 
-@query()
+@query(
+    f"WITH {_UNIT}, s AS (SELECT a.vec_id AS q, b.vec_id AS o, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id) AS rank FROM u a JOIN u b ON a.vec_id <> b.vec_id),"
+    " k AS MATERIALIZED (SELECT q, o FROM s WHERE rank <= 5)"
+    " SELECT m.q AS a, m.o AS b, (SELECT count(*) FROM k x JOIN k y ON x.o = y.o WHERE x.q = m.q AND y.q = m.o) AS shared FROM k m JOIN k r ON r.q = m.o AND r.o = m.q WHERE m.q < m.o"
+)
 def shared_neighbours(spark, sf):
-    rows = nation_profile(spark, sf).select(F.col("id").alias("vec_id"), "v")
-    return cluster.shared_neighbours(rows, 5).select("a", "b", long("shared").alias("shared"))
+    return cluster.shared_neighbours(embeddings(spark, sf), 5).select("a", "b", long("shared").alias("shared"))
 
 
 @query("WITH a AS (SELECT vec_id, label AS c1, vec_id % 7 AS c2 FROM embeddings) SELECT CAST(c1 AS BIGINT) AS c1, CAST(c2 AS BIGINT) AS c2, count(*) AS \"both\", (max(n1) + max(n2) - count(*))::BIGINT AS either FROM a JOIN (SELECT c1, count(*) AS n1 FROM a GROUP BY c1) USING (c1) JOIN (SELECT c2, count(*) AS n2 FROM a GROUP BY c2) USING (c2) GROUP BY c1, c2")
@@ -530,13 +549,13 @@ def attr_semi(spark, sf):
     " SELECT word, count(l1) AS n_left, count(r1) AS n_right, count(DISTINCT l1) AS d_left, count(DISTINCT r1) AS d_right FROM c GROUP BY word"
 )
 def ctx_position(spark, sf):
-    around = corpus.contexts(corpus.tokens(docs(spark, sf)), 1, 1)
-    by = around.groupBy("word", "offset", "context").agg(F.count("*").alias("n")).groupBy("word").agg(
-        *[F.coalesce(F.sum(F.when(F.col("offset") == o, F.col("n"))), F.lit(0)).alias(f"n_{s}") for o, s in ((-1, "left"), (1, "right"))],
-        *[F.count(F.when(F.col("offset") == o, 1)).alias(f"d_{s}") for o, s in ((-1, "left"), (1, "right"))],
+    # A word without neighbours keeps its null contexts, so every word is there.
+    around = corpus.neighbour_words(docs(spark, sf), 1, 1).groupBy("word", "offset", "context").agg(F.count("*").alias("n"))
+    at = lambda o: (F.col("offset") == o) & F.col("context").isNotNull()
+    return around.groupBy("word").agg(
+        *[F.coalesce(F.sum(F.when(at(o), F.col("n"))), F.lit(0)).alias(f"n_{s}") for o, s in ((-1, "left"), (1, "right"))],
+        *[F.count_if(at(o)).alias(f"d_{s}") for o, s in ((-1, "left"), (1, "right"))],
     )
-    words = corpus.term_frequency(corpus.tokens(docs(spark, sf))).select("word")
-    return words.join(by, "word", "left").select("word", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_left", "n_right", "d_left", "d_right")])
 
 
 @query(
@@ -544,13 +563,13 @@ def ctx_position(spark, sf):
     " SELECT word, count(*) AS dims, sum(w)::BIGINT AS total, round(sqrt(sum(w*w)), 5) + 0.0 AS norm FROM v GROUP BY word"
 )
 def ctx_vector(spark, sf):
-    v = corpus.context_vectors(corpus.tokens(docs(spark, sf)), 2, 2)
+    v = corpus.context_vectors(docs(spark, sf), 2, 2)
     return v.groupBy("word").agg(F.count("*").alias("dims"), long(F.sum("weight")).alias("total"), tidy(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 5).alias("norm"))
 
 
 @query()
 def ctx_random_index(spark, sf):
-    v = corpus.indexed_vectors(corpus.tokens(docs(spark, sf)), 2, 2, 256)
+    v = corpus.indexed_vectors(docs(spark, sf), 2, 2, 256)
     return v.groupBy("word").agg(F.count("*").alias("dims"), long(F.sum(F.abs("weight"))).alias("total"))
 
 
@@ -775,7 +794,17 @@ def _name_pairs(spark, sf):
     return n.select(F.col("w").alias("w1")).join(n.select(F.col("w").alias("w2")), F.col("w1") < F.col("w2"))
 
 
-@query()
+#: The longest common subsequence by diagonals of the alignment table; d1 and d2 are the two before, by letters of w1.
+_LCS = (
+    "WITH RECURSIVE n AS (SELECT lower(n_name) AS w FROM nation), p AS (SELECT a.w AS w1, b.w AS w2 FROM n a JOIN n b ON a.w < b.w),"
+    " d AS (SELECT w1, w2, 0 AS k, list_transform(range(0, length(w1) + 1), lambda i: 0) AS d1, list_transform(range(0, length(w1) + 1), lambda i: 0) AS d2 FROM p"
+    " UNION ALL SELECT w1, w2, k + 1, list_transform(range(0, length(w1) + 1), lambda i: CASE WHEN i = 0 OR k + 1 - i <= 0 OR k + 1 - i > length(w2) THEN CASE WHEN i > 0 AND k + 1 - i > length(w2) THEN d1[i] ELSE 0 END"
+    " ELSE greatest(d1[i], d1[i + 1], d2[i] + CASE WHEN substr(w1, i::INT, 1) = substr(w2, (k + 1 - i)::INT, 1) THEN 1 ELSE 0 END) END), d1 FROM d WHERE k < length(w1) + length(w2))"
+    " SELECT w1, w2, round(d1[length(w1) + 1] / greatest(length(w1), length(w2)), 6) + 0.0 AS score FROM d WHERE k = length(w1) + length(w2)"
+)
+
+
+@query(_LCS)
 def cognate_exact(spark, sf):
     return _name_pairs(spark, sf).select("w1", "w2", tidy(cognate.cognate_score(F.col("w1"), F.col("w2"))).alias("score"))
 
@@ -788,8 +817,9 @@ def cognate_weighted(spark, sf):
 
 @query()
 def spelling(spark, sf):
-    vocab = corpus.term_frequency(corpus.tokens(docs(spark, sf))).filter("freq >= 20").select("word")
-    words = spark.createDataFrame([("thee",), ("andd",), ("oof",)], "word string")
+    """Every hundredth word of the vocabulary, in first-seen order, against all words."""
+    vocab = materialize(corpus.vocabulary_ids(corpus.tokens(docs(spark, sf))).select("id", "word"), "vocabulary")
+    words = vocab.filter(F.col("id") % 100 == 0).select("word")
     return cognate.suggestions(words, vocab).select("word", "suggestion", tidy("score").alias("score"), long("rank").alias("rank"))
 
 
@@ -798,7 +828,10 @@ def str_jaro(spark, sf):
     return _name_pairs(spark, sf).select("w1", "w2", tidy(strings.jaro(F.col("w1"), F.col("w2"))).alias("value"))
 
 
-@query()
+@query(
+    "WITH n AS (SELECT lower(n_name) AS w FROM nation), p AS (SELECT a.w AS w1, b.w AS w2, jaro_similarity(a.w, b.w) AS j FROM n a JOIN n b ON a.w < b.w)"
+    " SELECT w1, w2, round(j + 0.1*(1 - j)*(CASE WHEN left(w1, 4) = left(w2, 4) AND length(w1) >= 4 AND length(w2) >= 4 THEN 4 WHEN left(w1, 3) = left(w2, 3) THEN 3 WHEN left(w1, 2) = left(w2, 2) THEN 2 WHEN left(w1, 1) = left(w2, 1) THEN 1 ELSE 0 END), 6) + 0.0 AS value FROM p"
+)
 def str_jaro_winkler(spark, sf):
     return _name_pairs(spark, sf).select("w1", "w2", tidy(strings.jaro_winkler(F.col("w1"), F.col("w2"))).alias("value"))
 
@@ -836,7 +869,14 @@ def _nation_graph(spark, sf):
     return rows.select(F.col("id1").alias("src"), F.col("id2").alias("dst"), tidy(measures.distance("manhattan", "v1", "v2")).alias("len"))
 
 
-@query()
+#: An edge is in the forest if the shorter ones, ties by their ends, do not join its ends already.
+@query(
+    _PAIR_SQL.replace("WITH v", "WITH RECURSIVE v", 1)
+    + ", e AS (SELECT id1 AS src, id2 AS dst, round(sum(abs(x - y)), 6) + 0.0 AS len FROM p GROUP BY id1, id2), r AS MATERIALIZED (SELECT src, dst, len, row_number() OVER (ORDER BY len, src, dst) AS k FROM e),"
+    " w AS MATERIALIZED (SELECT k, src AS a, dst AS b FROM r UNION ALL SELECT k, dst, src FROM r),"
+    " reach AS (SELECT k, src AS v FROM r UNION SELECT reach.k, w.b FROM reach JOIN w ON w.a = reach.v AND w.k < reach.k)"
+    " SELECT src, dst, len FROM r WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.k = r.k AND reach.v = r.dst)"
+)
 def mst(spark, sf):
     return graph.spanning_forest(_nation_graph(spark, sf))
 
@@ -863,11 +903,10 @@ def user_sessions(spark, sf):
     return counts.sessions(table(spark, sf, "events")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\x0b\\f]+'), lambda x: x <> '') AS words FROM documents WHERE lang = 'en'), g AS (SELECT unnest(list_transform(range(1, len(words)), lambda i: array_to_string(words[i:i + 1], ' '))) AS ngram FROM w WHERE len(words) >= 2) SELECT ngram, count(*) AS freq FROM g GROUP BY ngram ORDER BY freq DESC, ngram LIMIT 20")
+@query("WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\x0b\\f]+'), lambda x: x <> '') AS words FROM documents), g AS (SELECT unnest(list_transform(range(1, len(words)), lambda i: array_to_string(words[i:i + 1], ' '))) AS ngram FROM w WHERE len(words) >= 2) SELECT ngram, count(*) AS freq FROM g GROUP BY ngram ORDER BY freq DESC, ngram LIMIT 20")
 def top_bigrams(spark, sf):
-    """The flagship: the twenty most frequent bigrams of the English documents."""
-    english = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", "text")
-    return relations.top(corpus.ngrams(english, 2), 20, [F.desc("freq"), F.col("ngram")]).select("ngram", "freq")
+    """The flagship: the twenty most frequent bigrams of all documents."""
+    return relations.top(corpus.ngrams(docs(spark, sf), 2), 20, [F.desc("freq"), F.col("ngram")]).select("ngram", "freq")
 
 
 # ---- representatives, seeds, term vectors, literals ----
@@ -928,8 +967,279 @@ def number_format(spark, sf):
     return rows.groupBy("q", "text").agg(F.count("*").alias("n"))
 
 
-@query()
+_BIGRAMS = _gram_sql(2).replace(
+    "SELECT CAST(2 AS BIGINT) AS n, ngram, count(*) AS freq FROM g GROUP BY ngram HAVING count(*) >= 1",
+    ", f AS (SELECT split_part(ngram, ' ', 1) AS w1, split_part(ngram, ' ', 2) AS w2, count(*) AS freq FROM g GROUP BY ngram), b AS (SELECT w2, count(*) AS b FROM f GROUP BY w2), a AS (SELECT w1, count(*) AS a, sum(freq) AS t FROM f GROUP BY w1)",
+)
+
+
+@query(
+    _BIGRAMS
+    + ", m AS (SELECT w1, w2, greatest(freq - 0.75, 0) / t + 0.75 * a / t * b / (SELECT count(*) FROM f) AS prob FROM f JOIN a USING (w1) JOIN b USING (w2)),"
+    " o AS (SELECT doc_id, unnest(list_transform(range(1, len(words)), lambda i: words[i:i + 1])) AS gram FROM (SELECT doc_id, " + _WS + " AS words FROM documents) WHERE len(words) >= 2)"
+    " SELECT doc_id, count(*) AS bigrams, round(exp(-avg(ln(prob))), 4) + 0.0 AS perplexity FROM o JOIN m ON m.w1 = gram[1] AND m.w2 = gram[2] GROUP BY doc_id"
+)
 def lm_perplexity(spark, sf):
     d = docs(spark, sf)
-    return corpus.perplexity(d, corpus.kneser_ney(d)).select("doc_id", "bigrams", tidy("perplexity", 4).alias("perplexity"))
+    return corpus.perplexity(d, corpus.bigram_model(d)).select("doc_id", "bigrams", tidy("perplexity", 4).alias("perplexity"))
+
+
+# ---- files: written to the shared folder and read back ----
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+
+
+def _text_file(rows: DataFrame, value: Column, name: str, order: str | None = None, compression: str = "none") -> str:
+    """The folder of a text table; with an order one file (for small tables whose lines are numbered)."""
+    path = scratch(rows.sparkSession, name)
+    lines = rows.select(value.alias("value")) if order is None else rows.repartition(1).sortWithinPartitions(order).select(value.alias("value"))
+    io.write_lines(lines, path, compression)
+    return path
+
+
+@query("SELECT p_name AS value, count(*) AS n FROM part GROUP BY 1")
+def text_lines(spark, sf):
+    padded = F.concat(F.lit("  "), F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, "\t").otherwise(" "))
+    rows = table(spark, sf, "part")
+    both = rows.select(padded.alias("value")).unionAll(rows.select(F.lit(" \t ").alias("value")))
+    path = _text_file(both, F.col("value"), "lines", compression="gzip")
+    return io.without_blank(io.trimmed(io.read_lines(spark, path))).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT upper(p_name) AS value, count(*) AS n FROM part WHERE p_size % 2 = 0 GROUP BY 1")
+def edited_lines(spark, sf):
+    path = _text_file(table(spark, sf, "part"), F.concat_ws("\t", F.col("p_size").cast("string"), "p_name"), "edit")
+    size = lambda c: F.split_part(c, F.lit("\t"), F.lit(1)).cast("int")
+    lines = io.edited(io.read_lines(spark, path), lambda c: F.when(size(c) % 2 == 0, F.upper(F.split_part(c, F.lit("\t"), F.lit(2)))))
+    return lines.groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("WITH l AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS n FROM nation) SELECT CAST((n - 3) // 4 AS BIGINT) AS batch, string_agg(n_name, '|' ORDER BY n) AS lines FROM l WHERE n >= 3 GROUP BY 1")
+def line_batches(spark, sf):
+    path = _text_file(table(spark, sf, "nation"), F.col("n_name"), "batches", "n_nationkey")
+    rows = io.skip_lines(io.numbered_lines(spark, path), 3).withColumn("line_no", F.col("line_no") - 3)
+    return io.line_batches(rows, 4).select(long("batch").alias("batch"), F.array_join("lines", "|").alias("lines"))
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_nationkey % 3 <> 0")
+def file_list(spark, sf):
+    mark = F.when(F.col("n_nationkey") % 3 == 0, F.when(F.col("n_nationkey") % 2 == 0, ";").otherwise("# ")).otherwise(" ")
+    path = _text_file(table(spark, sf, "nation"), F.concat(mark, "n_name"), "list")
+    return spark.createDataFrame([(x,) for x in io.read_file_list(spark, path)], "name string")
+
+
+@query("SELECT p_name AS word, count(*) AS n FROM part GROUP BY 1")
+def word_list_file(spark, sf):
+    path = _text_file(table(spark, sf, "part"), F.concat(F.col("p_name"), F.lit(" ; a comment # "), "p_brand"), "words")
+    return io.read_word_list(spark, path).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lower(n_name) AS word, 'region' || n_regionkey AS class FROM nation")
+def class_file(spark, sf):
+    line = F.concat_ws("\t", F.concat(F.col("n_name"), F.lit(" ")), F.concat(F.lit(" region"), F.col("n_regionkey").cast("string")))
+    path = _text_file(table(spark, sf, "nation").select(F.explode(F.array(line, F.lit("no class"))).alias("line")), F.col("line"), "classes")
+    return io.read_classes(spark, path, lower=True)
+
+
+@query(_TOK + "SELECT word, count(*) AS n, sum(pos)::BIGINT AS places, count(DISTINCT doc_id) AS docs FROM tok GROUP BY word")
+def corpus_files(spark, sf):
+    path = scratch(spark, "corpus")
+    io.save_corpus(docs(spark, sf), path)
+    toks, _ = io.load_corpus(spark, path)
+    return toks.groupBy("word").agg(F.count("*").alias("n"), long(F.sum("pos")).alias("places"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def signed_table(spark, sf):
+    path = scratch(spark, "signed")
+    io.save_signed(table(spark, sf, "nation").select("n_nationkey", "n_name"), path, "nations", 3)
+    return io.load_signed(spark, path, "nations", 2)
+
+
+@query("SELECT r_regionkey, r_name, 'new' AS age FROM region UNION ALL SELECT n_nationkey, n_name, 'old' FROM nation")
+def replaced_table(spark, sf):
+    path = scratch(spark, "replaced")
+    io.replace_table(table(spark, sf, "nation").select(F.col("n_nationkey").alias("r_regionkey"), F.col("n_name").alias("r_name")), path)
+    io.replace_table(table(spark, sf, "region").select("r_regionkey", "r_name"), path)
+    new, old = spark.read.parquet(path), spark.read.parquet(path + ".bak")
+    return new.withColumn("age", F.lit("new")).unionByName(old.withColumn("age", F.lit("old")))
+
+
+@query(f"WITH c AS ({EMBEDDING_CELLS}), s AS (SELECT vec_id, round(sum(x), 4) + 0.0 AS total, count(*) FILTER (WHERE x > 0) AS positive FROM c GROUP BY vec_id) SELECT total, positive, count(*) AS n FROM s GROUP BY 1, 2")
+def vector_files(spark, sf):
+    e = embeddings(spark, sf)
+    number = lambda x: x.cast("string")
+    cells = F.filter(F.transform("v", lambda x, i: F.when(x > 0, F.concat_ws(":", i.cast("string"), number(x)))), lambda c: c.isNotNull())
+    dense_path = _text_file(e, F.array_join(F.transform("v", number), " "), "dense")
+    sparse_path = _text_file(e, F.array_join(cells, " "), "sparse")
+    sums = io.read_vectors(spark, dense_path).select(tidy(_sum(F.col("v")), 4).alias("total"), long(F.size(F.filter("v", lambda x: x > 0))).alias("positive"))
+    sizes = io.read_vectors(spark, sparse_path, sparse=True).select(long(F.size("v")).alias("positive"))
+    # The sparse file must have as many vectors with so many cells as the dense one.
+    same = sums.groupBy("positive").count().exceptAll(sizes.groupBy("positive").count()).agg((F.count("*") == 0).alias("same"))
+    return sums.crossJoin(F.broadcast(same)).filter("same").groupBy("total", "positive").agg(F.count("*").alias("n"))  # same has one row
+
+
+@query("SELECT 'region' || n_regionkey AS section, 'nation' || n_nationkey AS key, n_name AS value FROM nation")
+def config_file(spark, sf):
+    nations = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.format_string("nation%d = %s", "n_nationkey", "n_name"))).alias("lines"))
+    text = nations.select(F.concat(F.lit("[region"), F.col("n_regionkey").cast("string"), F.lit("]\n"), F.array_join("lines", "\n")).alias("line")).repartition(1)
+    path = scratch(spark, "config")
+    io.write_lines(text.select(F.col("line").alias("value")), path)
+    held = io.read_config(spark, path)
+    return spark.createDataFrame([(a, k, v) for a, rows in held.items() for k, v in rows.items()], "section string, key string, value string")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, 'a\tb\\n' || c_name AS value FROM customer".replace("\\n", "' || chr(10) || '"))
+def map_file(spark, sf):
+    path = scratch(spark, "map")
+    io.save_map(table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.concat(F.lit("a\tb\n"), "c_name").alias("value")), path)
+    return io.load_map(spark, path)
+
+
+@query("SELECT 'src' || n_nationkey AS source, 'trg' || k AS target, CASE WHEN k = 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS score FROM nation, (SELECT unnest([1, 2]) AS k)")
+def cognate_file(spark, sf):
+    line = F.format_string('("src%d" "trg1" 0.5 "trg2")', "n_nationkey")
+    path = _text_file(table(spark, sf, "nation"), line, "cognates")
+    return cognate.read_pairs(io.read_lines(spark, path)).select("source", "target", "score")
+
+
+@query("SELECT count(*) AS files, true AS sized FROM (SELECT DISTINCT n_regionkey FROM nation)")
+def file_facts(spark, sf):
+    path = scratch(spark, "facts")
+    table(spark, sf, "nation").select("n_regionkey", F.col("n_name").alias("value")).repartition(1).write.partitionBy("n_regionkey").text(path)
+    facts = io.file_facts(spark, path + "/*/*.txt")
+    return facts.agg(F.count("*").alias("files"), F.bool_and((F.col("size") > 0) & (F.col("ext") == "txt")).alias("sized"))
+
+
+# ---- comparisons, list building, seeded numbers, matrices, merged clusters ----
+
+_NEXT_LINES = _LINES + ", b AS (SELECT l_orderkey - 1 AS l_orderkey, a AS b FROM a) SELECT l_orderkey, "
+
+
+@query(_NEXT_LINES + "CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END::INT AS sign, a = b AS same FROM a JOIN b USING (l_orderkey)")
+def compare_lists(spark, sf):
+    a = _order_lines(spark, sf)
+    b = a.select((F.col("l_orderkey") - 1).alias("l_orderkey"), F.col("a").alias("b"))
+    sign = collections.compare(F.col("a"), F.col("b"))
+    return a.join(b, "l_orderkey").select("l_orderkey", sign.alias("sign"), (sign == 0).alias("same"))
+
+
+@query(_LINES + "SELECT l_orderkey, array_to_string(list_append(list_prepend(0::BIGINT, a[:-2]), 9::BIGINT), ',') AS built, a[len(a)] AS item, list_sum(a)::BIGINT AS total FROM a")
+def build_lists(spark, sf):
+    a = F.transform("a", lambda x: x.cast("bigint"))
+    p = collections.popped(collections.without_nulls(F.concat(a, F.array(F.lit(None).cast("bigint")))))
+    built = collections.pushed(collections.prepended(p["rest"], F.lit(0).cast("bigint")), F.lit(9).cast("bigint"))
+    return _order_lines(spark, sf).select("l_orderkey", _J(built).alias("built"), p["item"].alias("item"), long(F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("total"))
+
+
+@query("SELECT o_orderkey, CASE WHEN b1 < b2 THEN -1 WHEN b1 > b2 THEN 1 ELSE 0 END::INT AS sign FROM (SELECT o_orderkey, bin(o_orderkey) AS b1, bin(o_custkey) AS b2 FROM orders)")
+def compare_bits(spark, sf):
+    one, two = (collections.bits(F.bin(c)) for c in ("o_orderkey", "o_custkey"))
+    return table(spark, sf, "orders").select("o_orderkey", collections.compare(one, two).alias("sign"))
+
+
+@query("SELECT n_nationkey, true AS same, CASE WHEN n_nationkey < n_regionkey THEN -1 WHEN n_nationkey > n_regionkey THEN 1 ELSE 0 END::INT AS sign, CASE WHEN n_name < 'NATION_2' THEN -1 WHEN n_name > 'NATION_2' THEN 1 ELSE 0 END::INT AS bytes FROM nation")
+def compare_numbers(spark, sf):
+    n, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    ratio = F.concat((F.col("n_nationkey") * 6).cast("string"), F.lit("/6"))
+    same = T.same_number(n, F.concat(n, F.lit(".0"))) & T.same_number(ratio, n) & ~T.same_number(n, F.concat(n, F.lit(".5")))
+    return table(spark, sf, "nation").select("n_nationkey", same.alias("same"), T.compare_numbers(ratio, r).alias("sign"), T.compare_bytes(F.col("n_name"), F.lit("NATION_2")).alias("bytes"))
+
+
+_DRAW = "CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || ':5'), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+@query(f"SELECT event_id, CAST(floor(10 + floor({_DRAW} * 90)) AS BIGINT) AS whole, round(-1 + {_DRAW} * 2, 6) + 0.0 AS part FROM events")
+def random_numbers(spark, sf):
+    k = F.col("event_id")
+    return table(spark, sf, "events").select("event_id", T.random_int(k, 10, 100, 5).alias("whole"), tidy(T.random_float(k, -1.0, 1.0, 5)).alias("part"))
+
+
+@query("WITH c AS (SELECT CAST(n_regionkey AS BIGINT) AS r, CAST(n_nationkey % 5 AS BIGINT) AS c, count(*)::DOUBLE AS val FROM nation GROUP BY 1, 2), s AS (SELECT least(r, c) AS r, greatest(r, c) AS c, arg_min(val, r > c) AS val FROM c GROUP BY 1, 2), w AS (SELECT a AS \"row\", b AS col FROM (SELECT unnest(range(0, 6)) AS a), (SELECT unnest(range(0, 6)) AS b)) SELECT w.\"row\" AS \"row\", w.col AS col, coalesce(val, 0) AS val FROM w LEFT JOIN s ON s.r = least(w.\"row\", w.col) AND s.c = greatest(w.\"row\", w.col)")
+def matrix_elements(spark, sf):
+    cells = table(spark, sf, "nation").groupBy(long("n_regionkey").alias("row"), long(F.col("n_nationkey") % 5).alias("col")).agg(F.count("*").cast("double").alias("val"))
+    wanted = spark.range(36).select(F.floor(F.col("id") / 6).alias("row"), (F.col("id") % 6).alias("col"))
+    return graph.matrix_elements(cells, wanted, "symmetric").select("row", "col", "val")
+
+
+for _how, _agg in (("average", "avg"), ("furthest", "max"), ("nearest", "min")):
+
+    @query(
+        _SIMS
+        + f", s AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS c1, b.label AS c2, sum(a.x*b.x) AS p FROM c a JOIN c b ON a.dim = b.dim AND a.label < b.label GROUP BY 1, 2, 3, 4) SELECT c1, c2, round({_agg}(1 - p/a.n/b.n), 5) + 0.0 AS dist FROM s JOIN n a ON a.vec_id = i JOIN n b ON b.vec_id = j GROUP BY c1, c2",
+        f"linkage_distance_{_how}",
+    )
+    def _linkage_distance(spark, sf, how=_how):
+        return cluster.linkage(_labelled(spark, sf), how, kind="distance").select("c1", "c2", tidy("dist", 5).alias("dist"))
+
+
+@query(
+    f"WITH c AS ({EMBEDDING_CELLS}), z AS (SELECT label, dim, sum(x) AS x FROM c GROUP BY label, dim), n AS (SELECT label, sqrt(sum(x*x)) AS n FROM z GROUP BY label)"
+    " SELECT a.label AS c1, b.label AS c2, round(sum(a.x*b.x)/any_value(p.n)/any_value(q.n), 5) + 0.0 AS sim FROM z a JOIN z b ON a.dim = b.dim AND a.label < b.label JOIN n p ON p.label = a.label JOIN n q ON q.label = b.label GROUP BY 1, 2"
+)
+def representative_similarity(spark, sf):
+    return cluster.representative_similarity(_labelled(spark, sf)).select("c1", "c2", tidy("sim", 5).alias("sim"))
+
+
+@query("SELECT CASE WHEN label IN (3, 5) THEN 1 ELSE CAST(label AS BIGINT) END AS cluster, count(*) AS size FROM embeddings GROUP BY 1")
+def merge_clusters(spark, sf):
+    return cluster.merged(_labelled(spark, sf), 1, 3, 5).groupBy("cluster").agg(F.count("*").alias("size"))
+
+
+@query("WITH g AS (SELECT CAST(label AS BIGINT) AS label, min(vec_id) AS f, count(*) AS size, string_agg(vec_id, ',' ORDER BY vec_id) AS members FROM embeddings GROUP BY 1) SELECT row_number() OVER (ORDER BY f) - 1 AS cluster, label, size, members FROM g")
+def extract_clusters(spark, sf):
+    return cluster.extract_clusters(embeddings(spark, sf).select("vec_id", "label")).select("cluster", "label", "size", _J("members").alias("members"))
+
+
+@query(f"WITH c AS ({EMBEDDING_CELLS}) SELECT label AS cluster, CAST(dim - 1 AS BIGINT) AS dim, round(sum(x), 4) + 0.0 AS value FROM c GROUP BY label, dim")
+def updated_representative(spark, sf):
+    """Centroids of three quarters of the vectors, brought up to date with the rest."""
+    rows = _labelled(spark, sf)
+    old = cluster.centroids(rows.filter("vec_id % 4 <> 0"))
+    now = cluster.updated_representative(old, rows.filter("vec_id % 4 = 0"))
+    return now.select("cluster", F.posexplode("v").alias("dim", "x")).select("cluster", long("dim").alias("dim"), tidy("x", 4).alias("value"))
+
+
+@query("SELECT n_nationkey, round((length(p) / greatest(length(n_name), length(o)))::DOUBLE, 6) + 0.0 AS share FROM (SELECT n_nationkey, n_name, 'NATION_' || ((n_nationkey + 10) % 25) AS o, (SELECT max(left(n_name, i)) FROM (SELECT unnest(range(0, 12)) AS i) WHERE left(n_name, i) = left('NATION_' || ((n_nationkey + 10) % 25), i) AND i <= least(length(n_name), length('NATION_' || ((n_nationkey + 10) % 25)))) AS p FROM nation)")
+def cognate_prefix(spark, sf):
+    other = F.concat(F.lit("NATION_"), ((F.col("n_nationkey") + 10) % 25).cast("string"))
+    return table(spark, sf, "nation").select("n_nationkey", tidy(cognate.prefix_score(F.col("n_name"), other)).alias("share"))
+
+
+# ---- language models beyond bigrams ----
+
+_GRAMS3 = (
+    "WITH w AS (SELECT doc_id, " + _WS + " AS words FROM documents), g AS (SELECT doc_id, n, i, array_to_string(words[i - n + 1:i], ' ') AS ngram FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3]) AS n) WHERE i >= n),"
+    " f AS (SELECT n, ngram, count(*) AS freq FROM g GROUP BY 1, 2 HAVING count(*) >= 2)"
+)
+
+
+@query(_GRAMS3 + " SELECT length, count(*) AS places FROM (SELECT doc_id, i, max(CASE WHEN f.freq IS NULL THEN 0 ELSE g.n END) AS length FROM g LEFT JOIN f ON f.n = g.n AND f.ngram = g.ngram GROUP BY 1, 2) GROUP BY length")
+def lm_longest_match(spark, sf):
+    d = docs(spark, sf)
+    counts_ = materialize(corpus.ngrams(d, 1, 3).filter("freq >= 2"), "grams")
+    return corpus.longest_match(d, counts_, 3).groupBy("length").agg(F.count("*").alias("places"))
+
+
+@query(
+    _GRAMS3
+    + ", t AS (SELECT sum(freq) AS total FROM f WHERE n = 1), h AS (SELECT f.n AS n, f.ngram AS ngram, f.freq / coalesce(b.freq, total) AS share FROM f CROSS JOIN t LEFT JOIN f b ON f.n > 1 AND b.n = f.n - 1 AND b.ngram = regexp_replace(f.ngram, ' [^ ]*$', '')),"
+    " m AS (SELECT doc_id, i, max(CASE WHEN h.share IS NULL THEN 0 ELSE g.n END) AS length, arg_max(h.share, g.n) FILTER (WHERE h.share IS NOT NULL) AS share FROM g LEFT JOIN h ON h.n = g.n AND h.ngram = g.ngram GROUP BY 1, 2)"
+    " SELECT doc_id, round(avg(CASE WHEN length > 0 THEN share * pow(0.4, least(i, 3) - length) ELSE 0 END), 6) + 0.0 AS prob FROM m GROUP BY doc_id"
+)
+def lm_backoff(spark, sf):
+    d = docs(spark, sf)
+    counts_ = materialize(corpus.ngrams(d, 1, 3).filter("freq >= 2"), "grams")
+    return corpus.backoff_probability(d, counts_, 3).groupBy("doc_id").agg(tidy(F.avg("prob")).alias("prob"))
 
+
+@query(
+    "WITH w AS (SELECT list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS words FROM documents), g AS (SELECT unnest(list_transform(range(1, len(words)), lambda i: words[i:i + 1])) AS gram FROM w WHERE len(words) >= 2)"
+    " SELECT 2::BIGINT AS n, array_to_string(gram, ' ') AS ngram, count(*) AS freq FROM g WHERE gram[1] = gram[2] GROUP BY 2"
+)
+def ngram_callback(spark, sf):
+    """Bigrams of one word twice, by a test and a tokenizer of the caller's."""
+    found = corpus.filtered_ngrams(docs(spark, sf), 2, 2, lambda g: F.get(g, F.lit(0)) == F.get(g, F.lit(1)), lambda c: F.filter(F.split(F.lower(c), " "), lambda x: x != ""))
+    return found.select(long("n").alias("n"), "ngram", "freq")

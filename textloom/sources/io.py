@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,29 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path)
 
 
+def read_xz_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value): lines of .xz text files; one task reads a file, piece by piece, as the format cannot be cut."""
+
+    def lines(frames):
+        import lzma
+
+        for pdf in frames:
+            for content in pdf["content"]:
+                unpack, rest = lzma.LZMADecompressor(), b""
+                for k in range(0, len(content), 1 << 20):
+                    *done, rest = (rest + unpack.decompress(content[k : k + (1 << 20)])).split(b"\n")
+                    yield pd.DataFrame({"value": [x.decode("utf-8", "replace") for x in done]}, dtype="str")
+                yield pd.DataFrame({"value": [rest.decode("utf-8", "replace")] if rest else []}, dtype="str")
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(lines, "value string")
+
+
+def edited(lines: DataFrame, edit: Callable[[Column], Column]) -> DataFrame:
+    """Each line after an edit of the caller's; lines that it makes null go."""
+    return lines.withColumn("value", edit(F.col("value"))).filter("value IS NOT NULL")
+
+
 def write_lines(lines: DataFrame, path: str, compression: str = "none", replace: bool = False) -> None:
     """Text files; an existing path is an error unless it is to be replaced."""
     lines.select("value").write.mode("overwrite" if replace else "errorifexists").option("compression", compression).text(path)
@@ -131,6 +157,23 @@ def symbols(rows: DataFrame, name: str) -> DataFrame:
     return dense_ids(rows.select(F.col(name).alias("name")).filter("name IS NOT NULL").distinct(), ["name"])
 
 
+def save_map(m: DataFrame, path: str) -> None:
+    """A table (key, value) of two columns as key TAB value lines; white space marks inside are escaped."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n"))
+    write_lines(m.select(F.concat_ws("\t", safe("key"), safe("value")).alias("value")), path)
+
+
+def load_map(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) as text from key TAB value lines."""
+    parts = F.split("value", "\t", 2)
+
+    def plain(c: Column) -> Column:
+        back = F.replace(c, F.lit("\\\\"), F.lit("\u0001"))
+        return F.replace(F.replace(F.replace(back, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\u0001"), F.lit("\\"))
+
+    return read_lines(spark, path).select(plain(F.get(parts, F.lit(0))).alias("key"), plain(F.get(parts, F.lit(1))).alias("value"))
+
+
 def file_facts(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, dir, base, ext) of files."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
