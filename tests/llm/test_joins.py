@@ -217,13 +217,34 @@ def test_manhattan_is_a_lower_bound(a, b):
 
 
 @pytest.mark.parametrize("groups", [4, 5, 6, 8])
-def test_links_find_all(spark, groups):
+def test_links_connect_all(spark, groups):
+    """What the links connect is what all pairs within 3 bits connect, crowded families included, with few links."""
     rng = np.random.default_rng(groups)
     base = [int(x) for x in rng.integers(0, 2**63, 30)]
-    near = [b ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base for n in (1, 2, 3, 4)]
-    fps = sorted({simhash.signed(x % 2**64) for x in base + near + [0, 2**64 - 1, 7, 15]})
-    got = {tuple(r) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), groups).collect()}
-    assert got == {(a, b) for i, b in enumerate(fps) for a in fps[:i] if ((a ^ b) % 2**64).bit_count() <= 3}
+    flips = lambda b, n: b ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False))
+    chain = [base[0]]
+    for _ in range(40):
+        chain.append(flips(chain[-1], 3))
+    family = [flips(base[1], int(rng.integers(1, 3))) for _ in range(150)]
+    fps = sorted({simhash.signed(x % 2**64) for x in [*base, *[flips(b, n) for b in base for n in (1, 2, 3, 4)], *chain, *family, 0, 2**64 - 1, 7, 15]})
+    got = [tuple(r) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), groups).collect()]
+
+    def roots(pairs):
+        parent = {f: f for f in fps}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+        return {f: find(f) for f in fps}
+
+    every = [(a, b) for i, b in enumerate(fps) for a in fps[:i] if ((a ^ b) % 2**64).bit_count() <= 3]
+    assert roots(got) == roots(every)
+    assert len(got) < len(every) / 2
 
 
 def test_components(spark):

@@ -10,8 +10,9 @@ Range-join: the 32 dimensions are dealt into g groups. Of vectors within Manhatt
 distance 3 at least g - 3 groups are equal, so each vector stands in C(g, 3) grids,
 each with the cells of g - 3 groups as its key, and partners meet in a cell of one
 of them. The join verifies the lower bound, then the exact Hamming distance. g follows
-the number of fingerprints, so that cells stay near one vector each; every g finds
-all links.
+the number of fingerprints, so that cells stay near one vector each; with every g all
+that lie within the radius meet. Members of a cell meet its least one first, and then
+only those that are not connected yet, so families of fingerprints make stars.
 
 Only distinct fingerprints are joined, so copies make no pairs. Components come from
 star rounds over the links (``graph.components``), all as tables.
@@ -31,7 +32,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
@@ -103,30 +104,46 @@ def groups_for(n: int, radius: int = RADIUS) -> int:
     return min(range(radius + 1, 13), key=work)
 
 
-def links(nodes: DataFrame, groups: int, radius: int = RADIUS) -> DataFrame:
-    """(a, b): distinct fingerprints, a < b, that differ in at most radius bits."""
+def shared_cells(nodes: DataFrame, groups: int, radius: int = RADIUS) -> DataFrame:
+    """(fp, grid, cell, first) of the distinct fingerprints in each cell that holds more than one; first is the cell's least."""
     masks = F.array(*[F.lit(m) for m in grids(groups, radius)])
-    held = nodes.select("fp", embedded(F.col("fp")).alias("v"), F.posexplode(masks).alias("grid", "mask")).select(
-        "fp", "v", "grid", F.col("v").bitwiseAND(F.col("mask")).alias("cell")
-    )
-    a = held.select(F.col("fp").alias("a"), F.col("v").alias("va"), "grid", "cell")
-    b = held.select(F.col("fp").alias("b"), F.col("v").alias("vb"), F.col("grid").alias("grid_b"), F.col("cell").alias("cell_b"))
-    near = (
-        (F.col("grid") == F.col("grid_b"))
-        & (F.col("cell") == F.col("cell_b"))
-        & (F.col("a") < F.col("b"))
-        & (F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))) <= radius)
-        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    )
-    return a.join(b, near).select("a", "b").distinct()
+    held = nodes.filter("fp IS NOT NULL").select("fp", embedded(F.col("fp")).alias("v"), F.posexplode(masks).alias("grid", "mask"))
+    held = held.select("fp", "grid", F.col("v").bitwiseAND(F.col("mask")).alias("cell"))
+    cell = Window.partitionBy("grid", "cell")
+    return held.withColumn("first", F.min("fp").over(cell)).withColumn("members", F.count("*").over(cell)).filter("members > 1").drop("members")
+
+
+def near(a: Column, b: Column, radius: int) -> Column:
+    """The Manhattan bound, then the exact distance."""
+    return (F.bit_count(embedded(a).bitwiseXOR(embedded(b))) <= radius) & (F.bit_count(a.bitwiseXOR(b)) <= radius)
+
+
+def links(nodes: DataFrame, groups: int, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links that connect whatever links of at most radius bits between distinct fingerprints connect.
+
+    First each member of a cell meets the cell's least one. Then all members of a cell
+    meet, but for those that are connected already. A family of fingerprints that lie close
+    together is so a star of a link each, not all its pairs.
+    """
+    cells = materialize(shared_cells(nodes, groups, radius), "cells")
+    first = cells.filter((F.col("fp") != F.col("first")) & near(F.col("fp"), F.col("first"), radius)).select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    linked = materialize(components(first.distinct()), "components")
+    named = cells.join(linked, cells["fp"] == linked["node"], "left").select("grid", "cell", "fp", F.coalesce("component", "fp").alias("component"))
+    a = named.select("grid", "cell", F.col("fp").alias("a"), F.col("component").alias("c_a"))
+    b = named.select(F.col("grid").alias("grid_b"), F.col("cell").alias("cell_b"), F.col("fp").alias("b"), F.col("component").alias("c_b"))
+    met = a.join(b, (F.col("grid") == F.col("grid_b")) & (F.col("cell") == F.col("cell_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")))
+    others = met.filter(near(F.col("a"), F.col("b"), radius)).select("a", "b").distinct()
+    star = linked.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return others.unionByName(star)
 
 
 def with_similar(found: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
     """(node, component) of the links found and those of texts (id, fp, text) with so large a share of equal shingles."""
-    cells = materialize(similar.shared_cells(texts, shingle, share), "cells")
-    found = materialize(found.unionByName(similar.first_links(cells, texts, shingle, share)), "links")
+    sets = materialize(similar.shingle_sets(texts, shingle, share), "sets")
+    cells = materialize(similar.shared_cells(sets, share), "cells")
+    found = materialize(found.unionByName(similar.first_links(cells, sets, texts, shingle, share)), "links")
     linked = materialize(components(found), "components")
-    more = materialize(similar.other_links(cells, linked, texts, shingle, share), "links")
+    more = materialize(similar.other_links(cells, sets, linked, texts, shingle, share), "links")
     if more.isEmpty():
         return linked
     return materialize(components(more.unionByName(linked.select(F.col("component").alias("a"), F.col("node").alias("b")))), "components")

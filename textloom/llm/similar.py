@@ -7,8 +7,15 @@ least s times its size in common with the other, so the two share one of their f
 n - ceil(s n) + 1 shingles in that order. Any order finds all pairs; the sample only
 keeps cells of common shingles small.
 
+The positions in that order prune more. Of two similar sets the smaller one already has a
+shared shingle among its first n - ceil(2 s / (1 + s) n) + 1. And where the first shared
+shingle stands, no more can be shared than what either set has from there on, which must be at
+least s / (1 + s) of both sizes together. So a text that consists of a common passage and
+words of its own, and has that passage's shingles only behind the others, leaves the cell of
+such a shingle for which even the smallest text there is too large a partner.
+
 Candidates are made in two rounds, since near copies in a large group share most of
-their cells. First each text of a cell meets the cell's least one. Then all members of
+their cells. First each text of a cell meets the cell's smallest one. Then all members of
 a cell meet, but for those that are in one component already: such a pair could add no
 component. Shared first shingles are counted for each pair: with c of them, no more than
 c + ceil(s n) - 1 of all can be shared, n the larger set's size, which leaves out most
@@ -80,11 +87,8 @@ def prefix_of(found: np.ndarray, common: np.ndarray, counts: np.ndarray, share:
     return found[np.lexsort((found, rank))][: n - -(-over * n // under) + 1]
 
 
-def shared_cells(texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
-    """(cell, id, fp, n, first): of each distinct set of shingles, those of its first ones that others have too.
-
-    id is the row of one text with the set, n the set's size, first the least id in the cell.
-    """
+def shingle_sets(texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
+    """(id, fp, n, prefix) of each distinct set of shingles: the row of one text with it, its size and its first shingles in order."""
     common, counts = common_shingles(texts, shingle)
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -98,11 +102,36 @@ def shared_cells(texts: DataFrame, shingle: int, share: tuple[int, int]) -> Data
         }
 
     sets = map_batches(texts, ["id", "fp", "text"], run, "id long, fp long, key long, n int, prefix array<long>")
-    # Fingerprint and key together identify a set.
-    sets = sets.filter("n > 0").groupBy("fp", "key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    held = sets.select("id", "fp", "n", F.explode("prefix").alias("cell"))
+    # Fingerprint and key together identify a set; equal sets have equal prefixes.
+    first = F.min_by(F.struct("id", "n", "prefix"), "id")
+    return sets.filter("n > 0").groupBy("fp", "key").agg(first.alias("s")).select("s.id", "fp", "s.n", "s.prefix")
+
+
+def shared_cells(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(cell, id, fp, n, rest, early, first) of the sets' first shingles, those that others may share with enough behind them.
+
+    rest: how many shingles the set has from this one on; early: whether it stands among
+    those that the smaller of two similar sets shares one of; first (n, id, rest): of the
+    cell's smallest early member.
+    """
+    over, under = share
+    held = sets.select("id", "fp", "n", F.posexplode("prefix").alias("at", "cell"))
+    n = F.col("n").cast("long")
+    early = F.col("at") <= n - F.ceil(n * (2 * over) / (over + under))
+    # The largest partner that leaves enough to share.
+    most = F.floor(F.col("rest") * (over + under) / over) - n
+    held = held.select("cell", "id", "fp", "n", (n - F.col("at")).alias("rest"), early.alias("early"))
     cell = Window.partitionBy("cell")
-    return held.withColumn("first", F.min("id").over(cell)).withColumn("members", F.count("*").over(cell)).filter("members > 1").drop("members")
+    first = F.min(F.when(F.col("early"), F.struct("n", "id", "rest"))).over(cell)
+    held = held.withColumn("first", first).filter(most >= F.col("first.n"))
+    return held.withColumn("members", F.count("*").over(cell)).filter("members > 1").drop("members")
+
+
+def enough(n_x: Column, rest_x: Column, n_y: Column, rest_y: Column, share: tuple[int, int]) -> Column:
+    """Whether sets of these sizes may be as similar as share if their first shared shingle has so many from it on."""
+    over, under = share
+    sizes = F.least(n_x, n_y).cast("long") * under >= F.greatest(n_x, n_y).cast("long") * over
+    return sizes & (F.least(rest_x, rest_y) * (over + under) >= (n_x + n_y).cast("long") * over)
 
 
 def can_reach(n_x: Column, n_y: Column, shared: Column, share: tuple[int, int]) -> Column:
@@ -136,23 +165,30 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, share: tuple[int,
     return near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-def first_links(cells: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
-    """(a, b) of the first round, which need not be all: cells with another first text are not counted, nor is its size known."""
-    met = cells.filter("id <> first").groupBy(F.col("id").alias("x"), F.col("first").alias("y")).agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    return verified(met.filter(can_reach(F.col("n"), F.col("n"), F.col("shared"), share)).select("x", "y"), texts, shingle, share)
+def plausible(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Those pairs (x, y) of ids that share enough first shingles."""
+    x = sets.select(F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("prefix").alias("p_x"))
+    y = sets.select(F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("prefix").alias("p_y"))
+    shared = F.size(F.array_intersect("p_x", "p_y"))
+    return pairs.distinct().join(x, "x").join(y, "y").filter(can_reach(F.col("n_x"), F.col("n_y"), shared, share)).select("x", "y")
 
 
-def other_links(cells: DataFrame, linked: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
+def first_links(cells: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
+    """(a, b) of the first round: each member of a cell with its smallest one."""
+    met = cells.filter((F.col("id") != F.col("first.id")) & enough(F.col("n"), F.col("rest"), F.col("first.n"), F.col("first.rest"), share))
+    return verified(plausible(met.select(F.col("id").alias("x"), F.col("first.id").alias("y")), sets, share), texts, shingle, share)
+
+
+def other_links(cells: DataFrame, sets: DataFrame, linked: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
     """(a, b) of the second round; linked: (node, component) of the fingerprints in components so far."""
-    named = cells.join(linked, cells["fp"] == linked["node"], "left").select("cell", "id", "n", F.coalesce("component", "fp").alias("component"))
-    x = named.select("cell", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("c_x"))
-    y = named.select(F.col("cell").alias("cell_y"), F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("component").alias("c_y"))
-    over, under = share
-    near = (
-        (F.col("cell") == F.col("cell_y"))
-        & (F.col("x") < F.col("y"))
-        & (F.col("c_x") != F.col("c_y"))
-        & (F.least("n_x", "n_y").cast("long") * under >= F.greatest("n_x", "n_y").cast("long") * over)
+    named = cells.join(linked, cells["fp"] == linked["node"], "left").select("cell", "id", "n", "rest", "early", F.coalesce("component", "fp").alias("component"))
+    x, y = (named.select(F.col("cell").alias(f"cell_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "rest", "early", "component")]) for k in ("x", "y"))
+    met = (
+        (F.col("cell_x") == F.col("cell_y"))
+        & F.col("early_y")
+        & (F.struct("n_y", "id_y") < F.struct("n_x", "id_x"))
+        & (F.col("component_x") != F.col("component_y"))
+        & enough(F.col("n_x"), F.col("rest_x"), F.col("n_y"), F.col("rest_y"), share)
     )
-    met = x.join(y, near).groupBy("x", "y").agg(F.count("*").alias("shared"), F.first("n_x").alias("n_x"), F.first("n_y").alias("n_y"))
-    return verified(met.filter(can_reach(F.col("n_x"), F.col("n_y"), F.col("shared"), share)).select("x", "y"), texts, shingle, share)
+    pairs = x.join(y.filter("early_y"), met).select(F.col("id_x").alias("x"), F.col("id_y").alias("y"))
+    return verified(plausible(pairs, sets, share), texts, shingle, share)
