@@ -62,6 +62,28 @@ def test_literals():
     assert literals.to_json("(a") is None and literals.to_json("a)") is None and literals.to_json(None) is None
 
 
+def test_many_pairs():
+    """Pairs aligned together score as they do one by one."""
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("abcé𝄞", k=rng.randint(0, 7)))
+    a, b = [word() for _ in range(500)], [word() for _ in range(500)]
+    costs = cognate.Costs().doublings("abc", 0.9).transpositions("ab", 1.5).add("a", "", 0.3).add("", "b", 0.2).add("ab", "c", 1.2).add("c", "abé", 1.1)
+    for c in (None, costs):
+        for scaling in ("longer", "shorter", "average"):
+            assert cognate.scores_of(a, b, c, scaling) == pytest.approx([cognate.score(x, y, c, scaling) for x, y in zip(a, b, strict=True)])
+    assert strings.jaro_scores(a, b) == pytest.approx([strings.jaro_score(x, y) for x, y in zip(a, b, strict=True)])
+    assert strings.jaro_winkler_scores(a, b) == pytest.approx([strings.jaro_winkler_score(x, y) for x, y in zip(a, b, strict=True)])
+
+
+def test_more_scripts():
+    assert romanize.romanize_text("한글 각 값 앉") == "hangeul gag gabs anj"
+    assert romanize.romanize_text("ᄀ") == "g" and romanize.romanize_text("ᅡ") == "a" and romanize.romanize_text("ᆨ") == "g"
+    assert romanize.romanize_text("ไทย ๑๒") == "ịthy 12" and romanize.romanize_text("१०") == "10"
+    assert romanize.romanize_text("ሀለ") == "hala"
+
+
 def test_cognates():
     for a, b, v in (("night", "nacht", 0.6), ("cat", "bat", 0.6667), ("colour", "color", 0.8333), ("house", "haus", 0.6), ("kitten", "sitting", 0.5714)):
         assert round(cognate.score(a, b), 4) == v

@@ -2,8 +2,9 @@
 
 Greek follows ISO 843, Cyrillic ISO 9 with common digraphs in place of carons. Letters
 of other alphabets are read by their Unicode names (ARMENIAN SMALL LETTER BEN, HIRAGANA
-LETTER KA): the part of the name that tells the sound, by a rule for each script. A
-consonant sign of an Indic script carries its vowel "a" unless a vowel sign or a virama
+LETTER KA): the part of the name that tells the sound, by a rule for each script. Thai
+follows ISO 11940. Hangul syllables are taken apart into their letters, which are read one
+by one. Decimal digits of any script become ASCII digits. A consonant sign of an Indic script carries its vowel "a" unless a vowel sign or a virama
 follows.
 """
 
@@ -27,6 +28,19 @@ CYRILLIC = dict(
         strict=True,
     )
 )
+# ISO 11940 letters and vowels from U+0E01 and from U+0E40 on.
+THAI = dict(
+    zip(
+        map(chr, (*range(0x0E01, 0x0E3A), *range(0x0E40, 0x0E47))),
+        "k kh ḳh kh kh ḳh ng c ch ch s ch y ḍ ṭ ṭh ṯh th ṇ d t th th ṭh n b p ph f ph f ph m y r v l ł w ṣ s s h ḷ x ḥ ǂ"
+        " a ạ ā å i ī ụ ụ u ū e æ o ı ị ɨ «".split(),
+        strict=True,
+    )
+)
+# Hangul letters in the order of their syllables' initials, vowels and finals.
+INITIALS = "g kk n d tt l m b pp s ss _ j jj ch k t p h".split()
+VOWELS = "a ae ya yae eo e yeo ye o wa wae oe yo u wo we wi yu eu ui i".split()
+FINALS = "_ g kk gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j ch k t p h".split()
 
 # How the last word of a letter's Unicode name is read where it is not its own sound.
 NAMED = {
@@ -57,6 +71,18 @@ NAMED = {
 INDIC = frozenset("DEVANAGARI BENGALI GURMUKHI GUJARATI ORIYA TAMIL TELUGU KANNADA MALAYALAM SINHALA".split())
 
 
+def hangul(code: int) -> str | None:
+    """The sound of a Hangul syllable, or of one of the letters that syllables are made of."""
+    at = code - 0xAC00
+    if 0 <= at < 19 * 21 * 28:
+        parts = INITIALS[at // (21 * 28)], VOWELS[at // 28 % 21], FINALS[at % 28]
+        return "".join(parts).replace("_", "")
+    for first, sounds in ((0x1100, INITIALS), (0x1161, VOWELS), (0x11A7, FINALS)):
+        if 0 <= code - first < len(sounds):
+            return sounds[code - first].replace("_", "")
+    return None
+
+
 @functools.cache
 def _letter(ch: str) -> tuple[str, str] | None:
     """(kind, sound): letter, consonant (with inherent a), sign or virama; None for what is not romanised."""
@@ -65,6 +91,12 @@ def _letter(ch: str) -> tuple[str, str] | None:
     for table in (GREEK, CYRILLIC):
         if low in table or plain in table:
             return "letter", table.get(low, table.get(plain)).replace("_", "")
+    if ch in THAI:
+        return "letter", THAI[ch]
+    if (sound := hangul(ord(ch))) is not None:
+        return "letter", sound
+    if not ch.isascii() and unicodedata.decimal(ch, None) is not None:
+        return "letter", str(unicodedata.decimal(ch))
     words = unicodedata.name(ch, "").split()
     if not words:
         return None
@@ -72,7 +104,7 @@ def _letter(ch: str) -> tuple[str, str] | None:
     if script in NAMED and "LETTER" in words:
         known = [w for w in words if w in NAMED[script]]
         return ("letter", NAMED[script][known[-1]]) if known else None
-    if script in ("HIRAGANA", "KATAKANA") and "LETTER" in words:
+    if (script in ("HIRAGANA", "KATAKANA") and "LETTER" in words) or (script == "ETHIOPIC" and "SYLLABLE" in words):
         return "letter", words[-1].lower()
     if script in INDIC:
         if "VIRAMA" in words:
