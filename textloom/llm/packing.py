@@ -13,7 +13,8 @@ are levelled: the emptiest are poured, cut where needed, into the fullest until
 most one window of the partition is not full.
 
 Memory is bounded by the open windows of one partition, which hold (document, start,
-length) triples, not ids.
+length) triples, and by the ids of their pieces, less than a window of each document:
+whole windows leave at once, and a document is forgotten with its last piece.
 
 Defined results: a null or empty text is its end id alone. Repeated rows are packed
 apart. Other columns are ignored. An empty table gives no rows.
@@ -235,23 +236,21 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary
         encode = encoder(path).encode
         base = TaskContext.get().partitionId() << 40
         packer = SumOfSquares(window)
-        # Ids wait only until their document's last piece is placed; a piece's checksum is taken then.
-        names: list[int | None] = []
-        tokens: dict[int, bytes] = {}
-        missing: dict[int, int] = {}
-        totals: dict[int, int] = {}
+        # (doc_id, ids in all, ids without a place yet, the first id held, ids from there on) of documents that are not placed as a whole.
+        held: dict[int, list] = {}
+        number = 0
         rows: list[tuple] = []
 
         def out(full) -> None:
             for w, pieces in full:
                 offset = 0
                 for doc, at, length in pieces:
-                    raw = tokens[doc]
-                    rows.append((names[doc], at, length, zlib.crc32(raw[4 * at : 4 * (at + length)]), totals[doc], base + w, offset))
+                    name, total, _, first, raw = held[doc]
+                    rows.append((name, at, length, zlib.crc32(raw[4 * (at - first) : 4 * (at - first + length)]), total, base + w, offset))
                     offset += length
-                    missing[doc] -= length
-                    if not missing[doc]:
-                        del tokens[doc], missing[doc], totals[doc]
+                    held[doc][2] -= length
+                    if not held[doc][2]:
+                        del held[doc]
 
         def batch_of() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
@@ -262,11 +261,12 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary
             for part in parts_of(batch, 500):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc_id, raw in zip(part.column(0).to_pylist(), encode(texts), strict=True):
-                    doc = len(names)
-                    names.append(doc_id)
-                    tokens[doc] = raw + end
-                    missing[doc] = totals[doc] = len(raw) // 4 + 1
-                    out(packer.add(doc, totals[doc]))
+                    total = len(raw) // 4 + 1
+                    held[number] = [doc_id, total, total, 0, raw + end]
+                    out(packer.add(number, total))
+                    if number in held and (first := total // window * window):
+                        held[number][3:] = first, held[number][4][4 * first :]
+                    number += 1
             if rows:
                 yield batch_of()
         out(packer.finish())
