@@ -11,7 +11,9 @@ verified (windows that overlap are merged first), so no occurrence is lost.
 Item and text are compared as lower-cased words: ASCII punctuation and white space
 count as one space. Items are searched in blocks of a bounded number of characters
 (``block_chars``), each block against all documents; with more items there are more
-passes, not larger automata.
+passes, not larger automata. The driver holds one block at a time and hands it on as a
+broadcast of that bounded size; the documents that a block's items leave are written before
+the next one comes.
 
 Defined results: null and empty texts match nothing; items without words are left
 out; a repeated item reports under each of its ids; repeated document rows give
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import WORD_BYTES, documents, map_batches, map_whole, parts_of, read_table
+from textloom.llm.common import WORD_BYTES, documents, map_batches, map_whole, materialize, parts_of, read_table
 
 ERROR_RATE = 0.08
 #: Characters of items whose pieces one automaton holds.
@@ -131,7 +133,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def blocks(items: DataFrame, most: int):
     """Lists of (item id, normalised text) with about so many characters each, one after the other."""
-    held, chars = [], 0
+    held, chars, made = [], 0, 0
     for r in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         if r[0] is None or not (text := normal(r[1])):
             continue
@@ -139,8 +141,9 @@ def blocks(items: DataFrame, most: int):
         chars += len(text)
         if chars >= most:
             yield held
-            held, chars = [], 0
-    yield held
+            held, chars, made = [], 0, made + 1
+    if held or not made:
+        yield held
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -148,14 +151,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, bloc
     docs = documents(docs)
 
     def search(block: list[tuple[int, str]]) -> DataFrame:
-        made: list[PieceIndex] = []
+        held, made = docs.sparkSession.sparkContext.broadcast(block), []
 
         def rows(batch: pa.RecordBatch) -> dict:
             if not made:
-                made.append(PieceIndex(block, rate))
+                made.append(PieceIndex(held.value, rate))
             out: dict[str, list] = {x.split()[0]: [] for x in SCHEMA.split(", ")}
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for hit in made[0].matches(normal(text)) if block and text else ():
+                for hit in made[0].matches(normal(text)) if made[0].items and text else ():
                     for name, value in zip(out, (doc, *hit), strict=True):
                         out[name].append(value)
             return out
@@ -166,19 +169,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, bloc
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, with all columns, in which no item occurs; moves no rows."""
+    """The rows of docs, with all columns, in which no item occurs; moves no rows between tasks."""
     at = docs.columns.index("text")
 
-    def clean(block: list[tuple[int, str]], docs: DataFrame) -> DataFrame:
+    def clean(docs: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+        held = docs.sparkSession.sparkContext.broadcast(block)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = PieceIndex(block, rate)
+            index = PieceIndex(held.value, rate)
             for batch in (p for whole in batches for p in parts_of(whole)):
                 texts = batch.column(at).to_pylist()
-                yield batch.filter(pa.array([not (block and t and index.matches(normal(t))) for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([not (index.items and t and index.matches(normal(t))) for t in texts], pa.bool_()))
 
         return map_whole(docs, run, docs.schema)
 
-    return reduce(lambda left, block: clean(block, left), blocks(items, block_chars), docs)
+    out = None
+    for block in blocks(items, block_chars):
+        out = clean(docs if out is None else materialize(out, "clean"), block)
+    return out
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
