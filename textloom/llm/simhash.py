@@ -41,6 +41,8 @@ from textloom.llm.common import documents, map_batches, map_whole, materialize,
 from textloom.llm.graph import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
+#: A fingerprint with more than 1/HOT of all rows is not left to one task.
+HOT = 256
 EVEN = 0x5555555555555555
 #: What a segment's count tells about a fingerprint, in bits.
 SEGMENT_BITS = 1.45
@@ -184,7 +186,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         return {"doc_id": batch.column(0), "fp": [signed(fingerprint(t)) for t in utf8(batch.column(1))]}
 
     held = materialize(map_batches(documents(docs), ["doc_id", "text"], rows, "doc_id long, fp long"), "rows")
-    return held.join(fingerprint_components(held, radius).drop("keep"), "fp").select("doc_id", "fp", "component_id")
+    found = fingerprint_components(held, radius).select("fp", "component_id")
+    # Fingerprints with more than 1/HOT of all rows, at most HOT, meet a list; so no task has all rows of one.
+    total = held.count()
+    hot = [r["fp"] for r in held.groupBy("fp").count().filter(F.col("count") * HOT > total).collect()]
+    if not hot:
+        return held.join(found, "fp").select("doc_id", "fp", "component_id")
+    few = F.broadcast(found.filter(F.col("fp").isin(hot)))
+    both = held.filter(F.col("fp").isin(hot)).join(few, "fp").unionByName(held.filter(~F.col("fp").isin(hot)).join(found, "fp"))
+    return both.select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(
