@@ -2,12 +2,13 @@
 
 Each language has a raw-content dictionary made of training texts. Texts are read in
 lower case, their letters only, words apart. A text is compressed once with each
-dictionary, and each size is divided by the dictionary's baseline: how far it shrinks
-calibration texts of the other languages. So a long dictionary, which compresses
-everything better, gains nothing by its length, and no dictionary is cut for another's
-sake. The text gets the language with the smallest quotient; of equal ones the language
-with more training rows. The margin is the share by which the smallest is below the
-second; a prediction under ``MIN_MARGIN`` is marked as not accepted.
+dictionary, and each size is divided by the dictionary's baseline: how much larger texts of
+other languages get with as short a part of their own dictionaries, 1 for the longest. So
+a language with few texts is compared as if it had as many as the others, and no
+dictionary is cut for another's sake. The text gets the language with the smallest
+quotient; of equal ones the language with more training rows. The margin is the share by
+which the smallest is below the second; a prediction under ``MIN_MARGIN`` is marked as not
+accepted.
 
 Training uses a bounded sample of the rows with a language whose fold is not held out:
 ``SAMPLE_ROWS`` rows a language on average and ``SAMPLE_TOTAL`` rows in all, picked by a
@@ -37,8 +38,8 @@ from textloom.llm.common import map_whole, parts_of, read_table, unused, with_fi
 
 SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_CHARS = 200, 100_000, 2_000
 DICTIONARY_BYTES, DICTIONARY_TOTAL, LEVEL = 112 << 10, 56 << 20, 9
-#: Texts that the baselines are measured on, from all languages together.
-CALIBRATION = 64
+#: Languages that the baselines are measured on, those with the longest dictionaries, and texts of each.
+CALIBRATION, CALIBRATION_TEXTS = 8, 8
 MIN_MARGIN = 0.01
 #: A margin that gives a score of one half.
 HALF_MARGIN = 0.02
@@ -97,23 +98,28 @@ def compressor(dictionary: bytes, level: int = LEVEL) -> zstandard.ZstdCompresso
 def learn(sample: dict[str, list[str]], most: int = DICTIONARY_BYTES, total: int = DICTIONARY_TOTAL) -> dict[str, Language]:
     """Dictionaries and baselines of the sample's languages.
 
-    Of each language a quarter of the texts at most, and CALIBRATION texts of all languages
-    together, stay out of its dictionary and are calibration texts of the others.
+    Of each language CALIBRATION_TEXTS texts, and a quarter at most, stay out of its
+    dictionary and show how it grows better with its length.
     """
     texts = {k: [x for x in (letters(t).encode() for t in v) if x] for k, v in sample.items()}
     texts = {k: v for k, v in texts.items() if v}
     if not texts:
         return {}
-    apart = {k: v[len(v) - min(len(v) // 4, max(1, CALIBRATION // len(texts))) :] for k, v in texts.items()}
-    apart = {k: v for k, v in list(apart.items())[:CALIBRATION] if v}
-    plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
-    known = [(k, x, len(plain.compress(x))) for k, v in apart.items() for x in v]
-    size, out = min(most, total // len(texts)), {}
-    for k, v in texts.items():
-        own = b" ".join(v[: len(v) - len(apart.get(k, ()))])[:size]
-        held = compressor(own)
-        ratios = [len(held.compress(x)) / n for other, x, n in known if other != k]
-        out[k] = Language(own, sum(ratios) / len(ratios) if ratios else 1.0)
+    apart = {k: min(len(v) // 4, CALIBRATION_TEXTS) for k, v in texts.items()}
+    size = min(most, total // len(texts))
+    own = {k: b" ".join(v[: len(v) - apart[k]])[:size] for k, v in texts.items()}
+    longest = sorted((k for k in own if apart[k]), key=lambda k: (-len(own[k]), k))[:CALIBRATION]
+
+    def total_size(k: str, length: int) -> int:
+        made = compressor(own[k][:length])
+        return sum(len(made.compress(x)) for x in texts[k][len(texts[k]) - apart[k] :])
+
+    whole = {k: total_size(k, size) for k in longest}
+    out = {}
+    for k, dictionary in own.items():
+        longer = [j for j in longest if len(own[j]) > len(dictionary)]
+        ratios = [total_size(j, len(dictionary)) / whole[j] for j in longer]
+        out[k] = Language(dictionary, sum(ratios) / len(ratios) if ratios else 1.0)
     return out
 
 
