@@ -70,6 +70,16 @@ def test_dense_ids_many_partitions(spark):
     assert all(r["k"] == r["id"] for r in rows)
 
 
+def test_discard(spark):
+    held = tables.materialize(spark.range(5), "short")
+    path = held.inputFiles()[0]
+    assert held.count() == 5 and spark.read.parquet(path).count() > 0
+    tables.discard(held)
+    tables.discard(held)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_relations(spark):
     rows = spark.createDataFrame([(k, i, i * i) for i, k in enumerate("abcab")], "k string, i int, v int")
     assert sorted(map(tuple, relations.first_wins(rows, "k", ["i"]).collect())) == [("a", 0, 0), ("b", 1, 1), ("c", 2, 4)]

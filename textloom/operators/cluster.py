@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions import measures as M
 from textloom.functions.vectors import normalize
-from textloom.operators.tables import dense_ids, materialize
+from textloom.operators.tables import dense_ids, discard, materialize
 
 MAX_CENTRE_CELLS = 4_000_000
 
@@ -414,7 +414,9 @@ def merge_rounds(vectors: DataFrame, o: Options = Options()) -> DataFrame:
         named = live.join(mutual.select(F.col("b").alias("cluster"), "a"), "cluster", "left").select(F.coalesce("a", "cluster").alias("cluster"), "size", "v")
         cells = named.select("cluster", F.posexplode("v").alias("dim", "x")).groupBy("cluster", "dim").agg(F.sum("x").alias("x"))
         sums = cells.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda c: c["x"]).alias("v"))
-        live = materialize(named.groupBy("cluster").agg(F.sum("size").alias("size")).join(sums, "cluster"), "live")
+        last, live = live, materialize(named.groupBy("cluster").agg(F.sum("size").alias("size")).join(sums, "cluster"), "live")
+        for done in (last, means, best):
+            discard(done)
     assigned = vectors.select("vec_id", F.col("vec_id").alias("top"), F.lit("").alias("path"))
     if rounds:
         merges = reduce(DataFrame.unionByName, rounds)
@@ -423,7 +425,8 @@ def merge_rounds(vectors: DataFrame, o: Options = Options()) -> DataFrame:
             now = held.filter(F.col("round") == r)
             both = now.select(F.col("a").alias("top"), "a", F.lit("0").alias("bit")).unionByName(now.select(F.col("b").alias("top"), "a", F.lit("1").alias("bit")))
             joined = assigned.join(both, "top", "left")
-            assigned = materialize(joined.select("vec_id", F.coalesce("a", "top").alias("top"), F.concat(F.coalesce("bit", F.lit("")), "path").alias("path")), "assigned")
+            last, assigned = assigned, materialize(joined.select("vec_id", F.coalesce("a", "top").alias("top"), F.concat(F.coalesce("bit", F.lit("")), "path").alias("path")), "assigned")
+            discard(last)
     tops = dense_ids(assigned.groupBy("top").agg(F.min("vec_id").alias("first")), ["first"], "cluster").select("top", "cluster")
     return assigned.join(tops, "top").select("vec_id", "cluster", F.concat(F.lit("B"), "path").alias("path"))
 

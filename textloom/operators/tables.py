@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Where written tables lie, for as long as their DataFrames are held.
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    _PATHS[held] = path
+    return held
+
+
+def discard(df: DataFrame | None) -> None:
+    """Remove the files of a table from ``materialize`` that nothing reads any more, such as the last round's of a loop."""
+    path = _PATHS.pop(df, None) if df is not None else None
+    if path:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def dense_ids(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
