@@ -88,7 +88,7 @@ def prefix_of(found: np.ndarray, common: np.ndarray, counts: np.ndarray, share:
 
 
 def shingle_sets(texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
-    """(id, fp, n, prefix) of each distinct set of shingles: the row of one text with it, its size and its first shingles in order."""
+    """(id, fp, n, prefix, marks) of each distinct set of shingles: the row of one text with it, its size, its first shingles in order, and their lower halves."""
     common, counts = common_shingles(texts, shingle)
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -104,7 +104,8 @@ def shingle_sets(texts: DataFrame, shingle: int, share: tuple[int, int]) -> Data
     sets = map_batches(texts, ["id", "fp", "text"], run, "id long, fp long, key long, n int, prefix array<long>")
     # Fingerprint and key together identify a set; equal sets have equal prefixes.
     first = F.min_by(F.struct("id", "n", "prefix"), "id")
-    return sets.filter("n > 0").groupBy("fp", "key").agg(first.alias("s")).select("s.id", "fp", "s.n", "s.prefix")
+    sets = sets.filter("n > 0").groupBy("fp", "key").agg(first.alias("s")).select("s.id", "fp", "s.n", "s.prefix")
+    return sets.withColumn("marks", F.transform("prefix", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
 
 
 def shared_cells(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -146,8 +147,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, share: tuple[int,
     """(a, b): the fingerprints, a < b, of those pairs (x, y) of ids whose sets are as similar as share."""
     over, under = share
     pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    texts = texts.join(F.broadcast(ids) if pairs.count() <= MOST_PAIRS else ids, "id", "left_semi")
+    texts = only(texts, pairs)
     x = texts.select(F.col("id").alias("x"), F.col("fp").alias("fp_x"), F.col("text").alias("text_x"))
     y = texts.select(F.col("id").alias("y"), F.col("fp").alias("fp_y"), F.col("text").alias("text_y"))
 
@@ -165,12 +165,21 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, share: tuple[int,
     return near.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
+def only(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows (id, ...) whose id stands in one of the written pairs (x, y); a list of ids goes to the executors only while it is short."""
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    return rows.join(F.broadcast(ids) if pairs.count() <= MOST_PAIRS else ids, "id", "left_semi")
+
+
 def plausible(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Those pairs (x, y) of ids that share enough first shingles."""
-    x = sets.select(F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("prefix").alias("p_x"))
-    y = sets.select(F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("prefix").alias("p_y"))
-    shared = F.size(F.array_intersect("p_x", "p_y"))
-    return pairs.distinct().join(x, "x").join(y, "y").filter(can_reach(F.col("n_x"), F.col("n_y"), shared, share)).select("x", "y")
+    """Those pairs (x, y) of ids that share enough first shingles; halves of shingles that agree by chance only add to these."""
+    pairs = materialize(pairs.distinct(), "pairs")
+    held = only(sets.select("id", "n", "marks"), pairs)
+    x = held.select(F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("marks").alias("p_x"))
+    y = held.select(F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("marks").alias("p_y"))
+    # Two shingles of a set may have one mark, which the intersection holds once.
+    shared = F.size(F.array_intersect("p_x", "p_y")) + F.size("p_x") - F.size(F.array_distinct("p_x"))
+    return pairs.join(x, "x").join(y, "y").filter(can_reach(F.col("n_x"), F.col("n_y"), shared, share)).select("x", "y")
 
 
 def first_links(cells: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
