@@ -191,7 +191,10 @@ def brute_components(fps, radius=3):
     return {f: find(f) for f in fs}
 
 
-def test_simhash(corpus, corpus_rows, odd, none, odd_rows):
+@pytest.mark.parametrize("hot", [1, 256])
+def test_simhash(corpus, corpus_rows, odd, none, odd_rows, hot, monkeypatch):
+    # With 1 no fingerprint is hot; with 256 all of these small tables' are.
+    monkeypatch.setattr(simhash, "HOT", hot)
     for docs, source in ((corpus, corpus_rows), (odd, odd_rows)):
         fps = [(d, brute_fingerprint(t or "")) for d, t, *_ in source]
         root = brute_components([f for _, f in fps])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import materialize
+from textloom.operators.tables import discard
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.filter("a <> b").distinct(), "edges")
     seen = None
     while True:
-        edges = materialize(small_star(large_star(edges)), "edges")
+        last, edges = edges, materialize(small_star(large_star(edges)), "edges")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
