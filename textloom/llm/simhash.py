@@ -11,8 +11,8 @@ distance 3 at least g - 3 groups are equal, so each vector stands in C(g, 3) gri
 each with the cells of g - 3 groups as its key, and partners meet in a cell of one
 of them. The join verifies the lower bound, then the exact Hamming distance. g follows
 the number of fingerprints, so that cells stay near one vector each; with every g all
-that lie within the radius meet. Members of a cell meet its least one first, and then
-only those that are not connected yet, so families of fingerprints make stars.
+that lie within the radius meet. Members of a cell meet its least one, and only those
+that are not near it meet all others, so families of fingerprints make stars.
 
 Only distinct fingerprints are joined, so copies make no pairs. Components come from
 star rounds over the links (``graph.components``), all as tables.
@@ -123,20 +123,17 @@ def near(a: Column, b: Column, radius: int) -> Column:
 def links(nodes: DataFrame, groups: int, radius: int = RADIUS) -> DataFrame:
     """(a, b): links that connect whatever links of at most radius bits between distinct fingerprints connect.
 
-    First each member of a cell meets the cell's least one. Then all members of a cell
-    meet, but for those that are connected already. A family of fingerprints that lie close
-    together is so a star of a link each, not all its pairs.
+    Each member of a cell meets the cell's least one. Those that are within the radius of
+    it are connected by it and need not meet one another; only the others meet all members of
+    the cell. A family of fingerprints that lie close together is so a star, not all its pairs.
     """
-    cells = materialize(shared_cells(nodes, groups, radius), "cells")
-    first = cells.filter((F.col("fp") != F.col("first")) & near(F.col("fp"), F.col("first"), radius)).select(F.col("first").alias("a"), F.col("fp").alias("b"))
-    linked = materialize(components(first.distinct()), "components")
-    named = cells.join(linked, cells["fp"] == linked["node"], "left").select("grid", "cell", "fp", F.coalesce("component", "fp").alias("component"))
-    a = named.select("grid", "cell", F.col("fp").alias("a"), F.col("component").alias("c_a"))
-    b = named.select(F.col("grid").alias("grid_b"), F.col("cell").alias("cell_b"), F.col("fp").alias("b"), F.col("component").alias("c_b"))
-    met = a.join(b, (F.col("grid") == F.col("grid_b")) & (F.col("cell") == F.col("cell_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")))
-    others = met.filter(near(F.col("a"), F.col("b"), radius)).select("a", "b").distinct()
-    star = linked.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return others.unionByName(star)
+    cells = materialize(shared_cells(nodes, groups, radius).withColumn("tied", near(F.col("fp"), F.col("first"), radius)), "cells")
+    star = cells.filter("tied AND fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    x = cells.filter("NOT tied").select("grid", "cell", F.col("fp").alias("x"))
+    y = cells.select(F.col("grid").alias("grid_y"), F.col("cell").alias("cell_y"), F.col("fp").alias("y"), "tied")
+    met = (F.col("grid") == F.col("grid_y")) & (F.col("cell") == F.col("cell_y")) & (F.col("tied") | (F.col("x") < F.col("y")))
+    others = x.join(y, met & near(F.col("x"), F.col("y"), radius)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return star.unionByName(others).distinct()
 
 
 def with_similar(found: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
