@@ -175,8 +175,8 @@ def brute_language(text, learned):
     raw = " ".join(re.findall(r"[^\W\d_]+", text.lower())).encode()
     sizes = {}
     for name, held in learned.items():
-        made = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(held.dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
-        sizes[name] = len(made.compress(raw)) / held.baseline
+        made = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes[name] = len(made.compress(raw))
     return min(sizes, key=sizes.get) if raw else "und"
 
 
@@ -197,7 +197,7 @@ def test_language_with_few_texts(spark, sf):
     sample = language.training_sample(docs)
     few = sorted(sample)[0]
     learned = language.learn({k: v[:3] if k == few else v for k, v in sample.items()})
-    assert set(learned) == set(sample) and min(len(x.dictionary) for k, x in learned.items() if k != few) > 3 * len(learned[few].dictionary)
+    assert set(learned) == set(sample) and min(len(x) for k, x in learned.items() if k != few) > 3 * len(learned[few])
     compressors = language.Compressors(learned)
     rows = [r for r in docs.collect() if r["lang"] != few and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
     assert np.mean([compressors.predict(r["text"])[0] == r["lang"] for r in rows]) >= 0.9
@@ -207,6 +207,17 @@ def test_language_with_few_texts(spark, sf):
     assert len(language.training_sample(many)) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(900))
 
 
+def test_language_margin(spark, sf):
+    """Of wrong answers on fragments of a few words, nearly none is accepted; of whole texts, nearly all are."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
+    compressors = language.Compressors(language.learn(language.training_sample(docs)))
+    rows = [r for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    short = [(compressors.predict(" ".join(r["text"].split()[:n])), r["lang"]) for r in rows for n in (2, 3, 5)]
+    wrong = [found for found, lang in short if found[0] != lang]
+    assert len(wrong) > 10 and np.mean([sure for _, _, sure in wrong]) < 0.1
+    assert np.mean([compressors.predict(r["text"])[2] for r in rows]) > 0.9
+
+
 def brute_packing_ids(texts, path):
     from tokenizers import Tokenizer
 

@@ -2,12 +2,11 @@
 
 Each language has a raw-content dictionary made of training texts. Texts are read in
 lower case, their letters only, words apart. A text is compressed once with each
-dictionary, and each size is divided by the dictionary's baseline: how much larger texts of
-other languages get with as short a part of their own dictionaries, 1 for the longest. So
-a language with few texts is compared as if it had as many as the others, and no
-dictionary is cut for another's sake. The text gets the language with the smallest
-quotient; of equal ones the language with more training rows. The margin is the share by
-which the smallest is below the second; a prediction under ``MIN_MARGIN`` is marked as not
+dictionary and gets the language of the smallest size; of equal ones that with more
+training rows. Sizes are compared as they are: a text that is foreign to a short dictionary
+gains as little from it as from a long foreign one, so any correction for a dictionary's
+length would hand it texts of other languages. The margin is the share by which the
+smallest size is below the second; a prediction under ``MIN_MARGIN`` is marked as not
 accepted.
 
 Training uses a bounded sample of the rows with a language whose fold is not held out:
@@ -27,7 +26,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
@@ -38,8 +36,6 @@ from textloom.llm.common import map_whole, parts_of, read_table, unused, with_fi
 
 SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_CHARS = 200, 100_000, 2_000
 DICTIONARY_BYTES, DICTIONARY_TOTAL, LEVEL = 112 << 10, 56 << 20, 9
-#: Languages that the baselines are measured on, those with the longest dictionaries, and texts of each.
-CALIBRATION, CALIBRATION_TEXTS = 8, 8
 MIN_MARGIN = 0.01
 #: A margin that gives a score of one half.
 HALF_MARGIN = 0.02
@@ -81,52 +77,24 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, total: int = SAMPL
     return {k: v for k, v in out.items() if v}
 
 
-@dataclass(frozen=True)
-class Language:
-    """What is learned of a language: its dictionary and the baseline that sizes are divided by."""
-
-    dictionary: bytes
-    baseline: float = 1.0
-
-
 def compressor(dictionary: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
     held = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(level=level)
     return zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def learn(sample: dict[str, list[str]], most: int = DICTIONARY_BYTES, total: int = DICTIONARY_TOTAL) -> dict[str, Language]:
-    """Dictionaries and baselines of the sample's languages.
-
-    Of each language CALIBRATION_TEXTS texts, and a quarter at most, stay out of its
-    dictionary and show how it grows better with its length.
-    """
+def learn(sample: dict[str, list[str]], most: int = DICTIONARY_BYTES, total: int = DICTIONARY_TOTAL) -> dict[str, bytes]:
+    """The dictionaries of the sample's languages, its texts with letters one after the other."""
     texts = {k: [x for x in (letters(t).encode() for t in v) if x] for k, v in sample.items()}
     texts = {k: v for k, v in texts.items() if v}
-    if not texts:
-        return {}
-    apart = {k: min(len(v) // 4, CALIBRATION_TEXTS) for k, v in texts.items()}
-    size = min(most, total // len(texts))
-    own = {k: b" ".join(v[: len(v) - apart[k]])[:size] for k, v in texts.items()}
-    longest = sorted((k for k in own if apart[k]), key=lambda k: (-len(own[k]), k))[:CALIBRATION]
-
-    def total_size(k: str, length: int) -> int:
-        made = compressor(own[k][:length])
-        return sum(len(made.compress(x)) for x in texts[k][len(texts[k]) - apart[k] :])
-
-    whole = {k: total_size(k, size) for k in longest}
-    out = {}
-    for k, dictionary in own.items():
-        longer = [j for j in longest if len(own[j]) > len(dictionary)]
-        ratios = [total_size(j, len(dictionary)) / whole[j] for j in longer]
-        out[k] = Language(dictionary, sum(ratios) / len(ratios) if ratios else 1.0)
-    return out
+    size = min(most, total // max(len(texts), 1))
+    return {k: b" ".join(v)[:size] for k, v in texts.items()}
 
 
 class Compressors:
-    def __init__(self, learned: dict[str, Language]):
+    def __init__(self, learned: dict[str, bytes]):
         self.names = list(learned)
-        self.made = [(compressor(x.dictionary), x.baseline) for x in learned.values()]
+        self.made = [compressor(x) for x in learned.values()]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, accepted)."""
@@ -135,14 +103,14 @@ class Compressors:
             return UNDETERMINED, 0.0, False
         if len(self.made) == 1:
             return self.names[0], 1.0, True
-        sizes = [len(c.compress(raw)) / base for c, base in self.made]
+        sizes = [len(c.compress(raw)) for c in self.made]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         second = min(s for i, s in enumerate(sizes) if i != best)
         margin = (second - sizes[best]) / second
         return self.names[best], round(margin / (margin + HALF_MARGIN), 6), margin >= MIN_MARGIN
 
 
-def predict_languages(docs: DataFrame, learned: dict[str, Language]) -> DataFrame:
+def predict_languages(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
     """docs with all its columns and lang_pred, lang_score, accepted after them; moves no rows."""
     at = docs.columns.index("text")
     held = docs.sparkSession.sparkContext.broadcast(learned)  # DICTIONARY_TOTAL bytes at most
