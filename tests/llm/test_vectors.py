@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from textloom.llm import whitening
+from textloom.llm import negatives, whitening
 
 FIELDS = "vec_id long, embedding array<float>, label int"
 NAN, INF = float("nan"), float("inf")
@@ -78,3 +78,67 @@ def test_exact_sums(spark):
     x = np.array([r["x"] for r in whitening.whole_numbers(wide).collect()]) - 1_000_000
     sums, products = whitening.pair_sums(columns)
     assert sums == x.sum(axis=0).tolist() and (products == x.T @ x).all()
+
+
+def brute_negatives(rows, every=100, positives=5, most=5):
+    """All rows against each anchor, by sorting."""
+    held = [(i, v, n) for i, v, n in rows if i is not None and n is not None and v and all(c is not None and math.isfinite(c) for c in v)]
+    held = [(i, [math.floor(256 * float(np.float32(c))) for c in v], (n + 1) % 10 if i % 7 == 0 else n) for i, v, n in held]
+    out = []
+    for a, x, label in held:
+        if a % every:
+            continue
+        scores = [(-sum(p * q for p, q in zip(x, y, strict=True)), i, n == label) for i, y, n in held if i != a]
+        for p, positive, _ in sorted(s for s in scores if s[2])[:positives]:
+            found = sorted((s, i) for s, i, same in scores if not same and 80 * -p <= 100 * -s <= 100 * -p)[:most]
+            out += [(a, positive, k + 1, i, -p, -s) for k, (s, i) in enumerate(found)]
+    return sorted(out)
+
+
+def test_hard_negatives(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    assert sorted(map(tuple, negatives.op12_hard_negatives(spark, sf).collect())) == brute_negatives(rows)
+
+
+def test_odd_negatives(spark):
+    """Ties, repeated rows and ids, nulls, odd entries, clashing names, several blocks and small trees."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    some = [[float(rng.randint(-1, 2)) for _ in range(4)] for _ in range(12)]
+    rows = [(rng.choice([rng.randrange(300), 100 * rng.randrange(9)]), rng.choice(some), rng.randrange(3)) for _ in range(400)]
+    rows += [(None, some[0], 1), (500, None, 1), (501, some[1], None), (502, [NAN] * 4, 1), (503, [1.0, None, 1.0, 1.0], 0), (504, [INF] * 4, 0), (505, [], 2)]
+    df = spark.createDataFrame(rows, FIELDS).repartition(3).withColumn("rank", F.lit("clash")).withColumn("x", F.lit("clash"))
+    want = brute_negatives(rows)
+    assert len(want) > 300
+    for block in (4096, 7):
+        assert sorted(map(tuple, negatives.mine(df, block=block).collect())) == want
+    assert negatives.mine(df.limit(0)).count() == 0 and negatives.mine(df.filter("vec_id = 501")).count() == 0
+    assert negatives.mine(df.filter("vec_id % 100 <> 0")).count() == 0
+    with pytest.raises(ValueError):
+        negatives.mine(spark.createDataFrame([(100, [1.0, 2.0], 1), (2, [1.0], 1)], FIELDS)).count()
+
+
+def test_dual_tree():
+    """On rows in clusters most pairs are never scored, and what is found is what brute force finds, large numbers included."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16)) * 200
+    x = np.floor(centres[rng.integers(30, size=6000)] + rng.normal(size=(6000, 16)) * 4).astype(np.int64)
+    ids, labels = np.arange(6000), rng.integers(3, size=6000)
+    for scale in (1, 2**24):
+        own = negatives.build(ids[:200], labels[:200], x[:200] * scale, leaf=4)
+        tree = negatives.build(ids, labels, x * scale, leaf=64)
+        assert sorted(tree.ids) == list(range(6000)) and all(np.linalg.norm(tree.x[a:b] - c, axis=1).max(initial=0) <= r for a, b, c, r in zip(tree.start, tree.stop, tree.centre, tree.radius, strict=True))
+        best = negatives.Best(np.full(200, np.iinfo(np.int64).min), np.full(200, np.iinfo(np.int64).max), 5)
+        negatives.search(own, own, best, 1, True)
+        best = negatives.Best(best.least, best.high, 5)
+        scored = negatives.search(own, tree, best, 1, True)
+        found = sorted((int(w), -int(s), int(i)) for w, s, i in zip(best.want, best.scores, best.ids, strict=True))
+        want = []
+        for w in range(200):
+            scores = sorted((-int(s), i) for s, i, n in zip((tree.x @ own.x[w]).tolist(), tree.ids.tolist(), tree.labels, strict=True) if n == own.labels[w] and i != own.ids[w])[:5]
+            want += [(w, s, i) for s, i in scores]
+        assert found == sorted(want)
+        assert scored < 0.35 * 200 * 6000
+    with pytest.raises(ValueError):
+        negatives.scores_of(np.full((1, 4), 2**40), np.full((1, 4), 2**40))
