@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontaminate, html_text, language, license_scan, line_dedup, media, negatives, packing, sharding, simhash, toxicity, whitening
+from textloom.llm import decontaminate, html_text, language, license_scan, line_dedup, media, negatives, packing, pieces, sharding, simhash, toxicity, whitening
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html_extraction": html_text.op8_html_extraction,
     "op9_media_columns": media.op9_media_columns,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_sentencepiece": pieces.op11_sentencepiece,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_whitening": whitening.op13_whitening,
 }
