@@ -150,6 +150,16 @@ def test_broken_media():
             pass
 
 
+def test_nested_media():
+    """Boxes nested thousands deep are walked; a file without a track gives none."""
+    deep = b""
+    for _ in range(3000):
+        deep = struct.pack(">I4s", len(deep) + 8, b"moov") + deep
+    assert media.read_tracks(deep) == []
+    with pytest.raises(ValueError):
+        media.read_tracks(deep[:-4])
+
+
 def test_language(spark, sf, odd, none):
     rows = language.op7_language_id(spark, sf).collect()
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -16,8 +16,8 @@ broadcast of that bounded size; the documents that a block's items leave are wri
 the next one comes.
 
 Defined results: null and empty texts match nothing; items without words are left
-out; a repeated item reports under each of its ids; repeated document rows give
-repeated results; other columns are ignored.
+out; a repeated item reports under each of its ids, and one with a null id under a null
+id; repeated document rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,11 +131,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(items: DataFrame, most: int):
+def blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int | None, str]]]:
     """Lists of (item id, normalised text) with about so many characters each, one after the other."""
     held, chars, made = [], 0, 0
     for r in items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        if r[0] is None or not (text := normal(r[1])):
+        if not (text := normal(r[1])):
             continue
         held.append((r[0], text))
         chars += len(text)

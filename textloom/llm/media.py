@@ -150,18 +150,21 @@ def read_tracks(data: bytes) -> list[Track]:
     """Walk the boxes and decode each track's sample tables."""
     tracks: list[dict] = []
 
-    def walk(at: int, end: int) -> None:
-        for kind, body, stop in boxes(data, at, end):
-            if kind == b"moof":
-                raise ValueError("movie fragments are not read")
+    # Boxes inside boxes of any depth: those still to be walked, the innermost last.
+    open_ = [boxes(data, 0, len(data))]
+    while open_:
+        kind, body, stop = next(open_[-1], (None, 0, 0))
+        if kind is None:
+            open_.pop()
+        elif kind == b"moof":
+            raise ValueError("movie fragments are not read")
+        else:
             if kind == b"trak":
                 tracks.append({})
             if kind in CONTAINERS:
-                walk(body, stop)
+                open_.append(boxes(data, body, stop))
             elif tracks:
                 tracks[-1][kind] = (body, stop)
-
-    walk(0, len(data))
     try:
         return [_track(data, found) for found in tracks if b"stsd" in found]
     except KeyError as missing:
@@ -226,7 +229,7 @@ def read_payload(data: bytes, track: Track) -> bytes:
 
 def media_row(text: bytes) -> tuple:
     stored = write_media(pad(text))
-    track = read_tracks(stored)[0]
+    (track,) = read_tracks(stored)
     payload = read_payload(stored, track)
     ranges = zlib.crc32(np.stack([track.offsets[track.keys], track.sizes[track.keys]], 1).astype("<u8").tobytes())
     seconds = track.duration / track.timescale

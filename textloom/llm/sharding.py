@@ -1,9 +1,10 @@
 """Vector bin packing of documents into shards: bytes, tokens and rows jointly.
 
-Equal texts form a group, and a group goes to one shard whole unless it is hot: a
-group with more than 1/512 of all bytes or rows is dealt, by a hash of a number of each
-row's own, into chunks below that; doc_id has no part in it, so rows without one or with
-one in common are dealt as well. A unit (group or chunk) has a demand vector (bytes, tokens, rows)
+Equal texts form a group, and a group goes to one shard whole unless it is hot: a group
+of more than ``HOT_ROWS`` rows and more than 1/64 of all bytes or rows, an eighth of a
+shard, is dealt by a hash of a number of each row's own into chunks of 1/1024;
+doc_id has no part in it, so rows without one or with one in common are dealt as well. In
+a table of any size a group of fewer rows stays together, however large its texts. A unit (group or chunk) has a demand vector (bytes, tokens, rows)
 in shares of the totals, and goes to the shard where the dot product of the demand
 with the residual capacity is highest, largest units first.
 
@@ -34,8 +35,10 @@ from pyspark.sql.window import Window
 from textloom.llm.common import documents, materialize, read_table
 
 SHARDS = 8
-#: A group over 1/HOT of all bytes or rows is dealt into chunks; a unit over 1/LARGE of a total is large.
-HOT, LARGE = 512, 4096
+#: A group of more than HOT_ROWS rows and over 1/HOT of all bytes or rows is dealt into chunks; a unit over 1/LARGE of a total is large.
+HOT, HOT_ROWS, LARGE = 64, 256, 4096
+#: A chunk is about 1/CHUNKS of the bytes or rows.
+CHUNKS = 1024
 #: Units in one bucket: on average no more than the one, and no fewer than the other where there are more buckets than one.
 BUCKET_UNITS, LEAST_UNITS = 20_000, 500
 #: Units that are placed last, on the driver: one in so many, and on average no more than so many.
@@ -94,8 +97,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, bucket_units: int = BUCKET_UNI
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     whole = np.array([total["size"], max(1, total["tokens"]), total["rows"]], dtype=float)
     # At most 2 * HOT groups can be so large, so the list is bounded.
-    hot = groups.filter((F.col("size") * HOT > total["size"]) | (F.col("rows") * HOT > total["rows"])).filter("rows > 1")
-    chunks = {bytes(r["body"]): int(np.ceil(2 * HOT * max(r["size"] / whole[0], r["rows"] / whole[2]))) for r in hot.toLocalIterator()}
+    hot = groups.filter((F.col("size") * HOT > total["size"]) | (F.col("rows") * HOT > total["rows"])).filter(F.col("rows") > HOT_ROWS)
+    chunks = {bytes(r["body"]): int(np.ceil(CHUNKS * max(r["size"] / whole[0], r["rows"] / whole[2]))) for r in hot.toLocalIterator()}
     chunk = F.lit(0)
     if chunks:
         held = spark.createDataFrame([(bytearray(b), n) for b, n in sorted(chunks.items())], "body binary, chunks int")

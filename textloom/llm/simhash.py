@@ -11,8 +11,13 @@ distance 3 at least g - 3 groups are equal, so each vector stands in C(g, 3) gri
 each with the cells of g - 3 groups as its key, and partners meet in a cell of one
 of them. The join verifies the lower bound, then the exact Hamming distance. g follows
 the number of fingerprints, so that cells stay near one vector each; with every g all
-that lie within the radius meet. Members of a cell meet its least one, and only those
-that are not near it meet all others, so families of fingerprints make stars.
+that lie within the radius meet. Where fingerprints lie denser, as in families of one
+template, a cell with more than ``DENSE`` members is not joined: all members of such cells
+go on to grids of more groups, and what is dense there too to grids over the bits
+themselves in 16 groups, where a cell cannot hold more than 2^12 fingerprints. Any pair
+within the radius meets in a cell of every grid, so none is lost, and no fingerprint meets
+a number of others that grows with the input. Members of a cell meet its least one, and only
+those that are not near it meet all others, so families make stars.
 
 Only distinct fingerprints are joined, so copies make no pairs. Components come from
 star rounds over the links (``graph.components``), all as tables.
@@ -26,24 +31,28 @@ repeated rows get equal results; other columns are ignored by the query and kept
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from textloom.llm import similar
 from textloom.llm.common import documents, map_batches, map_whole, materialize, named, parts_of, read_table, unused, utf8, with_fields
 from textloom.llm.graph import components
+from textloom.operators.tables import discard
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: A fingerprint with more than 1/HOT of all rows is not left to one task.
 HOT = 256
 EVEN = 0x5555555555555555
+#: Members of a cell that are joined; the finer grids that larger cells go on to, 0 for those over bits.
+DENSE, FINER = 64, (8, 12, 0)
 #: What a segment's count tells about a fingerprint, in bits.
 SEGMENT_BITS = 1.45
 
@@ -106,13 +115,15 @@ def groups_for(n: int, radius: int = RADIUS) -> int:
     return min(range(radius + 1, 13), key=work)
 
 
-def shared_cells(nodes: DataFrame, groups: int, radius: int = RADIUS) -> DataFrame:
-    """(fp, grid, cell, first) of the distinct fingerprints in each cell that holds more than one; first is the cell's least."""
-    masks = F.array(*[F.lit(m) for m in grids(groups, radius)])
-    held = nodes.filter("fp IS NOT NULL").select("fp", embedded(F.col("fp")).alias("v"), F.posexplode(masks).alias("grid", "mask"))
-    held = held.select("fp", "grid", F.col("v").bitwiseAND(F.col("mask")).alias("cell"))
-    cell = Window.partitionBy("grid", "cell")
-    return held.withColumn("first", F.min("fp").over(cell)).withColumn("members", F.count("*").over(cell)).filter("members > 1").drop("members")
+def grid_cells(nodes: DataFrame, groups: int, radius: int = RADIUS) -> DataFrame:
+    """(grid, cell, fp): each distinct fingerprint in every grid; with 0 groups its bits in 16 groups of four instead of counts."""
+    if groups:
+        masks, key = grids(groups, radius), embedded(F.col("fp"))
+    else:
+        parts = [15 << 4 * i for i in range(16)]
+        masks, key = [signed(sum(chosen)) for chosen in combinations(parts, 16 - radius)], F.col("fp")
+    held = nodes.filter("fp IS NOT NULL").select("fp", key.alias("v"), F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("grid", "mask"))
+    return held.select("grid", F.col("v").bitwiseAND(F.col("mask")).alias("cell"), "fp")
 
 
 def near(a: Column, b: Column, radius: int) -> Column:
@@ -125,12 +136,29 @@ def links(nodes: DataFrame, groups: int, radius: int = RADIUS) -> DataFrame:
 
     Each member of a cell meets the cell's least one. Those that are within the radius of
     it are connected by it and need not meet one another; only the others meet all members of
-    the cell. A family of fingerprints that lie close together is so a star, not all its pairs.
+    the cell. Members of cells that are too large meet in the next finer grid.
     """
-    cells = materialize(shared_cells(nodes, groups, radius).withColumn("tied", near(F.col("fp"), F.col("first"), radius)), "cells")
-    star = cells.filter("tied AND fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
-    x = cells.filter("NOT tied").select("grid", "cell", F.col("fp").alias("x"))
-    y = cells.select(F.col("grid").alias("grid_y"), F.col("cell").alias("cell_y"), F.col("fp").alias("y"), "tied")
+    out, rest = [], nodes.select("fp")
+    for level in (groups, *[g for g in FINER if g > groups or not g]):
+        cells = materialize(grid_cells(rest, level, radius), "cells")
+        sizes = cells.groupBy("grid", "cell").agg(F.count("*").alias("members"), F.min("fp").alias("first")).filter("members > 1")
+        sizes = materialize(sizes, "cell-sizes")
+        out.append(materialize(_met(cells, sizes if not level else sizes.filter(F.col("members") <= DENSE), radius), "links"))
+        dense = sizes.filter(F.col("members") > DENSE).select("grid", "cell")
+        if not level or dense.isEmpty():
+            break
+        rest = materialize(cells.join(dense, ["grid", "cell"], "left_semi").select("fp").distinct(), "dense")
+        discard(cells)
+        discard(sizes)
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
+def _met(cells: DataFrame, sizes: DataFrame, radius: int) -> DataFrame:
+    """The links (a, b) found in the cells of sizes (grid, cell, first)."""
+    held = cells.join(sizes.select("grid", "cell", "first"), ["grid", "cell"]).withColumn("tied", near(F.col("fp"), F.col("first"), radius))
+    star = held.filter("tied AND fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    x = held.filter("NOT tied").select("grid", "cell", F.col("fp").alias("x"))
+    y = held.select(F.col("grid").alias("grid_y"), F.col("cell").alias("cell_y"), F.col("fp").alias("y"), "tied")
     met = (F.col("grid") == F.col("grid_y")) & (F.col("cell") == F.col("cell_y")) & (F.col("tied") | (F.col("x") < F.col("y")))
     others = x.join(y, met & near(F.col("x"), F.col("y"), radius)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return star.unionByName(others).distinct()
