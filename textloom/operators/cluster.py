@@ -5,13 +5,15 @@ against a table of others (centres, queries, members of clusters) take the other
 blocks of at most ``MAX_CENTRE_CELLS`` numbers: each block goes to all tasks, the vectors
 are read once a block and never move, and only each block's best results are merged. For
 cosine a block is a matrix product in numpy; other measures are Spark expressions over the
-block as one array. Searches within a distance meet in a grid of distances to pivots.
+block as one array. Searches for one nearest centre rule out whole groups of centres by the
+angle to their pivot (``prune``). Searches within a distance meet in a grid of distances to
+pivots.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -24,6 +26,8 @@ from pyspark.sql.window import Window
 
 from textloom.functions import measures as M
 from textloom.functions.vectors import normalize
+from textloom.operators.graph import components
+from textloom.operators.prune import Centres
 from textloom.operators.tables import dense_ids, discard, materialize
 
 MAX_CENTRE_CELLS = 4_000_000
@@ -84,6 +88,16 @@ def blocks(rows: DataFrame, key: str, cells: int | None = None):
         yield rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) == b) if n > 1 else rows
 
 
+def in_turn(some: Iterator[DataFrame], search: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+    """What a search finds for each block; of several blocks each one's result is written before the next is read, so the driver holds one."""
+    out, ahead = [], next(some)
+    for block in some:
+        out.append(materialize(search(ahead), "found"))
+        ahead = block
+    out.append(search(ahead) if not out else materialize(search(ahead), "found"))
+    return out
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
@@ -105,14 +119,17 @@ def _best_in_block(vectors: DataFrame, block: DataFrame, measure: str) -> DataFr
     """(vec_id, centre, sim): the most similar of the block for each vector; block (centre, v)."""
     if measure == "cosine":
         names, m = _block(block, "centre")
-        m, ids = _unit(m), np.array(names)
+        held = block.sparkSession.sparkContext.broadcast((np.array(names), _unit(m)))  # MAX_CENTRE_CELLS numbers
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, m = held.value
+            centres = Centres(ids, m) if len(ids) else None
             for batch in batches:
-                if batch.num_rows and len(ids):
-                    sims = _unit(_matrix(batch.column(1))) @ m.T
-                    at = np.argmax(np.round(sims, 12), axis=1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[at]), pa.array(sims[np.arange(len(at)), at])], names=["vec_id", "centre", "sim"])
+                if batch.num_rows and centres:
+                    x = _unit(_matrix(batch.column(1)))
+                    at, _ = centres.nearest(x)
+                    sims = np.einsum("ij,ij->i", x, m[at])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids[at]), pa.array(sims)], names=["vec_id", "centre", "sim"])
 
         kinds = {f.name: f.dataType.simpleString() for f in (*vectors.schema, *block.schema)}
         return vectors.select("vec_id", "v").mapInArrow(run, f"vec_id {kinds['vec_id']}, centre {kinds['centre']}, sim double")
@@ -125,7 +142,7 @@ def _best_in_block(vectors: DataFrame, block: DataFrame, measure: str) -> DataFr
 
 def nearest(vectors: DataFrame, centres: DataFrame, measure: str = "cosine", threshold: float | None = None) -> DataFrame:
     """(vec_id, centre, sim): each vector's best centre of centres (centre, cv), if it reaches the threshold."""
-    found = [_best_in_block(vectors, b, measure) for b in blocks(centres.select("centre", F.col("cv").alias("v")), "centre")]
+    found = in_turn(blocks(centres.select("centre", F.col("cv").alias("v")), "centre"), lambda b: _best_in_block(vectors, b, measure))
     out = found[0]
     if len(found) > 1:
         both = reduce(DataFrame.unionByName, found)
@@ -137,7 +154,7 @@ def nearest(vectors: DataFrame, centres: DataFrame, measure: str = "cosine", thr
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int, measure: str = "cosine") -> DataFrame:
     """(query, vec_id, sim, rank): of each query the k most similar other vectors; "product" is the inner product."""
     q = queries.select(F.col("vec_id").alias("query"), "v")
-    out = reduce(DataFrame.unionByName, [_ranked_in_block(b, vectors, k, measure) for b in blocks(q, "query")])
+    out = reduce(DataFrame.unionByName, in_turn(blocks(q, "query"), lambda b: _ranked_in_block(b, vectors, k, measure)))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "vec_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -148,7 +165,11 @@ def _ranked_in_block(block: DataFrame, vectors: DataFrame, k: int, measure: str)
     if measure not in ("cosine", "product"):
         whole = block.agg(F.collect_list(F.struct("query", F.col("v").alias("qv"))).alias("all"))
         pairs = vectors.select("vec_id", "v").crossJoin(F.broadcast(whole)).select("vec_id", "v", F.explode("all").alias("q")).select("vec_id", "v", "q.query", "q.qv")
-        return pairs.filter(F.col("vec_id") != F.col("query")).select("query", "vec_id", M.similarity(measure, "qv", "v").alias("sim"))
+        pairs = pairs.filter(F.col("vec_id") != F.col("query")).select("query", "vec_id", M.similarity(measure, "qv", "v").alias("sim"))
+        # The k best of each part of the vectors before any row moves.
+        part = Window.partitionBy("query", "part").orderBy(F.desc("sim"), "vec_id")
+        ranked = pairs.withColumn("part", F.spark_partition_id()).withColumn("near", F.row_number().over(part))
+        return ranked.filter(F.col("near") <= k).select("query", "vec_id", "sim")
     names, m = _block(block, "query")
     scaled = _unit if measure == "cosine" else lambda x: x
     ids, m = np.array(names), scaled(m)
@@ -257,7 +278,7 @@ def linkage(assigned: DataFrame, how: str, measure: str = "cosine", kind: str =
         value = dot / (F.col("n1") * F.col("n2"))
         return pairs.select("c1", "c2", (value if kind == "similarity" else 1 - value).alias(name))
     if measure == "cosine":
-        found = [_linked_in_block(assigned, b, "max" if how == "nearest" else "min") for b in blocks(assigned.select("vec_id", "cluster", "v"), "vec_id")]
+        found = in_turn(blocks(assigned.select("vec_id", "cluster", "v"), "vec_id"), lambda b: _linked_in_block(assigned, b, "max" if how == "nearest" else "min"))
         merge = F.max if how == "nearest" else F.min
         out = reduce(DataFrame.unionByName, found).groupBy("c1", "c2").agg(merge("sim").alias("sim"))
         return out if kind == "similarity" else out.select("c1", "c2", (1 - F.col("sim")).alias(name))
@@ -487,14 +508,9 @@ def dbscan(vectors: DataFrame, o: Options = Options()) -> DataFrame:
     near = materialize(within(vectors, o.epsilon, o.measure), "near")
     core = materialize(near.groupBy("vec_id").agg(F.count("*").alias("n")).filter(F.col("n") + 1 >= o.min_points).select("vec_id"), "core")
     links = near.join(core, "vec_id").join(core.select(F.col("vec_id").alias("other")), "other")
-    label = materialize(core.withColumn("cluster", F.col("vec_id")), "labels")
-    while True:
-        across = links.join(label.select(F.col("vec_id").alias("other"), F.col("cluster").alias("c")), "other").groupBy("vec_id").agg(F.min("c").alias("c"))
-        new = materialize(label.join(across, "vec_id", "left").select("vec_id", F.least("cluster", F.coalesce("c", "cluster")).alias("cluster"), (F.col("c") < F.col("cluster")).alias("moved")), "labels")
-        done = new.filter("moved").isEmpty()
-        label = new.select("vec_id", "cluster")
-        if done:
-            break
+    found = components(links.filter("vec_id < other").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
+    label = core.join(found.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("cluster"))
+    label = materialize(label, "labels")
     border = near.join(label.select(F.col("vec_id").alias("other"), "cluster"), "other").groupBy("vec_id").agg(F.min("cluster").alias("reach"))
     return vectors.select("vec_id").join(label, "vec_id", "left").join(border, "vec_id", "left").select("vec_id", F.coalesce("cluster", "reach").alias("cluster"))
 

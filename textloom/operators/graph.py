@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.tables import materialize
+from textloom.operators.tables import discard, materialize
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -58,6 +58,33 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     return forest
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of an edge table (a, b): component is the least node that can be reached.
+
+    Every round ties each node's larger neighbours, and then its smaller ones, to the least
+    node around, so a path of n nodes takes about log n rounds and no node ever collects its
+    neighbours. Only the last round's table stays.
+    """
+    edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "ties")
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
+        wide = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        wide = materialize(wide, "ties")
+        low = wide.groupBy("a").agg(F.min("b").alias("low"))
+        near = wide.join(low, "a").filter("b <> low").select(F.greatest("b", "low").alias("a"), F.least("b", "low").alias("b"))
+        last, edges = edges, materialize(near.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "ties")
+        discard(last)
+        discard(wide)
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
 def matrix_cells(cells: DataFrame, kind: str = "full", width: int = 0) -> DataFrame:
     """The stored cells (row, col, val) of a matrix: full, upper, lower, symmetric (keys ordered), diagonal or banded."""
     tests = {

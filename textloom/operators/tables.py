@@ -6,7 +6,7 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,20 +45,36 @@ def discard(df: DataFrame | None) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """df written by ranges of the order, with textloom_part, the number of the range."""
+    return materialize(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("textloom_part", F.spark_partition_id()), "ranges")
+
+
+def _begins(held: DataFrame, size: Column) -> DataFrame:
+    """(textloom_part, textloom_begin): what the ranges before each one amount to; as many rows as there are ranges."""
+    starts, at = [], 0
+    for part, n in sorted((r[0], r[1]) for r in held.groupBy("textloom_part").agg(size).collect()):
+        starts.append((part, at))
+        at += n
+    return held.sparkSession.createDataFrame(starts, "textloom_part int, textloom_begin long")
+
+
+def running_starts(df: DataFrame, order: list[str], weight: str, name: str) -> DataFrame:
+    """df with the sum of a whole-number weight over all rows before each one in an order that tells all rows apart; no task sorts the whole table."""
+    held = _ranges(df, order)
+    before = Window.partitionBy("textloom_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = held.withColumn("textloom_before", F.coalesce(F.sum(weight).over(before), F.lit(0)))
+    out = out.join(F.broadcast(_begins(held, F.sum(weight))), "textloom_part")
+    return out.withColumn(name, F.col("textloom_begin") + F.col("textloom_before")).select(*df.columns, name)
+
+
 def dense_ids(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     """df with gapless numbers from 0 in the order of columns whose values tell all rows apart.
 
     Rows are range-partitioned and numbered part by part; the parts' starts are a list
     as long as the number of partitions, so no task sorts the whole table.
     """
-    parts = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("textloom_part", F.spark_partition_id())
-    held = materialize(parts, "ranges")
-    counts = sorted((r[0], r[1]) for r in held.groupBy("textloom_part").count().collect())
-    starts, at = [], 0
-    for part, n in counts:
-        starts.append((part, at))
-        at += n
-    begun = df.sparkSession.createDataFrame(starts, "textloom_part int, textloom_begin long")
+    held = _ranges(df, order)
     rank = F.row_number().over(Window.partitionBy("textloom_part").orderBy(*order))
-    out = held.withColumn("textloom_rank", rank).join(F.broadcast(begun), "textloom_part")
+    out = held.withColumn("textloom_rank", rank).join(F.broadcast(_begins(held, F.count("*"))), "textloom_part")
     return out.withColumn(name, F.col("textloom_begin") + F.col("textloom_rank") - 1).select(*df.columns, name)

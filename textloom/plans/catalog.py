@@ -1243,3 +1243,7 @@ def ngram_callback(spark, sf):
     """Bigrams of one word twice, by a test and a tokenizer of the caller's."""
     found = corpus.filtered_ngrams(docs(spark, sf), 2, 2, lambda g: F.get(g, F.lit(0)) == F.get(g, F.lit(1)), lambda c: F.filter(F.split(F.lower(c), " "), lambda x: x != ""))
     return found.select(long("n").alias("n"), "ngram", "freq")
+
+
+# The queries of the other module of this folder are registered with these.
+from textloom.plans import depth  # noqa: E402, F401

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.functions import text as T
 from textloom.functions import vectors as V
@@ -55,10 +56,20 @@ def without_blank(lines: DataFrame) -> DataFrame:
     return lines.filter(T.trim(F.col("value")) != "")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): lines by their number in each file, from 0; one task reads a whole file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\n\z", "").alias("body"))
-    return whole.select("file", F.posexplode(F.split("body", "\n")).alias("line_no", "value"))
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line_no, value): lines by their number in each file, from 0; a large file is read by as many tasks as it has splits.
+
+    Within a split lines are counted as they are read; a first pass counts the lines of each
+    split, and a split's first number is how many lines the splits of its file before it have.
+    That table has one row a split. Files of a codec that cannot be split are one split each.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("order"), "value"
+    )
+    splits = lines.groupBy("file", "at").agg(F.min("order").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = splits.select("file", "at", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(shifts, ["file", "at"]).select("file", (F.col("order") + F.col("shift")).alias("line_no"), "value")
 
 
 def skip_lines(numbered: DataFrame, n: int) -> DataFrame:
@@ -168,8 +179,10 @@ def load_map(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("value", "\t", 2)
 
     def plain(c: Column) -> Column:
-        back = F.replace(c, F.lit("\\\\"), F.lit("\u0001"))
-        return F.replace(F.replace(F.replace(back, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\u0001"), F.lit("\\"))
+        # From one backslash to the next in turn, so that an escaped backslash never begins another mark.
+        marks = F.regexp_extract_all(c, F.lit(r"(?s)(\\.|[^\\]+|\\$)"), F.lit(1))
+        one = lambda m: F.when(m == r"\t", "\t").when(m == r"\n", "\n").when(m == r"\\", "\\").otherwise(m)
+        return F.array_join(F.transform(marks, one), "")
 
     return read_lines(spark, path).select(plain(F.get(parts, F.lit(0))).alias("key"), plain(F.get(parts, F.lit(1))).alias("value"))
 
@@ -203,20 +216,44 @@ def load_signed(spark: SparkSession, path: str, signature: str, least: int = 0)
 
 
 def replace_table(df: DataFrame, path: str, backup: bool = True) -> None:
-    """Write beside path, then put the new table in its place; the old one stays as path.bak if wanted."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    new, old, target = (jvm.org.apache.hadoop.fs.Path(path + end) for end in (".new", ".bak", ""))
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Write beside path, then put the new table in its place; the old one stays as path.bak if wanted.
+
+    File systems have no exchange of folders, so there is a moment between two renames. Whatever
+    ends the work then leaves the old table whole under path.old; the next call, or
+    ``recover_table``, puts it back. An older backup goes only when the new table is in place.
+    """
+    fs, at = _file_system(df.sparkSession, path)
+    new, old, bak, target = (at(path + end) for end in (".new", ".old", ".bak", ""))
     df.write.mode("overwrite").parquet(path + ".new")
-    if fs.exists(target):
-        fs.delete(old, True)
-        if not fs.rename(target, old):
-            raise OSError(f"cannot move {path}")
+    recover_table(df.sparkSession, path)
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"cannot move {path}")
     if not fs.rename(new, target):
+        recover_table(df.sparkSession, path)
         raise OSError(f"cannot put {path} in its place")
-    if not backup:
-        fs.delete(old, True)
+    if fs.exists(old):
+        fs.delete(bak, True)
+        if backup:
+            fs.rename(old, bak)
+        else:
+            fs.delete(old, True)
+
+
+def recover_table(spark: SparkSession, path: str) -> bool:
+    """Put the old table back where a replacement ended between its two renames; whether it had to."""
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at(path + ".old")):
+        return False
+    if fs.exists(at(path)):  # the new table is in place, only the tidying was left
+        fs.delete(at(path + ".bak"), True)
+        fs.rename(at(path + ".old"), at(path + ".bak"))
+        return False
+    return bool(fs.rename(at(path + ".old"), at(path)))
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def read_config(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
