@@ -170,10 +170,12 @@ def with_similar(found: DataFrame, texts: DataFrame, shingle: int, share: tuple[
     cells = materialize(similar.shared_cells(sets, share), "cells")
     found = materialize(found.unionByName(similar.first_links(cells, sets, texts, shingle, share)), "links")
     linked = materialize(components(found), "components")
-    more = materialize(similar.other_links(cells, sets, linked, texts, shingle, share), "links")
-    if more.isEmpty():
-        return linked
-    return materialize(components(more.unionByName(linked.select(F.col("component").alias("a"), F.col("node").alias("b")))), "components")
+    for search in (similar.next_links, similar.other_links):
+        more = materialize(search(cells, sets, linked, texts, shingle, share), "links")
+        if not more.isEmpty():
+            both = more.unionByName(linked.select(F.col("component").alias("a"), F.col("node").alias("b")))
+            linked = materialize(components(both), "components")
+    return linked
 
 
 def fingerprint_components(

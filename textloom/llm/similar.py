@@ -14,10 +14,11 @@ least s / (1 + s) of both sizes together. So a text that consists of a common pa
 words of its own, and has that passage's shingles only behind the others, leaves the cell of
 such a shingle for which even the smallest text there is too large a partner.
 
-Candidates are made in two rounds, since near copies in a large group share most of
-their cells. First each text of a cell meets the cell's smallest one. Then all members of
-a cell meet, but for those that are in one component already: such a pair could add no
-component. Shared first shingles are counted for each pair: with c of them, no more than
+Candidates are made in three rounds, since near copies in a large group share most of
+their cells. First each text of a cell meets the cell's smallest one. Then the texts of a cell,
+in the order of the shingles that follow its own, meet the few behind them, which in a
+group are the most alike. Last all members of a cell meet, but for those that are in one
+component already: such a pair could add no component. Shared first shingles are counted for each pair: with c of them, no more than
 c + ceil(s n) - 1 of all can be shared, n the larger set's size, which leaves out most
 pairs that only have a passage in common. The others are verified over all shingles.
 """
@@ -37,6 +38,8 @@ from textloom.llm.common import map_batches, materialize, parts_of, utf8
 SEED = 42
 #: Texts of the sample for the order, and the shingles of it that may count as common.
 SAMPLE, MOST_COMMON = 20_000, 50_000
+#: Texts behind it in a cell's order that a text meets in the second round, and shingles that make the order.
+BEHIND, FOLLOWING = 8, 4
 #: Pairs whose ids go to the executors as a list to pick their texts.
 MOST_PAIRS = 1_000_000
 
@@ -109,19 +112,20 @@ def shingle_sets(texts: DataFrame, shingle: int, share: tuple[int, int]) -> Data
 
 
 def shared_cells(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(cell, id, fp, n, rest, early, first) of the sets' first shingles, those that others may share with enough behind them.
+    """(cell, id, fp, n, rest, early, next, first) of the sets' first shingles, those that others may share with enough behind them.
 
     rest: how many shingles the set has from this one on; early: whether it stands among
     those that the smaller of two similar sets shares one of; first (n, id, rest): of the
-    cell's smallest early member.
+    cell's smallest early member; next: the shingles that follow in the set's order.
     """
     over, under = share
-    held = sets.select("id", "fp", "n", F.posexplode("prefix").alias("at", "cell"))
+    held = sets.select("id", "fp", "n", "prefix", F.posexplode("prefix").alias("at", "cell"))
+    held = held.withColumn("next", F.slice("prefix", F.col("at") + 2, F.lit(FOLLOWING))).drop("prefix")
     n = F.col("n").cast("long")
     early = F.col("at") <= n - F.ceil(n * (2 * over) / (over + under))
     # The largest partner that leaves enough to share.
     most = F.floor(F.col("rest") * (over + under) / over) - n
-    held = held.select("cell", "id", "fp", "n", (n - F.col("at")).alias("rest"), early.alias("early"))
+    held = held.select("cell", "id", "fp", "n", (n - F.col("at")).alias("rest"), early.alias("early"), "next")
     cell = Window.partitionBy("cell")
     first = F.min(F.when(F.col("early"), F.struct("n", "id", "rest"))).over(cell)
     held = held.withColumn("first", first).filter(most >= F.col("first.n"))
@@ -188,9 +192,35 @@ def first_links(cells: DataFrame, sets: DataFrame, texts: DataFrame, shingle: in
     return verified(plausible(met.select(F.col("id").alias("x"), F.col("first.id").alias("y")), sets, share), texts, shingle, share)
 
 
+def in_components(cells: DataFrame, linked: DataFrame) -> DataFrame:
+    """The cells' rows with the component that a text is in so far, its own fingerprint if in none."""
+    rows = cells.join(linked, cells["fp"] == linked["node"], "left")
+    return rows.select("cell", "id", "n", "rest", "early", "next", F.coalesce("component", "fp").alias("component"))
+
+
+def next_links(cells: DataFrame, sets: DataFrame, linked: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
+    """(a, b) of the second round: each member of a cell with the BEHIND after it in the order of the following shingles.
+
+    The order is one over all cells in ranges, so no task has a whole cell; what stands at
+    two ranges' border meets in the last round.
+    """
+    order = ["cell", "next", "n", "id"]
+    rows = in_components(cells, linked).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    behind = Window.partitionBy("part").orderBy(*order)
+    held = [F.lead(F.struct("cell", "id", "n", "rest", "early", "component"), k).over(behind) for k in range(1, BEHIND + 1)]
+    met = rows.withColumn("others", F.array(*held)).withColumn("other", F.explode("others")).filter(
+        (F.col("other.cell") == F.col("cell"))
+        & (F.col("other.component") != F.col("component"))
+        & (F.col("early") | F.col("other.early"))
+        & enough(F.col("n"), F.col("rest"), F.col("other.n"), F.col("other.rest"), share)
+    )
+    pairs = met.select(F.greatest("id", "other.id").alias("x"), F.least("id", "other.id").alias("y"))
+    return verified(plausible(pairs, sets, share), texts, shingle, share)
+
+
 def other_links(cells: DataFrame, sets: DataFrame, linked: DataFrame, texts: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
-    """(a, b) of the second round; linked: (node, component) of the fingerprints in components so far."""
-    named = cells.join(linked, cells["fp"] == linked["node"], "left").select("cell", "id", "n", "rest", "early", F.coalesce("component", "fp").alias("component"))
+    """(a, b) of the last round; linked: (node, component) of the fingerprints in components so far."""
+    named = in_components(cells, linked).drop("next")
     x, y = (named.select(F.col("cell").alias(f"cell_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "rest", "early", "component")]) for k in ("x", "y"))
     met = (
         (F.col("cell_x") == F.col("cell_y"))
