@@ -101,6 +101,11 @@ def random_float(key: Column, low: float = 0.0, high: float = 1.0, seed: int = 0
     return F.lit(float(low)) + draw * (high - low)
 
 
+def digest_number(s: Column) -> Column:
+    """32 bits of a text's MD5 as a whole number: a draw that follows from the text alone, on any engine."""
+    return F.conv(F.substring(F.md5(s.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def radix(s: Column, base: int) -> Column:
     return F.conv(s, base, 10).try_cast("bigint")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
+
 
 def length(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
@@ -57,10 +59,15 @@ def index_union(a: Column, b: Column) -> Column:
 
 def basis(term: Column, dims: int, seed: int = 0) -> Column:
     """A random vector of -1, 0 and +1, half of it zero on average, that follows from the term alone."""
-    draw = lambda i: F.pmod(F.xxhash64(term, i, F.lit(seed)), F.lit(4))
+    draw = lambda i: T.digest_number(F.concat_ws(":", term.cast("string"), i.cast("string"), F.lit(str(seed)))) % 4
     return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.when(draw(i) == 0, 1.0).when(draw(i) == 1, -1.0).otherwise(0.0))
 
 
+def one_hot(at: Column, dims: int) -> Column:
+    """A vector of so many zeros with a one at a place from 0."""
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (i == at).cast("double"))
+
+
 def parse_dense(line: Column) -> Column:
     """ "v v v ..." as an array of doubles."""
     return F.transform(F.filter(F.split(line, r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))

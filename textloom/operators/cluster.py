@@ -79,6 +79,24 @@ def parse_options(text: str, base: Options = Options()) -> Options:
     return out
 
 
+def parsed_options(texts: Column) -> Column:
+    """Option strings as structs of all options; error tells why a string is refused, and the others are null then."""
+    fields = {n: {str: "string", int: "int", float: "double"}[type(getattr(Options(), n))] for n in Options.__dataclass_fields__}
+
+    @F.pandas_udf(", ".join(f"{n} {kind}" for n, kind in fields.items()) + ", error string")
+    def parse(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in s:
+            try:
+                o = parse_options(text)
+                rows.append([*(getattr(o, n) for n in fields), None])
+            except ValueError as e:
+                rows.append([*[None] * len(fields), str(e)])
+        return pd.DataFrame(rows, columns=[*fields, "error"])
+
+    return parse(texts)
+
+
 def blocks(rows: DataFrame, key: str, cells: int | None = None):
     """The rows (key, v, ...) in blocks of about so many numbers each, one after the other, as written tables' parts."""
     rows = materialize(rows, "blocks")
@@ -327,11 +345,12 @@ def grow_seeds(vectors: DataFrame, measure: str = "cosine", threshold: float = 0
 
 def _start(vectors: DataFrame, o: Options) -> list:
     """k starting vectors from a sample by hash: as they come, or far apart from one another."""
-    some = vectors.orderBy(F.xxhash64("vec_id", F.lit(o.seed)), "vec_id").limit(o.k if o.init == "random" else 2 * o.k + 1).collect()  # 2k + 1 rows
+    turn = F.md5(F.concat_ws(":", F.col("vec_id").cast("string"), F.lit(str(o.seed))).cast("binary"))
+    some = vectors.orderBy(turn, "vec_id").limit(o.k if o.init == "random" else 2 * o.k + 1).collect()  # 2k + 1 rows
     held = [(r["vec_id"], np.array(r["v"])) for r in some]
     while len(held) > o.k:
-        unit = [v / (np.linalg.norm(v) or 1) for _, v in held]
-        sims = np.array(unit) @ np.array(unit).T
+        unit = _unit(np.array([v for _, v in held]))
+        sims = np.round(unit @ unit.T, 12)  # so that of the nearest two the first goes
         np.fill_diagonal(sims, -2)
         del held[int(np.argmax(sims.max(axis=1)))]
     return held

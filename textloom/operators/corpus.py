@@ -158,18 +158,6 @@ def with_attributes(vocab: DataFrame, words: DataFrame, bit: int) -> DataFrame:
     return out.drop("textloom_hit")
 
 
-def contexts(toks: DataFrame, left: int, right: int, column: str = "word") -> DataFrame:
-    """(doc_id, pos, word, offset, context): each token's neighbours from -left to right, its own place left out."""
-    around = Window.partitionBy("doc_id").orderBy("pos")
-    offsets = [o for o in range(-left, right + 1) if o]
-    cells = F.array(*[F.struct(F.lit(o).alias("offset"), F.lead(column, o).over(around).alias("context")) for o in offsets])
-    return (
-        toks.withColumn("textloom_cells", cells)
-        .select("doc_id", "pos", "word", F.inline("textloom_cells"))
-        .filter("context IS NOT NULL")
-    )
-
-
 def neighbour_words(docs: DataFrame, left: int, right: int) -> DataFrame:
     """(word, offset, context) of every token and offset from -left to right but 0; context is null beyond the document.
 
@@ -211,15 +199,17 @@ def context_vectors(docs: DataFrame, left: int, right: int, positional: bool = F
 
 def indexed_vectors(docs: DataFrame, left: int, right: int, dims: int, nonzero: int = 8, seed: int = 0) -> DataFrame:
     """Random-indexing context vectors: (word, dim, weight); a term adds +-1 to a few dimensions of its own."""
-    pairs = context_vectors(docs, left, right)
+    pairs = materialize(context_vectors(docs, left, right), "contexts")
+    draw = lambda k: T.digest_number(F.concat_ws(":", "context", k.cast("string"), F.lit(str(seed))))
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(nonzero - 1)),
         lambda k: F.struct(
-            F.pmod(F.xxhash64("context", k, F.lit(seed)), F.lit(dims)).alias("dim"),
-            F.when(F.pmod(F.xxhash64("context", k, F.lit(seed + 1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign"),
+            (draw(k) % dims).alias("dim"), F.when(F.floor(draw(k) / (1 << 31)) == 0, 1.0).otherwise(-1.0).alias("sign")
         ),
     )
-    cells = pairs.select("word", "weight", F.inline(draws))
+    # A term's draws are made once, however many words it stands beside.
+    places = pairs.select("context").distinct().select("context", F.inline(draws))
+    cells = pairs.join(places, "context").select("word", "weight", "dim", "sign")
     return cells.groupBy("word", "dim").agg(F.sum(F.col("weight") * F.col("sign")).alias("weight")).filter("weight <> 0")
 
 

@@ -1245,5 +1245,5 @@ def ngram_callback(spark, sf):
     return found.select(long("n").alias("n"), "ngram", "freq")
 
 
-# The queries of the other module of this folder are registered with these.
-from textloom.plans import depth  # noqa: E402, F401
+# The queries of the other modules of this folder are registered with these.
+from textloom.plans import depth, scalars  # noqa: E402, F401

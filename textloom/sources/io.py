@@ -134,6 +134,37 @@ def fixed_ints(content: Column, width: int, little: bool = True, signed: bool =
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), value)).otherwise(F.array().cast("array<decimal(20,0)>"))
 
 
+def to_fixed_ints(values: Column, width: int, little: bool = True) -> Column:
+    """Whole numbers as a binary column of so many bits each, the inverse of fixed_ints; two's complement, higher bits are cut."""
+    size = width // 8
+
+    def one(x: Column) -> Column:
+        digits = F.lpad(F.right(F.hex(x.cast("bigint")), F.lit(2 * size)), 2 * size, "0")
+        return F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in range(size - 1, -1, -1)]) if little else digits
+
+    return F.unhex(F.array_join(F.transform(values, one), ""))
+
+
+def save_blocks(rows: DataFrame, path: str, column: str = "block") -> None:
+    """Arrays of strings as text lines, a tab between strings; marks inside are escaped, and a line of one blank escape is an empty array."""
+    safe = lambda s: F.replace(F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("\t"), F.lit("\\t")), F.lit("\n"), F.lit("\\n"))
+    line = F.when(F.size(column) == 0, F.lit("\\0")).otherwise(F.array_join(F.transform(column, safe), "\t"))
+    write_lines(rows.select(line.alias("value")), path)
+
+
+def load_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(block): arrays of strings as save_blocks wrote them."""
+    parts = F.transform(F.split("value", "\t", -1), _unescaped)
+    return read_lines(spark, path).select(F.when(F.col("value") == "\\0", F.array().cast("array<string>")).otherwise(parts).alias("block"))
+
+
+def _unescaped(c: Column) -> Column:
+    # From one backslash to the next in turn, so that an escaped backslash never begins another mark.
+    marks = F.regexp_extract_all(c, F.lit(r"(?s)(\\.|[^\\]+|\\$)"), F.lit(1))
+    one = lambda m: F.when(m == r"\t", "\t").when(m == r"\n", "\n").when(m == r"\\", "\\").otherwise(m)
+    return F.array_join(F.transform(marks, one), "")
+
+
 def save_corpus(docs: DataFrame, path: str) -> None:
     """The tables tokens (doc_id, pos, word_id) and vocab (id, word, freq, first_doc, first_pos) under path."""
     vocab = C.vocabulary_ids(C.tokens(docs))
@@ -178,13 +209,7 @@ def load_map(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) as text from key TAB value lines."""
     parts = F.split("value", "\t", 2)
 
-    def plain(c: Column) -> Column:
-        # From one backslash to the next in turn, so that an escaped backslash never begins another mark.
-        marks = F.regexp_extract_all(c, F.lit(r"(?s)(\\.|[^\\]+|\\$)"), F.lit(1))
-        one = lambda m: F.when(m == r"\t", "\t").when(m == r"\n", "\n").when(m == r"\\", "\\").otherwise(m)
-        return F.array_join(F.transform(marks, one), "")
-
-    return read_lines(spark, path).select(plain(F.get(parts, F.lit(0))).alias("key"), plain(F.get(parts, F.lit(1))).alias("value"))
+    return read_lines(spark, path).select(_unescaped(F.get(parts, F.lit(0))).alias("key"), _unescaped(F.get(parts, F.lit(1))).alias("value"))
 
 
 def file_facts(spark: SparkSession, path: str) -> DataFrame:
