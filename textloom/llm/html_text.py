@@ -3,7 +3,14 @@
 A page is cut into blocks of text with their place in the page: inside an article (or
 main) element, inside something that is never article text by its element or class
 (navigation, header, footer, sidebar, form, advert, comments), or open. A form around the
-whole page marks nothing.
+whole page marks nothing. Marks by class are of two kinds. A class that is such a word
+("sidebar") marks what it encloses; one that only has it as a part ("with-sidebar",
+"page-header-wrap") may as well name the frame of a whole page, so what it encloses counts as
+marked only where the page has other text to show, and is open otherwise, for the suffix array
+to decide. An article or main element inside either kind of frame is the article; only
+inside navigation, headers, footers and the like, or in a reader's comment, it is not. In an
+article a part of a class name marks no paragraph, heading, figure or quotation, and the
+headings of a header stay.
 
 The blocks outside the article go, as token streams, into one suffix array per host:
 streams are concatenated with separators of their own, suffixes are sorted by prefix
@@ -18,18 +25,16 @@ than the article: then it is a teaser, and both stay in page order.
 
 Articles repeat too: as copies, and by passages that many of them share, or that stand in
 an advert or footer elsewhere. So a run inside an article is no boilerplate for being
-repeated. Only whole blocks go that stand in the articles of nine in ten distinct pages of
-the host, ten pages at least, and only where most of the article is other text (a menu
-or notice inside the main element).
+repeated, and an article's own text stays whole.
 
 A host is dealt by a hash of page_id into shards of a bounded number of pages and
 characters, each with a suffix array of its own, so a host with a third of all pages is
 many small arrays. Runs that repeat across shards are found over the whole host: hashes
 of all windows of the least run length are aggregated to the least and the greatest
 page, and the repeated ones go to the shards whose pages ask for them. Only hosts of more
-than one shard that have open blocks do so, since nothing else depends on runs. Article
-blocks are counted by their hashes over the whole host. Each page moves once, as extracted
-blocks, so its text depends on the host's pages and not on how they are dealt.
+than one shard that have open blocks do so, since nothing else depends on runs. Each page
+moves once, as extracted blocks, so its text depends on the host's pages and not on how they
+are dealt.
 
 Defined results: a null or empty html gives the empty text; a null url counts as one
 host, and its shards are bounded too; repeated rows give repeated results and do not make each other's
@@ -50,7 +55,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import map_batches, materialize, read_table
+from textloom.llm.common import map_batches, read_table
 
 #: Tokens that a repeated run has at least.
 MIN_RUN = 5
@@ -60,10 +65,9 @@ MOST_HOSTS = 200_000
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
-OPEN, ARTICLE, MARKED, FORM = 0, 1, 2, 3
-
-#: A block in the articles of this share of a host's distinct pages is boilerplate, and the fewest such pages.
-COMMON_SHARE, COMMON_PAGES = 0.9, 10
+OPEN, ARTICLE, MARKED = 0, 1, 2
+#: While a page is read: a form; what a part of a class name marks; what a whole class does; the header of an article.
+FORM, WEAK, STRONG, HEADER = 3, 4, 5, 6
 
 # HTML elements by how they bear on text.
 RAW = frozenset("script style noscript template iframe object svg math textarea select title head".split())
@@ -81,6 +85,9 @@ HINTS = frozenset(
     " share sharing social newsletter subscribe subscription popup modal comment comments disqus reply replies"
     " form login signup search pagination pager toolbar skip".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of an article that a part of a class name does not mark.
+CONTENT = HEADINGS | frozenset("p blockquote figure figcaption pre table ul ol li dl".split())
 #: Elements that an end tag or the start of a sibling closes without an end tag of their own.
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header"
@@ -95,9 +102,16 @@ COMMENT = re.compile(r"(?:^|\s)(?:(?:comment|reply)(?:[-_]\S*)?|comments|replies
 QUOTE = re.compile(r"[\"'>]")
 
 
-def marked(attributes: str) -> bool:
-    """Whether class, id or role names something that is no article text."""
-    return any(w in HINTS for m in MARKS.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+def mark_of(attributes: str) -> int:
+    """STRONG if a class, id or role is a word for what is no article text, WEAK if one has such a word as a part, else OPEN."""
+    out = OPEN
+    for m in MARKS.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            if name in HINTS:
+                return STRONG
+            if out == OPEN and any(w in HINTS for w in WORD.findall(name)):
+                out = WEAK
+    return out
 
 
 def a_comment(attributes: str) -> bool:
@@ -198,12 +212,23 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
                     break
         inner = place
         if place != MARKED:
+            mark = mark_of(attributes) if attributes and name not in ("html", "body", "form") else OPEN
             if name in MAIN:
                 inner = MARKED if attributes and a_comment(attributes) else ARTICLE
-            elif name in NEVER or (attributes and name not in ("html", "body", "form") and marked(attributes)):
+            elif attributes and a_comment(attributes):
                 inner = MARKED
+            elif name == "header" and place == ARTICLE and mark != STRONG:
+                inner = HEADER
+            elif name in NEVER:
+                inner = MARKED
+            elif name in HEADINGS and place == HEADER:
+                inner = ARTICLE
+            elif mark == STRONG or mark == WEAK and place == ARTICLE and name not in CONTENT:
+                inner = STRONG
+            elif mark == WEAK and place in (OPEN, FORM):
+                inner = WEAK
             elif name == "form":
-                inner = FORM if place in (OPEN, FORM) else MARKED
+                inner = FORM if place in (OPEN, FORM, WEAK) else STRONG
         if name not in INLINE or inner != place:
             if inner != place:
                 flush()
@@ -211,9 +236,10 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             held[name] += 1
             place = inner
     flush()
-    # A page whose text is all inside a form is open; other forms are marked.
-    form = OPEN if all(p in (MARKED, FORM) for p, _ in out) else MARKED
-    return [(form if p == FORM else p, t) for p, t in out]
+    # A page whose text is all inside a form is open; other forms are marked. The same holds for frames that a part of a class name marks.
+    found = {p for p, _ in out}
+    as_open = {k for k, others in ((FORM, {OPEN, ARTICLE, WEAK}), (WEAK, {OPEN, ARTICLE})) if not found & others}
+    return [(p if p in (OPEN, ARTICLE) else OPEN if p in as_open else MARKED, t) for p, t in out]
 
 
 RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE) for name in RAW}
@@ -284,17 +310,6 @@ def content_of(blocks: list[tuple[int, str]]) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def block_hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
-
-
-def article_of(blocks: list[tuple[int, str]], common: frozenset[int]) -> set[int]:
-    """The article's blocks that stay: all but the host's common ones, or all where those are half of it or more."""
-    own = [(b, t) for b, (place, t) in enumerate(blocks) if place == ARTICLE]
-    rest = [(b, t) for b, t in own if block_hash(t) not in common] if common else own
-    return {b for b, _ in (rest if 2 * sum(map(n_words, rest)) > sum(map(n_words, own)) else own)}
-
-
 def n_words(block: tuple[int, str]) -> int:
     return block[1].count(" ") + 1 if block[1] else 0
 
@@ -307,8 +322,8 @@ def covered(starts: list[bool], n: int, least: int) -> np.ndarray:
     return out
 
 
-def shard_texts(pages: list[list[tuple[int, str]]], ids: list, least: int = MIN_RUN, known: frozenset[int] = frozenset(), host: str = "", common: frozenset[int] = frozenset()) -> list[str]:
-    """The main text of each page of one shard of a host, from the pages' blocks; known: hashes of runs that repeat on the host, common: of article blocks that most of its pages have."""
+def shard_texts(pages: list[list[tuple[int, str]]], ids: list, least: int = MIN_RUN, known: frozenset[int] = frozenset(), host: str = "") -> list[str]:
+    """The main text of each page of one shard of a host, from the pages' blocks; known: hashes of runs that repeat on the host."""
     number: dict[str, int] = {}
     tokens: list[int] = []
     owner: list[int] = []
@@ -363,7 +378,7 @@ def shard_texts(pages: list[list[tuple[int, str]]], ids: list, least: int = MIN_
         unique[p, b] = text
     out = []
     for p, blocks in enumerate(pages):
-        article = article_of(blocks, common)
+        article = {b for b, (place, _) in enumerate(blocks) if place == ARTICLE}
         open_ = {b: unique[p, b] for b, (place, _) in enumerate(blocks) if place == OPEN and unique[p, b]}
         # The open part is the main text where it outweighs the article.
         if article and sum(map(n_words, open_.items())) <= sum(n_words(blocks[b]) for b in article):
@@ -406,15 +421,11 @@ def extract_text(pages: DataFrame, least: int = MIN_RUN) -> DataFrame:
         if not table.num_rows:
             return pa.table({"page_id": pa.array([], pa.int64()), "url": pa.array([], pa.string()), "text": pa.array([], pa.string()), "n_chars": pa.array([], pa.int64())})
         blocks = [list(zip(p, b, strict=True)) for p, b in zip(table.column("places").to_pylist(), table.column("blocks").to_pylist(), strict=True)]
-        kinds = {False: [], True: []}
-        for run, is_block in zip(runs.column("run").to_pylist(), runs.column("block").to_pylist(), strict=True):
-            kinds[is_block].append(run)
-        got = shard_texts(blocks, table.column("page_id").to_pylist(), least, frozenset(kinds[False]), table.column("host")[0].as_py(), frozenset(kinds[True]))
+        got = shard_texts(blocks, table.column("page_id").to_pylist(), least, frozenset(runs.column("run").to_pylist()), table.column("host")[0].as_py())
         return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(got, pa.string()), "n_chars": pa.array(map(len, got), pa.int64())})
 
     # Hosts of one shard need no runs from elsewhere.
-    known = host_runs(dealt.join(held.select("host"), "host", "left_semi"), least).withColumn("block", F.lit(False))
-    known = known.unionByName(common_blocks(dealt).withColumn("block", F.lit(True)))
+    known = host_runs(dealt.join(held.select("host"), "host", "left_semi"), least)
     return streams.groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInArrow(texts, SCHEMA)
 
 
@@ -453,29 +464,5 @@ def host_runs(dealt: DataFrame, least: int) -> DataFrame:
     return runs.filter("ask").select("host", "shard", "run").distinct().join(twice, "run").select("host", "shard", "run")
 
 
-def common_blocks(dealt: DataFrame) -> DataFrame:
-    """(host, shard, run): the hashes of blocks in the articles of most distinct pages of a host, for each of its shards."""
-
-    def cut(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"host": [], "content": [], "run": []}
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            blocks = blocks_of(html or "")
-            # A null stands for the page itself.
-            found = {None, *(block_hash(t) for place, t in blocks if place == ARTICLE)}
-            out["host"] += [host] * len(found)
-            out["content"] += [content_of(blocks)] * len(found)
-            out["run"] += found
-        return out
-
-    # Small hosts have no common blocks; large ones are told by their pages alone.
-    pages = dealt.groupBy("host").agg(F.count("*").alias("pages"), F.max("shards").alias("shards")).filter(F.col("pages") >= COMMON_PAGES)
-    held = map_batches(dealt, ["host", "html"], cut, "host string, content long, run long").distinct()
-    counts = held.groupBy("host", "run").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_PAGES)
-    counts = materialize(counts, "article-blocks")
-    total = counts.filter("run IS NULL").select("host", F.col("n").alias("contents"))
-    common = counts.filter("run IS NOT NULL").join(total, "host").filter(F.col("n") >= F.col("contents") * COMMON_SHARE)
-    return common.join(pages, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "run")
-
-
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(read_table(spark, sf_dir, "pages"))
