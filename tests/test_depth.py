@@ -207,3 +207,41 @@ def test_replacement_recovers(spark, tmp_path):
     shutil.move(path, path + ".old")
     io.replace_table(spark.range(4), path, backup=False)
     assert count() == 4
+
+
+def test_optics(spark):
+    """Cuts are what DBSCAN finds at each epsilon; clusters stand together in the order; noise comes last."""
+    rng = np.random.default_rng(12)
+    heads = rng.normal(size=(6, 3)) * 6
+    points = np.vstack([heads[rng.integers(6, size=120)] + rng.normal(size=(120, 3)), rng.uniform(-15, 15, size=(30, 3)), np.repeat(heads[:1], 4, axis=0)])
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, v array<double>")
+    for least, steps in ((1, (1.3,)), (4, (1.3, 2.5))):
+        o = cluster.Options(method="optics", measure="euclidean", epsilon=2.5, min_points=least)
+        found = cluster.optics(rows, o)
+        for epsilon in steps:
+            want = {tuple(r) for r in cluster.dbscan(rows, cluster.Options(method="dbscan", measure="euclidean", epsilon=epsilon, min_points=least)).collect()}
+            assert {tuple(r) for r in cluster.optics_cut(found, epsilon).collect()} == want
+    order = [tuple(r) for r in cluster.optics_order(found, [1.3, 2.5]).orderBy("place").collect()]
+    assert [p for p, _, _ in order] == list(range(len(points)))
+    for epsilon in (1.3, 2.5):
+        label = {r["vec_id"]: r["cluster"] for r in cluster.optics_cut(found, epsilon).collect()}
+        runs = [label[v] for _, v, _ in order if label[v] is not None]
+        assert sum(a != b for a, b in zip(runs, runs[1:])) == len(set(runs)) - 1
+        assert all((reach is not None and reach <= epsilon) == (label[v] is not None and label[v] == label[w]) for (_, w, _), (_, v, reach) in zip(order, order[1:]))
+    with pytest.raises(ValueError):
+        cluster.optics_cut(found, 3.0)
+
+
+def test_merged_fold(spark):
+    """States of groups of any size, over several levels of merging."""
+    from textloom.operators import relations
+
+    rows = spark.range(20_000).selectExpr("id % 3 as k", "id as x").repartition(150)
+    start = lambda: {"n": 0, "top": []}
+    add = lambda s, r: {"n": s["n"] + 1, "top": sorted([*s["top"], r["x"]])[-3:]}
+    merge = lambda a, b: {"n": a["n"] + b["n"], "top": sorted([*a["top"], *b["top"]])[-3:]}
+    got = relations.merge_fold(rows, ["k"], "n long, top array<long>", start, add, merge, held=2)
+    assert {(r["k"], r["n"], tuple(r["top"])) for r in got.collect()} == {(k, len(range(k, 20_000, 3)), tuple(range(k, 20_000, 3)[-3:])) for k in range(3)}
+    assert relations.merge_fold(rows.limit(0), ["k"], "n long, top array<long>", start, add, merge).count() == 0
+    names = relations.match_names(spark.createDataFrame([("a",), ("AB",), ("abc",), ("x",)], "word string"), spark.createDataFrame([("ab",), ("abc",)], "name string"))
+    assert {(r["word"], r["match"], tuple(r["all"])) for r in names.collect()} == {("a", None, ("ab", "abc")), ("AB", "ab", ("ab", "abc")), ("abc", "abc", ("abc",)), ("x", None, ())}

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions import measures as M
 from textloom.functions.vectors import normalize
-from textloom.operators.graph import components
+from textloom.operators.graph import components, spanning_forest
 from textloom.operators.prune import Centres
 from textloom.operators.tables import dense_ids, discard, materialize
 
@@ -49,7 +49,7 @@ class Options:
 
 
 # Names and abbreviations that an option string may use.
-METHODS = ("agglomerative", "brown", "dbscan", "growseed", "incremental", "kmeans", "kmedoids", "snn")
+METHODS = ("agglomerative", "brown", "dbscan", "growseed", "incremental", "kmeans", "kmedoids", "optics", "snn")
 
 
 def parse_options(text: str, base: Options = Options()) -> Options:
@@ -217,7 +217,7 @@ PIVOTS = 2
 
 
 def within(vectors: DataFrame, epsilon: float, measure: str = "cosine") -> DataFrame:
-    """(vec_id, other) of every two vectors at a distance of at most epsilon, in both orders.
+    """(vec_id, other, dist) of every two vectors at a distance of at most epsilon, in both orders.
 
     Cosine (as an angle), Euclidean and Manhattan distance obey the triangle inequality: the
     distances of two near vectors to a pivot differ by no more than their own distance. So
@@ -247,14 +247,15 @@ def within(vectors: DataFrame, epsilon: float, measure: str = "cosine") -> DataF
     for c in cells if metric else []:
         around = around.withColumn(c, F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
     met = rows.join(around, cells).filter("vec_id <> other")
-    near = met.filter(M.distance(measure, "v", "w") <= epsilon).select("vec_id", "other")
+    near = met.withColumn("dist", M.distance(measure, "v", "w")).filter(F.col("dist") <= epsilon).select("vec_id", "other", "dist")
     if "zero" in rows.columns and epsilon >= 1:
         # At a distance of 1 zero vectors are near all others.
         zeros = rows.filter("zero").select("vec_id", "v")
         whole = zeros.agg(F.collect_list(F.struct("vec_id", "v")).alias("all"))
         far = rows.filter("NOT zero").select("vec_id", "v").crossJoin(F.broadcast(whole)).select("vec_id", F.explode("all").alias("z"))
-        far = far.select("vec_id", F.col("z.vec_id").alias("other"))
-        near = near.unionByName(far).unionByName(far.select(F.col("other").alias("vec_id"), F.col("vec_id").alias("other"))).distinct()
+        far = far.select("vec_id", F.col("z.vec_id").alias("other"), F.lit(1.0).alias("dist"))
+        both = near.unionByName(far).unionByName(far.select(F.col("other").alias("vec_id"), F.col("vec_id").alias("other"), "dist"))
+        near = both.groupBy("vec_id", "other").agg(F.min("dist").alias("dist"))
     return near
 
 
@@ -524,8 +525,9 @@ def agglomerate(vectors: DataFrame, o: Options = Options(), most: int = 5000) ->
 
 def dbscan(vectors: DataFrame, o: Options = Options()) -> DataFrame:
     """(vec_id, cluster): density clusters by distance <= epsilon; noise has a null cluster, named by their least core."""
-    near = materialize(within(vectors, o.epsilon, o.measure), "near")
-    core = materialize(near.groupBy("vec_id").agg(F.count("*").alias("n")).filter(F.col("n") + 1 >= o.min_points).select("vec_id"), "core")
+    near = materialize(within(vectors, o.epsilon, o.measure).select("vec_id", "other"), "near")
+    crowded = near.groupBy("vec_id").agg(F.count("*").alias("n")).filter(F.col("n") + 1 >= o.min_points).select("vec_id")
+    core = materialize(vectors.select("vec_id") if o.min_points <= 1 else crowded, "core")
     links = near.join(core, "vec_id").join(core.select(F.col("vec_id").alias("other")), "other")
     found = components(links.filter("vec_id < other").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     label = core.join(found.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("cluster"))
@@ -534,6 +536,70 @@ def dbscan(vectors: DataFrame, o: Options = Options()) -> DataFrame:
     return vectors.select("vec_id").join(label, "vec_id", "left").join(border, "vec_id", "left").select("vec_id", F.coalesce("cluster", "reach").alias("cluster"))
 
 
+@dataclass(frozen=True)
+class Reachability:
+    """Written tables of a density order: near (vec_id, other, dist), cores (vec_id, core) and a forest (src, dst, len)."""
+
+    vectors: DataFrame
+    near: DataFrame
+    cores: DataFrame
+    forest: DataFrame
+    epsilon: float
+
+
+def optics(vectors: DataFrame, o: Options = Options()) -> Reachability:
+    """The density structure of all epsilons up to o.epsilon at once.
+
+    A vector's core distance is that of its (min_points - 1)-th neighbour within epsilon. Two
+    cores reach one another at the largest of their distance and their core distances. The
+    least spanning forest of these reaches holds all that any smaller epsilon connects:
+    the cores that are connected by edges of at most that length.
+    """
+    near = materialize(within(vectors, o.epsilon, o.measure), "near")
+    if o.min_points <= 1:
+        cores = vectors.select("vec_id", F.lit(0.0).alias("core"))
+    else:
+        rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("dist", "other"))
+        cores = near.withColumn("rank", rank).filter(F.col("rank") == o.min_points - 1).select("vec_id", F.col("dist").alias("core"))
+    cores = materialize(cores, "cores")
+    both = near.filter("vec_id < other").join(cores, "vec_id").join(cores.select(F.col("vec_id").alias("other"), F.col("core").alias("core2")), "other")
+    edges = both.select(F.col("vec_id").alias("src"), F.col("other").alias("dst"), F.greatest("dist", "core", "core2").alias("len"))
+    return Reachability(vectors.select("vec_id"), near, cores, materialize(spanning_forest(edges), "forest"), o.epsilon)
+
+
+def optics_cut(found: Reachability, epsilon: float) -> DataFrame:
+    """(vec_id, cluster): the clusters that dbscan finds with this epsilon, which is at most the one of the structure."""
+    if epsilon > found.epsilon:
+        raise ValueError(f"the structure ends at {found.epsilon}")
+    core = found.cores.filter(F.col("core") <= epsilon).select("vec_id")
+    tied = components(found.forest.filter(F.col("len") <= epsilon).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    label = core.join(tied.select(F.col("node").alias("vec_id"), "component"), "vec_id", "left").select("vec_id", F.coalesce("component", "vec_id").alias("cluster"))
+    label = materialize(label, "labels")
+    border = found.near.filter(F.col("dist") <= epsilon).join(label.select(F.col("vec_id").alias("other"), "cluster"), "other").groupBy("vec_id").agg(F.min("cluster").alias("reach"))
+    return found.vectors.join(label, "vec_id", "left").join(border, "vec_id", "left").select("vec_id", F.coalesce("cluster", "reach").alias("cluster"))
+
+
+def optics_order(found: Reachability, levels: list[float]) -> DataFrame:
+    """(place, vec_id, reach): an order in which the clusters of every level stand together, noise last, and the least level at which a vector is in one cluster with the one before it; null where none is.
+
+    Vectors are sorted by their clusters from the widest level to the narrowest, so valleys of
+    reach are clusters, as fine as the levels are.
+    """
+    steps = sorted({float(x) for x in levels}, reverse=True)
+    rows = found.vectors
+    for k, level in enumerate(steps):
+        rows = rows.join(optics_cut(found, level).withColumnRenamed("cluster", f"at{k}"), "vec_id", "left")
+    names = [f"at{k}" for k in range(len(steps))]
+    # A missing cluster comes behind all others of its level.
+    keys = [key for name in names for key in (F.col(name).isNull().alias(f"no_{name}"), F.coalesce(name, F.lit(0)).alias(f"is_{name}"))]
+    placed = dense_ids(materialize(rows.select("vec_id", *names, *keys), "levels"), [*[c for name in names for c in (f"no_{name}", f"is_{name}")], "vec_id"], "place")
+    placed = materialize(placed.select("place", "vec_id", *names), "order")
+    before = placed.select((F.col("place") + 1).alias("place"), *[F.col(name).alias(f"b_{name}") for name in names])
+    met = placed.join(before, "place", "left")
+    reach = F.coalesce(*[F.when(F.col(name) == F.col(f"b_{name}"), F.lit(level)) for name, level in reversed(list(zip(names, steps, strict=True)))])
+    return met.select("place", "vec_id", reach.alias("reach"))
+
+
 def shared_neighbours(vectors: DataFrame, k: int, measure: str = "cosine") -> DataFrame:
     """(a, b, shared), a < b: of mutual k nearest neighbours how many neighbours they share."""
     lists = neighbours(vectors, vectors, k, measure).groupBy("query").agg(F.collect_list("vec_id").alias("near"))
@@ -563,6 +629,8 @@ def run(vectors: DataFrame, options: str | Options) -> DataFrame:
         return agglomerate(vectors, o).select("vec_id", "cluster")
     if o.method == "dbscan":
         return dbscan(vectors, o)
+    if o.method == "optics":
+        return optics_cut(optics(vectors, o), o.epsilon)
     if o.method == "growseed":
         return grow_seeds(vectors, o.measure, o.threshold).withColumnRenamed("label", "cluster")
     raise ValueError(f"{o.method} gives links, not clusters: use shared_neighbours")

@@ -158,23 +158,30 @@ def with_attributes(vocab: DataFrame, words: DataFrame, bit: int) -> DataFrame:
     return out.drop("textloom_hit")
 
 
-def neighbour_words(docs: DataFrame, left: int, right: int) -> DataFrame:
-    """(word, offset, context) of every token and offset from -left to right but 0; context is null beyond the document.
+def neighbour_counts(docs: DataFrame, left: int, right: int) -> DataFrame:
+    """(word, offset, context, n): how often a context stands at an offset from -left to right but 0; context is null beyond the document.
 
-    Neighbours come from shifted copies of the document's word array, so no row moves.
+    A pair of words at a distance is counted once, as the word and what comes after it, and
+    turned round when it is counted: what is after the one is before the other. Followers
+    come from shifted copies of the document's word array, so no token moves by itself.
     """
-    words, n = F.col("words"), F.size("words")
-    nulls = lambda k: F.array_repeat(F.lit(None).cast("string"), k)
-    shifted = []
-    for o in [o for o in range(-left, right + 1) if o]:
-        rest = F.greatest(n - abs(o), F.lit(0))
-        part = F.concat(F.slice(words, F.lit(1 + max(o, 0)), rest), nulls(n - rest)) if o > 0 else F.concat(nulls(n - rest), F.slice(words, F.lit(1), rest))
-        shifted.append((o, part))
-    zipped = F.arrays_zip(words.alias("word"), *[part.alias(f"at{k}") for k, (_, part) in enumerate(shifted)])
-    held = with_words(docs).filter(n > 0).select(zipped.alias("cells")).select(F.inline("cells"))
-    names = held.columns
-    around = F.array(*[F.struct(F.lit(o).alias("offset"), F.col(name).alias("context")) for (o, _), name in zip(shifted, names[1:], strict=True)])
-    return held.select(F.col(names[0]).alias("word"), F.inline(around))
+    words, most = F.col("words"), max(left, right)
+    held = with_words(docs).filter(F.size(words) > 0)
+    # arrays_zip fills the shorter copies with nulls.
+    copies = [F.slice(words, gap + 1, F.size(words)).alias(f"after{gap}") for gap in range(1, most + 1)]
+    rows = held.select(F.inline(F.arrays_zip(words.alias("word"), *copies))).toDF("word", *[f"after{gap}" for gap in range(1, most + 1)])
+    cells = F.array(*[F.struct(F.lit(gap).alias("gap"), F.col(f"after{gap}").alias("after")) for gap in range(1, most + 1)])
+    pairs = rows.select("word", F.inline(cells)).groupBy("word", "gap", "after").agg(F.count("*").alias("n"))
+    ways = [F.when(F.col("gap") <= right, F.struct(F.col("word"), F.col("gap").alias("offset"), F.col("after").alias("context"), F.col("n")))]
+    back = F.struct(F.col("after").alias("word"), (-F.col("gap")).alias("offset"), F.col("word").alias("context"), F.col("n"))
+    ways.append(F.when((F.col("gap") <= left) & F.col("after").isNotNull(), back))
+    out = pairs.select(F.explode(F.filter(F.array(*ways), lambda w: w.isNotNull())).alias("w")).select("w.*")
+    if not left:
+        return out
+    # The first words of a document have nothing so far before them.
+    heads = held.select(F.explode(F.array(*[F.lit(k) for k in range(1, left + 1)])).alias("gap"), "words").select((-F.col("gap")).alias("offset"), F.explode(F.slice(words, F.lit(1), F.col("gap"))).alias("word"))
+    lone = heads.groupBy("word", "offset").agg(F.count("*").alias("n")).select("word", "offset", F.lit(None).cast("string").alias("context"), "n")
+    return out.unionByName(lone)
 
 
 def positional_id(word: Column, offset: Column, left: int, right: int) -> Column:
@@ -194,7 +201,7 @@ def positional_word(pid: Column, left: int, right: int) -> Column:
 def context_vectors(docs: DataFrame, left: int, right: int, positional: bool = False) -> DataFrame:
     """Sparse one-hot context vectors of the documents' words: (word, context[, offset], weight)."""
     keys = ["word", "context", *(["offset"] if positional else [])]
-    return neighbour_words(docs, left, right).filter("context IS NOT NULL").groupBy(*keys).agg(F.count("*").cast("double").alias("weight"))
+    return neighbour_counts(docs, left, right).filter("context IS NOT NULL").groupBy(*keys).agg(F.sum("n").cast("double").alias("weight"))
 
 
 def indexed_vectors(docs: DataFrame, left: int, right: int, dims: int, nonzero: int = 8, seed: int = 0) -> DataFrame:

@@ -64,8 +64,10 @@ def dense(cells: DataFrame) -> DataFrame:
     """(id, v): arrays in the order of dim; a cell that is missing is 0. The dimensions are one list, whose length is checked."""
     dims = cells.select("dim").distinct().agg(F.array_sort(F.collect_list("dim")).alias("dims"))
     few = dims.select(F.when(F.size("dims") <= MAX_DIMS, F.col("dims")).otherwise(F.raise_error(F.lit(f"more than {MAX_DIMS} dimensions"))).alias("dims"))
-    rows = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "val"))).alias("cells")).crossJoin(F.broadcast(few))
-    return rows.select("id", F.transform("dims", lambda d: F.coalesce(F.try_element_at("cells", d), F.lit(0.0))).alias("v"))
+    # Every element of the result is one row for a moment: zeros for all dimensions beside what there is.
+    zeros = cells.select("id").distinct().crossJoin(F.broadcast(few)).select("id", F.explode("dims").alias("dim"), F.lit(0.0).alias("val"))  # few is one row
+    sums = cells.select("id", "dim", F.col("val").cast("double").alias("val")).unionByName(zeros).groupBy("id", "dim").agg(F.sum("val").alias("val"))
+    return sums.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "val"))), lambda c: c["val"]).alias("v"))
 
 
 def nation_cells(spark: SparkSession, sf: str, dim: Column) -> DataFrame:
@@ -550,7 +552,7 @@ def attr_semi(spark, sf):
 )
 def ctx_position(spark, sf):
     # A word without neighbours keeps its null contexts, so every word is there.
-    around = corpus.neighbour_words(docs(spark, sf), 1, 1).groupBy("word", "offset", "context").agg(F.count("*").alias("n"))
+    around = corpus.neighbour_counts(docs(spark, sf), 1, 1)
     at = lambda o: (F.col("offset") == o) & F.col("context").isNotNull()
     return around.groupBy("word").agg(
         *[F.coalesce(F.sum(F.when(at(o), F.col("n"))), F.lit(0)).alias(f"n_{s}") for o, s in ((-1, "left"), (1, "right"))],

@@ -363,3 +363,18 @@ def clusters_equal(spark, sf):
     renamed = rows.select("vec_id", (F.col("cluster") * 10 + 3).alias("cluster"))
     moved = rows.select("vec_id", F.when(F.col("vec_id") == 0, F.col("cluster") + 1).otherwise(F.col("cluster")).alias("cluster"))
     return spark.createDataFrame([(cluster.same_clusters(rows, renamed), cluster.same_clusters(rows, moved))], "same boolean, other boolean")
+
+
+def _dbscan_sql(epsilon: float) -> str:
+    return ORACLES["dbscan_clusters"].replace("<= 0.65", f"<= {epsilon}")
+
+
+_EPSILONS = (0.5, 0.6, 0.65)
+
+
+@query(" UNION ALL ".join(f"SELECT CAST({e} AS DOUBLE) AS epsilon, vec_id, cluster FROM ({_dbscan_sql(e)})" for e in _EPSILONS))
+def optics_cuts(spark, sf):
+    """One density structure, cut at several epsilons."""
+    found = cluster.optics(embeddings(spark, sf), cluster.Options(method="optics", epsilon=max(_EPSILONS), min_points=3))
+    cuts = [cluster.optics_cut(found, e).select(F.lit(e).alias("epsilon"), "vec_id", "cluster") for e in _EPSILONS]
+    return cuts[0].unionByName(cuts[1]).unionByName(cuts[2])
