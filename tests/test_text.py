@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,19 @@ def test_vectors_and_lists(spark):
         collections.elide(b, 1, 2), collections.resize(a, 3, 0.0), collections.last(a),
     ).first()
     assert list(row) == [5.0, [5.0, 6.0, 2.0], [4.0, 5.0, 1.0], [0.6, 0.8], {1: 3.0, 5: 1.0}, {1: 2.0}, [0.0, 2.0, 0.0], {2: 1.5, 7: -1.0}, {1: 2.0, 3: 0.5}, [1.0, 1.0], [3.0, 4.0, 0.0], 4.0]
+
+
+def test_objects(spark):
+    from textloom.functions import objects
+
+    read = objects.tolerant_json
+    assert read('{"a" 1 "b": [1, 2 3], c {d e}}') == {"a": 1, "b": [1, 2, 3], "c": {"d": "e"}}
+    assert read('[true false null -1.5e3 "q\\"x" 01]') == [True, False, None, -1500.0, 'q"x', "01"]
+    assert json.loads(objects.json_of("{}")) == {} and objects.json_of("[1,2,]") == "[1, 2]"
+    for broken in ("{", "[1}", "1 ]", "[1] [2]", '{"a"}', '"open', "", '["\\x"]'):
+        assert objects.json_of(broken, {"": read}) is None
+    assert read("[" * 5000 + "]" * 5000) and objects.json_of("(" * 5000) is None and objects.json_of(None) is None
+    assert objects.json_of("(a 1)") == '["a", 1]' and objects.json_of("<5>", {"<": lambda t: int(t[1:-1])}) == "5"
+    rows = spark.createDataFrame([("{k 1}",), ("!x",), ("(",), (None,)], "s string")
+    got = rows.select(F.to_json(objects.read_objects(F.col("s"), {"!": lambda t: {"said": t[1:]}})).alias("j")).collect()
+    assert [r["j"] for r in got] == ['{"k":1}', '{"said":"x"}', None, None]

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from textloom.functions import cognate, collections, literals, measures, vectors
+from textloom.functions import cognate, collections, literals, measures, objects, vectors
 from textloom.functions import text as T
 from textloom.operators import cluster, corpus, graph, relations, trie
 from textloom.operators.tables import materialize, shared_dir
@@ -378,3 +378,21 @@ def optics_cuts(spark, sf):
     found = cluster.optics(embeddings(spark, sf), cluster.Options(method="optics", epsilon=max(_EPSILONS), min_points=3))
     cuts = [cluster.optics_cut(found, e).select(F.lit(e).alias("epsilon"), "vec_id", "cluster") for e in _EPSILONS]
     return cuts[0].unionByName(cuts[1]).unionByName(cuts[2])
+
+
+@query(
+    "SELECT n_nationkey, form, n_name AS name, CAST(n_regionkey AS BIGINT) AS third, CASE WHEN form = 2 THEN NULL ELSE 'deep' END AS inner, form = 2 AS refused FROM nation, (SELECT unnest([0, 1]) AS form)"
+    " UNION ALL SELECT n_nationkey, 2, NULL, NULL, NULL, true FROM nation"
+)
+def variant_objects(spark, sf):
+    """Objects in tolerant JSON and as literals, read into VARIANT; a broken one is null."""
+    name, number = F.concat(F.lit('"'), "n_name", F.lit('"')), F.col("n_regionkey").cast("string")
+    texts = [
+        F.concat(F.lit('{"name" '), name, F.lit(' list [1 2 '), number, F.lit('] "in" {key: deep}}')),
+        F.concat(F.lit("#H((name "), name, F.lit(") (list (1 2 "), number, F.lit(")) (in #H((key deep))))")),
+        F.concat(F.lit('{"name" '), name, F.lit(" list [1 2}")),
+    ]
+    rows = table(spark, sf, "nation").select("n_nationkey", F.posexplode(F.array(*texts)).alias("form", "text"))
+    rows = rows.select("n_nationkey", "form", objects.read_objects(F.col("text")).alias("v"))
+    got = lambda path, kind: F.try_variant_get("v", path, kind)
+    return rows.select("n_nationkey", "form", got("$.name", "string").alias("name"), got("$.list[2]", "bigint").alias("third"), got("$.in.key", "string").alias("inner"), F.col("v").isNull().alias("refused"))
