@@ -15,8 +15,8 @@ words of its own, and has that passage's shingles only behind the others, leaves
 such a shingle for which even the smallest text there is too large a partner.
 
 Candidates are made in three rounds, since near copies in a large group share most of
-their cells. First each text of a cell meets the cell's smallest one. Then the texts of a cell,
-in the order of the shingles that follow its own, meet the few behind them, which in a
+their cells. First each text of a cell meets the cell's smallest one. Then the texts of a large
+cell, in the order of the shingles that follow its own, meet the few behind them, which in a
 group are the most alike. Last all members of a cell meet, but for those that are in one
 component already: such a pair could add no component. Shared first shingles are counted for each pair: with c of them, no more than
 c + ceil(s n) - 1 of all can be shared, n the larger set's size, which leaves out most
@@ -38,8 +38,8 @@ from textloom.llm.common import map_batches, materialize, parts_of, utf8
 SEED = 42
 #: Texts of the sample for the order, and the shingles of it that may count as common.
 SAMPLE, MOST_COMMON = 20_000, 50_000
-#: Texts behind it in a cell's order that a text meets in the second round, and shingles that make the order.
-BEHIND, FOLLOWING = 8, 4
+#: Texts behind it in a cell's order that a text meets in the second round, and the members of a cell from which there is one.
+BEHIND, LARGE_CELL = 8, 16
 #: Pairs whose ids go to the executors as a list to pick their texts.
 MOST_PAIRS = 1_000_000
 
@@ -112,15 +112,16 @@ def shingle_sets(texts: DataFrame, shingle: int, share: tuple[int, int]) -> Data
 
 
 def shared_cells(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """(cell, id, fp, n, rest, early, next, first) of the sets' first shingles, those that others may share with enough behind them.
+    """(cell, id, fp, n, rest, early, next, first, members) of the sets' first shingles, those that others may share with enough behind them.
 
     rest: how many shingles the set has from this one on; early: whether it stands among
     those that the smaller of two similar sets shares one of; first (n, id, rest): of the
-    cell's smallest early member; next: the shingles that follow in the set's order.
+    cell's smallest early member; next: halves of the two shingles that follow in the set's order.
     """
     over, under = share
     held = sets.select("id", "fp", "n", "prefix", F.posexplode("prefix").alias("at", "cell"))
-    held = held.withColumn("next", F.slice("prefix", F.col("at") + 2, F.lit(FOLLOWING))).drop("prefix")
+    half = lambda k: F.coalesce(F.get("prefix", F.col("at") + k), F.lit(0)).bitwiseAND(F.lit(0x7FFFFFFF))
+    held = held.withColumn("next", F.shiftleft(half(1), 32).bitwiseOR(half(2))).drop("prefix")
     n = F.col("n").cast("long")
     early = F.col("at") <= n - F.ceil(n * (2 * over) / (over + under))
     # The largest partner that leaves enough to share.
@@ -129,7 +130,7 @@ def shared_cells(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     cell = Window.partitionBy("cell")
     first = F.min(F.when(F.col("early"), F.struct("n", "id", "rest"))).over(cell)
     held = held.withColumn("first", first).filter(most >= F.col("first.n"))
-    return held.withColumn("members", F.count("*").over(cell)).filter("members > 1").drop("members")
+    return held.withColumn("members", F.count("*").over(cell)).filter("members > 1")
 
 
 def enough(n_x: Column, rest_x: Column, n_y: Column, rest_y: Column, share: tuple[int, int]) -> Column:
@@ -205,7 +206,7 @@ def next_links(cells: DataFrame, sets: DataFrame, linked: DataFrame, texts: Data
     two ranges' border meets in the last round.
     """
     order = ["cell", "next", "n", "id"]
-    rows = in_components(cells, linked).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    rows = in_components(cells.filter(F.col("members") >= LARGE_CELL), linked).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     behind = Window.partitionBy("part").orderBy(*order)
     held = [F.lead(F.struct("cell", "id", "n", "rest", "early", "component"), k).over(behind) for k in range(1, BEHIND + 1)]
     met = rows.withColumn("others", F.array(*held)).withColumn("other", F.explode("others")).filter(
