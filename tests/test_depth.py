@@ -245,3 +245,38 @@ def test_merged_fold(spark):
     assert relations.merge_fold(rows.limit(0), ["k"], "n long, top array<long>", start, add, merge).count() == 0
     names = relations.match_names(spark.createDataFrame([("a",), ("AB",), ("abc",), ("x",)], "word string"), spark.createDataFrame([("ab",), ("abc",)], "name string"))
     assert {(r["word"], r["match"], tuple(r["all"])) for r in names.collect()} == {("a", None, ("ab", "abc")), ("AB", "ab", ("ab", "abc")), ("abc", "abc", ("abc",)), ("x", None, ())}
+
+
+def test_table_function(spark):
+    """Words of the table function are those of the array form; a splitter of the caller's works too."""
+    from pyspark.sql import functions as F
+
+    from textloom.functions import tokenize
+
+    texts = ["Hello, world! don't re-use 1,234.56", "", None, "N.A.T.O. met -- today."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in tokenize.token_table(rows).collect():
+        got.setdefault(r["doc_id"], []).append((r["pos"], r["word"]))
+    want = {r["doc_id"]: list(enumerate(r["w"])) for r in rows.select("doc_id", tokenize.english(F.col("text")).alias("w")).collect() if r["w"]}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert {r["word"] for r in tokenize.token_table(rows, lambda t: t.split("o")).filter("doc_id = 3").collect()} == {"N.A.T.O. met -- t", "day."}
+    with pytest.raises(Exception, match="a text is wanted"):
+        tokenize.token_table(rows, text="doc_id").collect()
+
+
+def test_growing_vocabulary(spark, tmp_path):
+    """One number a word whatever the batches are; a batch that runs again changes nothing."""
+    from textloom.streaming import vocabulary
+
+    path, batches = str(tmp_path / "v"), [["b", "a", "b"], ["a", "c", None], [], ["d", "b", "e"]]
+    add = vocabulary.find_or_add(path)
+    frames = [spark.createDataFrame([(w,) for w in b], "word string") for b in batches]
+    for k, frame in enumerate(frames):
+        add(frame, k)
+    want = {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4}
+    held = lambda: {r["word"]: r["id"] for r in vocabulary.read_vocabulary(spark, path).collect()}
+    assert held() == want
+    for k in (1, 3):
+        add(frames[k], k)
+    assert held() == want and vocabulary.read_vocabulary(spark, path).count() == 5

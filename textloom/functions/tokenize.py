@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType, StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 
 def whitespace(s: Column) -> Column:
@@ -81,6 +84,36 @@ def english(s: Column, strict: bool = True) -> Column:
     return split(s)
 
 
+#: Splitters that a table function can use by name.
+SPLITTERS: dict[str, Callable[[str], Iterable[str]]] = {"english": english_words, "whitespace": lambda t: re.findall(r"[^ \t\n\r\x0b\f]+", t)}
+
+
+def table_function(split: str | Callable[[str], Iterable[str]] = "english"):
+    """A table function (text) -> (pos, word) for lateral joins, by a splitter's name or a function of the caller's; null texts have no words.
+
+    Its schema comes from analyze, which refuses arguments that are no text.
+    """
+    cut = SPLITTERS[split] if isinstance(split, str) else split
+
+    class Words:
+        @staticmethod
+        def analyze(text: AnalyzeArgument) -> AnalyzeResult:
+            if not isinstance(text.dataType, (StringType, NullType)):
+                raise ValueError(f"a text is wanted, not {text.dataType.simpleString()}")
+            return AnalyzeResult(schema=StructType().add("pos", "integer").add("word", "string"))
+
+        def eval(self, text: str | None):
+            if text is not None:
+                yield from enumerate(cut(text))
+
+    return F.udtf(Words)
+
+
+def token_table(rows: DataFrame, split: str | Callable[[str], Iterable[str]] = "english", text: str = "text") -> DataFrame:
+    """rows with a row for each word of a text column: its columns, pos and word."""
+    return rows.lateralJoin(table_function(split)(F.col(text).outer()))
+
+
 def joined(words: Column, delimiter: str = " ") -> Column:
     return F.array_join(words, delimiter)
 

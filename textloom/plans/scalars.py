@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from textloom.functions import cognate, collections, literals, measures, objects, vectors
+from textloom.functions import cognate, collections, literals, measures, objects, tokenize, vectors
 from textloom.functions import text as T
 from textloom.operators import cluster, corpus, graph, relations, trie
 from textloom.operators.tables import materialize, shared_dir
-from textloom.plans.catalog import _WS, ORACLES, PROFILE_SQL, _name_pairs, embeddings, long, nation_profile, query, table, tidy
+from textloom.plans.catalog import _WS, ORACLES, PROFILE_SQL, _name_pairs, docs, embeddings, long, nation_profile, query, table, tidy
 from textloom.sources import io
+from textloom.streaming import vocabulary
 
 
 def own_path(spark, name: str) -> str:
@@ -396,3 +397,27 @@ def variant_objects(spark, sf):
     rows = rows.select("n_nationkey", "form", objects.read_objects(F.col("text")).alias("v"))
     got = lambda path, kind: F.try_variant_get("v", path, kind)
     return rows.select("n_nationkey", "form", got("$.name", "string").alias("name"), got("$.list[2]", "bigint").alias("third"), got("$.in.key", "string").alias("inner"), F.col("v").isNull().alias("refused"))
+
+
+# ---- table functions and streams ----
+
+
+@query(
+    "SELECT item_id, CAST(len(w) AS BIGINT) AS words, md5(array_to_string(w, '|')) AS digest FROM (SELECT item_id, " + _WS + " AS w FROM benchmark) WHERE len(w) > 0"
+)
+def words_by_table_function(spark, sf):
+    """Words by a Python table function in a lateral join, in their order."""
+    rows = tokenize.token_table(table(spark, sf, "benchmark").select("item_id", "text"), "whitespace")
+    got = rows.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w"))
+    return got.select("item_id", long(F.size("w")).alias("words"), F.md5(F.array_join(F.transform("w", lambda x: x["word"]), "|")).alias("digest"))
+
+
+@query("WITH w AS (SELECT " + _WS + " AS words FROM documents), v AS (SELECT DISTINCT unnest(words) AS word FROM w) SELECT count(*) AS words, CAST(0 AS BIGINT) AS low, count(*) - 1 AS high, count(*) AS ids FROM v")
+def stream_vocabulary(spark, sf):
+    """The documents' words as a stream of four files, each word numbered when it is first seen."""
+    source, path = own_path(spark, "stream"), own_path(spark, "vocabulary")
+    docs(spark, sf).select(F.explode(tokenize.whitespace(F.col("text"))).alias("word")).repartition(4).write.parquet(source)
+    words = spark.readStream.schema("word string").option("maxFilesPerTrigger", 1).parquet(source)
+    vocabulary.follow(words, path, own_path(spark, "progress")).awaitTermination()
+    held = vocabulary.read_vocabulary(spark, path)
+    return held.agg(F.count_distinct("word").alias("words"), F.min("id").alias("low"), F.max("id").alias("high"), F.count_distinct("id").alias("ids"))
