@@ -155,9 +155,12 @@ def test_within(spark, measure, epsilon):
     rows = [(i, rng.normal(size=3).tolist()) for i in range(120)] + [(200, [0.0, 0.0, 0.0]), (201, [0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, v array<double>")
     every = df.join(df.select(F.col("vec_id").alias("other"), F.col("v").alias("w")), F.col("vec_id") != F.col("other"))
-    wanted = {tuple(r) for r in every.filter(M.distance(measure, "v", "w") <= epsilon).select("vec_id", "other").collect()}
-    got = [tuple(r) for r in cluster.within(df, epsilon, measure).collect()]
-    assert set(got) == wanted and len(got) == len(wanted) and wanted
+    far = M.distance(measure, "v", "w")
+    wanted = {(r["vec_id"], r["other"]): r["dist"] for r in every.filter(far <= epsilon).select("vec_id", "other", far.alias("dist")).collect()}
+    found = cluster.within(df, epsilon, measure).collect()
+    got = {(r["vec_id"], r["other"]): r["dist"] for r in found}
+    assert got.keys() == wanted.keys() and len(found) == len(wanted) and wanted
+    assert all(got[k] == pytest.approx(wanted[k], abs=1e-9) for k in wanted)
 
 
 def test_searches_in_blocks(spark, monkeypatch):
