@@ -209,12 +209,14 @@ def next_links(cells: DataFrame, sets: DataFrame, linked: DataFrame, texts: Data
     rows = in_components(cells.filter(F.col("members") >= LARGE_CELL), linked).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     behind = Window.partitionBy("part").orderBy(*order)
     held = [F.lead(F.struct("cell", "id", "n", "rest", "early", "component"), k).over(behind) for k in range(1, BEHIND + 1)]
-    met = rows.withColumn("others", F.array(*held)).withColumn("other", F.explode("others")).filter(
-        (F.col("other.cell") == F.col("cell"))
-        & (F.col("other.component") != F.col("component"))
-        & (F.col("early") | F.col("other.early"))
-        & enough(F.col("n"), F.col("rest"), F.col("other.n"), F.col("other.rest"), share)
+    fits = lambda o: (
+        (o["cell"] == F.col("cell"))
+        & (o["component"] != F.col("component"))
+        & (F.col("early") | o["early"])
+        & enough(F.col("n"), F.col("rest"), o["n"], o["rest"], share)
     )
+    # What does not fit goes before it becomes a row.
+    met = rows.withColumn("others", F.array(*held)).select("id", F.explode(F.filter("others", fits)).alias("other"))
     pairs = met.select(F.greatest("id", "other.id").alias("x"), F.least("id", "other.id").alias("y"))
     return verified(plausible(pairs, sets, share), texts, shingle, share)
 
