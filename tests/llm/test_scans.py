@@ -277,6 +277,17 @@ def test_word_encoder():
     assert [x + (1).to_bytes(4, "little") for x in encoder.encode(texts)] == brute_packing_ids(texts, path)
 
 
+def test_word_encoder_holds_few(monkeypatch):
+    """One call with more words than a worker may remember gives exact ids and leaves no more than those."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    path = packing.vocabulary_path()
+    encoder = packing.WordEncoder(path)
+    for a in (0, 15, 7, 40):
+        texts = [f"word{i} other{i + 1} word{i}" for i in range(a, a + 30)] + ["", "a<|endoftext|>b"]
+        assert [x + (1).to_bytes(4, "little") for x in encoder.encode(texts)] == brute_packing_ids(texts, path)
+        assert len(encoder.cache) <= 20
+
+
 def test_sum_of_squares_choice():
     """Each choice minimises the sum of squared counts, by trying all."""
     import random
@@ -399,6 +410,21 @@ def test_toxicity_scores_by_hand():
     assert np.allclose(model.scores(texts), [brute_score(model, t) for t in texts], atol=1e-4)
 
 
+def test_toxicity_holds_few_words(monkeypatch):
+    """A worker's table holds no more words than it may remember, or than one call has, and scores do not depend on it."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)) for _ in range(40)]
+    model = toxicity.train(texts, [i % 2 for i in range(40)])
+    wanted = [model.scores([t])[0] for t in texts]
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 100)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 7)
+    model._reset()
+    for text, score in zip(texts, wanted, strict=True):
+        assert np.isclose(model.scores([text])[0], score, atol=1e-5)
+        assert len(model.known) <= 100 and len(model.table) <= 101
+    assert np.allclose(model.scores(texts), wanted, atol=1e-5)
+
+
 def test_toxicity_labels(spark):
     """A doc_id with both labels is toxic, repeated rows are learned from once, and the whole text is read."""
     tags = spark.createDataFrame([(i, t) for i in range(1, 60) for t in ((0, 1) if i % 3 == 0 else (0,))], "doc_id long, toxic int")

@@ -28,6 +28,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ from tokenizers import Tokenizer
 from textloom.llm.common import documents, parts_of, read_table
 
 WINDOW, END_ID = 2048, 1
-#: Words whose ids a task remembers; more are encoded anew each time.
-CACHE_WORDS = 250_000
+#: Words whose ids a worker remembers; more are encoded anew each time.
+CACHE_WORDS = 60_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,"
@@ -73,7 +74,7 @@ class WordEncoder:
     def __init__(self, path: str):
         import public_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
@@ -86,6 +87,11 @@ class WordEncoder:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.cache: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def whole(self) -> Tokenizer:
+        """The tokenizer itself, read only if a text holds one of its special tokens."""
+        return Tokenizer.from_file(self.path)
+
     SAFE = re.compile(r"(?<=\S)(?= \S)")
     RUN = re.compile(r"\s\s")
 
@@ -104,10 +110,11 @@ class WordEncoder:
                 missing.update(dict.fromkeys(w for w in words if w not in cache))
         missing.pop("", None)
         self._fill(missing)
-        get = {**missing, "": b""}.get if len(cache) >= CACHE_WORDS else None
-        if get is None:
-            cache.update(missing)
-            cache[""] = b""
+        cache[""] = b""
+        # As many as there is room for, so that a worker never holds more.
+        room = max(0, CACHE_WORDS - len(cache))
+        cache.update(islice(missing.items(), room))
+        get = missing.get if len(missing) > room else None
         out = []
         for text, words in zip(texts, parts, strict=True):
             if words is None:

@@ -41,8 +41,8 @@ SAMPLE = 2000
 VOCABULARY, BUCKETS, CHAR_ROWS = 20_000, 1 << 19, 1 << 14
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 12, 12
 EPOCHS, MIN_STEPS, BATCH, RATE, SEED = 4, 200, 128, 0.01, 7
-#: Words whose input vectors a task remembers.
-CACHE_WORDS = 150_000
+#: Words that a worker remembers by their part of the recurrence, and words for which that is made at once.
+CACHE_WORDS, AT_ONCE = 40_000, 4_000
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -263,15 +263,28 @@ class Network:
         self.table = np.zeros((1, 6 * HIDDEN), dtype=np.float32)
 
     def rows(self, docs: list[list[bytes]]) -> list[list[int]]:
-        """The words' rows in self.table, which is extended by what it lacks; row 0 stands for no word."""
-        if len(self.known) > CACHE_WORDS:
+        """The words' rows in self.table, which is filled with what it lacks; row 0 stands for no word.
+
+        Words are forgotten only where those of docs would be too many with them, so the
+        table holds CACHE_WORDS or the words of docs, whichever are more.
+        """
+        known, words = self.known, {w for words in docs for w in words}
+        fresh_words = words - known.keys()
+        if len(known) + len(fresh_words) > CACHE_WORDS:
             self._reset()
-        known = self.known
-        if fresh_words := list({w for words in docs for w in words} - known.keys()):
-            fresh_words.sort()
-            made = [self.inputs.vectors(fresh_words[k : k + 20_000]) @ self.p["win"] + self.p["bin"] for k in range(0, len(fresh_words), 20_000)]
-            known.update(zip(fresh_words, range(len(self.table), len(self.table) + len(fresh_words)), strict=True))
-            self.table = np.concatenate([self.table, *made])
+            known, fresh_words = self.known, words
+        if fresh_words:
+            fresh_words = sorted(fresh_words)
+            at = len(known) + 1
+            if (needed := at + len(fresh_words)) > len(self.table):
+                # Twice as many rows, so that the table is seldom copied.
+                grown = np.zeros((max(needed, min(2 * len(self.table), CACHE_WORDS + 1)), 6 * HIDDEN), dtype=np.float32)
+                grown[:at] = self.table[:at]
+                self.table = grown
+            for k in range(0, len(fresh_words), AT_ONCE):
+                some = fresh_words[k : k + AT_ONCE]
+                self.table[at + k : at + k + len(some)] = self.inputs.vectors(some) @ self.p["win"] + self.p["bin"]
+            known.update(zip(fresh_words, range(at, needed), strict=True))
         return [[known[w] for w in words] for words in docs]
 
     def logits(self, docs: list[list[bytes]], at_once: int = 1024) -> np.ndarray:
