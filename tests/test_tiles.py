@@ -28,3 +28,15 @@ def test_within_is_a_matrix_product(spark, monkeypatch):
         got = found.collect()
         assert len(got) == len(want) and {(r["vec_id"], r["other"]) for r in got} == want
         assert all(abs(r["dist"] - dist[r["vec_id"], r["other"]]) < 1e-9 for r in got)
+
+
+def test_optics_cuts_like_dbscan(spark, monkeypatch):
+    """optics_cuts: blocks of a few vectors, whose pairs are found once, give the clusters of one search."""
+    rows, _ = vectors(spark)
+    monkeypatch.setattr(cluster, "MAX_CENTRE_CELLS", 90)
+    found = cluster.optics(rows.select("vec_id", "v"), cluster.Options(epsilon=0.4, min_points=3))
+    assert found.near.select("vec_id", "other").distinct().count() == found.near.count()
+    monkeypatch.undo()
+    for epsilon in (0.2, 0.4):
+        cut = sorted(map(str, cluster.optics_cut(found, epsilon).collect()))
+        assert cut == sorted(map(str, cluster.dbscan(rows.select("vec_id", "v"), cluster.Options(epsilon=epsilon, min_points=3)).collect()))
