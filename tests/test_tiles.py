@@ -40,3 +40,27 @@ def test_optics_cuts_like_dbscan(spark, monkeypatch):
     for epsilon in (0.2, 0.4):
         cut = sorted(map(str, cluster.optics_cut(found, epsilon).collect()))
         assert cut == sorted(map(str, cluster.dbscan(rows.select("vec_id", "v"), cluster.Options(epsilon=epsilon, min_points=3)).collect()))
+
+
+def searched(spark, monkeypatch, queries: int, k: int) -> tuple[list, list[int]]:
+    """A search's own function over one batch in this process: what it finds, and the sizes of its tiles."""
+    rows, _ = vectors(spark)
+    sizes, held, merge = [], [], cluster.merge_best
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "mapInArrow", lambda self, run, schema: held.append(run))
+        cluster._ranked_in_block(rows.filter(f"vec_id < {queries}").selectExpr("vec_id AS query", "v"), rows, k, "cosine")
+    monkeypatch.setattr(cluster, "merge_best", lambda best, ids, own, sims: (sizes.append(sims.size), merge(best, ids, own, sims)))
+    batch = rows.select("vec_id", "v").orderBy("vec_id").toArrow().combine_chunks().to_batches()[0]
+    return [(r["query"], r["vec_id"]) for part in held[0](iter([batch])) for r in part.to_pylist()], sizes
+
+
+def brute(unit: np.ndarray, queries: int, k: int) -> list:
+    sims = np.round(unit @ unit.T, 12)
+    return [(q, i) for q in range(queries) for i in sorted((i for i in range(len(unit)) if i != q), key=lambda i: (-sims[q, i], i))[:k]]
+
+
+def test_shared_neighbours_holds_tiles(spark, monkeypatch):
+    """shared_neighbours: all vectors against a batch of all, of which a task holds no more than a tile."""
+    monkeypatch.setattr(cluster, "TILE_CELLS", 600)
+    got, sizes = searched(spark, monkeypatch, 60, 5)
+    assert sorted(got) == sorted(brute(vectors(spark)[1], 60, 5)) and max(sizes) <= 600
