@@ -64,3 +64,10 @@ def test_shared_neighbours_holds_tiles(spark, monkeypatch):
     monkeypatch.setattr(cluster, "TILE_CELLS", 600)
     got, sizes = searched(spark, monkeypatch, 60, 5)
     assert sorted(got) == sorted(brute(vectors(spark)[1], 60, 5)) and max(sizes) <= 600
+
+
+def test_knn_topk_holds_tiles(spark, monkeypatch):
+    """knn_topk: a few queries and pieces of a batch of fewer vectors than a query's best."""
+    monkeypatch.setattr(cluster, "TILE_CELLS", 30)
+    got, sizes = searched(spark, monkeypatch, 6, 10)
+    assert sorted(got) == sorted(brute(vectors(spark)[1], 6, 10)) and max(sizes) <= 30
