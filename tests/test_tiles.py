@@ -71,3 +71,11 @@ def test_knn_topk_holds_tiles(spark, monkeypatch):
     monkeypatch.setattr(cluster, "TILE_CELLS", 30)
     got, sizes = searched(spark, monkeypatch, 6, 10)
     assert sorted(got) == sorted(brute(vectors(spark)[1], 6, 10)) and max(sizes) <= 30
+
+
+def test_knn_top1_holds_tiles(spark, monkeypatch):
+    """knn_top1: queries in several tiles too."""
+    monkeypatch.setattr(cluster, "TILE_CELLS", 16)
+    monkeypatch.setattr(cluster, "QUERY_TILE", 4)
+    got, sizes = searched(spark, monkeypatch, 10, 1)
+    assert sorted(got) == sorted(brute(vectors(spark)[1], 10, 1)) and max(sizes) <= 16
