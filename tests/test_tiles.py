@@ -79,3 +79,32 @@ def test_knn_top1_holds_tiles(spark, monkeypatch):
     monkeypatch.setattr(cluster, "QUERY_TILE", 4)
     got, sizes = searched(spark, monkeypatch, 10, 1)
     assert sorted(got) == sorted(brute(vectors(spark)[1], 10, 1)) and max(sizes) <= 16
+
+
+def linked(spark, monkeypatch, how: str) -> None:
+    """A linkage's own function over one batch: bounded tiles, results given before all clusters are held, and brute force."""
+    rows, unit = vectors(spark, clusters=20)
+    monkeypatch.setattr(cluster, "TILE_CELLS", 180)
+    held, sizes = [], []
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "mapInArrow", lambda self, run, schema: held.append(run))
+        cluster._linked_in_block(rows, rows, how)
+    plain = cluster._tiles
+    monkeypatch.setattr(cluster, "_tiles", lambda batches, width: ((sizes.append(len(x) * width), (own, x))[1] for own, x in plain(batches, width)))
+    batch = rows.select("cluster", "v").toArrow().combine_chunks().to_batches()[0]
+    parts = [r for part in held[0](iter([batch])) for r in part.to_pylist()]
+    assert max(sizes) <= 180
+    best = max if how == "max" else min
+    got, want = {}, {}
+    for r in parts:
+        got[r["c1"], r["c2"]] = best(got.get((r["c1"], r["c2"]), r["sim"]), r["sim"])
+    for i, x in enumerate(unit):
+        for j, y in enumerate(unit):
+            if (pair := (i % 20, j % 20))[0] < pair[1]:
+                want[pair] = best(want.get(pair, x @ y), x @ y)
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_linkage_nearest_holds_tiles(spark, monkeypatch):
+    """linkage_nearest"""
+    linked(spark, monkeypatch, "max")
