@@ -108,3 +108,8 @@ def linked(spark, monkeypatch, how: str) -> None:
 def test_linkage_nearest_holds_tiles(spark, monkeypatch):
     """linkage_nearest"""
     linked(spark, monkeypatch, "max")
+
+
+def test_linkage_furthest_holds_tiles(spark, monkeypatch):
+    """linkage_furthest"""
+    linked(spark, monkeypatch, "min")
