@@ -113,3 +113,20 @@ def test_linkage_nearest_holds_tiles(spark, monkeypatch):
 def test_linkage_furthest_holds_tiles(spark, monkeypatch):
     """linkage_furthest"""
     linked(spark, monkeypatch, "min")
+
+
+def distances(spark, monkeypatch, how: str) -> None:
+    """Linkage by distance over blocks and tiles of a few numbers, against brute force; the clusters' names are text."""
+    rows, unit = vectors(spark)
+    monkeypatch.setattr(cluster, "MAX_CENTRE_CELLS", 60)
+    named = rows.selectExpr("vec_id", "concat('c', cluster) AS cluster", "v")
+    assert cluster.TILE_CELLS > 0
+    got = {(r["c1"], r["c2"]): r["dist"] for r in cluster.linkage(named, how, kind="distance").collect()}
+    dist, best = 1 - unit @ unit.T, min if how == "nearest" else max
+    want = {(f"c{a}", f"c{b}"): best(dist[i, j] for i in range(a, 60, 4) for j in range(b, 60, 4)) for a in range(4) for b in range(a + 1, 4)}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_linkage_distance_furthest_in_blocks(spark, monkeypatch):
+    """linkage_distance_furthest"""
+    distances(spark, monkeypatch, "furthest")
