@@ -130,3 +130,8 @@ def distances(spark, monkeypatch, how: str) -> None:
 def test_linkage_distance_furthest_in_blocks(spark, monkeypatch):
     """linkage_distance_furthest"""
     distances(spark, monkeypatch, "furthest")
+
+
+def test_linkage_distance_nearest_in_blocks(spark, monkeypatch):
+    """linkage_distance_nearest"""
+    distances(spark, monkeypatch, "nearest")
