@@ -135,3 +135,22 @@ def test_linkage_distance_furthest_in_blocks(spark, monkeypatch):
 def test_linkage_distance_nearest_in_blocks(spark, monkeypatch):
     """linkage_distance_nearest"""
     distances(spark, monkeypatch, "nearest")
+
+
+def against(spark, monkeypatch, how: str, reverse: bool = False) -> None:
+    """Distances of clusters to vectors: matrix products, in blocks and tiles of a few numbers, with a null vector."""
+    monkeypatch.setattr(cluster, "TILE_CELLS", 40)
+    monkeypatch.setattr(cluster, "MAX_CENTRE_CELLS", 150)
+    rows, unit = vectors(spark)
+    all_rows = rows.unionByName(spark.createDataFrame([(1000, 0, None)], rows.schema))
+    found = cluster.to_vectors(all_rows, rows.filter("vec_id % 10 < 2"), how, kind="distance", reverse=reverse)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    got = {(r["cluster"], r["vec_id"]): r["value"] for r in found.collect()}
+    dist, of = 1 - unit @ unit.T, {"average": np.mean, "nearest": np.min, "furthest": np.max}[how]
+    want = {(c, i): of(dist[c::4, i]) for c in range(4) for i in range(60) if i % 10 < 2}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_vector_distance_furthest_reversed(spark, monkeypatch):
+    """vector_distance_furthest_reversed"""
+    against(spark, monkeypatch, "furthest", True)
