@@ -154,3 +154,8 @@ def against(spark, monkeypatch, how: str, reverse: bool = False) -> None:
 def test_vector_distance_furthest_reversed(spark, monkeypatch):
     """vector_distance_furthest_reversed"""
     against(spark, monkeypatch, "furthest", True)
+
+
+def test_vector_distance_nearest(spark, monkeypatch):
+    """vector_distance_nearest"""
+    against(spark, monkeypatch, "nearest")
