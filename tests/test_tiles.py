@@ -159,3 +159,8 @@ def test_vector_distance_furthest_reversed(spark, monkeypatch):
 def test_vector_distance_nearest(spark, monkeypatch):
     """vector_distance_nearest"""
     against(spark, monkeypatch, "nearest")
+
+
+def test_vector_distance_average(spark, monkeypatch):
+    """vector_distance_average"""
+    against(spark, monkeypatch, "average")
