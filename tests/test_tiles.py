@@ -164,3 +164,20 @@ def test_vector_distance_nearest(spark, monkeypatch):
 def test_vector_distance_average(spark, monkeypatch):
     """vector_distance_average"""
     against(spark, monkeypatch, "average")
+
+
+def test_brown_merges_in_tiles(spark, monkeypatch):
+    """brown_clusters: the search of its rounds, by inner product over a batch, holds tiles and finds each one's best."""
+    rows, _ = vectors(spark)
+    monkeypatch.setattr(cluster, "TILE_CELLS", 120)
+    held, sizes, merge = [], [], cluster.merge_best
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "mapInArrow", lambda self, run, schema: held.append(run))
+        cluster._ranked_in_block(rows.selectExpr("vec_id AS query", "v"), rows, 1, "product")
+    monkeypatch.setattr(cluster, "merge_best", lambda best, ids, own, sims: (sizes.append(sims.size), merge(best, ids, own, sims)))
+    batch = rows.select("vec_id", "v").toArrow().combine_chunks().to_batches()[0]
+    got = {r["query"]: r["vec_id"] for part in held[0](iter([batch])) for r in part.to_pylist()}
+    m = np.array(batch.column(1).to_pylist())
+    sims = np.round(m @ m.T, 12)
+    np.fill_diagonal(sims, -np.inf)
+    assert max(sizes) <= 120 and got == {i: int(np.argmax(sims[i])) for i in range(60)}
