@@ -46,3 +46,20 @@ def test_counted_digests():
     got = repeats.counted(d, e)
     assert [x.tolist() for x in got] == [[5, 5, 2**63], [1, 2, 0], [2, 2, 1]]
     assert [x.tolist() for x in repeats.unpacked(repeats.packed(*got))] == [x.tolist() for x in got]
+
+
+@pytest.mark.parametrize("least", [1, 3, 20, 50])
+def test_repeated_spans(spark, texts, least):
+    """repeated_passages: spans by the least digests, documents with one doc_id apart."""
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    count = Counter(g for _, _, g in grams(texts, least))
+    places = {(k, i) for k, i, g in grams(texts, least) if count[g] > 1}
+    want = []
+    for k, i in sorted(places):
+        if (k, i - 1) not in places:
+            j = i
+            while (k, j + 1) in places:
+                j += 1
+            want.append((texts[k][0], i, j + least))
+    got = [(r["doc_id"], r["start"], r["stop"]) for r in repeats.repeated_spans(docs, least).collect()]
+    assert sorted(got) == sorted(want)
