@@ -29,3 +29,17 @@ def test_reversed_ngrams(spark, docs):
     words = [(t or "").split()[::-1] for _, t in TEXTS]
     assert {r["ngram"]: r["freq"] for r in found.collect()} == Counter(" ".join(w[i : i + 3]) for w in words for i in range(len(w) - 2))
     assert {r["ngram"] for r in corpus.ngrams(docs, 1, 2, least=3, reverse=True).collect()} == {"a", "b", "c", "b a"}
+
+
+def test_context_vectors_count_pairs_once(spark, docs):
+    """ctx_vector: pairs are counted whichever word comes first, in one aggregate."""
+    found = corpus.context_vectors(docs, 2, 2)
+    assert exchanges(found) == 1
+    want = Counter()
+    for _, t in TEXTS:
+        w = (t or "").split()
+        want.update((w[i], w[j]) for i in range(len(w)) for j in range(len(w)) if 0 < abs(i - j) <= 2)
+    got = found.collect()
+    assert len(got) == len(want) and {(r["word"], r["context"]): r["weight"] for r in got} == want
+    uneven = {(r["word"], r["context"]): r["weight"] for r in corpus.context_vectors(docs, 1, 2).collect()}
+    assert uneven["d", "e"] == 1 and ("d", "b") not in uneven
