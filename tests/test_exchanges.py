@@ -43,3 +43,18 @@ def test_context_vectors_count_pairs_once(spark, docs):
     assert len(got) == len(want) and {(r["word"], r["context"]): r["weight"] for r in got} == want
     uneven = {(r["word"], r["context"]): r["weight"] for r in corpus.context_vectors(docs, 1, 2).collect()}
     assert uneven["d", "e"] == 1 and ("d", "b") not in uneven
+
+
+def test_perplexity_moves_rows_once(spark, docs):
+    """lm_perplexity: the documents' bigrams meet one table of scores; unseen pairs and words count."""
+    model = corpus.bigram_model(docs)
+    other = spark.createDataFrame([(1, "a b c a"), (2, "z a"), (3, "a z y"), (3, "b a"), (4, "a")], "doc_id long, text string")
+    found = corpus.perplexity(other, model)
+    assert exchanges(found) == 2
+    pairs = spark.createDataFrame([(d, *p) for d, t in other.collect() for w in [t.split()] for p in zip(w, w[1:])], "doc_id long, w1 string, w2 string")
+    logs: dict[int, list[float]] = {}
+    for r in corpus.bigram_probability(pairs, model).collect():
+        logs.setdefault(r["doc_id"], []).append(math.log(r["prob"]))
+    got = {r["doc_id"]: (r["bigrams"], r["perplexity"]) for r in found.collect()}
+    assert got.keys() == logs.keys()
+    assert all(got[d][0] == len(x) and abs(got[d][1] - math.exp(-sum(x) / len(x))) < 1e-9 for d, x in logs.items())
