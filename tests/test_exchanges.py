@@ -58,3 +58,21 @@ def test_perplexity_moves_rows_once(spark, docs):
     got = {r["doc_id"]: (r["bigrams"], r["perplexity"]) for r in found.collect()}
     assert got.keys() == logs.keys()
     assert all(got[d][0] == len(x) and abs(got[d][1] - math.exp(-sum(x) / len(x))) < 1e-9 for d, x in logs.items())
+
+
+def test_trigrams_meet_two_tables(spark, docs):
+    """lm_trigrams: the model's own trigrams are joined twice, and score as any other table of the same trigrams."""
+    model = language_model.train(docs, 3)
+    own = model.orders[-1].grams
+    found = language_model.probability(own, model)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    again = language_model.probability(own.withColumn("more", F.lit(1)), model)
+    rows = lambda df: {(r["w1"], r["w2"], r["w3"]): round(r["prob"], 12) for r in df.collect()}
+    assert rows(found) == rows(again) and found.columns == [*own.columns, "prob"]
+    mixed = spark.createDataFrame([("a", "b", "c"), ("a", "b", "c"), ("a", "b", "z"), ("z", "b", "a"), ("z", "z", "z")], "w1 string, w2 string, w3 string")
+    got = language_model.probability(mixed, model).collect()
+    assert len(got) == 5 and {r["prob"] > 0 for r in got} == {True}
+    vocabulary = ["a", "b", "c", "d", "e"]
+    for context in (("a", "b"), ("z", "a"), ("z", "z")):
+        every = spark.createDataFrame([(*context, w) for w in vocabulary], "w1 string, w2 string, w3 string")
+        assert abs(sum(r["prob"] for r in language_model.probability(every, model).collect()) - 1) < 1e-9
