@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 
@@ -76,3 +77,23 @@ def test_trigrams_meet_two_tables(spark, docs):
     for context in (("a", "b"), ("z", "a"), ("z", "z")):
         every = spark.createDataFrame([(*context, w) for w in vocabulary], "w1 string, w2 string, w3 string")
         assert abs(sum(r["prob"] for r in language_model.probability(every, model).collect()) - 1) < 1e-9
+
+
+def test_random_indexing_adds_up_in_one_task(spark, docs):
+    """ctx_random_index: no cell of a vector is exchanged; words that go on over several batches."""
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for left, right, dims, nonzero, seed in ((2, 2, 5, 3, 0), (1, 2, 64, 8, 7)):
+            found = corpus.indexed_vectors(docs, left, right, dims, nonzero, seed)
+            assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+            want = Counter()
+            for r in corpus.context_vectors(docs, left, right).collect():
+                for k in range(nonzero):
+                    x = int(hashlib.md5(f"{r['context']}:{k}:{seed}".encode()).hexdigest()[:8], 16)
+                    want[r["word"], x % dims] += r["weight"] * (1 if x < 1 << 31 else -1)
+            got = found.collect()
+            assert len(got) == len({(r["word"], r["dim"]) for r in got})
+            assert {(r["word"], r["dim"]): r["weight"] for r in got} == {k: x for k, x in want.items() if x}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
